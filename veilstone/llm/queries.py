@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import bpe, exact_dedup, line_dedup, mixing, simhash, token_counts
+from veilstone.llm import bpe, exact_dedup, hnsw, line_dedup, mixing, quality, simhash, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,25 +41,47 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.simhash_groups(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = exact_dedup.DigestIndex(spark).add(docs)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.resample(docs, labels, keep_text=False).select("doc_id", "log_weight", "key", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_nearest": op7_nearest,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 #: A line's key in DuckDB; A-Z alone are lower-cased.
@@ -92,4 +114,12 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                     (((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+                     min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d""",
 }
