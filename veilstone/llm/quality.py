@@ -21,8 +21,11 @@ from veilstone.llm.store import free_name, global_rank, small_batches, written
 
 #: Words and runs of other marks; two white-space-separated words alike are one n-gram of their own.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Hash buckets; added counts in each; bound of the labelled sample: texts, and characters of a text.
-BUCKETS, ADDED, TEXTS, LENGTH = 1 << 16, 1.0, 6000, 30_000
+#: Hash buckets, and how many counts in each (on average) the target model begins with, dealt as raw text
+#: is: so that n-grams which a small sample happens to lack weigh little.
+BUCKETS, PRIOR = 1 << 11, 200.0
+#: Bound of the labelled sample: texts, and characters of a text.
+TEXTS, LENGTH = 6000, 30_000
 #: Tokens at once; words whose hashes a worker keeps.
 AT_ONCE, REMEMBERED = 1 << 18, 300_000
 
@@ -84,8 +87,9 @@ def sample_target(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, length
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """For each bucket the log of its probability in target text over that in raw text."""
-    t, r = target + ADDED * target.sum() / max(raw.sum(), 1) + 1e-3, raw + ADDED
-    return (np.log(t / t.sum()) - np.log(r / r.sum())).astype(np.float64)
+    r = (raw + 1.0) / (raw + 1.0).sum()
+    t = target + PRIOR * BUCKETS * r
+    return np.log(t / t.sum()) - np.log(r)
 
 
 def gumbel(doc_id: Column, seed: str) -> Column:
