@@ -2,7 +2,7 @@
 
 Two bag models of hashed n-grams are fitted: one of target text (texts labelled good) and one of the
 raw text (all documents).  The log of a text's importance weight is the sum, over its n-grams, of the
-log ratio of the two.  With Gumbel noise added, the k largest are a sample without replacement in
+log ratio of the two, for long texts scaled to that of FULL n-grams.  With Gumbel noise added, the k largest are a sample without replacement in
 proportion to the weights; k is the number of texts that the weights themselves call for.
 """
 
@@ -21,9 +21,10 @@ from veilstone.llm.store import free_name, global_rank, small_batches, written
 
 #: Words and runs of other marks; two white-space-separated words alike are one n-gram of their own.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Hash buckets, and how many counts in each (on average) the target model begins with, dealt as raw text
-#: is: so that n-grams which a small sample happens to lack weigh little.
-BUCKETS, PRIOR = 1 << 11, 200.0
+#: Hash buckets; how many counts the target model begins with, for each that it has, dealt as raw text is
+#: (n-grams that a small sample happens to lack then weigh little); n-grams from which on a text's length
+#: adds no more weight, as those of a long text aren't independent.
+BUCKETS, PRIOR, FULL = 1 << 11, 1.0, 128
 #: Bound of the labelled sample: texts, and characters of a text.
 TEXTS, LENGTH = 6000, 30_000
 #: Tokens at once; words whose hashes a worker keeps.
@@ -88,7 +89,7 @@ def sample_target(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, length
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """For each bucket the log of its probability in target text over that in raw text."""
     r = (raw + 1.0) / (raw + 1.0).sum()
-    t = target + PRIOR * BUCKETS * r
+    t = target + PRIOR * target.sum() * r
     return np.log(t / t.sum()) - np.log(r)
 
 
@@ -108,7 +109,11 @@ def weigh(docs: DataFrame, ratio: np.ndarray, name: str, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, table = Grams(), sent.value
         for b in batches:
-            w = [float(sum(table[x].sum() for x in grams.of(t))) for t in b.column(text_col).to_pylist()]
+            w = []
+            for t in b.column(text_col).to_pylist():
+                parts = [(float(table[x].sum()), len(x)) for x in grams.of(t)]
+                n = sum(x for _, x in parts)
+                w.append(sum(x for x, _ in parts) * min(1.0, FULL / n) if n else 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(w, pa.float64())], [*(f.name for f in kept), name])
 
     return docs.mapInArrow(run, schema)
