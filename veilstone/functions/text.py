@@ -27,9 +27,9 @@ def candidates(lines_df: DataFrame, pattern: str, only: Column | None = None) ->
     """
     hit = F.col("line").rlike(pattern)
     marked = F.split(F.regexp_replace("line", f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1)
-    found = lines_df.where(hit if only is None else only & hit).withColumn("pieces", marked)
-    found = found.select("*", F.posexplode("pieces").alias("piece_no", "piece")).where(F.col("piece_no") > 0)
-    return found.withColumn("text", F.substring_index("piece", CLOSE, 1)).drop("piece")
+    found = lines_df.where(hit if only is None else only & hit).select("*", marked.alias("pieces"))
+    found = found.select("*", F.posexplode("pieces").alias("piece_no", "piece")).where("piece_no > 0")
+    return found.select(*lines_df.columns, "pieces", "piece_no", F.substring_index("piece", CLOSE, 1).alias("text"))
 
 
 def start() -> Column:
@@ -38,11 +38,11 @@ def start() -> Column:
     return F.aggregate(before, F.lit(0), lambda n, p: n + F.char_length(p)) - (F.col("piece_no") - 1)
 
 
-def with_span(found: DataFrame) -> DataFrame:
-    """Adds start_col and end_col: bytes of the line from 1, the end exclusive, and drops the pieces."""
-    at = found.withColumn("start", start()).drop("pieces", "piece_no")
+def with_span(found: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of candidates, with start_col and end_col: bytes of the line from 1, the end exclusive."""
+    at = found.select(*[c for c in columns if c not in ("start_col", "end_col")], start().alias("start"))
     first = F.octet_length(F.substring(F.col("line"), F.lit(1), F.col("start"))) + 1
-    return at.withColumn("start_col", first).withColumn("end_col", F.col("start_col") + F.octet_length("text"))
+    return at.select(*[{"start_col": first.alias(c), "end_col": (first + F.octet_length("text")).alias(c)}.get(c, F.col(c)) for c in columns])
 
 
 def word_pattern(words: list[str], gap: str = r"[ \t_-]+") -> str:
@@ -55,9 +55,15 @@ def has_word(lower: Column, words: list[str]) -> Column:
     return lower.rlike(word_pattern(words))
 
 
-def words_score(lower: Column, words: list[str], each: float) -> Column:
-    """``each`` for every one of the words that the line has."""
-    return sum((F.when(lower.rlike(word_pattern([w])), F.lit(each)).otherwise(F.lit(0.0)) for w in words), F.lit(0.0))
+def words_score(words: list[str], each: float, column: str = "lower") -> Column:
+    """``each`` for every one of the words that the lower-cased line has; one SQL text, as the lists are long."""
+    return F.expr(" + ".join(f"IF(`{column}` RLIKE {sql_text(word_pattern([w]))}, {each}D, 0D)" for w in words))
+
+
+def sql_text(s: str) -> str:
+    """A raw string literal of SQL."""
+    quote = "'" if "'" not in s else '"'
+    return f"r{quote}{s}{quote}"
 
 
 def tabular_line(line: Column, name_value: str) -> Column:

@@ -26,7 +26,7 @@ def _found(rows: DataFrame, validator: str, kind: Column, confidence: Column, ce
     """Rows with a confidence above ``least`` (from it on, if it isn't 0) as FINDINGS."""
     scored = rows.withColumns({"validator": F.lit(validator), "type": kind, "confidence": confidence.cast("double"), "ceiling": (F.lit(None) if ceiling is None else ceiling).cast("double")})
     kept = scored.where(F.col("confidence") > 0 if not least else F.col("confidence") >= least)
-    return with_span(kept).select(*FINDINGS)
+    return with_span(kept, FINDINGS)
 
 
 # ---- payment cards ------------------------------------------------------------------------------------------------
@@ -184,7 +184,7 @@ def email(lines: DataFrame, top_levels: list[str] | None = None) -> DataFrame:
     )
     rows = rows.withColumn("after", F.substring_index(F.element_at("pieces", F.col("piece_no") + 1), "\x02", -1))
     url = F.col("after").rlike(r"^(?:@|[:/\\][^ \t\r])")
-    context = F.when(url, -100.0).otherwise(clamp(words_score(low, EMAIL_WORDS, 8.0) + words_score(low, EMAIL_AGAINST, -20.0), -60, 30))
+    context = F.when(url, -100.0).otherwise(clamp(words_score(EMAIL_WORDS, 8.0) + words_score(EMAIL_AGAINST, -20.0), -60, 30))
     context = context + F.when(tabular_line(F.col("line"), EMAIL_NAME_VALUE), 15.0).otherwise(0.0)
     return _found(rows, "email", email_provider(domain), clamp(F.greatest(own, F.lit(0.0)) + context, 0, 100))
 
@@ -226,8 +226,8 @@ def ssn(lines: DataFrame) -> DataFrame:
     repeats = n.rlike(r"(\d)\1\1") | (area == F.concat(group, F.substring(group, 1, 1))) | (area == F.substring(serial, 1, 3))
     runs = F.lit(UP).contains(n) | F.lit(DOWN).contains(n)
     own = F.lit(85.0) + F.when(dashes, 10.0).otherwise(0.0) - F.when(bare, 15.0).otherwise(0.0) - F.when(runs, 15.0).otherwise(0.0) - F.when(repeats, 15.0).otherwise(0.0)
-    positive = words_score(low, SSN_WORDS, 25.0)
-    context = positive + words_score(low, SSN_AGAINST, -15.0)
+    positive = words_score(SSN_WORDS, 25.0)
+    context = positive + words_score(SSN_AGAINST, -15.0)
     for boost, words in SSN_FIELDS:
         context = context + F.when(has_word(low, words), boost).otherwise(0.0)
     context = clamp(context + F.when(tabular_line(F.col("line"), r"[A-Z][a-z]+\s+[A-Z][a-z]+\s+\d{3}-?\d{2}-?\d{4}"), 15.0).otherwise(0.0), -50, 50)
@@ -273,7 +273,7 @@ def ip_address(lines: DataFrame) -> DataFrame:
     plain = F.when(four, in_networks(ip_number(t), IP_PLAIN) | t.isin(IP_RESOLVERS) | t.rlike(r"(?:^|\.)0\d")).otherwise(F.lower(t).rlike(r"^(?:f[cd]|fe[89ab]|2001:0?db8:|(?:0+:){7}0*1$)"))
     rows = rows.where(~plain)
     positive = has_word(low, IP_WORDS)
-    context = clamp(words_score(low, IP_WORDS, 12.0) + words_score(low, IP_AGAINST, -30.0), -80, 40)
+    context = clamp(words_score(IP_WORDS, 12.0) + words_score(IP_AGAINST, -30.0), -80, 40)
     total = clamp(F.lit(110.0) + context, 0, 100)
     return _found(rows, "ipaddress", F.lit("IP_ADDRESS"), F.when(~positive & (total >= 90), 75.0).otherwise(total))
 
@@ -304,7 +304,7 @@ def vin(lines: DataFrame) -> DataFrame:
     good, maker = checksums.vin(n), F.substring(n, 1, 3).isin(VIN_MAKERS)
     rows = rows.where(~n.isin(VIN_TESTS) & ~n.rlike(r"^(.)\1*$") & n.rlike("[A-Z]") & n.rlike("[0-9]") & (good | (maker & ~n.rlike("^[1-5]"))))
     own = F.lit(65.0) + F.when(good, 20.0).otherwise(-10.0) + F.when(maker, 10.0).otherwise(0.0) + F.when(F.substring(n, 10, 1).rlike("[A-HJ-NPR-TV-Y1-9]"), 5.0).otherwise(0.0)
-    context = clamp(words_score(low, VIN_WORDS, 25.0) + words_score(low, VIN_AGAINST, -15.0), -50, 50)
+    context = clamp(words_score(VIN_WORDS, 25.0) + words_score(VIN_AGAINST, -15.0), -50, 50)
     return _found(rows, "vin", F.lit("VIN"), clamp(own + context, 0, 100))
 
 
@@ -324,7 +324,7 @@ BANK_AGAINST = ["test", "example", "sample", "dummy", "fake", "mock", "version",
 
 def bank_account(lines: DataFrame) -> DataFrame:
     low = F.col("lower")
-    context = clamp(words_score(low, BANK_WORDS, 15.0) + words_score(low, BANK_AGAINST, -20.0), -50, 40)
+    context = clamp(words_score(BANK_WORDS, 15.0) + words_score(BANK_AGAINST, -20.0), -50, 40)
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
     ib = candidates(lines, NOT_WORD_BEFORE + r"(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + NOT_WORD_AFTER)
     ib = ib.withColumn("number", F.replace("text", F.lit(" "), F.lit("")))
@@ -351,7 +351,7 @@ MEDICAL_AGAINST = ["test", "example", "sample", "dummy", "order", "invoice", "tr
 
 def medical_id(lines: DataFrame) -> DataFrame:
     low, t = F.col("lower"), F.col("text")
-    context = clamp(words_score(low, MEDICAL_WORDS, 10.0) + words_score(low, MEDICAL_AGAINST, -15.0), -60, 40)
+    context = clamp(words_score(MEDICAL_WORDS, 10.0) + words_score(MEDICAL_AGAINST, -15.0), -60, 40)
     near = has_word(low, MEDICAL_WORDS)
 
     def part(pattern: str, check: Column, kind: str, base: float, without: float) -> DataFrame:
@@ -383,10 +383,12 @@ SECRET_COMMON = ["password", "secret", "example", "test", "changeme", "default",
 def secrets(lines: DataFrame) -> DataFrame:
     line, t, low = F.col("line"), F.col("text"), F.col("lower")
     test = has_word(low, ["test", "example", "sample", "dummy", "mock", "fake"])
-    out = None
-    for pattern, kind, base in TOKENS:
-        part = _found(candidates(lines, pattern), "secrets", F.lit(kind), F.lit(base) - F.when(test, 30.0).otherwise(0.0))
-        out = part if out is None else out.unionByName(part)
+    kind, base = F, F
+    for pattern, name, score in TOKENS:
+        whole = t.rlike(f"^(?:{pattern})$")
+        kind, base = kind.when(whole, name), base.when(whole, score)
+    tokens = candidates(lines, "(?:" + "|".join(p for p, _, _ in TOKENS) + ")")
+    out = _found(tokens, "secrets", kind, base - F.when(test, 30.0).otherwise(0.0))
     quoted = rf"(?<=[\"'])[^\"']{{8,}}(?=[\"'])"
     named = line.rlike(rf"(?i)(?:{'|'.join(SECRET_NAMES)})[\"']?\s*[=:]\s*[\"'][^\"']{{8,}}[\"']")
     rows = candidates(lines, quoted, (line.contains('"') | line.contains("'")) & named)
@@ -430,12 +432,13 @@ CLOUD = [
 def cloud_resources(lines: DataFrame) -> DataFrame:
     size = F.char_length("text")
     test = has_word(F.col("lower"), ["test", "example", "sample", "dummy", "mock", "fake", "placeholder"])
-    out = None
-    for pattern, kind, base, account in CLOUD:
-        score = F.lit(base + 10.0 * account) - F.when(size < 20, 10.0).otherwise(0.0) - F.when(size > 500, 15.0).otherwise(0.0) - F.when(test, 20.0).otherwise(0.0)
-        part = _found(candidates(lines, pattern), "cloud_resources", F.lit(kind), clamp(score, 0, 100), least=45.0)
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind, base = F, F
+    for pattern, name, score, account in CLOUD:
+        whole = F.col("text").rlike(f"^(?:{pattern})$")
+        kind, base = kind.when(whole, name), base.when(whole, score + 10.0 * account)
+    rows = candidates(lines, "(?:" + "|".join(p for p, _, _, _ in CLOUD) + ")")
+    score = base - F.when(size < 20, 10.0).otherwise(0.0) - F.when(size > 500, 15.0).otherwise(0.0) - F.when(test, 20.0).otherwise(0.0)
+    return _found(rows, "cloud_resources", kind, clamp(score, 0, 100), least=45.0)
 
 
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {

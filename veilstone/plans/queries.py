@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstone.functions.text import band, lines
-from veilstone.operators import context, detectors, explain, redact, report, suppress
+from veilstone.operators import context, explain, redact, report, suppress
 from veilstone.operators import detectors as d
 from veilstone.operators.overlap import outermost
-from veilstone.plans.scan import detect, scan, scan_and_redact
+from veilstone.plans.scan import DETECTORS, detect, scan, scan_and_redact
 
 AS_OF = "2024-06-01 00:00:00"
 
@@ -48,19 +48,24 @@ def _result(findings: DataFrame) -> DataFrame:
 
 
 def _detector(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _result(detectors.DETECTORS[name](lines(_docs(spark, sf_dir))))
+    return lambda spark, sf_dir: _result(DETECTORS[name](lines(_docs(spark, sf_dir))))
 
 
 def _on_people(name: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _result(detectors.DETECTORS[name](lines(_people(spark, sf_dir, text))))
+    return lambda spark, sf_dir: _result(DETECTORS[name](lines(_people(spark, sf_dir, text))))
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: every detector, with the documents' context."""
-    found = scan(_docs(spark, sf_dir))
+    """The flagship: the detectors of values with shapes or check digits, with the documents' context."""
+    found = scan(_docs(spark, sf_dir), ["CREDIT_CARD", "EMAIL", "SSN", "IP_ADDRESS", "VIN", "BANK_ACCOUNT", "MEDICAL_ID", "SECRETS", "CLOUD_RESOURCES"])
     return _result(found).withColumn("band", band(F.col("confidence")))
 
 
+def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detector over every document."""
+    return _result(scan(_docs(spark, sf_dir)))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("line")).cast("long").alias("n_bytes"))
 
@@ -136,7 +141,10 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_documents": scan_documents,
+    "scan_all": scan_all,
     "document_lines": document_lines,
+    "detect_phone": _detector("PHONE"),
+    "detect_intellectual_property": _detector("INTELLECTUAL_PROPERTY"),
     "detect_credit_card": _detector("CREDIT_CARD"),
     "detect_email": _detector("EMAIL"),
     "detect_ip_address": _detector("IP_ADDRESS"),

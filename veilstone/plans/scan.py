@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.functions.text import lines
 from veilstone.operators.context import adjusted, document_context
-from veilstone.operators.detectors import DETECTORS
+from veilstone.operators.detectors import DETECTORS as CHECKED
+from veilstone.operators.labelled import LABELLED
 from veilstone.operators.redact import redact
 
+DETECTORS = CHECKED | LABELLED
+#: A line that any detector can use holds a digit or one of these; all other lines are left out at once.
+ANY = r"[0-9@=:™®©\"']|(?i:copyright|trademark|confidential|secret|proprietary|internal|restricted|classified|\(c\)|\(tm\)|\(r\)|route|box)|[A-ZÀ-Þ][a-zß-ÿ]+\s+(?:[A-Z]\.\s+)?[A-ZÀ-Þ][a-zß-ÿ]+|[A-Za-z2-7]{16}|[A-Z]{6}"
+
 
 def checks_of(checks: list[str] | None) -> list[str]:
     """The detectors to run: all for none or "all"; an unknown name is an error."""
@@ -21,10 +27,17 @@ def checks_of(checks: list[str] | None) -> list[str]:
     return [c for c in DETECTORS if c in wanted]
 
 
-def detect(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What the detectors find line by line, before the documents' context."""
-    rows, out = lines(docs, id_col, text_col), None
-    for name in checks_of(checks):
+def detect(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", reuse: bool = True) -> DataFrame:
+    """What the detectors find line by line, before the documents' context.
+
+    Texts are read and cut into lines once: the lines that any detector can use are kept (in memory or
+    on disk) for all of them.  reuse=False keeps nothing, as a stream needs it.
+    """
+    rows, out = lines(docs, id_col, text_col).where(F.col("line").rlike(ANY)), None
+    names = checks_of(checks)
+    if reuse and len(names) > 1:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    for name in names:
         part = DETECTORS[name](rows)
         out = part if out is None else out.unionByName(part)
     return out
