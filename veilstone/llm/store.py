@@ -21,8 +21,12 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session's cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
+    if found and "://" in found:
         return found.rstrip("/")
+    if found:  # no scheme: a path of the cluster's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return full.replace("file:/", "file:///", 1).rstrip("/") if full.startswith("file:/") and "://" not in full else full.rstrip("/")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="veilstone-")
         atexit.register(shutil.rmtree, _own["dir"], True)
