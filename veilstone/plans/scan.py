@@ -14,7 +14,7 @@ from veilstone.operators.redact import redact
 
 DETECTORS = CHECKED | LABELLED
 #: A line that any detector can use holds a digit or one of these; all other lines are left out at once.
-ANY = r"[0-9@=:™®©\"']|(?i:copyright|trademark|confidential|secret|proprietary|internal|restricted|classified|\(c\)|\(tm\)|\(r\)|route|box)|[A-ZÀ-Þ][a-zß-ÿ]+\s+(?:[A-Z]\.\s+)?[A-ZÀ-Þ][a-zß-ÿ]+|[A-Za-z2-7]{16}|[A-Z]{6}"
+ANY = r"[0-9@=:/™®©\"']|eyJ|(?i:copyright|trademark|confidential|secret|proprietary|internal|restricted|classified|\(c\)|\(tm\)|\(r\)|route|box)|[A-ZÀ-Þ][a-zß-ÿ]+\s+(?:[A-Z]\.\s+)?[A-ZÀ-Þ][a-zß-ÿ]+|[A-Za-z2-7]{16}|[A-Z]{6}"
 
 
 def checks_of(checks: list[str] | None) -> list[str]:
