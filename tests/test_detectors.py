@@ -4,6 +4,7 @@ import pytest
 
 from veilstone.functions.text import lines
 from veilstone.operators import redact, suppress
+from veilstone.operators.metadata import metadata
 from veilstone.operators.overlap import outermost
 from veilstone.plans.scan import DETECTORS, checks_of, detect, scan, scan_and_redact
 
@@ -117,3 +118,17 @@ def test_no_documents(spark):
 def test_one_long_line(spark):
     text = " ".join(f"u{i}@host{i}.com" for i in range(300))
     assert len(run(spark, "EMAIL", text)) == 300
+
+
+def test_key_blocks_are_redacted_whole(spark):
+    begin, end = "-----" + "BEGIN RSA PRIVATE KEY-----", "-----" + "END RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"é key {begin}\nMIIabc\nDEF=\n{end} tail\nlast"), (2, f"{begin}\nno end")], SCHEMA)
+    out = {r.doc_id: r.redacted for r in scan_and_redact(docs, ["SECRETS"]).collect()}
+    assert out[1] == "é key [SSH_PRIVATE_KEY-REDACTED]\n[SSH_PRIVATE_KEY-REDACTED]\n[SSH_PRIVATE_KEY-REDACTED]\n[SSH_PRIVATE_KEY-REDACTED] tail\nlast"
+    assert out[2] == f"{begin}\nno end"
+
+
+def test_metadata(spark):
+    units = spark.createDataFrame([(1, "Creator: Ann Lee\nTitle: x\nGPS Latitude: 51.5\nGPS Longitude: 0.1\nComments: mail ann@acme.org"), (2, None)], SCHEMA)
+    got = metadata(units).select("line_number", "type", "text", "start_col", "confidence").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "AUTHOR_INFO", "Ann Lee", 10, 70.0), (3, "GPS", "51.5", 15, 90.0), (5, "DOCUMENT_COMMENTS", "mail ann@acme.org", 11, 80.0)]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstone.functions import checksums
-from veilstone.functions.text import candidates, clamp, has_word, tabular_line, with_span, word_pattern, words_score
+from veilstone.functions.text import candidates, clamp, has_word, start, tabular_line, with_span, word_pattern, words_score
 
 FINDINGS = ["doc_id", "line_number", "start_col", "end_col", "validator", "type", "text", "confidence", "ceiling", "line"]
 #: What a value that passes a check digit keeps, whatever stands beside it.
@@ -452,3 +452,25 @@ DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "SECRETS": secrets,
     "CLOUD_RESOURCES": cloud_resources,
 }
+
+
+# ---- key and certificate blocks -----------------------------------------------------------------------------------
+# Kinds of blocks with their types.
+BLOCKS = {"(?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY": "SSH_PRIVATE_KEY", "CERTIFICATE": "CERTIFICATE", "PGP PRIVATE KEY BLOCK": "PGP_PRIVATE_KEY"}
+
+
+def key_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """FINDINGS of the lines of PEM and PGP blocks, one for each line, so that redaction removes all of them."""
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01\x02", "  ")
+    whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("line"))
+    pattern = "|".join(f"-----BEGIN {k}-----[\\s\\S]*?-----END {k}-----" for k in BLOCKS)
+    rows = candidates(whole, f"(?:{pattern})", F.col("line").contains("-----BEGIN "))
+    kind = F
+    for k, name in BLOCKS.items():
+        kind = kind.when(F.col("text").rlike(f"^-----BEGIN {k}-----"), name)
+    rows = rows.select("doc_id", F.substring(F.col("line"), F.lit(1), start()).alias("lead"), kind.alias("type"), "text")
+    rows = rows.select("doc_id", "type", F.regexp_count("lead", F.lit("\n")).alias("above"), F.substring_index("lead", "\n", -1).alias("left"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    left = F.when(F.col("pos") == 0, F.col("left")).otherwise("")
+    out = rows.where("text != ''").select("doc_id", "type", "text", (F.col("above") + F.col("pos") + 1).alias("line_number"), F.concat(left, "text").alias("line"), (F.octet_length(left) + 1).alias("start_col"))
+    more = {"end_col": F.col("start_col") + F.octet_length("text"), "validator": F.lit("secrets"), "confidence": F.lit(95.0), "ceiling": F.lit(None).cast("double")}
+    return out.withColumns(more).select(*FINDINGS)

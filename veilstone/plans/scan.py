@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilstone.functions.text import lines
 from veilstone.operators.context import adjusted, document_context
 from veilstone.operators.detectors import DETECTORS as CHECKED
+from veilstone.operators.detectors import key_blocks
 from veilstone.operators.labelled import LABELLED
 from veilstone.operators.redact import redact
 
@@ -40,7 +41,7 @@ def detect(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_
     for name in names:
         part = DETECTORS[name](rows)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.unionByName(key_blocks(docs, id_col, text_col)) if "SECRETS" in names else out
 
 
 def scan(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
