@@ -131,7 +131,9 @@ class TokenCache:
         digest = F.unhex(F.sha2(text, 256)).alias("digest")
         n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")
         keys = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("k"), n_bytes, digest), "token-keys")
-        misses = written(keys.groupBy("digest").agg(F.min("k").alias("k")).join(self.rows().hint("merge"), "digest", "left_anti"), "token-misses")
+        # written first: else the anti-join moves below the aggregation, and copies meet in one task
+        distinct = written(keys.groupBy("digest").agg(F.min("k").alias("k")), "token-digests")
+        misses = written(distinct.join(self.rows().hint("merge"), "digest", "left_anti"), "token-misses")
         texts = docs.select(digest, F.xxhash64(id_col).alias("k"), text.alias("text")).join(misses, ["digest", "k"], "left_semi").select("digest", "text")
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
