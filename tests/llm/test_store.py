@@ -3,14 +3,19 @@ from pyspark.sql import functions as F
 from veilstone.llm import store
 
 
+class Named:
+    """A session whose spark.checkpoint.dir is a given one; it can't be set while a session runs."""
+
+    def __init__(self, spark, value):
+        self._jvm, self._jsc, self.sparkContext = spark._jvm, spark._jsc, spark.sparkContext
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: value)})
+
+
 def test_shared_dir_is_a_uri(spark, tmp_path):
     assert store.shared_dir(spark).startswith("file:///")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert store.shared_dir(spark) == f"file://{tmp_path}"
-        assert store.fresh_path(spark, "x").startswith(f"file://{tmp_path}/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    for value in (str(tmp_path), f"file://{tmp_path}/"):
+        assert store.shared_dir(Named(spark, value)) == f"file://{tmp_path}"
+    assert store.fresh_path(Named(spark, str(tmp_path)), "x").startswith(f"file://{tmp_path}/x-")
 
 
 def test_free_name(spark):
