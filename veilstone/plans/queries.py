@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilstone.functions.text import band, lines
 from veilstone.operators import context, explain, redact, report, suppress
 from veilstone.operators import detectors as d
+from veilstone.operators.labelled import PHONE_AGAINST, PHONE_WORDS
 from veilstone.operators.overlap import outermost
 from veilstone.plans.scan import DETECTORS, detect, scan, scan_and_redact
 
@@ -387,6 +388,18 @@ def secret_ctes(source: str) -> str:
               - CASE WHEN {test} THEN 30 ELSE 0 END - CASE WHEN regexp_matches(text, '\\s') THEN 15 ELSE 0 END)::DOUBLE AS confidence FROM e)"""
 
 
+def phone_sql(source: str) -> str:
+    """North American numbers with their country code, the only shape that the documents hold."""
+    near = lambda words, a, b: " + ".join(f"CASE WHEN contains(line, {_q(w)}) THEN {a} WHEN contains(lower, {_q(w)}) THEN {b} ELSE 0.0 END" for w in words)
+    return f"""{_found(source, r"(?:^|[\s,;|\"'<>])(\+1[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(?:[-.\s]?(?:ext\.?|extension|x)[-.\s]?[0-9]{1,6})?)\b", 1, "true", ", regexp_replace(text, '[^0-9]', '', 'g') AS digits")},
+        p AS (SELECT *, 115.0 - CASE WHEN length(digits) > 15 THEN 15 ELSE 0 END - CASE WHEN regexp_matches(text, '555-?0|000-000|111-111|123-456') THEN 20 ELSE 0 END AS own,
+              greatest(-80, least(40, {near(PHONE_WORDS, 15.0, 8.0)} - CASE WHEN {_or("lower", PHONE_WORDS, "contains")} THEN 0 ELSE 20 END + {near(PHONE_AGAINST, -35.0, -18.0)}))
+              + CASE WHEN {_table("[A-Z][a-z]+\\s+[A-Z][a-z]+\\s+\\(?[0-9]{3}")} THEN 15.0 ELSE 0.0 END AS context FROM c),
+        q AS (SELECT *, greatest(0, least(100, own + context)) AS total FROM p),
+        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'PHONE' AS type, text, (CASE WHEN regexp_matches(digits, '55501[0-9]{{2}}$') THEN least(15, total) ELSE total END)::DOUBLE AS confidence FROM q)
+        {SELECT} WHERE confidence > 0"""
+
+
 CARDS = card_ctes(_people_sql(CARD_TEXT))
 _BAND = "CASE WHEN confidence >= 90 THEN 'HIGH' WHEN confidence >= 60 THEN 'MEDIUM' ELSE 'LOW' END"
 _NAME = "'customer/' || doc_id::VARCHAR"
@@ -403,6 +416,7 @@ ORACLE_SQL: dict[str, str] = {
     "detect_email": f"{email_ctes(DOCS)} {SELECT}",
     "detect_ip_address": ip_sql(DOCS),
     "detect_secrets": f"{secret_ctes(DOCS)} {SELECT} WHERE confidence >= 50",
+    "detect_phone": phone_sql(DOCS),
     "detect_credit_card_customers": f"{CARDS} {SELECT}",
     "detect_ssn_customers": ssn_sql(_people_sql(SSN_TEXT)),
     "detect_ip_address_customers": ip_sql(_people_sql(IP_TEXT)),
@@ -417,6 +431,10 @@ ORACLE_SQL: dict[str, str] = {
     "detect_cloud_customers": cloud_sql(_people_sql(ARN_TEXT)),
     "document_context": f"WITH {_kinds_sql()} SELECT doc_id, doc_kind, test_score, production_score, adjustment FROM adj",
     "email_context": f"{email_ctes(DOCS)}, {_kinds_sql()} SELECT doc_id, line_number, start_col, type, f.text, greatest(0, least(100, confidence + adjustment))::DOUBLE AS confidence FROM f JOIN adj USING (doc_id)",
+    "outermost_spans": f"""WITH {_BOTH}, every AS (SELECT *, start_col + strlen(text) AS end_col FROM (SELECT doc_id, line_number, start_col, text, type FROM bth
+                  UNION ALL SELECT * FROM ({secret_ctes(DOCS)} SELECT doc_id, line_number, start_col, text, type FROM f WHERE confidence >= 50)))
+        SELECT doc_id, line_number, type, text FROM every a WHERE NOT EXISTS (SELECT 1 FROM every b WHERE a.doc_id = b.doc_id AND a.line_number = b.line_number
+            AND b.start_col <= a.start_col AND a.end_col <= b.end_col AND b.end_col - b.start_col > a.end_col - a.start_col)""",
     "redact_simple_customers": f"""WITH s AS ({ssn_sql(_people_sql(SSN_TEXT))}), p AS ({_people_sql(SSN_TEXT)})
         SELECT p.doc_id, CASE WHEN s.doc_id IS NULL THEN p.text ELSE replace(p.text, s.text, '[SSN-REDACTED]') END AS redacted, (s.doc_id IS NOT NULL)::BIGINT AS n_redacted FROM p LEFT JOIN s USING (doc_id)""",
     "redact_format_customers": f"""WITH s AS ({ssn_sql(_people_sql(SSN_TEXT))}), p AS ({_people_sql(SSN_TEXT)})
