@@ -56,13 +56,14 @@ def test_quality_keeps_good_and_drops_bad(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows] + [(None, "the of and", None, 2.0), (7001, None, "y", 3.0), (7002, "", "y", 3.0)], "doc_id LONG, text STRING, kept STRING, key DOUBLE")
     lab = spark.createDataFrame([(i, q) for i, q, _ in labels if i % 3], "doc_id LONG, quality INT")
-    out = quality.keep_good(docs.withColumnRenamed("kept", "kept_by").withColumnRenamed("key", "row_key"), lab)
-    assert out.columns == ["doc_id", "text", "kept_by", "row_key"]
+    out = quality.keep_good(docs, lab)
+    assert out.columns == docs.columns
     ids = {r.doc_id for r in out.collect()}
     good = {i for i, q, _ in labels if q}
     assert len(ids & good) >= 0.97 * len(good) and not ids & ({i for i, q, _ in labels if not q})
-    scored = quality.resample(docs, lab, keep_text=False)
+    scored = quality.resample(docs, lab)
     assert scored.columns == ["doc_id", "log_weight", "key", "kept"] and scored.count() == docs.count()
+    assert {r.doc_id for r in scored.where("kept").collect()} == ids
 
 
 def test_quality_edges(spark):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -119,28 +120,58 @@ def weigh(docs: DataFrame, ratio: np.ndarray, name: str, id_col: str, text_col:
     return docs.mapInArrow(run, schema)
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = "gumbel", keep_text: bool = True, **bounds) -> DataFrame:
-    """``docs`` (with or without its text) with log_weight, key and kept, as a written table.
+@dataclass
+class Resampling:
+    """The fitted ratio, the noise's seed, and the smallest key that stays."""
+
+    ratio: np.ndarray
+    seed: str
+    least: float
+
+
+def scored(docs: DataFrame, found: Resampling, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with log_weight, key and kept."""
+    w = weigh(docs.drop("log_weight", "key", "kept"), found.ratio, "log_weight", id_col, text_col, keep_text)
+    return w.withColumn("key", F.col("log_weight") + gumbel(F.col(id_col), found.seed)).withColumn("kept", F.col("key") >= found.least)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = "gumbel", **bounds) -> tuple[Resampling, DataFrame]:
+    """(the resampling of ``docs`` towards the labelled good texts, the written keys of all rows).
 
     A text's weight times the share of good labels is the chance that it is target text, 1 at most; k
-    is the sum of these chances, rounded up.  kept: the key, log weight plus noise, is among the k
-    largest (ties of the k-th stay too).  Null and empty texts have no n-grams and log weight 0.
-    Without good labels everything stays.  Columns of ``docs`` named like the new ones are replaced.
+    is the sum of these chances, rounded up, and the k-th largest key the least that stays.  Without
+    good labels everything stays.
     """
-    docs = docs.drop("log_weight", "key", "kept")
-    target, share = sample_target(docs.select(id_col, text_col), labels, id_col=id_col, text_col=text_col, **bounds)
+    docs = docs.select(id_col, text_col)
+    target, share = sample_target(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     t = histogram(target, text_col)
     ratio = log_ratio(t, histogram(docs, text_col)) if t.sum() else np.zeros(BUCKETS)
     share = share if t.sum() else 1.0
-    scored = weigh(docs, ratio, "log_weight", id_col, text_col, keep_text).withColumn("key", F.col("log_weight") + gumbel(F.col(id_col), seed))
-    scored = written(scored, "quality-scored")
+    keys = written(scored(docs, Resampling(ratio, seed, 0.0), id_col, text_col, keep_text=False).drop("kept"), "quality-keys")
     chance = F.least(F.lit(1.0), F.lit(share) * F.exp(F.least("log_weight", F.lit(50.0))))
-    k = int(np.ceil(scored.agg(F.sum(chance)).first()[0] or 0))
-    rank = free_name(scored, "rank_no")[0]
-    kth = global_rank(scored.select("key"), [F.col("key").desc()], rank).where(F.col(rank) == k).select("key").collect()
-    return scored.withColumn("kept", F.col("key") >= (kth[0][0] if kth else float("-inf")))
+    k = int(np.ceil(keys.agg(F.sum(chance)).first()[0] or 0))
+    rank = free_name(keys, "rank_no")[0]
+    kth = global_rank(keys.select("key"), [F.col("key").desc()], rank).where(F.col(rank) == k).select("key").collect()
+    return Resampling(ratio, seed, kth[0][0] if kth else float("-inf")), keys
+
 
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, log_weight, key, kept) for each row of ``docs``.
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that resampling keeps, with their columns."""
-    return resample(docs, labels, **options).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept: the key, log weight plus noise, is among the k largest (ties of the k-th stay too).  Null and
+    empty texts have no n-grams and log weight 0; null and repeated ids are fine.
+    """
+    found, keys = fit(docs, labels, id_col, text_col, **options)
+    return keys.withColumn("kept", F.col("key") >= found.least)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that resampling keeps, with their columns.
+
+    Texts are scored once for the keys and once for the filter, so that they are neither shuffled nor
+    stored in between.
+    """
+    found, _ = fit(docs, labels, id_col, text_col, **options)
+    weight = free_name(docs, "log_weight_of_row")[0]
+    rows = weigh(docs, found.ratio, weight, id_col, text_col, keep_text=True)
+    return rows.where(F.col(weight) + gumbel(F.col(id_col), found.seed) >= found.least).select(*[F.col(f"`{c}`") for c in docs.columns])

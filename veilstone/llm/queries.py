@@ -68,7 +68,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.resample(docs, labels, keep_text=False).select("doc_id", "log_weight", "key", "kept")
+    return quality.resample(docs, labels).select("doc_id", "log_weight", "key", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
