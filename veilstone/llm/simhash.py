@@ -187,11 +187,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id, and one only."""
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, and one only.
+
+    Fingerprints are computed once for the groups and once for the final join, so that texts travel
+    once and aren't stored in between.
+    """
     fp, key, n = free_name(docs, "simhash_fp", "id_key", "row_no")
-    prints = written(with_fingerprint(docs, fp, text_col, keep_text=True), "simhash-rows")
-    _, groups = near_duplicates(prints, fp, id_col, radius)
+    prints = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "fp"), "simhash-prints")
+    _, groups = near_duplicates(prints, "fp", "id", radius)
     stay = groups.select(F.col("stay_fp").alias(fp), F.xxhash64("component_id").alias(key))
     first = Window.partitionBy(fp, key).orderBy(fp)
-    kept = prints.withColumn(key, F.xxhash64(id_col)).join(stay, [fp, key], "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
+    rows = with_fingerprint(docs, fp, text_col, keep_text=True).withColumn(key, F.xxhash64(id_col))
+    kept = rows.join(stay, [fp, key], "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
