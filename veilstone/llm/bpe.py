@@ -26,7 +26,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Two white-space characters side by side; texts without them may be cut before each space.
 SPACES = regex.compile(r"\s\s")
 #: Words whose tokens a worker remembers in each of two generations, and the longest such word.
-REMEMBERED, REMEMBERED_LENGTH = 150_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 80_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -110,7 +110,7 @@ class Bpe:
                 limit, a = a, self.parts[a][1]
             else:
                 limit, b = b + 1, self.parts[b][0]
-        if len(self._fits) > 300_000:
+        if len(self._fits) > 120_000:
             self._fits.clear()
         self._fits[key] = ok
         return ok
