@@ -218,7 +218,11 @@ def _best(ids: np.ndarray, starts: np.ndarray, own: np.ndarray, nodes: list[int]
     if len(at) > k + 1:
         keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
         at, scores = at[keep], scores[keep]
-    pairs = [(-s, int(i)) for s, n in zip(scores.tolist(), at.tolist(), strict=True) for i in ids[starts[n] : min(starts[n + 1], starts[n] + 2 * k + 2)] if i != query_id]
+    pairs = []
+    for s, n in zip(scores.tolist(), at.tolist(), strict=True):
+        same = ids[starts[n] : starts[n + 1]]  # in order, so that the query's own id, however often, is one piece
+        low, high = np.searchsorted(same, query_id, "left"), np.searchsorted(same, query_id, "right")
+        pairs += [(-s, i) for i in [*same[: min(low, k)].tolist(), *same[high : high + k].tolist()]]
     return [(-s, i) for s, i in sorted(pairs)[:k]]
 
 
