@@ -1,8 +1,9 @@
 """Where intermediate tables live, and the helpers that the operators share.
 
 Everything that has to outlast an executor is written as Parquet below the folder that the
-session names in ``spark.checkpoint.dir``.  Only when it names none (unit tests) a temporary
-folder of this process is used; it is deleted when the process ends.
+session names in ``spark.checkpoint.dir``.  Only a local session that names none (unit tests) gets
+a temporary folder of its process, which is deleted when the process ends; on a cluster that is an
+error, as executors wouldn't see each other's files.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 _own: dict[str, str] = {}
 
@@ -27,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         path = spark._jvm.org.apache.hadoop.fs.Path(found)
         full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return full.replace("file:/", "file:///", 1).rstrip("/") if full.startswith("file:/") and "://" not in full else full.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="veilstone-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -59,11 +65,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of an Arrow batch, as documents can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    """Bounds the rows of an Arrow batch, as documents can be long.
+
+    For frames that are returned before they run: Spark reads the setting when they do, so it stays
+    lowered in the session.  What an operator runs itself has ``batches`` instead.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, rows)
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside; then the session's setting is back."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL and ``F.col`` read it, whatever marks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of ``df`` (or those named) by their quoted names."""
+    return [F.col(quoted(c)) for c in (df.columns if names is None else names)]
+
+
+def with_fields(fields: list[StructField], **new: DataType) -> StructType:
+    """A schema of kept fields, nested ones included as they are, and new ones."""
+    return StructType([*fields, *(StructField(k, v) for k, v in new.items())])
 
 
 def global_rank(df: DataFrame, order: list[Column], rank: str, group: str | None = None, name: str = "ranked") -> DataFrame:
@@ -89,4 +127,4 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, group: str | None
     on = base[part] == pieces[part2]
     if group:
         on &= base[group].eqNullSafe(pieces[same])
-    return base.join(pieces, on).withColumn(rank, F.col(run) - F.col(first) + F.col(before) + 1).select(*[base[c] for c in df.columns], F.col(rank))
+    return base.join(pieces, on).withColumn(rank, F.col(run) - F.col(first) + F.col(before) + 1).select(*[base[quoted(c)] for c in df.columns], F.col(rank))
