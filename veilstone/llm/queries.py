@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from veilstone.llm import bpe, exact_dedup, hnsw, line_dedup, mixing, quality, simhash, token_counts, toxicity, warc
 
 
+#: Batches that the line runs take the documents in: the last ones meet a merged run and a new one.
+BATCHES = 5
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -18,14 +22,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     runs = line_dedup.LineRuns(spark, min_docs=10)
-    runs.add(docs)
+    for i in range(BATCHES):
+        runs.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == i), batch=f"part-{i}")
     return line_dedup.drop_lines(docs, runs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix(docs, size=F.col("size"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.planned(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,9 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = exact_dedup.DigestIndex(spark).add(docs)
+    index = exact_dedup.DigestIndex(spark)
+    found = index.add(docs)
+    index.drop()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
