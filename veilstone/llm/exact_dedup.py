@@ -12,9 +12,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilstone.llm.store import fresh_path, free_name, partitions, written
+from veilstone.llm.store import columns, free_name, fresh_path, partitions, written
 
-COLUMNS = "digest BINARY, keep_id {id}, keep_row BIGINT, batch STRING"
+COLUMNS = "digest BINARY, keep_id {id}, batch STRING"
 
 
 def digest(text: Column) -> Column:
@@ -33,53 +33,61 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path or fresh_path(spark, "digest-index"), buckets or partitions(spark)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         self.schema = COLUMNS.format(id=id_type)
-        spark.sql(f"CREATE TABLE {self.table} ({self.schema}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        place = self.path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {self.table} ({self.schema}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{place}'")
 
     def rows(self) -> DataFrame:
         """The index without its buckets, so that a join with it can be split where it is skewed."""
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_id: str | None = None) -> DataFrame:
         """Takes in a batch; returns a row for each of its rows.
 
         Result: ``id_col``, digest, keep_id, group_size, kept.  Of equal texts in a batch the row with
         the largest id stays (null is smaller than any id; of rows that repeat the id as well, one);
         if an earlier batch held the text, its row stays.  group_size counts the equal texts of the
-        batch.  An empty batch gives no rows.
+        batch.  Texts are hashed whole where they are read, however long.  A batch that comes again with
+        its ``batch_id`` (a run that failed after appending, say) gets the same decisions and appends
+        what is missing only.  An empty batch gives no rows.
         """
-        name = uuid.uuid4().hex
+        name = batch_id or uuid.uuid4().hex
         d = written(batch.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
         groups = written(
             d.groupBy("digest").agg(F.max("id").alias("keep_id"), F.coalesce(F.max_by("row", "id"), F.max("row")).alias("keep_row"), F.count(F.lit(1)).alias("group_size")),
             "digest-groups",
         )
         index = self.spark.table(self.table)
-        fresh = groups.join(index.hint("merge"), "digest", "left_anti").select("digest", "keep_id", "keep_row", F.lit(name).alias("batch"))
+        fresh = groups.join(index.hint("merge"), "digest", "left_anti").select("digest", "keep_id", F.lit(name).alias("batch"))
         fresh.repartition(self.buckets, "digest").write.insertInto(self.table)
-        stays = written(groups.select("digest", "group_size").join(self.rows(), "digest"), "digest-decisions")
-        return d.join(stays, "digest").select(
-            F.col("id").alias(id_col), "digest", "keep_id", "group_size", ((F.col("batch") == name) & (F.col("row") == F.col("keep_row"))).alias("kept")
-        )
+        held = self.rows().select("digest", F.col("keep_id").alias("held_id"), "batch")
+        own = F.col("batch") == name
+        stays = groups.join(held, "digest").select("digest", "group_size", F.when(own, F.col("keep_id")).otherwise(F.col("held_id")).alias("keep_id"), F.when(own, F.col("keep_row")).alias("keep_row"))
+        stays = written(stays, "digest-decisions")
+        return d.join(stays, "digest").select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
 
     def drop(self) -> None:
-        """Forgets the table's name in this session; the files stay."""
+        """Forgets the table's name in this session; the files stay, and so do results of ``add``."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch_id: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one for each text that the index lacked.
 
-    Which one stays is told in ``DigestIndex.add``.  The join deals rows by (digest, id), so that a
-    large group of copies doesn't meet in one task.
+    Which one stays is told in ``DigestIndex.add``.  Null texts are empty ones; of repeated rows one
+    stays; any other columns are kept, whatever their names and types.  The join deals rows by
+    (digest, id), so that a large group of copies doesn't meet in one task.  No rows in, no rows out.
     """
+    own = index is None
     index = index or DigestIndex(docs.sparkSession, id_type=docs.schema[id_col].dataType.simpleString())
     d, k, n = free_name(docs, "digest_key", "id_key", "copy_no")
-    stay = index.add(docs, id_col, text_col).where("kept").select(F.col("digest").alias(d), F.xxhash64(id_col).alias(k))
+    stay = index.add(docs, id_col, text_col, batch_id).where("kept").select(F.col("digest").alias(d), F.xxhash64(id_col).alias(k))
+    if own:
+        index.drop()
     w = Window.partitionBy(d, k).orderBy(d)
     return (
         docs.withColumns({d: digest(F.col(text_col)), k: F.xxhash64(id_col)})
         .join(stay, [d, k], "left_semi")
         .withColumn(n, F.row_number().over(w))
         .where(F.col(n) == 1)
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*columns(docs))
     )
