@@ -1,8 +1,9 @@
 """WARC archives compressed with a Zstandard dictionary.
 
 An archive (.warc.zst) begins with a skippable frame that holds a dictionary built from its own first
-records; each record follows as a frame of its own.  Of records with equal payloads the one with the
-smallest id is a response; the others are revisits that refer to it and hold no payload.
+SAMPLE bytes of records (rows come in the order of their payloads' hashes, so these are a sample); each
+record follows as a frame of its own.  Of records with equal payloads the one with the smallest id is
+a response; the others are revisits that refer to it and hold no payload.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -20,7 +22,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstone.llm.store import fresh_path, small_batches, written
+from veilstone.llm.store import batches as arrow_batches
+from veilstone.llm.store import fresh_path, quoted, written
 
 #: Fixed values of the format: the skippable frame for a dictionary, and the profile of revisits.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -29,28 +32,50 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("5f0c7d1e-52a4-4f6e-9c0b-6a2f1c8f3d77")
 SAMPLE, DICTIONARY, ARCHIVE = 2 << 20, 64 << 10, 128 << 20
 DATE = "2000-01-01T00:00:00Z"
+#: Sizes of the pieces that few or short records are cut into until a dictionary can be built from them.
+PIECES = (4096, 512, 64)
 
 
 def record_id(page: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page}|{digest}')}>"
 
 
-def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str = DATE) -> bytes:
-    """One WARC record; with refers_to (an id) a revisit, whose block ends with the HTTP headers."""
+def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str = DATE, own_id: str | None = None, names_response: bool = True) -> bytes:
+    """One WARC record; with refers_to (an id) a revisit, whose block ends with the HTTP headers.
+
+    own_id: the record's id, if its page's rows repeat; a revisit of such rows names their page, but no
+    record (names_response is False), as several have the payload.
+    """
     clean = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or f"urn:page:{page}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own_id or record_id(page, digest)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if page is not None:
         head.append(f"X-Page-Id: {page}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", *[f"WARC-Refers-To: {record_id(refers_to, digest)}"] * names_response, f"X-Refers-To-Page-Id: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary built from records; few or short ones are cut into smaller and smaller pieces.
+
+    None only if that fails for the smallest pieces too, as with records of less than about a hundred
+    bytes in all; an archive of one WARC record is longer.
+    """
+    size = min(DICTIONARY, max(256, sum(map(len, records)) // 10))
+    for n in (0, *PIECES):
+        parts = records if not n else [r[i : i + n] for r in records for i in range(0, len(r), n)]
+        try:
+            return zstandard.train_dictionary(size, parts)
+        except zstandard.ZstdError:
+            continue
+    return None
+
+
 class ArchiveWriter:
     """One archive.  The first SAMPLE bytes of records wait until the dictionary is built from them."""
 
@@ -64,12 +89,10 @@ class ArchiveWriter:
         self.stored += len(data)
 
     def _begin(self) -> None:
-        try:
-            built = zstandard.train_dictionary(min(DICTIONARY, max(1024, self.raw // 10)), self.waiting)
+        built = build_dictionary(self.waiting)
+        if built:
             inner = zstandard.ZstdCompressor(level=19).compress(built.as_bytes())
             self._put(struct.pack("<II", DICTIONARY_FRAME, len(inner)) + inner)
-        except zstandard.ZstdError:  # too few records to build one from: a plain archive
-            built = None
         self.compress = zstandard.ZstdCompressor(level=self.level, dict_data=built, write_checksum=True).compress
         for r in self.waiting:
             self._put(self.compress(r))
@@ -135,23 +158,41 @@ def payload(html: Column) -> Column:
     return F.coalesce(html, F.lit(""))
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+def _sweep(spark, folder: str, run: str, names: set[str]) -> None:
+    """Deletes what lost attempts of a run have left in its folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.listStatus(path(folder)) if files.exists(path(folder)) else []:
+        name = f.getPath().getName()
+        if name.startswith(run) and name not in names:
+            files.delete(f.getPath(), False)
+
+
+def write_archives(
+    pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str | None = None
+) -> DataFrame:
     """Writes a record for each row; returns the written table of archives (path, records, raw_bytes, bytes).
 
-    Null html is an empty payload, a null url a urn of the page.  Payloads of ``least`` bytes or more
-    are compared; rows that repeat the id and payload of a response are responses too, as are all
-    rows of a payload without any id.  Each task writes archives of its own under names that no other
-    attempt uses, and only those that the returned table names count, so a lost task leaves no trace
-    in the result.  The folder has to be one that executors share, by a URI that pyarrow.fs opens.
+    Null html is an empty payload, a null url a urn of the page; other columns aren't read.  Payloads of
+    ``least`` bytes or more are compared; rows that repeat the id and payload of a response are
+    responses too, as are all rows of a payload without any id.  Each record has an id of its own;
+    revisits of a response whose row repeats name its page only.  date: WARC-Date of all records, by
+    default the time of the call.  Each task writes archives of its own, of about 128 MB before
+    compression, one record in memory at a time; only those that the returned table names count, and
+    what lost attempts have left is deleted.  The folder has to be one that executors share, by a URI
+    that pyarrow.fs opens.  No rows, no archives.
     """
     spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
-    small_batches(spark, 64)
-    digest = F.unhex(F.sha1(payload(F.col(html_col)))).alias("digest")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload(F.col(html_col)).alias("payload"), digest)
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"))
-    first = written(first, "warc-first")
-    dealt = rows.join(first, "digest", "left").select("digest", "payload", "url", F.col("id").cast("string").alias("id"), F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).cast("string").alias("first"))
+    folder, run = folder or fresh_path(spark, "warc"), uuid.uuid4().hex[:12]
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    html, page = F.col(quoted(html_col)), F.col(quoted(id_col))
+    rows = pages.select(page.alias("id"), F.col(quoted(url_col)).alias("url"), payload(html).alias("payload"), F.unhex(F.sha1(payload(html))).alias("digest"))
+    each = rows.where("id IS NOT NULL").where(F.octet_length("payload") >= least).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = written(each.groupBy("digest").agg(F.min(F.struct("id", "n")).alias("first")).select("digest", "first.*").withColumnRenamed("id", "first"), "warc-first")
+    own = F.col("id").eqNullSafe(F.col("first"))
+    dealt = rows.join(first, "digest", "left").select(
+        "digest", "payload", "url", F.col("id").cast("string").alias("id"), F.when(~own, F.col("first")).cast("string").alias("first"), (own & (F.col("n") == 1)).alias("lone"), F.coalesce(F.col("n") == 1, F.lit(False)).alias("named")
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
@@ -164,12 +205,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             done.append((name, now.records, now.raw, now.stored))
 
         for b in batches:
-            for d, p, url, page, refers in zip(*(b.column(c).to_pylist() for c in ("digest", "payload", "url", "id", "first")), strict=True):
+            for d, p, url, page, refers, lone, named in zip(*(b.column(c).to_pylist() for c in ("digest", "payload", "url", "id", "first", "lone", "named")), strict=True):
                 if now is None:
                     where.create_dir(path, recursive=True)
-                    name = f"{uuid.uuid4().hex}.warc.zst"
-                    now = ArchiveWriter(where.open_output_stream(f"{path}/{name}"))
-                now.add(record(page, url, p.encode("utf-8", "surrogatepass"), base32_sha1(d), refers))
+                    name = f"{run}-{uuid.uuid4().hex}.warc.zst"
+                    # by its name the file would be compressed once more
+                    now = ArchiveWriter(where.open_output_stream(f"{path}/{name}", compression=None))
+                digest = base32_sha1(d)
+                own_id = None if lone and refers is None else record_id(f"{name}|{now.records}", digest)
+                now.add(record(page, url, p.encode("utf-8", "surrogatepass"), digest, refers, date, own_id, named))
                 if now.raw >= ARCHIVE:
                     end()
                     now = None
@@ -180,19 +224,23 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             [pa.array([f"{folder}/{x}" for x in names], pa.string()), *(pa.array(x, pa.int64()) for x in (n, raw, stored))], ["path", "records", "raw_bytes", "bytes"]
         )
 
-    return written(dealt.mapInArrow(write, "path STRING, records LONG, raw_bytes LONG, bytes LONG"), "warc-archives")
+    with arrow_batches(spark, 64):
+        archives = written(dealt.mapInArrow(write, "path STRING, records LONG, raw_bytes LONG, bytes LONG"), "warc-archives")
+    _sweep(spark, folder, run, {r.path.rsplit("/", 1)[1] for r in archives.select("path").collect()})
+    return archives
 
 
 def read_archives(archives: DataFrame, id_type: str = "BIGINT") -> DataFrame:
     """(page_id, url, record_id, payload_bytes, payload_digest, record_type, refers_to) of each record.
 
-    Records stream one by one; a response whose payload doesn't have its digest is an error.
+    archives: a table with path; its other columns aren't read.  Records stream one by one, however
+    long; a response whose payload doesn't have its digest is an error.  No archives, no rows.
     """
     names = ["page_id", "url", "record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def rows(path: str) -> Iterator[tuple]:
         where, inner = fs.FileSystem.from_uri(path)
-        with where.open_input_stream(inner) as raw:
+        with where.open_input_stream(inner, compression=None) as raw:
             for head, block in read_archive(raw):
                 http, _, body = block.partition(b"\r\n\r\n")
                 size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
