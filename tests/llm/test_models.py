@@ -123,7 +123,7 @@ def test_nearest_recall_and_edges(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(None, x[3].tolist(), 1), (9000, None, 1), (9050, [1.0, None] * 8, 1), (9100, [float("nan")] * 16, 1), (9150, [1.0, 2.0], 1), (9200, [], 1), (9250, [float("inf")] + [0.0] * 15, 1)]
     table = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>, label INT")
     got = {}
-    for r in hnsw.nearest(table, shard_rows=400).collect():
+    for r in hnsw.nearest(table, rows_of_shard=400).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     ok = [i for i in range(1500) if i != 700]
     d = x.astype(np.float64)

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard.
 
 Rows are dealt to shards by a hash of their id.  A shard's graph is kept as flat arrays (vectors,
-neighbours of each layer, ids) in one row of a table; queries stream past each shard's graph, and
-the shards' results are merged by exact score.
+neighbours of each layer, ids) in one row of a table; blocks of queries stream past each shard's
+graph, and the shards' results are merged by exact score.  Shards grow with the square root of the
+table, within what a row of a table and a task can hold.
 """
 
 from __future__ import annotations
@@ -13,13 +14,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstone.llm.store import small_batches, written
+from veilstone.llm.store import batches as arrow_batches
+from veilstone.llm.store import quoted, written
 
-#: Rows of a shard on average; links of a node (twice as many on the lowest layer); breadth of searches.
+#: Rows of a shard on average, at least; links of a node (twice as many on the lowest layer); breadth of searches.
 SHARD_ROWS, LINKS, BUILD_BREADTH, SEARCH_BREADTH, SEED = 8192, 14, 64, 96, 7
+#: Most bytes of a shard's vectors in double precision; queries that travel in one row.
+SHARD_BYTES, BLOCK = 256 << 20, 256
+
+
+def shard_rows(rows: int, width: int) -> int:
+    """Rows of a shard for a table of so many: each query meets each shard, so shards grow as the table does."""
+    return max(1, min(max(SHARD_ROWS, 8 * math.isqrt(rows)), SHARD_BYTES // (8 * max(1, width))))
 
 
 class Hnsw:
@@ -226,54 +236,77 @@ def _best(ids: np.ndarray, starts: np.ndarray, own: np.ndarray, nodes: list[int]
     return [(-s, i) for s, i in sorted(pairs)[:k]]
 
 
-def search(index: DataFrame, queries: DataFrame, shards: int, k: int, breadth: int = SEARCH_BREADTH) -> DataFrame:
-    """(query_id, vector) against every shard -> (query_id, vec_id, score): up to k of each shard.
+def blocks(queries: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(query_id, vector) -> (width, ids, vectors): up to ``size`` queries of one width in a row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, vectors = b.column("query_id").to_numpy(), b.column("vector")
+            by_width: dict[int, list[int]] = {}
+            for i in range(b.num_rows):
+                by_width.setdefault(len(vectors[i].values), []).append(i)
+            for width, rows in by_width.items():
+                flat = np.concatenate([vectors[i].values.to_numpy() for i in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([ids[rows].tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], ["width", "asked", "asked_vectors"])
+
+    with arrow_batches(queries.sparkSession, size):
+        return written(queries.mapInArrow(pack, "width INT, asked BINARY, asked_vectors BINARY"), "hnsw-queries")
+
+
+def search(index: DataFrame, asked: DataFrame, shards: int, k: int, breadth: int = SEARCH_BREADTH) -> DataFrame:
+    """Blocks of queries against every shard -> (query_id, query_key, vec_id, score): up to k of each shard.
 
-    In each partition a shard's graph comes first and its queries stream past it, so that a task holds
-    one graph and one batch of queries.
+    In each partition a shard's graph comes first and the blocks stream past it, so that a task holds
+    one graph and a few blocks.  query_key tells apart the vectors of a repeated id.
     """
     graph = [c.split()[0] for c in INDEX.split(", ")[2:]]
-    none = {c: F.lit(None).cast("binary") for c in graph}
-    cells = index.select("shard", "width", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("vector"), *graph)
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.size("vector").alias("width"), "query_id", "vector", *[v.alias(c) for c, v in none.items()])
-    both = cells.unionByName(asked).repartitionByRange(shards, "shard").sortWithinPartitions(F.col("shard"), F.col("width"), F.col("query_id").asc_nulls_first())
+    none = [F.lit(None).cast("binary").alias(c) for c in graph]
+    cells = index.select("shard", "width", F.lit(None).cast("binary").alias("asked"), F.lit(None).cast("binary").alias("asked_vectors"), *graph)
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "width", "asked", "asked_vectors", *none)
+    both = cells.unionByName(sent).repartitionByRange(shards, "shard").sortWithinPartitions(F.col("shard"), F.col("width"), F.col("asked").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now = None, None
         for b in batches:
-            out: list[tuple[int, int, float]] = []
+            out: list[tuple[int, int, int, float]] = []
             for r in range(b.num_rows):
                 at = (b.column("shard")[r].as_py(), b.column("width")[r].as_py())
-                if (query_id := b.column("query_id")[r].as_py()) is None:
+                if (ids := b.column("asked")[r].as_py()) is None:
                     got = {c: b.column(c)[r].as_py() for c in graph}
                     g = Hnsw.open(got["vectors"], got["levels"], got["near"], got["shape"])
                     key, now = at, (g, np.frombuffer(got["ids"], dtype=np.int64), np.frombuffer(got["starts"], dtype=np.int64), np.frombuffer(got["originals"]).reshape(-1, at[1]))
                 elif at == key:
-                    g, ids, starts, own = now
-                    q = b.column("vector")[r].values.to_numpy()
-                    unit = q / np.abs(q).max()
-                    nodes = g.search((unit / np.sqrt((unit * unit).sum())).astype(np.float32), breadth)
-                    out += [(query_id, i, s) for s, i in _best(ids, starts, own, nodes, q, query_id, k)]
-            a, i, s = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    return both.mapInArrow(run, "query_id LONG, vec_id LONG, score DOUBLE")
-
-
-def nearest(table: DataFrame, k: int = 5, every: int = 50, shard_rows: int = SHARD_ROWS, breadth: int = SEARCH_BREADTH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                    g, own_ids, starts, own = now
+                    vectors = np.frombuffer(b.column("asked_vectors")[r].as_py()).reshape(-1, at[1])
+                    for query_id, q in zip(np.frombuffer(ids, dtype=np.int64).tolist(), vectors, strict=True):
+                        unit = q / np.abs(q).max()
+                        nodes = g.search((unit / np.sqrt((unit * unit).sum())).astype(np.float32), breadth)
+                        which = xxhash.xxh64_intdigest(q.tobytes()) >> 1
+                        out += [(query_id, which, i, s) for s, i in _best(own_ids, starts, own, nodes, q, query_id, k)]
+            parts = zip(*out, strict=True) if out else ((), (), (), ())
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, types, strict=True)], ["query_id", "query_key", "vec_id", "score"])
+
+    with arrow_batches(index.sparkSession, 16):
+        return written(both.mapInArrow(run, "query_id LONG, query_key LONG, vec_id LONG, score DOUBLE"), "hnsw-found")
+
+
+def nearest(table: DataFrame, k: int = 5, every: int = 50, rows_of_shard: int | None = None, breadth: int = SEARCH_BREADTH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
 
     Nearness is the cosine of the original vectors in double precision; ties go to the smaller id; a
     row's own id is no candidate.  Rows without an id, and null, zero or not finite vectors, take no
-    part; vectors meet vectors of their own width only.  Repeated rows are candidates each, and one
-    query.  Queries without candidates, and empty tables, give no rows.
+    part; vectors meet vectors of their own width only; other columns aren't read.  Repeated rows are
+    candidates each, and one query; an id with several vectors is a query for each, with ranks of its
+    own.  Queries without candidates, and empty tables, give no rows.
     """
     spark = table.sparkSession
-    small_batches(spark)
-    rows = table.where(usable(F.col(vector_col), F.col(id_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    shards = max(1, math.ceil(rows.count() / shard_rows))
+    vector, vec_id = F.col(quoted(vector_col)), F.col(quoted(id_col))
+    rows = table.where(usable(vector, vec_id)).select(vec_id.cast("long").alias("vec_id"), vector.cast("array<double>").alias("vector"))
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    shards = max(1, math.ceil(n / (rows_of_shard or shard_rows(n, width or 1))))
     index = written(build(rows, shards), "hnsw-index")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct()
-    found = search(index, queries, shards, k, breadth)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = search(index, blocks(queries), shards, k, breadth)
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
