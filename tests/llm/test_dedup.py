@@ -163,7 +163,8 @@ def test_near_links_in_large_tiles_are_whole():
                 x = found[x]
             return x
 
-        for a, b in simhash._forest(own, guests, 2):
+        tree = simhash._Tree(own, 2)
+        for a, b in [*tree.among(), *tree.with_guests(guests)]:
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 found[root(x)] = root(y)
         brute = {}
@@ -181,6 +182,22 @@ def test_near_links_in_large_tiles_are_whole():
         assert same(root) == same(top)
 
 
+@pytest.mark.parametrize("own", [4096, 8])
+def test_near_links_in_blocks(spark, own):
+    """Fingerprints of few tiles, with tiles in one block and in many."""
+    rng = np.random.default_rng(6)
+    fps = sorted({sum(1 << int(x) for x in rng.choice(16, 8, replace=False)) for _ in range(160)} | {int(x) for x in rng.integers(0, 2**40, 40)})
+    found = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp LONG"), own=own))
+    got = {x: x for x in fps} | {r.node: r.component for r in found.collect()}
+    want = {x: x for x in fps}
+    while True:
+        nxt = {x: min(want[y] for y in fps if (x ^ y).bit_count() <= 2) for x in fps}
+        if nxt == want:
+            break
+        want = nxt
+    assert got == want
+
+
 def test_near_against_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]

@@ -4,7 +4,7 @@ Distinct fingerprints fall into tiles by the population counts of their eight by
 fingerprints that differ in r bits have population counts that differ by r in sum at most, so a tile
 is compared, by exclusive-or and bit counts in numpy, with itself and the tiles within that radius
 only; all other pairs of tiles are skipped.  Each comparison is exact and none is left out, however
-large a tile is.
+large a tile is: large tiles are cut into blocks, which are tasks of their own.
 """
 
 from __future__ import annotations
@@ -17,14 +17,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veilstone.llm.components import components
-from veilstone.llm.store import free_name, partitions, small_batches, written
+
+from veilstone.llm.store import batches as arrow_batches
+from veilstone.llm.store import columns, free_name, partitions, quoted, small_batches, with_fields, written
 
 #: Words in a shingle, seed of its hash, and bits in which linked fingerprints may differ.
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Most elements of a block of comparisons, and shingles that are counted at once.
-BLOCK, AT_ONCE = 1 << 21, 1 << 15
+#: Most elements of a block of comparisons, and shingles that are counted at once; own fingerprints of a task's block.
+BLOCK, AT_ONCE, OWN = 1 << 21, 1 << 15, 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -53,14 +56,13 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", keep_te
     """``docs``, with or without its text, with the fingerprint as a signed LONG."""
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if keep_text or f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` LONG"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = np.array([fingerprint(t) for t in b.column(text_col).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(h)], [*(f.name for f in kept), name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, with_fields(kept, **{name: LongType()}))
 
 
 def steps(radius: int = RADIUS, lanes: int = 8) -> list[int]:
@@ -74,48 +76,67 @@ def steps(radius: int = RADIUS, lanes: int = 8) -> list[int]:
     return sorted(x for x in found if x >= 0)
 
 
-def _forest(own: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect just what the pairs within the radius connect.
-
-    The pairs are own with own and own with guests.  Small tiles give their pairs; a large one is
-    searched breadth first, comparing each fingerprint with those not reached yet, so that there are
-    fewer links than fingerprints.
+class _Tree:
+    """A block's own fingerprints, joined into trees as links are found."""
+
+    def __init__(self, own: np.ndarray, radius: int):
+        self.own, self.radius = own, radius
+        self.of = np.arange(len(own))
+
+    def among(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links among the block's own: breadth first, each compared with those not reached yet."""
+        if len(self.own) < 2:
+            return
+        left = np.ones(len(self.own), dtype=bool)
+        for root in range(len(self.own)):
+            if not left[root]:
+                continue
+            left[root] = False
+            queue = [root]
+            while queue:
+                i = queue.pop()
+                rest = np.flatnonzero(left)
+                hit = rest[np.bitwise_count(self.own[rest] ^ self.own[i]) <= self.radius]
+                if len(hit):
+                    left[hit] = False
+                    self.of[hit] = root
+                    queue.extend(hit.tolist())
+                    yield np.full(len(hit), self.own[i]), self.own[hit]
+
+    def with_guests(self, guests: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each guest a link to each tree that it is near to."""
+        step = max(1, BLOCK // max(1, len(self.own)))
+        for k in range(0, len(guests), step):
+            part = guests[k : k + step]
+            g, o = np.nonzero(np.bitwise_count(part[:, None] ^ self.own[None, :]) <= self.radius)
+            if len(g):
+                _, first = np.unique(np.stack([g, self.of[o]]), axis=1, return_index=True)
+                yield part[g[first]], self.own[o[first]]
+
+
+def links(prints: DataFrame, radius: int = RADIUS, own: int = OWN) -> DataFrame:
+    """(fp LONG), distinct -> the written table of (src, dst): links that connect all pairs within ``radius`` bits.
+
+    A tile of more than ``own`` fingerprints is cut into blocks of about so many by a hash.  A block is
+    compared with itself, with the earlier blocks' rows of its tile, and with the rows of near tiles,
+    which come as guests in any order; a task holds one block and one batch of guests.
     """
-    everyone = np.concatenate([own, guests])
-    if len(own) * len(everyone) <= 1 << 12:
-        a, b = np.nonzero(np.bitwise_count(own[:, None] ^ everyone[None, :]) <= radius)
-        keep = a < b
-        yield own[a[keep]], everyone[b[keep]]
-        return
-    left = np.ones(len(everyone), dtype=bool)
-    for root in range(len(own)):
-        if not left[root]:
-            continue
-        left[root] = False
-        queue = [root]
-        while queue:
-            i = queue.pop()
-            span = len(everyone) if i < len(own) else len(own)
-            rest = np.flatnonzero(left[:span])
-            hit = [rest[k : k + BLOCK][np.bitwise_count(everyone[rest[k : k + BLOCK]] ^ everyone[i]) <= radius] for k in range(0, len(rest), BLOCK)]
-            hit = np.concatenate(hit) if hit else rest
-            if len(hit):
-                left[hit] = False
-                queue.extend(hit.tolist())
-                yield np.full(len(hit), everyone[i]), everyone[hit]
-
-
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp LONG), distinct -> (src, dst): links that connect all pairs within ``radius`` bits."""
-    small_batches(prints.sparkSession, 1 << 14)
     tile = sum((F.bit_count(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))).cast("long") * F.lit(1 << (4 * i)) for i in range(8)), F.lit(0).cast("long"))
+    tiled = prints.select("fp", tile.alias("own"))
+    large = written(tiled.groupBy(F.col("own").alias("tile")).agg(F.ceil(F.count(F.lit(1)) / own).cast("int").alias("n_blocks")).where("n_blocks > 1"), "simhash-tiles")
     near = F.explode(F.array(*[F.lit(x).cast("long") for x in steps(radius)]))
-    dealt = prints.select("fp", tile.alias("own"), near.alias("step")).select("fp", (F.col("own") + F.col("step")).alias("tile"), (F.col("step") != 0).alias("guest"))
-    dealt = dealt.repartition(partitions(prints.sparkSession), "tile").sortWithinPartitions("tile", "guest")
+    dealt = tiled.select("fp", "own", near.alias("step")).select("fp", (F.col("own") + F.col("step")).alias("tile"), (F.col("step") != 0).alias("guest"))
+    dealt = dealt.join(large, "tile", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    home = F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int")
+    last = F.when(F.col("guest"), F.col("n_blocks") - 1).otherwise(home)
+    dealt = dealt.select("fp", "tile", "guest", home.alias("home"), F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    dealt = dealt.select("fp", "tile", "block", (F.col("guest") | (F.col("block") != F.col("home"))).alias("guest"))
+    dealt = dealt.repartition(partitions(prints.sparkSession), "tile", "block").sortWithinPartitions("tile", "block", "guest")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src: list[np.ndarray] = []
         dst: list[np.ndarray] = []
+        now, parts, tree = None, [], None
 
         def out() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) if x else pa.array([], pa.int64()) for x in (src, dst)], ["src", "dst"])
@@ -123,38 +144,44 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             dst.clear()
             return b
 
-        def settle(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            fp, guest = (np.concatenate(x) for x in zip(*parts, strict=True))
-            own = fp[~guest]
-            if not len(own) or len(fp) < 2:
-                return
-            for a, b in _forest(own, fp[guest], radius):
-                if len(a):
-                    src.append(a)
-                    dst.append(b)
+        def take(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for a, b in found:
+                src.append(a)
+                dst.append(b)
                 if len(src) > 4096:
                     yield out()
 
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        now = None
+        def settle() -> Iterator[pa.RecordBatch]:
+            """The own rows of the block are complete."""
+            nonlocal tree, parts
+            tree, parts = _Tree(np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64), radius), []
+            yield from take(tree.among())
+
         for b in batches:
-            t = b.column("tile").to_numpy()
+            keys = b.column("tile").to_numpy() * 4096 * 4096 + b.column("block").to_numpy()
             fp = b.column("fp").to_numpy().view(np.uint64)
             g = b.column("guest").to_numpy(zero_copy_only=False)
-            cuts = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (g[1:] != g[:-1])) + 1, [len(keys)]])
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if i == j:
                     continue
-                if waiting and t[i] != now:
-                    yield from settle(waiting)
-                    waiting = []
-                now = t[i]
-                waiting.append((fp[i:j], g[i:j]))
-        if waiting:
-            yield from settle(waiting)
+                if keys[i] != now:
+                    if tree is None:
+                        yield from settle()
+                    now, parts, tree = keys[i], [], None
+                if g[i]:
+                    if tree is None:
+                        yield from settle()
+                    if len(tree.own):
+                        yield from take(tree.with_guests(fp[i:j]))
+                else:
+                    parts.append(fp[i:j])
+        if tree is None:
+            yield from settle()
         yield out()
 
-    return dealt.mapInArrow(compare, "src LONG, dst LONG")
+    with arrow_batches(prints.sparkSession, 1 << 14):
+        return written(dealt.mapInArrow(compare, "src LONG, dst LONG"), "simhash-links")
 
 
 def near_duplicates(prints: DataFrame, fp: str, id_col: str = "doc_id", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -178,9 +205,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     component_id is the smallest id that links reach.  Null and empty texts have fingerprint 0 and are
     linked like any other; null ids are never the smallest, but rows with them have a component;
-    rows that repeat an id are all returned.  No rows in, no rows out.
+    rows that repeat an id are all returned; other columns aren't read.  Texts are read whole, counted
+    by the thousand shingles.  No rows in, no rows out.
     """
-    prints = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "fp"), "simhash-prints")
+    prints = written(with_fingerprint(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "fp"), "simhash-prints")
     classes, groups = near_duplicates(prints, "fp", "id", radius)
     of = written(classes.join(groups, "component").select("fp", "component_id"), "simhash-of")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -190,13 +218,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: of each component the one with the smallest id, and one only.
 
     Fingerprints are computed once for the groups and once for the final join, so that texts travel
-    once and aren't stored in between.
+    once and aren't stored in between.  Nulls, long texts and repeats are as in ``simhash_groups``; all
+    columns are kept, whatever their names and types.  No rows in, no rows out.
     """
     fp, key, n = free_name(docs, "simhash_fp", "id_key", "row_no")
-    prints = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "fp"), "simhash-prints")
+    prints = written(with_fingerprint(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "fp"), "simhash-prints")
     _, groups = near_duplicates(prints, "fp", "id", radius)
     stay = groups.select(F.col("stay_fp").alias(fp), F.xxhash64("component_id").alias(key))
     first = Window.partitionBy(fp, key).orderBy(fp)
     rows = with_fingerprint(docs, fp, text_col, keep_text=True).withColumn(key, F.xxhash64(id_col))
     kept = rows.join(stay, [fp, key], "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*columns(docs))
