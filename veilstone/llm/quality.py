@@ -2,7 +2,7 @@
 
 Two bag models of hashed n-grams are fitted: one of target text (texts labelled good) and one of the
 raw text (all documents).  The log of a text's importance weight is the sum, over its n-grams, of the
-log ratio of the two, for long texts scaled to that of FULL n-grams.  With Gumbel noise added, the k largest are a sample without replacement in
+log ratio of the two.  With Gumbel noise added, the k largest are a sample without replacement in
 proportion to the weights; k is the number of texts that the weights themselves call for.
 """
 
@@ -17,19 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from veilstone.llm.store import free_name, global_rank, small_batches, written
+from veilstone.llm.store import batches as arrow_batches
+from veilstone.llm.store import columns, free_name, global_rank, small_batches, with_fields, written
 
 #: Words and runs of other marks; two white-space-separated words alike are one n-gram of their own.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Hash buckets; how many counts the target model begins with, for each that it has, dealt as raw text is
-#: (n-grams that a small sample happens to lack then weigh little); n-grams from which on a text's length
-#: adds no more weight, as those of a long text aren't independent.
-BUCKETS, PRIOR, FULL = 1 << 11, 1.0, 128
+#: (n-grams that a small sample happens to lack then weigh little).
+BUCKETS, PRIOR = 1 << 16, 1.0
 #: Bound of the labelled sample: texts, and characters of a text.
 TEXTS, LENGTH = 6000, 30_000
-#: Tokens at once; words whose hashes a worker keeps.
-AT_ONCE, REMEMBERED = 1 << 18, 300_000
+#: Tokens at once; words whose hashes a worker keeps, and the longest such word.
+AT_ONCE, REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 300_000, 64
 
 
 class Grams:
@@ -45,10 +46,15 @@ class Grams:
             part = words[i : i + AT_ONCE + 1]
             if len(known) > REMEMBERED:
                 known.clear()
+            long = set()
             for w in part:
                 if w not in known:
                     known[w] = crc32(w.encode("utf-8", "surrogatepass"))
+                    if len(w) > REMEMBERED_LENGTH:
+                        long.add(w)
             h = np.fromiter(map(known.__getitem__, part), dtype=np.uint64, count=len(part))
+            for w in long:
+                del known[w]
             pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) ^ np.uint64(0x5BD1E995)
             pair ^= pair >> np.uint64(29)
             pair[h[:-1] == h[1:]] = np.uint64(1)
@@ -57,18 +63,28 @@ class Grams:
 
 def histogram(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each bucket occurs in all of ``docs``: a count for each bucket and task, summed by Spark."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = Grams(), np.zeros(BUCKETS, dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def settle() -> None:
+            counts[:] += np.bincount(np.concatenate(held).astype(np.int64), minlength=BUCKETS)
+            held.clear()
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 for x in grams.of(t):
-                    counts += np.bincount(x.astype(np.int64), minlength=BUCKETS)
+                    held.append(x)
+                    if sum(map(len, held[-64:])) > AT_ONCE or len(held) >= 4096:
+                        settle()
+        if held:
+            settle()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bucket", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "bucket INT, n LONG").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    with arrow_batches(docs.sparkSession):
+        rows = docs.select(*columns(docs, [text_col])).mapInArrow(run, "bucket INT, n LONG").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS)
     for r in rows:
         out[r.bucket] = r.n
@@ -104,7 +120,6 @@ def weigh(docs: DataFrame, ratio: np.ndarray, name: str, id_col: str, text_col:
     """``docs`` with the log weight of each whole text; null and empty texts have 0."""
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if keep_text or f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` DOUBLE"])
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +127,11 @@ def weigh(docs: DataFrame, ratio: np.ndarray, name: str, id_col: str, text_col:
         for b in batches:
             w = []
             for t in b.column(text_col).to_pylist():
-                parts = [(float(table[x].sum()), len(x)) for x in grams.of(t)]
-                n = sum(x for _, x in parts)
-                w.append(sum(x for x, _ in parts) * min(1.0, FULL / n) if n else 0.0)
+                parts = [float(table[x].sum()) for x in grams.of(t)]
+                w.append(sum(parts))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(w, pa.float64())], [*(f.name for f in kept), name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, with_fields(kept, **{name: DoubleType()}))
 
 
 @dataclass
@@ -142,12 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     is the sum of these chances, rounded up, and the k-th largest key the least that stays.  Without
     good labels everything stays.
     """
-    docs = docs.select(id_col, text_col)
+    docs = docs.select(*columns(docs, [id_col, text_col]))
     target, share = sample_target(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     t = histogram(target, text_col)
     ratio = log_ratio(t, histogram(docs, text_col)) if t.sum() else np.zeros(BUCKETS)
     share = share if t.sum() else 1.0
-    keys = written(scored(docs, Resampling(ratio, seed, 0.0), id_col, text_col, keep_text=False).drop("kept"), "quality-keys")
+    with arrow_batches(docs.sparkSession):
+        keys = written(scored(docs, Resampling(ratio, seed, 0.0), id_col, text_col, keep_text=False).drop("kept"), "quality-keys")
     chance = F.least(F.lit(1.0), F.lit(share) * F.exp(F.least("log_weight", F.lit(50.0))))
     k = int(np.ceil(keys.agg(F.sum(chance)).first()[0] or 0))
     rank = free_name(keys, "rank_no")[0]
@@ -159,7 +174,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, log_weight, key, kept) for each row of ``docs``.
 
     kept: the key, log weight plus noise, is among the k largest (ties of the k-th stay too).  Null and
-    empty texts have no n-grams and log weight 0; null and repeated ids are fine.
+    empty texts have no n-grams and log weight 0; null and repeated ids are fine (rows that repeat id
+    and text have one key); long texts are weighed whole, some tokens at a time; other columns aren't
+    read.  No rows in, no rows out.
     """
     found, keys = fit(docs, labels, id_col, text_col, **options)
     return keys.withColumn("kept", F.col("key") >= found.least)
@@ -169,9 +186,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that resampling keeps, with their columns.
 
     Texts are scored once for the keys and once for the filter, so that they are neither shuffled nor
-    stored in between.
+    stored in between.  Nulls, long texts and repeats are as in ``resample``; all columns are kept,
+    whatever their names and types.  No rows in, no rows out.
     """
     found, _ = fit(docs, labels, id_col, text_col, **options)
     weight = free_name(docs, "log_weight_of_row")[0]
     rows = weigh(docs, found.ratio, weight, id_col, text_col, keep_text=True)
-    return rows.where(F.col(weight) + gumbel(F.col(id_col), found.seed) >= found.least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.where(F.col(weight) + gumbel(F.col(id_col), found.seed) >= found.least).select(*columns(docs))
