@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import chain, filterfalse
 
@@ -16,18 +17,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm.store import fresh_path, small_batches, written
+from veilstone.llm.store import batches as arrow_batches
+from veilstone.llm.store import fresh_path, quoted, written
 
-#: Characters whose words go to the library at once; words that a worker remembers in each generation.
-AT_ONCE, REMEMBERED = 1 << 20, 400_000
+#: Characters whose words go to the library at once; words that a worker remembers in each generation, and the
+#: longest such word.
+AT_ONCE, REMEMBERED, REMEMBERED_LENGTH = 1 << 20, 400_000, 64
 
 
-def normalised(text: Column) -> Column:
-    """Runs of ASCII white space as one space, none at the ends; null as empty.
+def normalised(text: Column, by_word: bool = True) -> Column:
+    """Null as empty; for counting by word, runs of ASCII white space as one space, none at the ends.
 
-    This changes no count where the tokenizer drops white space, and special strings hold none.
+    That changes no count where the tokenizer drops white space, and special strings hold none.
     """
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    text = F.coalesce(text, F.lit(""))
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) if by_word else text
+
+
+def counts_by_word(path: str) -> bool:
+    """Whether a text has just the tokens of its words: white space ends words and is dropped.
+
+    True for a tokenizer file whose first pre-tokenizer drops all that its pattern of words doesn't
+    match, with a pattern of no white space, whose normaliser works within words, and whose special
+    strings hold no white space and take none; for any other, whole texts are encoded.
+    """
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    first = (steps(spec.get("pre_tokenizer"), "pretokenizers") or [{"type": ""}])[0]
+    words = first.get("pattern", {}).get("Regex", "") if first["type"] == "Split" and first.get("behavior") == "Removed" and first.get("invert") else ""
+    split = bool(words) and r"[^\s" in words and r"|\s" not in words and " " not in words
+    inside = all(n["type"] in {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"} or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ") for n in steps(spec.get("normalizer"), "normalizers"))
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in spec.get("added_tokens", []))
+    return bool((split or first["type"] in {"WhitespaceSplit", "Whitespace", "BertPreTokenizer"}) and inside and plain)
 
 
 @functools.lru_cache(maxsize=4)
@@ -43,12 +67,21 @@ def _tokenizer(path: str):
     return t
 
 
+@functools.lru_cache(maxsize=4)
+def _pieces(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def version(path: str) -> str:
     """Digest of the tokenizer: its file, the library's version and the normalisation here."""
+    import sentencepiece
     import tokenizers
 
+    library = sentencepiece.__version__ if path.endswith(".model") else tokenizers.__version__
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + f"|{tokenizers.__version__}|one space".encode()).hexdigest()
+        return hashlib.sha256(f.read() + f"|{library}|{'one space' if counts_by_word(path) else 'as it is'}".encode()).hexdigest()
 
 
 class WordCounts(dict):
@@ -76,11 +109,19 @@ def _words(path: str) -> WordCounts:
     return WordCounts(path)
 
 
+def count_whole(texts: list[str], path: str) -> list[int]:
+    """Tokens of each text, one text at a time, without begin, end or added special tokens."""
+    if path.endswith(".model"):
+        return [len(_pieces(path).encode(t)) for t in texts]
+    return [len(_tokenizer(path).encode(t, add_special_tokens=False)) for t in texts]
+
+
 def count_tokens(texts: list[str], path: str) -> list[int]:
-    """Tokens of each normalised text, without begin, end or added special tokens.
+    """Tokens of each normalised text, for a tokenizer that ``counts_by_word``.
 
-    The tokenizer drops white space, and neither its normaliser nor its pattern nor a special string
-    reaches across it; so a text has the tokens of its words, and a word is encoded once.
+    Neither its normaliser nor its pattern nor a special string reaches across white space; so a text
+    has the tokens of its words, and a word is encoded once.  Words of over REMEMBERED_LENGTH
+    characters are forgotten at once, so that texts without spaces don't fill a worker's memory.
     """
     known, out, waiting, size = _words(path), [], [], 0
 
@@ -90,6 +131,8 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
             known.clear()
         known.learn(list(filterfalse(known.__contains__, set(chain.from_iterable(waiting)))))
         out.extend(sum(map(known.__getitem__, words)) for words in waiting)
+        for w in {w for words in waiting for w in words if len(w) > REMEMBERED_LENGTH}:
+            known.pop(w, None)
         waiting.clear()
 
     for text in texts:
@@ -123,24 +166,25 @@ class TokenCache:
         """(id, n_bytes, n_tokens) for each row of ``docs``.
 
         Null and empty texts have 0 bytes and 0 tokens; null and repeated ids are kept as they are;
-        equal texts are encoded once.  No rows in, no rows out.
+        equal texts are encoded once; long ones are encoded whole; other columns aren't read.  No rows
+        in, no rows out.
         """
-        small_batches(self.spark)
-        path = self.tokenizer_path
-        text = normalised(F.col(text_col))
+        path, by_word = self.tokenizer_path, counts_by_word(self.tokenizer_path)
+        text = normalised(F.col(quoted(text_col)), by_word)
         digest = F.unhex(F.sha2(text, 256)).alias("digest")
-        n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")
-        keys = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("k"), n_bytes, digest), "token-keys")
+        n_bytes = F.coalesce(F.octet_length(F.col(quoted(text_col))), F.lit(0)).cast("long").alias("n_bytes")
+        keys = written(docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(id_col))).alias("k"), n_bytes, digest), "token-keys")
         # written first: else the anti-join moves below the aggregation, and copies meet in one task
         distinct = written(keys.groupBy("digest").agg(F.min("k").alias("k")), "token-digests")
         misses = written(distinct.join(self.rows().hint("merge"), "digest", "left_anti"), "token-misses")
-        texts = docs.select(digest, F.xxhash64(id_col).alias("k"), text.alias("text")).join(misses, ["digest", "k"], "left_semi").select("digest", "text")
+        texts = docs.select(digest, F.xxhash64(F.col(quoted(id_col))).alias("k"), text.alias("text")).join(misses, ["digest", "k"], "left_semi").select("digest", "text")
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n = count_tokens(b.column("text").to_pylist(), path)
+                n = (count_tokens if by_word else count_whole)(b.column("text").to_pylist(), path)
                 yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
         new = texts.mapInArrow(encode, "digest BINARY, n_tokens BIGINT")
-        new.dropDuplicates(["digest"]).write.mode("append").parquet(self.path)
+        with arrow_batches(self.spark):
+            new.dropDuplicates(["digest"]).write.mode("append").parquet(self.path)
         return keys.join(self.rows(), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
