@@ -12,26 +12,28 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from veilstone.llm.store import small_batches
+from veilstone.llm.store import columns, quoted, small_batches, with_fields, written
 
 WORD = re.compile(r"\w+")
 #: Hash buckets and size of the vectors; words in a window; lengths of the n-grams.
 BUCKETS, SIZE, WINDOW, GRAMS = 1 << 18, 8, 20, (3, 4)
 #: A window counts as so many features at least, so that a few words alone don't weigh more than in a sentence.
 LEAST = 150
-#: Bounds of the training sample: texts of each class, characters of a text, windows of each class.
+#: Bounds of the training sample: texts of each class, characters of a text, windows of each class (drawn at random).
 TEXTS, LENGTH, WINDOWS = 2400, 30_000, 20_000
 #: Where the squared gradients of a vector start, which keeps rare features near zero; share of texts for the line.
 START, ASIDE = 3e-3, 4
-#: Words that a worker remembers; the threshold of a prediction.
-REMEMBERED, THRESHOLD = 250_000, 0.3
+#: Words that a worker remembers, by a digest if they are longer than this; the threshold of a prediction.
+REMEMBERED, REMEMBERED_LENGTH, THRESHOLD = 250_000, 64, 0.3
 
 
 def features(word: str) -> list[int]:
@@ -93,8 +95,11 @@ class Bags:
         return flat, np.add.reduceat(sizes, np.cumsum(lengths) - lengths)
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 3, passes: int = 2, rate: float = 0.5, seed: int = 11) -> Model:
-    """A model from texts and labels; the same input gives the same model.  Without both classes it scores 0."""
+def fit(texts: list[str], toxic: list[int], rounds: int = 3, passes: int = 2, rate: float = 0.5, seed: int = 11, most: int = WINDOWS) -> Model:
+    """A model from texts and labels; the same input gives the same model.  Without both classes it scores 0 or 1.
+
+    most: windows of each class that it learns from, drawn at random of those of the sample.
+    """
     y_text = np.array(toxic, dtype=np.int64)
     if not len(y_text) or y_text.min() == y_text.max():
         return Model(np.zeros(BUCKETS, dtype=np.float32), -20.0 if not len(y_text) or not y_text.max() else 20.0)
@@ -106,8 +111,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, passes: int = 2, ra
     texts, y_text = [t for t, a in zip(texts, aside, strict=True) if not a], y_text[~aside]
     bags = Bags(texts)
     y = y_text[bags.text]
-    positive = rng.permutation(np.flatnonzero(y == 1))[:WINDOWS]
-    negative = rng.permutation(np.flatnonzero(y == 0))[:WINDOWS]
+    positive = rng.permutation(np.flatnonzero(y == 1))[:most]
+    negative = rng.permutation(np.flatnonzero(y == 0))[:most]
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     weights, bias = rng.normal(0, 0.5, (SIZE, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     g_vec, g_w, g_b = np.full(BUCKETS, START, dtype=np.float32), np.full((SIZE, 2), 1e-3, dtype=np.float32), np.full(2, 1e-3, dtype=np.float32)
@@ -187,12 +192,13 @@ class Scorer:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         known, logit = self.words, self.model.logit
-        for w in words:
-            if w not in known:
+        keys = [w if len(w) <= REMEMBERED_LENGTH else blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words]
+        for w, key in zip(words, keys, strict=True):
+            if key not in known:
                 f = features(w)
-                i = known[w] = len(known)
+                i = known[key] = len(known)
                 self.sums[i], self.sizes[i] = logit[f].sum(dtype=np.float64), len(f)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.fromiter(map(known.__getitem__, keys), dtype=np.int64, count=len(words))
 
     def worst(self, text: str | None) -> float:
         """The logit of the worst window; of no words that of an empty bag."""
@@ -211,17 +217,23 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Labelled texts for training: at most ``texts`` of each class, of ``length`` characters at most.
+    """Labelled texts for training: at most ``texts`` rows of each class, of ``length`` characters at most.
 
-    Those with the smallest hashes of their ids are taken; held-out rows, and rows without an id or a
-    label, never are.
+    Those with the smallest hashes of their ids are taken, and of rows that repeat an id those with the
+    smallest hashes of their texts.  Held-out rows, rows without an id or a label, and ids that are
+    labelled both 0 and 1, never are.
     """
-    usable = labels.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).select(F.col(id_col), F.col("toxic")).distinct()
-    order = F.xxhash64(F.lit("toxicity"), F.col(id_col))
-    parts = [usable.where(F.col("toxic") == c).orderBy(order, id_col).limit(texts) for c in (0, 1)]
-    ids = parts[0].unionByName(parts[1])
-    rows = docs.where(F.length(text_col) <= length).select(id_col, text_col).join(F.broadcast(ids), id_col)
-    got = sorted((tuple(r) for r in rows.select(id_col, text_col, "toxic").collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+    label, doc_id = F.col("toxic"), F.col(quoted(id_col))
+    usable = labels.where(~held_out(doc_id) & doc_id.isNotNull() & label.isin(0, 1))
+    usable = usable.groupBy(doc_id.alias("id")).agg(F.min(label).alias("toxic"), F.max(label).alias("most")).where("toxic = most").drop("most")
+    order = [F.xxhash64(F.lit("toxicity"), F.col("id")), F.col("id")]
+    parts = [usable.where(F.col("toxic") == c).orderBy(*order).limit(texts) for c in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 x texts rows
+    text = F.col(quoted(text_col))
+    rows = docs.where(F.length(text) <= length).select(doc_id.alias("id"), text.alias("text")).join(chosen, "id")
+    rows = written(rows, "toxicity-sample")
+    got = [tuple(r) for c in (0, 1) for r in rows.where(F.col("toxic") == c).orderBy(*order, F.xxhash64("text"), "text").limit(texts).collect()]
+    got.sort(key=lambda r: (str(r[0]), r[1], r[2]))
     return [r[1] for r in got], [r[2] for r in got]
 
 
@@ -232,7 +244,6 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
     """
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if (f.name in keep if keep is not None else f.name != text_col)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` DOUBLE"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +252,17 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
             s = [scorer.score(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(s, pa.float64())], [*(f.name for f in kept), name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, with_fields(kept, **{name: DoubleType()}))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, held_out, score, predicted) for each row, by a model of the labelled rows that aren't held out."""
+    """(id, held_out, score, predicted) for each row, by a model of the labelled rows that aren't held out.
+
+    Null and empty texts get the score of no evidence; a null id is not held out; every row is scored by
+    itself and whole, so repeated rows have equal scores; other columns aren't read.  Without labels of
+    both classes all rows get one score, 0 or 1 but for rounding.  No rows in, no rows out.
+    """
     model = fit(*sample(docs, labels, id_col=id_col, text_col=text_col))
-    scored = score(docs.select(id_col, text_col), model, text_col=text_col)
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = score(docs.select(*columns(docs, [id_col, text_col])), model, text_col=text_col)
+    doc_id = F.col(quoted(id_col))
+    return scored.select(doc_id, held_out(doc_id).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
