@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from veilstone.llm.store import small_batches
+from veilstone.llm.store import columns, small_batches, with_fields
 
 #: Fixed value: the pattern that splits text before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -225,11 +226,13 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
     """``docs`` with ids array<int> and, if asked for, decoded (the ids' text).
 
     Null and empty texts have no ids.  A row's text is encoded whole; Arrow batches are small, so that
-    long texts don't add up.  Columns of ``docs`` named like the new ones are replaced.
+    long texts don't add up.  Every row is encoded by itself, so repeated rows and ids are fine, and no
+    rows give none.  Columns of ``docs`` named like the new ones, in whatever case, are replaced; the
+    others are kept as they are.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids", "decoded")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids ARRAY<INT>", *["decoded STRING"] * decoded])
+    docs = docs.select(*columns(docs, [c for c in docs.columns if c.lower() not in ("ids", "decoded")]))
+    schema = with_fields(list(docs.schema), ids=ArrayType(IntegerType()), **({"decoded": StringType()} if decoded else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
