@@ -50,9 +50,11 @@ def vin(s: Column) -> Column:
     return F.substring(s, 9, 1) == F.when(rest == 10, F.lit("X")).otherwise(rest.cast("string"))
 
 
-def entropy(s: Column) -> Column:
-    """Shannon entropy of a string in bits for each character; 0 of an empty one."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+def entropy(s: Column, kind: str | None = None) -> Column:
+    """Shannon entropy of a string in bits for each character, over the characters that fit ``kind`` (by default all);
+    0 of an empty one.  A character's share is of the whole string."""
+    size = F.char_length(s).cast("double")
+    bare = s if kind is None else F.regexp_replace(s, kind.replace("[", "[^", 1), "")
+    chars = F.filter(F.split(bare, ""), lambda c: c != "")
+    sorted_runs = F.regexp_extract_all(F.array_join(F.sort_array(chars), ""), F.lit(r"((?s).)\1*"), F.lit(0))
+    return F.aggregate(sorted_runs, F.lit(0.0), lambda acc, r: acc - F.char_length(r) / size * F.log2(F.char_length(r) / size))

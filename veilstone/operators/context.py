@@ -1,75 +1,34 @@
-"""Document context: kind of document, phrases, and what they add to a finding's confidence."""
+"""Document context: kind of document, domain, phrases, and what they add to a finding's confidence."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilstone.functions.text import clamp
+from veilstone.functions.documents import KINDS, LEAST, PHRASES, SIGNALS, adjustment_sql, document_domain, document_kind, phrase_score
+from veilstone.functions.documents import KIND_SAMPLE as SAMPLE
+from veilstone.functions.text import clamp, quoted
 
-#: Patterns of a line by kind of document, in the order of their names; phrases by meaning.
-KINDS = {
-    "CSV": r"^[^,]*,[^,]*,.*$",
-    "Code": r"(?i)(function|class|import|include|def\s)",
-    "Configuration": r"^[a-zA-Z_][a-zA-Z0-9_]*\s*[=:]\s*.*$",
-    "Email": r"(?i)(from:|to:|subject:|date:)",
-    "FixedWidth": r"^.{20,}\s{3,}.{20,}\s{3,}.*$",
-    "JSON": r"^\s*[\{\[].*[\}\]]\s*$",
-    "Log": r"\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}",
-    "Report": r"(?i)(report|summary|total|subtotal|balance)",
-    "SQL": r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b",
-    "TSV": r"^[^\t]*\t[^\t]*\t.*$",
-    "XML": r"<\?xml|<[a-zA-Z][^>]*>",
-}
-PHRASES = {
-    "TestData": ["test data", "sample data", "example", "dummy data", "mock data", "test case", "test scenario", "placeholder"],
-    "Production": ["production", "live data", "real data", "actual", "operational", "customer data", "user data"],
-    "FinancialData": ["financial information", "bank details", "account information", "payment data", "credit information", "financial records"],
-    "MedicalData": ["medical information", "health records", "patient data", "medical history", "health information", "clinical data"],
-    "PersonalData": ["personal information", "personally identifiable", "pii", "private data", "confidential", "sensitive information"],
-}
-SAMPLE, LEAST = 2000, 0.3
-
-
-def kind_shares(text: Column) -> Column:
-    """Array of (share of lines, kind) over the first SAMPLE characters, in the order of the kinds' names."""
-    cut = F.split(F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE), "\n", -1)
-    n = F.size(cut).cast("double")
-
-    def share(pattern: str) -> Column:
-        return F.size(F.filter(cut, lambda x: x.rlike(pattern))) / n
-
-    return F.array(*[F.struct(share(p).alias("share"), F.lit(k).alias("kind")) for k, p in KINDS.items()])
-
-
-def document_kind(text: Column, name: Column | None = None) -> Column:
-    """The kind that most lines look like (0.3 of them at least; ties by name); file names decide first."""
-    best = F.aggregate(
-        kind_shares(text), F.struct(F.lit(0.0).alias("share"), F.lit("Unknown").alias("kind")), lambda a, x: F.when(x["share"] > a["share"], x).otherwise(a)
-    )
-    by_text = F.when(best["share"] >= LEAST, best["kind"]).otherwise("Unknown")
-    if name is None:
-        return by_text
-    low = F.lower(name)
-    return F.when(low.endswith(".csv"), "CSV").when(low.endswith(".json"), "JSON").when(low.endswith(".xml"), "XML").otherwise(by_text)
-
-
-def phrase_score(text: Column, meaning: str) -> Column:
-    """Share of the phrases of a meaning that the text has."""
-    low, words = F.lower(F.coalesce(text, F.lit(""))), PHRASES[meaning]
-    return sum((low.contains(w).cast("double") for w in words), F.lit(0.0)) / len(words)
+__all__ = ["KINDS", "LEAST", "PHRASES", "SAMPLE", "adjusted", "document_context", "document_facts"]
 
 
 def document_context(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
-    """(doc_id, doc_kind, test_score, production_score, adjustment): one row for each document.
-
-    Of the adjustments that a document calls for, a table's +20 and test data's -30 reach a finding.
-    """
-    t = F.col(text_col)
-    kind = document_kind(t, F.col(name_col) if name_col else None)
-    ctx = docs.select(F.col(id_col).alias("doc_id"), kind.alias("doc_kind"), phrase_score(t, "TestData").alias("test_score"), phrase_score(t, "Production").alias("production_score"))
-    table = F.when(F.col("doc_kind").isin("CSV", "TSV", "FixedWidth"), 20.0).otherwise(0.0)
-    return ctx.withColumn("adjustment", clamp(table - F.when(F.col("test_score") > 0.5, 30.0).otherwise(0.0), -50, 50))
+    """(doc_id, doc_kind, test_score, production_score, adjustment): one row for each document."""
+    scores = {"test_score": "TestData", "production_score": "Production"}
+    ctx = docs.select(F.col(quoted(id_col)).alias("doc_id"), document_kind(text_col, name_col).alias("doc_kind"), *[phrase_score(text_col, m).alias(k) for k, m in scores.items()])
+    return ctx.withColumn("adjustment", F.expr(adjustment_sql("doc_kind", "test_score")))
+
+
+def document_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, domain, a score for each meaning of phrases, a flag for each kind of record, sizes and shares of characters)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    share = lambda p: F.when(F.octet_length(text) > 0, count(p) / F.octet_length(text)).otherwise(0.0)
+    scores = [phrase_score(text_col, m).alias(f"{m[0].lower()}{m[1:]}") for m in PHRASES]
+    flags = [text.rlike(p).alias(f"{s[0].lower()}{s[1:]}") for s, p in SIGNALS.items()]
+    sizes = [F.octet_length(text).cast("long").alias("n_bytes"), (count("\n") + 1).alias("n_lines"), *(count(p).alias(f"n_{k}") for k, p in (("commas", ","), ("tabs", "\t"), ("pipes", r"\|"), ("semicolons", ";")))]
+    shares = [share("[0-9]").alias("digit_share"), share("[A-Za-z]").alias("letter_share"), share("[ \t]").alias("space_share")]
+    return docs.select(F.col(id_col).alias("doc_id"), document_domain(text_col).alias("domain"), *scores, *flags, *sizes, *shares)
 
 
 def adjusted(findings: DataFrame, context: DataFrame) -> DataFrame:

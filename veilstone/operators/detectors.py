@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstone.functions import checksums
-from veilstone.functions.text import candidates, clamp, has_word, start, tabular_line, with_span, word_pattern, words_score
+from veilstone.functions.documents import about
+from veilstone.functions.text import LABEL_GAP, any_of, candidates, clamp, count_words, field_label, has_word, let, let_sql, running_sql, spans, tabular_line, word_pattern, words_score
 
-FINDINGS = ["doc_id", "line_number", "start_col", "end_col", "validator", "type", "text", "confidence", "ceiling", "line"]
+FINDINGS = ["doc_id", "line_number", "start_col", "end_col", "validator", "type", "text", "confidence", "ceiling", "line", "before", "after", "start", "length"]
 #: What a value that passes a check digit keeps, whatever stands beside it.
 FLOOR = 15.0
 
@@ -23,10 +24,29 @@ NOT_WORD_BEFORE, NOT_WORD_AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
 
 def _found(rows: DataFrame, validator: str, kind: Column, confidence: Column, ceiling: Column | None = None, least: float = 0.0) -> DataFrame:
-    """Rows with a confidence above ``least`` (from it on, if it isn't 0) as FINDINGS."""
-    scored = rows.withColumns({"validator": F.lit(validator), "type": kind, "confidence": confidence.cast("double"), "ceiling": (F.lit(None) if ceiling is None else ceiling).cast("double")})
-    kept = scored.where(F.col("confidence") > 0 if not least else F.col("confidence") >= least)
-    return with_span(kept, FINDINGS)
+    """Candidates with a confidence above ``least`` (from it on, if it isn't 0) as FINDINGS.
+
+    start counts characters from the document's first; length is that of the text, or of what a finding covers instead.
+    """
+    if "length" not in rows.columns:
+        rows = rows.withColumn("length", F.char_length("text"))
+    # as a value of its own, so that the filter below doesn't double the code of a long expression
+    confidence = let(confidence.cast("double"), lambda c: c)
+    scored = rows.withColumns({"validator": F.lit(validator), "type": kind, "confidence": confidence, "ceiling": (F.lit(None) if ceiling is None else ceiling).cast("double"), "start": F.col("offset") + F.col("start")})
+    return scored.where(F.col("confidence") > 0 if not least else F.col("confidence") >= least).select(*FINDINGS)
+
+
+def _word(pattern: str) -> str:
+    return f"{NOT_WORD_BEFORE}(?:{pattern}){NOT_WORD_AFTER}"
+
+
+def _chars(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+#: Runs of digits that go up or down by one, 9 and 0 being neighbours.
+UP = "01234567890123456789012345678"
+DOWN = UP[::-1]
 
 
 # ---- payment cards ------------------------------------------------------------------------------------------------
@@ -57,7 +77,6 @@ CARD_TESTS = [
     "5100000000000008", "340000000000009",
 ]
 CARD_NAME_VALUE = r"[A-Z][a-z]+\s+[A-Z][a-z]+\s+\d{4}[\s-]?\d{4}"
-UP = "01234567890123456789012345678"
 
 
 def _plain(words: list[str]) -> str:
@@ -83,7 +102,9 @@ def card_brand(n: Column) -> Column:
 
 def credit_card(lines: DataFrame) -> DataFrame:
     pattern = f"(?<![^{CARD_BORDER}])(?:{'|'.join(CARD_SHAPES)})(?![^{CARD_BORDER}])"
-    rows = candidates(lines, pattern).withColumn("number", F.regexp_replace("text", r"[ \-]", ""))
+    low = F.col("lower")
+    asked = {k: low.rlike(_plain(w)) for k, w in (("card", CARD_WORDS), ("never", CARD_NEVER), ("label", CARD_LABELS))}
+    rows = candidates(lines, pattern, table=tabular_line(CARD_NAME_VALUE), **asked).withColumn("number", F.regexp_replace("text", r"[ \-]", ""))
     n = F.col("number")
     rows = rows.where(F.char_length(n).isin(13, 14, 15, 16, 19) & n.rlike(r"^\d+$") & checksums.luhn(n))
     issuer = F.substring(n, 1, 6).cast("int")
@@ -92,16 +113,13 @@ def credit_card(lines: DataFrame) -> DataFrame:
         known |= issuer.between(low, high)
     test = n.isin(CARD_TESTS) | n.rlike(r"^(\d)\1{13,15}$")
     repeats = n.rlike(r"(\d)\1{11}|^(\d)\2*$|^(\d)(?!\3)(\d)(?:\3\4)*\3?$") | F.lit(UP).contains(n)
-    kinds = F.size(F.array_distinct(F.filter(F.split(n, ""), lambda c: c != "")))
+    kinds = F.size(F.array_distinct(_chars(n)))
     first = F.when(test, 5.0).otherwise(F.when(known, 75.0).otherwise(40.0)) + F.when(repeats, -35.0).otherwise(10.0)
     own = clamp(first + F.when(kinds < 5, -20.0).when(kinds >= 7, 10.0).otherwise(0.0), 0, 100)
     weak = test | repeats
     own = F.when(weak, clamp(own, 5, 15)).otherwise(own)
-    low = F.col("lower")
-    card, never, label = (low.rlike(_plain(w)) for w in (CARD_WORDS, CARD_NEVER, CARD_LABELS))
-    context = F.when(never | (~card & label), -100.0).when(card, 15.0).otherwise(0.0)
-    table = F.when(tabular_line(F.col("line"), CARD_NAME_VALUE), 10.0).otherwise(0.0)
-    total = clamp(own + context + table, 0, 100)
+    context = F.when(F.col("never") | (~F.col("card") & F.col("label")), -100.0).when(F.col("card"), 15.0).otherwise(0.0)
+    total = clamp(own + context + F.when(F.col("table"), 10.0).otherwise(0.0), 0, 100)
     total = F.when(weak, clamp(total, 1, 15)).otherwise(total)
     return _found(rows, "creditcard", card_brand(n), F.when(total <= 0, FLOOR).otherwise(total))
 
@@ -145,48 +163,56 @@ EMAIL_COMPANY_PARTS = [
 ]
 EMAIL_COMPANY_ENDS = [".biz", ".co", ".inc", ".corp", ".company"]
 EMAIL_NAME_VALUE = r"[A-Z][a-z]+\s+[A-Z][a-z]+\s+[A-Za-z0-9._%+-]+@"
+EMAIL_DISPOSABLE = [
+    "10minutemail.com", "guerrillamail.com", "mailinator.com", "tempmail.org", "temp-mail.org", "throwaway.email", "maildrop.cc", "sharklasers.com",
+    "guerrillamailblock.com", "pokemail.net", "spam4.me", "tempail.com", "20minutemail.it", "emailondeck.com", "fakeinbox.com", "getnada.com",
+    "harakirimail.com", "incognitomail.org", "jetable.org", "mailcatch.com", "mailnesia.com", "mytrashmail.com", "no-spam.ws", "nowmymail.com",
+    "objectmail.com", "oneoffmail.com", "pookmail.com", "quickinbox.com", "rcpt.at", "rtrtr.com", "sendspamhere.com", "tempemail.com", "tempinbox.com",
+    "tempmailo.com", "tempmailaddress.com", "trashmail.at", "trashmail.com", "trashmail.de", "trashmail.me", "trashmail.net", "wegwerfmail.de",
+    "wegwerfmail.net", "wegwerfmail.org", "yopmail.com",
+]
+EMAIL_TEST_ENDS = [".local", ".localhost", ".test", ".invalid", ".example"]
+EMAIL_SAMPLES = ["firstname.lastname@", "first.last@", "f.lastname@", "flastname@", "lastname.firstname@", "last.first@", "l.firstname@", "lfirstname@"]
+#: Mailboxes of machines (a number or sign may follow), and what their confidence stops at.
+EMAIL_MACHINES = (
+    r"^(?:(?:noreply|no-reply|no_reply|donotreply|do-not-reply|mailer-daemon|postmaster|bounce|bounces|alerts|alert|notifications|notification|notify|automated|auto-confirm|auto-reply|autoreply|"
+    r"service-account|system|daemon|cron|robot|bot)(?:$|[-+_0-9])|svc-)"
+)
+EMAIL_MACHINE_CAP = 85.0
 #: Top-level domains: any of two letters, and these; more can be given as a parameter.
 TOP_LEVELS = ["com", "org", "net", "edu", "gov", "mil", "int", "arpa", "info", "biz", "name", "mobi", "app", "dev", "cloud", "online", "tech", "shop", "site", "email", "news", "blog", "bank", "health"]
 
 
-def any_of(column: Column, parts: list[str], how: str) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out |= getattr(column, how)(p)
-    return out
-
-
 def email_provider(domain: Column) -> Column:
     kind = F
     for name, domains in EMAIL_PROVIDERS.items():
         kind = kind.when(domain.isin(domains), name)
     company = any_of(domain, EMAIL_COMPANY_PARTS, "contains") | any_of(domain, EMAIL_COMPANY_ENDS, "endswith") | (F.char_length(F.substring_index(domain, ".", 1)) > 3)
-    return kind.when(any_of(domain, EMAIL_SCHOOLS, "endswith"), "EDUCATIONAL").when(any_of(domain, EMAIL_STATE, "endswith"), "GOVERNMENT").when(company, "BUSINESS").otherwise("EMAIL")
+    return kind.when(any_of(domain, EMAIL_SCHOOLS, "endswith"), "EDUCATIONAL").when(any_of(domain, EMAIL_STATE, "endswith"), "GOVERNMENT").when(domain.isin(EMAIL_DISPOSABLE), "DISPOSABLE").when(company, "BUSINESS").otherwise("EMAIL")
 
 
 def email(lines: DataFrame, top_levels: list[str] | None = None) -> DataFrame:
-    rows = candidates(lines, NOT_WORD_BEFORE + EMAIL + NOT_WORD_AFTER, F.col("line").contains("@"))
-    t, low = F.lower("text"), F.col("lower")
+    context = clamp(words_score(EMAIL_WORDS, 8.0) + words_score(EMAIL_AGAINST, -20.0), -60, 30)
+    rows = candidates(lines, NOT_WORD_BEFORE + EMAIL + NOT_WORD_AFTER, F.col("line").contains("@"), context=context, table=tabular_line(EMAIL_NAME_VALUE))
+    t = F.lower("text")
     user, domain = F.substring_index(t, "@", 1), F.substring_index(t, "@", -1)
     top = F.substring_index(domain, ".", -1)
-    odd = t.rlike(r"^[.]|[.]@|\.\.")
+    size = F.char_length(t)
     own = (
         F.lit(100.0)
-        - F.when(odd, 30.0).otherwise(0.0)
+        - F.when((size > 254) | (F.char_length(user) > 64) | (F.char_length(domain) > 253), 30.0).otherwise(0.0)
         - F.when(domain.rlike(r"^[.-]"), 100.0).otherwise(0.0)
-        - F.when(domain.isin(EMAIL_TEST_DOMAINS), 25.0).otherwise(0.0)
+        - F.when(domain.isin(EMAIL_TEST_DOMAINS) | any_of(domain, EMAIL_TEST_ENDS, "endswith"), 25.0).otherwise(0.0)
         - F.when((F.char_length(top) == 2) | top.isin(top_levels or TOP_LEVELS), 0.0).otherwise(10.0)
         - F.when(user.isin(EMAIL_TEST_USERS), 20.0).otherwise(0.0)
-        + F.when(user.contains(".") & ~user.startswith(".") & ~user.endswith("."), 5.0).otherwise(0.0)
-        - F.when((F.char_length(t) > 254) | (F.char_length(t) < 6), 10.0).otherwise(0.0)
+        + F.when(any_of(t, EMAIL_SAMPLES, "contains"), 5.0).otherwise(0.0)
+        - F.when((size > 254) | (size < 6), 10.0).otherwise(0.0)
         - F.when(t.contains(".."), 10.0).otherwise(0.0)
         - F.when(any_of(t, EMAIL_TEST_PARTS, "contains"), 15.0).otherwise(0.0)
     )
-    rows = rows.withColumn("after", F.substring_index(F.element_at("pieces", F.col("piece_no") + 1), "\x02", -1))
     url = F.col("after").rlike(r"^(?:@|[:/\\][^ \t\r])")
-    context = F.when(url, -100.0).otherwise(clamp(words_score(EMAIL_WORDS, 8.0) + words_score(EMAIL_AGAINST, -20.0), -60, 30))
-    context = context + F.when(tabular_line(F.col("line"), EMAIL_NAME_VALUE), 15.0).otherwise(0.0)
-    return _found(rows, "email", email_provider(domain), clamp(F.greatest(own, F.lit(0.0)) + context, 0, 100))
+    total = F.greatest(own, F.lit(0.0)) + F.when(url, -100.0).otherwise(F.col("context")) + F.when(F.col("table"), 15.0).otherwise(0.0)
+    return _found(rows, "email", email_provider(domain), clamp(F.when(user.rlike(EMAIL_MACHINES), F.least(total, F.lit(EMAIL_MACHINE_CAP))).otherwise(total), 0, 100))
 
 
 # ---- social security numbers --------------------------------------------------------------------------------------
@@ -201,8 +227,11 @@ SSN_AGAINST = [
     "sample", "dummy", "fake", "mock", "demo", "template", "placeholder", "serial", "model", "version", "build", "encoded", "numeric", "code", "hash",
     "uuid", "guid", "part number", "part no", "requisition", "lot", "batch", "work order", "invoice", "rma", "asset tag", "asset", "case", "ticket",
     "sku", "purchase order", "docket", "tracking", "shipment", "order number", "po", "permit", "reservation", "bin", "accession", "specimen",
-    "contract", "txn", "transaction", "policy number", "policy no", "grant number", "grant no",
+    "contract", "txn", "transaction", "policy number", "policy no", "grant number", "grant no", "000-00-0000", "123-45-6789",
+    *(f"{d * 3}-{d * 2}-{d * 4}" for d in "123456789"),
 ]
+SSN_MARKS = ["test", "example", "sample", "demo", "placeholder", "mock", "fake", "lorem ipsum", "john doe", "jane smith", "foo bar", "qwerty"]
+SSN_MARK_NUMBERS = [*(d * 9 for d in "12345789"), "123456789", "987654321"]
 SSN_FIELDS = [
     (20.0, ["payroll", "hr", "human resources", "employee", "personnel", "staff", "employment", "hire", "onboarding", "benefits", "compensation"]),
     (25.0, ["tax", "w2", "w-2", "1099", "irs", "taxpayer"]),
@@ -212,42 +241,77 @@ SSN_TESTS = [
     "078051120", "123456789", "111111111", "222222222", "333333333", "444444444", "555555555", "777777777", "888888888", "999999999", "987654321",
     "123454321",
 ]
-DOWN = UP[::-1]
+#: What a number in a column whose header speaks against it stops at; what an encoded line takes, and leaves.
+SSN_HEADER_CAP, SSN_ENCODED, SSN_ENCODED_FLOOR = 55.0, 40.0, 60.0
+
+
+def _ssn_line() -> dict[str, Column]:
+    """What the rules for social security numbers ask of a line."""
+    line = F.col("line")
+    count = lambda p, of=line: F.regexp_count(of, F.lit(p))
+    commas, tabs, semicolons, pipes = (count(p) for p in (",", r"\t", ";", r"\|"))
+    mails, dates = count(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}"
+    strict, cards, phones = count(r"\d{3}-\d{2}-\d{4}"), count(r"\d{4}-\d{4}-\d{4}-\d{4}"), count(r"\d{3}-\d{3}-\d{4}")
+    loose = r"\d{3}[-\s]?\d{2}[-\s]?\d{4}"
+    shaped = strict + cards + phones + mails + count(dates, F.regexp_replace(line, r"\d{3}-\d{2}-\d{4}", " "))
+    tabular = (tabs > 0) | (commas >= 2) | (semicolons >= 2) | (pipes >= 2) | (count(r"\s{2,}") >= 2) | line.rlike(r'[A-Z][a-z]+\s+[A-Z][a-z]+\s+\d{3}-\d{2}-\d{4}|"[^"]*",\s*"[^"]*"') | (shaped >= 2)
+    rich = mails + count(r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}") + count(loose) + count(dates, F.regexp_replace(line, loose, " ")) + count(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b")
+    records = (rich >= 3) | (tabs >= 2) | (commas >= 3) | (pipes >= 2) | (count(r"\s{3,}") >= 2)
+    numbers, bare = count(r"\d+"), count(r"[0-9 ]").cast("double") / F.greatest(F.octet_length(line), F.lit(1))
+    encoded = ~tabular & F.when(numbers > 15, strict + cards + phones < 2).otherwise((bare > 0.85) & (numbers > 3))
+    fields = sum((F.when(has_word(words), F.lit(boost)).otherwise(F.lit(0.0)) for boost, words in SSN_FIELDS), F.lit(0.0))
+    marks = has_word(SSN_MARKS) | any_of(F.col("lower"), SSN_MARK_NUMBERS, "contains")
+    return {"for_it": count_words(SSN_WORDS), "against": count_words(SSN_AGAINST), "fields": fields, "marks": marks, "tabular": tabular, "records": records, "encoded": encoded}
 
 
 def ssn(lines: DataFrame) -> DataFrame:
-    rows = candidates(lines, NOT_WORD_BEFORE + r"(?:\d{3}-\d{2}-\d{4}|\d{3}\s\d{2}\s\d{4}|\d{9})" + NOT_WORD_AFTER)
+    """A row's header counts like a word beside the number; without any word for it, shape alone decides little."""
+    rows = candidates(lines, _word(r"\d{3}-\d{2}-\d{4}|\d{3}\s\d{2}\s\d{4}|\d{9}"), headers=True, **_ssn_line())
     rows = rows.withColumn("number", F.regexp_replace("text", r"[^0-9]", ""))
-    n, low = F.col("number"), F.col("lower")
-    area = F.substring(n, 1, 3)
-    rows = rows.where(~area.isin("000", "666") & (area < "900") & (F.substring(n, 4, 2) != "00") & (F.substring(n, 6, 4) != "0000") & ~n.isin(SSN_TESTS))
+    n = F.col("number")
+    area, group, serial = F.substring(n, 1, 3), F.substring(n, 4, 2), F.substring(n, 6, 4)
+    rows = rows.where(~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000") & ~n.isin(SSN_TESTS))
+    rows = rows.withColumns({"head_for": F.when(F.col("header") == "", 0).otherwise(count_words(SSN_WORDS, "header")), "head_against": F.when(F.col("header") == "", 0).otherwise(count_words(SSN_AGAINST, "header"))})
     dashes, bare = F.col("text").contains("-"), F.col("text") == n
-    group, serial = F.substring(n, 4, 2), F.substring(n, 6, 4)
     repeats = n.rlike(r"(\d)\1\1") | (area == F.concat(group, F.substring(group, 1, 1))) | (area == F.substring(serial, 1, 3))
     runs = F.lit(UP).contains(n) | F.lit(DOWN).contains(n)
-    own = F.lit(85.0) + F.when(dashes, 10.0).otherwise(0.0) - F.when(bare, 15.0).otherwise(0.0) - F.when(runs, 15.0).otherwise(0.0) - F.when(repeats, 15.0).otherwise(0.0)
-    positive = words_score(SSN_WORDS, 25.0)
-    context = positive + words_score(SSN_AGAINST, -15.0)
-    for boost, words in SSN_FIELDS:
-        context = context + F.when(has_word(low, words), boost).otherwise(0.0)
-    context = clamp(context + F.when(tabular_line(F.col("line"), r"[A-Z][a-z]+\s+[A-Z][a-z]+\s+\d{3}-?\d{2}-?\d{4}"), 15.0).otherwise(0.0), -50, 50)
-    total = clamp(own + context, 0, 100)
-    top = F.when(positive == 0, F.when(dashes, 60.0).otherwise(50.0))
-    return _found(rows, "ssn", F.lit("SSN"), F.least(total, top), top)
+    own = F.lit(85.0) + F.when(dashes, 10.0).when(bare, -15.0).otherwise(0.0) - F.when(runs, 15.0).otherwise(0.0) - F.when(repeats, 15.0).otherwise(0.0)
+    own = F.when(F.col("encoded"), F.when(dashes, F.greatest(own - SSN_ENCODED, F.lit(SSN_ENCODED_FLOOR))).otherwise(own - SSN_ENCODED)).otherwise(own)
+    marked = F.col("marks") | n.rlike(r"(\d)\1\1\1") | runs
+    context = 25.0 * F.col("for_it") + 10.0 * F.col("head_for") - 15.0 * F.col("against") - 8.0 * F.col("head_against") + F.col("fields")
+    context = context + F.when(F.col("records"), 25.0).when(F.col("tabular"), 15.0).otherwise(0.0) - F.when(marked, 40.0).otherwise(0.0)
+    total = own + clamp(context, -50, 50)
+    named, refused = F.col("for_it") + F.col("head_for") > 0, F.col("against") + F.col("head_against") > 0
+    capped = F.col("tabular") & (F.col("head_against") > 0) & (F.col("head_for") == 0)
+    in_table = total - F.when(refused, 10.0).otherwise(0.0)
+    in_text = F.when(named, total).when(refused, total - 25).otherwise(F.least(total, F.when(dashes, 60.0).otherwise(50.0)))
+    score = F.when(F.col("tabular"), F.when(capped, F.least(in_table, F.lit(SSN_HEADER_CAP))).otherwise(in_table)).otherwise(in_text)
+    return _found(rows, "ssn", F.lit("SSN"), clamp(score, 0, 100), F.when(capped, SSN_HEADER_CAP))
 
 
 # ---- IP addresses -------------------------------------------------------------------------------------------------
 # Patterns, networks that tell nothing about a person, public resolvers, words.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 IPV4 = rf"(?:{OCTET}\.){{3}}{OCTET}"
-IPV6 = r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+_H = "[0-9a-fA-F]{1,4}"
+IPV6 = rf"(?:{_H}:){{7}}{_H}"
+IPV6_MIXED = rf"(?:{_H}:){{6}}{IPV4}"
+#: A run of groups with :: in it, seven groups at most.
+IPV6_SHORT = rf"(?=(?:[0-9a-fA-F]*:){{2,8}}[0-9a-fA-F]*(?![0-9a-fA-F:]))(?:{_H}:(?:{_H}:)*|:):(?:{_H}(?::{_H})*)?"
 IP_PLAIN = [
     "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "0.0.0.0/8", "224.0.0.0/4", "240.0.0.0/4", "169.254.0.0/16", "192.0.2.0/24",
     "198.51.100.0/24", "203.0.113.0/24", "100.64.0.0/10", "198.18.0.0/15", "192.0.0.0/24",
 ]
+IP_SAMPLES = ["1.2.3.4"]
 IP_RESOLVERS = ["8.8.8.8", "8.8.4.4", "1.1.1.1", "1.0.0.1", "208.67.222.222", "208.67.220.220", "9.9.9.9", "149.112.112.112"]
-IP_WORDS = ["ip", "ip address", "address", "host", "server", "client", "network", "subnet", "gateway", "dns", "firewall", "router", "connection", "remote", "source", "destination"]
-IP_AGAINST = ["version", "build", "release", "test", "example", "sample", "mock", "fake", "dummy", "placeholder", "localhost", "documentation"]
+IP_WORDS = [
+    "ip", "address", "host", "server", "client", "endpoint", "node", "network", "subnet", "gateway", "router", "dns", "nameserver", "connection", "tcp", "udp",
+    "http", "https", "ftp", "ssh", "ping", "traceroute", "nslookup", "dig", "whois", "firewall", "proxy", "vpn", "nat", "dhcp", "static", "dynamic", "lease",
+]
+IP_AGAINST = [
+    "test", "example", "fake", "mock", "sample", "dummy", "placeholder", "demo", "template", "tutorial", "documentation", "readme", "lorem", "ipsum", "foo", "bar",
+    "baz", "temp", "temporary", "invalid", "nonexistent", "blackhole", "devnull", "null", "version", "build", "revision", "release",
+]
 
 
 def ip_number(ip: Column) -> Column:
@@ -266,16 +330,20 @@ def in_networks(number: Column, networks: list[str]) -> Column:
 
 
 def ip_address(lines: DataFrame) -> DataFrame:
-    border = r"(?<![0-9A-Za-z_.:])", r"(?![0-9A-Za-z_:]|\.[0-9A-Za-z_]|\.$|\. )"
-    rows = candidates(lines, f"{border[0]}(?:{IPV4}|{IPV6}){border[1]}", F.col("line").contains(".") | F.col("line").contains(":"))
-    t, low = F.col("text"), F.col("lower")
-    four = t.contains(".")
-    plain = F.when(four, in_networks(ip_number(t), IP_PLAIN) | t.isin(IP_RESOLVERS) | t.rlike(r"(?:^|\.)0\d")).otherwise(F.lower(t).rlike(r"^(?:f[cd]|fe[89ab]|2001:0?db8:|(?:0+:){7}0*1$)"))
+    """An address is reported once a line; a shape that may be a version keeps 75 without a sign of a network."""
+    border = r"(?<![0-9A-Za-z.:])", r"(?![0-9A-Za-z]|\.)"
+    asked = {"named": has_word(IP_WORDS), "context": clamp(words_score(IP_WORDS, 12.0) + words_score(IP_AGAINST, -30.0), -80, 40)}
+    rows = candidates(lines, f"{border[0]}(?:{IPV6_MIXED}|{IPV4}|(?:{IPV6}|{IPV6_SHORT})(?!:)){border[1]}", F.col("line").contains(".") | F.col("line").contains(":"), **asked)
+    t = F.col("text")
+    four = t.rlike(rf"^{IPV4}$")
+    plain = F.when(four, in_networks(ip_number(t), IP_PLAIN) | t.isin(IP_RESOLVERS + IP_SAMPLES) | t.rlike(r"(?:^|\.)0\d")).otherwise(F.lower(t).rlike(r"^(?:f[cd]|fe[89ab]|2001:0?db8:|[0:]*:0*1$|[0:]*$)"))
     rows = rows.where(~plain)
-    positive = has_word(low, IP_WORDS)
-    context = clamp(words_score(IP_WORDS, 12.0) + words_score(IP_AGAINST, -30.0), -80, 40)
-    total = clamp(F.lit(110.0) + context, 0, 100)
-    return _found(rows, "ipaddress", F.lit("IP_ADDRESS"), F.when(~positive & (total >= 90), 75.0).otherwise(total))
+    total = F.lit(110.0) + F.col("context")
+    signs = F.col("named") | F.col("after").rlike(r"^(?::\d{1,5}|/\d{1,2})\b")
+    unclear = (four | t.rlike(rf"^{IPV6}$")) & (total >= 90) & ~signs
+    found = _found(rows, "ipaddress", F.lit("IP_ADDRESS"), F.when(unclear, 75.0).otherwise(clamp(total, 0, 100)))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "line_number", "text").orderBy("start_col"))
+    return found.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
 # ---- vehicles -----------------------------------------------------------------------------------------------------
@@ -299,13 +367,13 @@ VIN_TESTS = ["11111111111111111", "00000000000000000", "AAAAAAAAAAAAAAAAA", "123
 
 
 def vin(lines: DataFrame) -> DataFrame:
-    rows = candidates(lines, NOT_WORD_BEFORE + "[A-HJ-NPR-Za-hj-npr-z0-9]{17}" + NOT_WORD_AFTER).withColumn("number", F.upper("text"))
-    n, low = F.col("number"), F.col("lower")
+    context = clamp(words_score(VIN_WORDS, 25.0) + words_score(VIN_AGAINST, -15.0), -50, 50)
+    rows = candidates(lines, _word("[A-HJ-NPR-Za-hj-npr-z0-9]{17}"), context=context).withColumn("number", F.upper("text"))
+    n = F.col("number")
     good, maker = checksums.vin(n), F.substring(n, 1, 3).isin(VIN_MAKERS)
     rows = rows.where(~n.isin(VIN_TESTS) & ~n.rlike(r"^(.)\1*$") & n.rlike("[A-Z]") & n.rlike("[0-9]") & (good | (maker & ~n.rlike("^[1-5]"))))
     own = F.lit(65.0) + F.when(good, 20.0).otherwise(-10.0) + F.when(maker, 10.0).otherwise(0.0) + F.when(F.substring(n, 10, 1).rlike("[A-HJ-NPR-TV-Y1-9]"), 5.0).otherwise(0.0)
-    context = clamp(words_score(VIN_WORDS, 25.0) + words_score(VIN_AGAINST, -15.0), -50, 50)
-    return _found(rows, "vin", F.lit("VIN"), clamp(own + context, 0, 100))
+    return _found(rows, "vin", F.lit("VIN"), clamp(own + F.col("context"), 0, 100))
 
 
 # ---- bank accounts ------------------------------------------------------------------------------------------------
@@ -318,97 +386,284 @@ IBAN_LENGTHS = {
     "RS": 22, "SC": 31, "SK": 24, "SI": 19, "ES": 24, "SE": 24, "CH": 21, "TN": 24, "TR": 26, "UA": 29, "AE": 23, "GB": 22, "VA": 22, "VG": 24,
 }
 ABA_TESTS = ["011000015", "021000021", "000000000", "123456789", "987654321", *(str(d) * 9 for d in range(1, 10))]
-BANK_WORDS = ["bank", "account", "routing", "aba", "iban", "swift", "bic", "wire", "transfer", "deposit", "beneficiary", "payment"]
-BANK_AGAINST = ["test", "example", "sample", "dummy", "fake", "mock", "version", "serial", "tracking"]
+BANK_WORDS = [
+    "routing", "aba", "account number", "bank account", "checking", "savings", "wire", "swift", "bic", "iban", "transit", "financial institution", "deposit",
+    "ach", "direct deposit", "bank", "routing number", "account no", "acct",
+]
+BANK_AGAINST = [
+    "phone", "zip", "postal", "serial", "model", "version", "test", "example", "sample", "ssn", "social security", "placeholder", "fake", "mock", "demo",
+    "ip address", "order", "invoice", "tracking", "confirmation",
+]
+BANK_PHONES = ["phone", "telephone", "fax", "call us", "mobile", "cell"]
+#: Countries of bank identifiers.
+COUNTRIES = (
+    "AD AE AF AG AL AM AO AR AT AU AZ BA BB BD BE BF BG BH BI BJ BM BN BO BR BS BT BW BY BZ CA CD CF CG CH CI CL CM CN CO CR CU CV CY CZ DE DJ DK DM DO DZ EC EE EG ER ES ET FI FJ FK FM "
+    "FO FR GA GB GD GE GH GI GL GM GN GQ GR GT GW GY HK HN HR HT HU ID IE IL IN IQ IR IS IT JM JO JP KE KG KH KI KM KN KP KR KW KY KZ LA LB LC LI LK LR LS LT LU LV LY MA MC MD ME MG MH "
+    "MK ML MM MN MO MR MT MU MV MW MX MY MZ NA NE NG NI NL NO NP NR NZ OM PA PE PG PH PK PL PS PT PW PY QA RO RS RU RW SA SB SC SD SE SG SI SK SL SM SN SO SR SS ST SV SY SZ TD TG TH TJ "
+    "TL TM TN TO TR TT TV TW TZ UA UG US UY UZ VA VC VE VG VN VU WS XK YE ZA ZM ZW"
+).split()
 
 
 def bank_account(lines: DataFrame) -> DataFrame:
-    low = F.col("lower")
-    context = clamp(words_score(BANK_WORDS, 15.0) + words_score(BANK_AGAINST, -20.0), -50, 40)
+    """Numbers of four kinds; a line with several words against it and hardly one for it leaves IBANs at the floor
+    and drops the others."""
+    postal, routing = has_word(["zip", "postal"]), ["routing", "routing number", "transit"]
+    asked = {
+        "context": clamp(words_score(BANK_WORDS, 15.0) + words_score(BANK_AGAINST, -20.0), -50, 40), "banking": has_word(BANK_WORDS, gap=LABEL_GAP), "n_for": count_words(BANK_WORDS),
+        "n_against": count_words(BANK_AGAINST), "postal": postal & ~has_word([w for w in BANK_WORDS if w not in routing]), "phones": has_word(BANK_PHONES),
+    }
+    few, many = F.col("n_for") <= 1, F.col("n_against")
+    refused = (few & (many >= 3)) | ((F.col("n_for") == 0) & (many >= 2)) | (few & F.col("postal"))
+    t = F.col("text")
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    ib = candidates(lines, NOT_WORD_BEFORE + r"(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + NOT_WORD_AFTER)
-    ib = ib.withColumn("number", F.replace("text", F.lit(" "), F.lit("")))
+    ib = candidates(lines, _word("(?i:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)"), **asked)
+    ib = ib.withColumn("number", F.upper(F.replace("text", F.lit(" "), F.lit(""))))
     n = F.col("number")
     ib = ib.where((F.char_length(n) == F.try_element_at(lengths, F.substring(n, 1, 2))) & ~F.substring(n, 3, 2).isin("00", "01", "99") & checksums.iban(n))
-    iban = _found(ib, "bank_account", F.lit("IBAN"), F.greatest(F.lit(FLOOR), clamp(F.lit(85.0) + context, 0, 100)))
-    ab = candidates(lines, NOT_WORD_BEFORE + r"\d{9}" + NOT_WORD_AFTER)
-    t = F.col("text")
+    score = clamp(F.lit(85.0) + F.col("context"), 0, 100)
+    out = _found(ib, "bank_account", F.lit("IBAN"), F.when(refused | (score <= 0), FLOOR).otherwise(score))
+    sw = candidates(lines, _word("[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?"), **asked)
+    sw = sw.where(F.substring(t, 5, 2).isin(COUNTRIES) & ~refused & (F.col("banking") | t.rlike("[0-9]")))
+    score = F.when(F.col("banking"), 75.0).otherwise(50.0) + F.col("context")
+    out = out.unionByName(_found(sw.where(F.col("banking") | (score >= 40)), "bank_account", F.lit("SWIFT_BIC"), clamp(score, 0, 100)))
+    ab = candidates(lines, _word(r"\d{9}"), **asked)
     two = F.substring(t, 1, 2).cast("int")
-    prefix = two.between(0, 12) | two.between(21, 32) | two.between(61, 72) | (two == 80)
-    ab = ab.where(checksums.aba(t) & prefix & ~t.isin(ABA_TESTS))
-    banking = has_word(low, BANK_WORDS)
-    score = clamp(F.when(banking, 70.0).otherwise(40.0) + context, 0, 100)
-    return iban.unionByName(_found(ab, "bank_account", F.lit("ABA_ROUTING"), F.when(banking | (score >= 50), score).otherwise(0.0)))
+    ab = ab.where(checksums.aba(t) & (two.between(1, 32) | two.between(61, 72) | (two == 80)) & ~t.isin(ABA_TESTS) & ~refused)
+    score = F.when(F.col("banking"), 70.0).otherwise(40.0) + F.col("context")
+    out = out.unionByName(_found(ab.where(F.col("banking") | (score >= 50)), "bank_account", F.lit("ABA_ROUTING"), clamp(score, 0, 100)))
+    us = candidates(lines, _word(r"\d{8,17}"), has_word(BANK_WORDS, gap=LABEL_GAP), **asked)
+    size, before, after = F.char_length(t), F.col("before"), F.col("after")
+    near = F.concat(F.right(before, F.lit(6)), t, F.left(after, F.lit(2)))
+    phone = (size == 10) & (F.col("phones") | near.rlike(r"\(\d{3}\)\s?\d{3}[-.]?\d{4}|\d{3}[-.\s]\d{3}[-.\s]\d{4}"))
+    dated = F.concat(F.right(before, F.lit(3)), t, F.left(after, F.lit(3))).rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}")
+    version = F.right(before, F.lit(10)).rlike(r"(?i)\bv?\d+\.\d+\.\d+|(?<![a-z0-9])version(?![a-z0-9])|\bv\.?\d")
+    us = us.where((size != 9) & ~(size.between(13, 17) & checksums.luhn(t)) & ~phone & ~dated & ~version & ~refused)
+    beside = F.lower(F.concat(F.right(before, F.lit(30)), t, after)).rlike("account|acct")
+    score = F.lit(55.0) + F.col("context") + F.when(beside, 15.0).otherwise(0.0)
+    return out.unionByName(_found(us, "bank_account", F.lit("US_BANK_ACCOUNT"), clamp(score, 0, 100)))
 
 
 # ---- medical numbers ----------------------------------------------------------------------------------------------
 # The shape of a beneficiary's number, words.
 _A, _AN = "[AC-HJ-KM-NP-RT-Y]", "[0-9AC-HJ-KM-NP-RT-Y]"
 MBI = f"[1-9]{_A}{_AN}[0-9](?:-?|[ -]){_A}{_AN}[0-9](?:-?|[ -]){_A}{_A}[0-9][0-9]"
-MEDICAL_WORDS = ["npi", "dea", "medicare", "mbi", "provider", "prescriber", "physician", "patient", "medical", "hospital", "clinic", "pharmacy", "beneficiary"]
-MEDICAL_AGAINST = ["test", "example", "sample", "dummy", "order", "invoice", "tracking", "phone", "serial"]
+MBI_PLAIN = f"[1-9]{_A}{_AN}[0-9]{_A}{_AN}[0-9]{_A}{_A}[0-9][0-9]"
+MEDICAL_WORDS = [
+    "medical record", "mrn", "patient id", "member id", "insurance", "npi", "provider", "medicare", "medicaid", "beneficiary", "subscriber", "policy number",
+    "group number", "dea", "prescriber", "pharmacy", "hospital", "clinic", "health plan", "health insurance", "patient", "physician", "doctor", "medical",
+    "healthcare", "health record", "enrollment", "covered", "copay", "deductible", "claims", "formulary", "prior authorization", "referral", "hicn", "rxbin",
+    "rxpcn", "rxgrp",
+]
+MEDICAL_STRONG_AGAINST = ["test", "example", "sample", "placeholder", "fake", "mock", "demo"]
+MEDICAL_AGAINST = ["phone", "ssn", "account", "order", "invoice", "tracking", "serial", "model", "version", "ip address", "zip", "lorem", "foo", "bar", "todo", "fixme"]
+#: Words for each kind of number; those of the first group may be written without their spaces.
+MEDICAL_LABELS = {
+    "medical": [
+        "medical record", "mrn", "patient", "hospital", "clinic", "physician", "doctor", "healthcare", "health record", "medical", "admission", "discharge", "diagnosis",
+        "treatment", "chart number",
+    ],
+    "mrn": ["mrn", "medical record", "patient id", "patient number", "record number", "chart number", "admission number", "patient account", "patient identification"],
+    "insured": [
+        "insurance", "member id", "member number", "subscriber", "policy number", "group number", "health plan", "enrollee", "covered", "copay", "deductible", "claims",
+        "member identification", "subscriber identification", "policyholder", "rxbin", "rxpcn", "rxgrp", "rx bin", "rx group",
+    ],
+    "member": [
+        "member id", "member number", "subscriber id", "policy number", "insurance id", "group number", "enrollee id", "member identification",
+        "subscriber identification", "enrollee identification", "policyholder id",
+    ],
+}
+MEDICAL_CONTEXTS = {
+    "provider": ["npi", "provider", "physician", "doctor", "nurse", "practitioner", "clinician", "medical", "healthcare", "hospital", "clinic", "practice", "health plan", "registry"],
+    "phones": ["phone", "call", "fax", "contact", "dial", "reach", "tel", "telephone", "mobile", "cell"],
+    "dea": ["dea", "prescriber", "pharmacy", "controlled substance", "narcotic", "schedule", "dispensing", "prescription", "drug enforcement", "registrant"],
+    "medicare": [
+        "medicare", "mbi", "beneficiary", "cms", "medicaid", "enrollment", "coverage", "part a", "part b", "part d", "hicn", "health insurance claim", "member identification",
+    ],
+}
+#: Other kinds of numbers: always, and unless a label names the kind.
+NOT_RECORDS, NOT_RECORDS_SOFT = ["phone", "ssn", "zip", "postal", "fax", "extension"], ["account", "order", "invoice", "tracking", "serial"]
+NOT_MEMBERS, NOT_MEMBERS_SOFT = ["phone", "ssn", "serial", "model", "version", "ip address"], ["account", "order", "invoice", "tracking"]
 
 
 def medical_id(lines: DataFrame) -> DataFrame:
-    low, t = F.col("lower"), F.col("text")
-    context = clamp(words_score(MEDICAL_WORDS, 10.0) + words_score(MEDICAL_AGAINST, -15.0), -60, 40)
-    near = has_word(low, MEDICAL_WORDS)
-
-    def part(pattern: str, check: Column, kind: str, base: float, without: float) -> DataFrame:
-        rows = candidates(lines, NOT_WORD_BEFORE + pattern + NOT_WORD_AFTER).where(check)
-        total = clamp(F.when(near, base).otherwise(base - without) + context, 0, 100)
-        return _found(rows, "medicalid", F.lit(kind), F.greatest(total, F.lit(FLOOR)))
-
-    npi = part(r"[12]\d{9}", checksums.npi(t), "NPI", 80.0, 40.0)
-    dea = part(r"[ABCDFGMabcdfgm][A-Za-z]\d{7}", checksums.dea(t), "DEA_NUMBER", 85.0, 30.0)
-    return npi.unionByName(dea).unionByName(part(MBI, F.lit(True), "MEDICARE_MBI", 75.0, 35.0))
+    """A label on the line above counts as on the line, and a table's header for members' numbers."""
+    above = F.when(field_label(F.col("above"), MEDICAL_WORDS), F.concat(F.lit(" "), F.lower(F.trim("above")))).otherwise("")
+    lines = lines.withColumn("seen", F.concat("lower", above)).withColumn("heads", F.coalesce(F.array_join("table.headers", " | "), F.lit("")))
+    test = count_words(MEDICAL_STRONG_AGAINST, "seen")
+    score = clamp(words_score(MEDICAL_WORDS, 10.0, "seen", LABEL_GAP) - test * 25.0 + words_score(MEDICAL_AGAINST, -15.0, "seen"), -60, 40)
+    asked = {"context": F.when(test > 0, F.least(score, F.lit(-25.0))).otherwise(score)}
+    asked |= {k: has_word(w, "seen", LABEL_GAP) for k, w in MEDICAL_LABELS.items()} | {k: has_word(w, "seen") for k, w in MEDICAL_CONTEXTS.items()}
+    t, context = F.col("text"), F.col("context")
+
+    def part(pattern: str, check: Column, kind: str, base: Column, floor: float = 0.0, only: Column | None = None, headers: bool = False, **more: Column) -> DataFrame:
+        rows = candidates(lines, _word(pattern), only, headers, **asked, **more).where(check)
+        total = clamp(base + context, 0, 100)
+        return _found(rows, "medicalid", F.lit(kind), F.when(total <= 0, floor).otherwise(total))
+
+    pick = lambda name, yes, no: F.when(F.col(name), yes).otherwise(no)
+    out = part(r"[12]\d{9}", checksums.npi(t) & ~F.col("phones"), "NPI", pick("provider", 80.0, 40.0), FLOOR)
+    out = out.unionByName(part(r"[ABCDFGMabcdfgm][A-Za-z]\d{7}", checksums.dea(t), "DEA_NUMBER", pick("dea", 85.0, 55.0), FLOOR))
+    out = out.unionByName(part(MBI, F.lit(True), "MEDICARE_MBI", pick("medicare", 75.0, 40.0)))
+    shape = (F.char_length(t) == 9) | ((F.char_length(t) == 10) & (t.startswith("1") | (t.startswith("2") & checksums.npi(t))))
+    asked_more = {"other": has_word(NOT_RECORDS), "other_soft": has_word(NOT_RECORDS_SOFT)}
+    record = ~F.col("other") & ~(F.col("other_soft") & ~F.col("mrn")) & ~shape
+    medical_line = has_word(MEDICAL_LABELS["medical"], "lower", LABEL_GAP)
+    out = out.unionByName(part(r"\d{6,10}", record, "MRN", F.when(F.col("mrn"), 70.0).when(F.col("medical"), 45.0).otherwise(15.0), only=medical_line, **asked_more))
+    asked_more = {"other": has_word(NOT_MEMBERS), "other_soft": has_word(NOT_MEMBERS_SOFT)}
+    named = F.col("member") | has_word(MEDICAL_LABELS["insured"], "header", LABEL_GAP)
+    hexed = F.lower(t).rlike("^[0-9a-f]+$") & (~named | ~t.rlike("[A-Z]"))
+    shape = hexed | F.lower(t).rlike("^0x[0-9a-f]+$") | (t.rlike("^[A-Z0-9]+$") & ~named)
+    taken = (t.rlike("^[ABCDFGMabcdfgm][A-Za-z][0-9]{7}$") & checksums.dea(t)) | t.rlike(f"^{MBI_PLAIN}$")
+    member = t.rlike("[A-Za-z]") & t.rlike("[0-9]") & ~F.col("other") & ~(F.col("other_soft") & ~named) & ~shape & ~taken
+    insured = has_word(MEDICAL_LABELS["insured"], "seen", LABEL_GAP) | has_word(MEDICAL_LABELS["insured"], "heads", LABEL_GAP)
+    return out.unionByName(part("[A-Za-z0-9]{8,20}", member, "INSURANCE_MEMBER_ID", F.when(named, 70.0).otherwise(50.0), only=insured, headers=True, **asked_more))
 
 
 # ---- secrets ------------------------------------------------------------------------------------------------------
-# Token shapes with their types and scores, stems of names that hold secrets.
+# Token shapes with their types and scores, stems of names that hold secrets, words.
 TOKENS = [
-    (r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*", "JWT_TOKEN", 90.0), (r"AKIA[0-9A-Z]{16}", "AWS_ACCESS_KEY", 95.0),
-    (r"gh[pousr]_[a-zA-Z0-9]{36}", "GITHUB_TOKEN", 95.0), (r"AIza[0-9A-Za-z_-]{35}", "GOOGLE_CLOUD_API_KEY", 95.0),
-    (r"[sp]k_(?:live|test)_[0-9a-zA-Z]{24}", "STRIPE_API_KEY", 95.0), (r"glpat-[a-zA-Z0-9_-]{20}", "GITLAB_TOKEN", 95.0),
-    (r"dckr_pat_[a-zA-Z0-9_-]{36}", "DOCKER_TOKEN", 95.0), (r"xoxb-[0-9]{11,12}-[0-9]{11,12}-[a-zA-Z0-9]{24}", "SLACK_TOKEN", 95.0),
-    (r"xoxp-[0-9]{11,12}-[0-9]{11,12}-[0-9]{11,12}-[a-zA-Z0-9]{32}", "SLACK_TOKEN", 95.0),
+    (r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*", "JWT_TOKEN", 92.0), (r"AKIA[0-9A-Z]{16}", "AWS_ACCESS_KEY", 94.0),
+    (r"gh[pousr]_[a-zA-Z0-9]{36}", "GITHUB_TOKEN", 93.0), (r"AIza[0-9A-Za-z_-]{35}", "GOOGLE_CLOUD_API_KEY", 94.0),
+    (r"[sp]k_(?:live|test)_[0-9a-zA-Z]{24}", "STRIPE_API_KEY", 95.0), (r"glpat-[a-zA-Z0-9_-]{20}", "GITLAB_TOKEN", 93.0),
+    (r"dckr_pat_[a-zA-Z0-9_-]{36}", "DOCKER_TOKEN", 92.0), (r"xoxb-[0-9]{11,12}-[0-9]{11,12}-[a-zA-Z0-9]{24}", "SLACK_TOKEN", 94.0),
+    (r"xoxp-[0-9]{11,12}-[0-9]{11,12}-[0-9]{11,12}-[a-zA-Z0-9]{32}", "SLACK_TOKEN", 94.0),
 ]
 SECRET_NAMES = [
     "api_?key", "auth_?key", "service_?key", "account_?key", "db_?key", "database_?key", "priv_?key", "private_?key", "client_?key", "password", "passwd",
     "pwd", "secret", "token", "bearer", "oauth", "jwt", "session", "credential", "access_?token",
 ]
-SECRET_COMMON = ["password", "secret", "example", "test", "changeme", "default", "admin", "sample"]
+ASSIGNED_NAMES = [*SECRET_NAMES, "access_?key", "secret_?access_?key", "secret_?key"]
+SECRET_WORDS = [
+    "api", "key", "secret", "token", "password", "passwd", "pass", "pwd", "passphrase", "auth", "credential", "private", "access", "session", "bearer", "oauth",
+    "jwt", "signature", "salt", "nonce", "seed", "entropy", "connectionstring",
+]
+SECRET_LABELS = [
+    "key", "secret", "token", "password", "pass", "pwd", "auth", "credential", "private", "bearer", "jwt", "api", "signature", "hmac", "session", "cookie", "access",
+    "refresh", "client_id", "clientid",
+]
+SECRET_COMMON, SECRET_TESTS = ["password", "secret", "example", "test", "sample", "default"], ["test", "demo", "example", "sample", "fake", "mock"]
+SECRET_BLANKS = [
+    "xxxxxxxxxxxxxxxx", "000000000000000", "1234567890abcdef", "abcdef123456789", "replace_with_actual", "insert_key_here", "your_api_key_here", "test_api_key_here",
+]
+SECRET_SAMPLES = [
+    "your_password_here", "your_secret_here", "your_token_here", "insert_password_here", "insert_secret_here", "insert_token_here", "example_secret_key",
+    "placeholder_token", "sample_password", "demo_private_key", "mock_jwt_token", "fake_access_token", "dummy_credential", "tutorial_secret", "readme_example",
+    "documentation_key",
+]
+BASE64, HEX = r"A-Za-z0-9+/=\\\-_", "0-9A-Fa-f"
+AWS_NAME, AWS_ID = r"(?i)(?:aws_?)?secret_?access_?key|aws_?secret(?:_?key)?", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+#: Kinds of documents and environments, with what they add; the most they add to a secret that only its name tells.
+BY_KIND, BY_ENVIRONMENT = {"Configuration": 15.0, "Code": 8.0, "JSON": 12.0}, {"development": -15.0, "production": 10.0, "test": -25.0}
+GENERIC_BOOST, UNNAMED_CAP, HEX_CAP = 30.0, 55.0, 55.0
+
+
+def _mapped(value: Column, amounts: dict[str, float]) -> Column:
+    out = F
+    for k, v in amounts.items():
+        out = out.when(value == k, v)
+    return out.otherwise(0.0)
+
+
+def _surroundings(generic: Column, block: bool = False) -> Column:
+    """What the document adds to a secret: once for its table or test data, and by environment, domain and kind."""
+    about = F.col("about")
+    more = _mapped(about["environment"], BY_ENVIRONMENT) + _mapped(about["domain"], {"Financial": 12.0, "Healthcare": 8.0 if block else -5.0}) + _mapped(about["kind"], BY_KIND)
+    return about["adjustment"] + F.when(generic, F.least(more, F.lit(GENERIC_BOOST))).otherwise(more)
+
+
+def _named_secret() -> Column:
+    """Whether the line has a word for secrets, by itself, with signs, or as a part of a name in camel case."""
+    alts = "|".join(SECRET_WORDS)
+    capital = "|".join(w.capitalize() for w in SECRET_WORDS)
+    return F.col("line").rlike(f"(?i:(?<![a-z0-9])(?:{alts})(?![a-z0-9]))|(?<=[a-z0-9])(?:{capital})(?![A-Za-z0-9])|(?<=[a-z0-9])(?:{capital})(?=[A-Z])|(?<![A-Za-z0-9])(?i:{alts})(?<=[a-z])(?=[A-Z])")
+
+
+def _shares(text: Column, longest: list[str], times: int) -> Column:
+    """Whether the text consists of one of the words to a good part."""
+    low, out = F.lower(text), F.lit(False)
+    for w in longest:
+        out |= low.contains(w) & (F.char_length(text) <= len(w) * times)
+    return out
 
 
 def secrets(lines: DataFrame) -> DataFrame:
-    line, t, low = F.col("line"), F.col("text"), F.col("lower")
-    test = has_word(low, ["test", "example", "sample", "dummy", "mock", "fake"])
+    """Tokens by shape, assigned values by name, quoted random strings, and secret access keys near their ids.
+
+    A span that several methods find counts as the first of them found it.
+    """
+    line = F.col("line")
+    quote = line.contains('"') | line.contains("'")
+    refers = line.rlike(r"\$(?:\{|[A-Za-z_])")
+    asked = {"about": F.col("about"), "named": _named_secret(), "labelled": any_of(F.col("lower"), SECRET_LABELS, "contains"), "refers": refers}
+    package = line.rlike('"(?:integrity|checksum)"') & line.rlike("sha|md5") | line.rlike('"(?:resolved|url|homepage)"') & line.rlike("https?://") & line.rlike(r"registry\.|github\.com|gitlab\.com|bitbucket\.org")
+    keyed = ~package & (F.char_length(line) >= 12)
+    stems, assigned = "|".join(SECRET_NAMES), "|".join(ASSIGNED_NAMES)
+    ways = [
+        (rf"(?<=[\"'])[{BASE64}]{{20,}}(?=[\"'])", quote, checksums.entropy(F.col("text")) > 4.5, 50.0),
+        (rf"(?<=[\"'])[{HEX}]{{16,}}(?=[\"'])", quote, checksums.entropy(F.col("text")) > 3.0, 50.0),
+        ("(?:" + "|".join(p for p, _, _ in TOKENS) + ")", keyed, F.lit(True), 60.0),
+        (rf"(?i)(?<=(?:{stems})[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"'])[^\"']{{8,}}(?=[\"'])", keyed & quote, F.lit(True), 60.0),
+        (rf"(?i)(?<=(?:{assigned})\s{{0,8}}[=:]\s{{0,8}})[^\s\"';,#<{{$(\[][^\s\"';,#]{{7,}}", keyed & (line.contains("=") | line.contains(":")), _plausible(F.col("text")), 60.0),
+    ]
+    rows = None
+    for order, (pattern, only, check, least) in enumerate(ways):
+        part = candidates(lines, pattern, only, **asked).where(check).withColumns({"way": F.lit(order), "least": F.lit(least)})
+        rows = part if rows is None else rows.unionByName(part)
+    t = F.col("text")
     kind, base = F, F
     for pattern, name, score in TOKENS:
-        whole = t.rlike(f"^(?:{pattern})$")
+        whole = t.rlike(f"^(?:{pattern})$") & (_jwt(t) if name == "JWT_TOKEN" else F.lit(True))
         kind, base = kind.when(whole, name), base.when(whole, score)
-    tokens = candidates(lines, "(?:" + "|".join(p for p, _, _ in TOKENS) + ")")
-    out = _found(tokens, "secrets", kind, base - F.when(test, 30.0).otherwise(0.0))
-    quoted = rf"(?<=[\"'])[^\"']{{8,}}(?=[\"'])"
-    named = line.rlike(rf"(?i)(?:{'|'.join(SECRET_NAMES)})[\"']?\s*[=:]\s*[\"'][^\"']{{8,}}[\"']")
-    rows = candidates(lines, quoted, (line.contains('"') | line.contains("'")) & named)
-    rows = rows.withColumn("lead", F.concat_ws("", F.transform(F.slice("pieces", F.lit(1), F.col("piece_no")), lambda p: F.regexp_replace(p, "\x02", ""))))
-    rows = rows.where(F.col("lead").rlike(rf"(?i)(?:{'|'.join(SECRET_NAMES)})[\"']?\s*[=:]\s*[\"']$")).drop("lead")
-    bits = checksums.entropy(t)
-    shape = F.when(t.rlike("^[0-9a-fA-F]+$"), bits > 3.0).otherwise(bits > 3.2)
-    score = (
-        F.lit(85.0)
-        - F.when(F.char_length(t) < 12, 30.0).otherwise(0.0)
-        - F.when(F.char_length(t) > 200, 10.0).otherwise(0.0)
-        - F.when(any_of(F.lower(t), SECRET_COMMON, "contains"), 20.0).otherwise(0.0)
-        - F.when(shape, 0.0).otherwise(25.0)
-        - F.when(test, 30.0).otherwise(0.0)
-        - F.when(t.rlike(r"\s"), 15.0).otherwise(0.0)
-    )
-    specific = F.lit(False)
-    for pattern, _, _ in TOKENS:
-        specific |= t.rlike(pattern)
-    return out.unionByName(_found(rows.where(~specific), "secrets", F.lit("API_KEY_OR_SECRET"), score, least=50.0))
+    rows = rows.withColumn("type", kind.otherwise("API_KEY_OR_SECRET"))
+    generic = F.col("type") == "API_KEY_OR_SECRET"
+    own = F.lit(85.0) - F.when(F.octet_length(t) > 100, 10.0).otherwise(0.0) - F.when(_shares(t, SECRET_COMMON, 2), 20.0).otherwise(0.0) - F.when(_shares(t, SECRET_TESTS, 3), 30.0).otherwise(0.0)
+    own = own - F.when(checksums.entropy(t, f"[{BASE64}]") < 3.0, 25.0).otherwise(0.0) - F.when(t.rlike("[ \\t]"), 15.0).otherwise(0.0)
+    low = F.lower(t)
+    sample = low.isin(SECRET_SAMPLES) | (any_of(low, SECRET_BLANKS + SECRET_SAMPLES, "contains") & low.rlike("^(?:test|example|demo|sample)_|_(?:test|example|demo|sample)$"))
+    variable = F.col("about.shell") & (F.char_length(t) <= 50) & t.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & low.rlike("_(?:token|key|secret|password|auth|credential)$")
+    score = base.otherwise(clamp(own, 0, 100)) + _surroundings(generic) - F.when(sample, 35.0).otherwise(0.0) - F.when(variable, 20.0).otherwise(0.0)
+    score = F.when(low.isin(SECRET_BLANKS), 0.0).when(generic & ~F.col("named"), F.least(score, F.lit(UNNAMED_CAP))).otherwise(score)
+    reference = F.col("refers") & (F.col("before").rlike(r"\$\{?$") | (t.startswith("$") & F.col("before").rlike("[\"']$")))
+    bare = generic & low.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") & ~F.col("labelled")
+    scored = rows.withColumn("score", F.when(reference, 0.0).otherwise(clamp(score, 0, 100)))
+    scored = scored.withColumn("score", F.when(F.col("score") > F.col("least"), F.when(bare, F.least("score", F.lit(HEX_CAP))).otherwise(F.col("score"))).otherwise(0.0))
+    span = Window.partitionBy("doc_id", "line_number", "start_col", "end_col")
+    found = scored.withColumns({"cap": F.when(bare, HEX_CAP), "shown": F.col("score")})
+    aws = _aws_secrets(lines)
+    both = _spanned(found, F.col("way")).unionByName(_spanned(aws, F.lit(99)))
+    first = both.withColumn("nth", F.row_number().over(span.orderBy("way"))).where((F.col("nth") == 1) | (F.col("way") == 99))
+    ranked = span.orderBy((F.col("type") == "API_KEY_OR_SECRET") | (F.col("shown") <= 0), F.col("shown").desc())
+    best = first.withColumns({"nth": F.row_number().over(ranked), "shown": F.max("shown").over(span)}).where("nth = 1")
+    return _found(best, "secrets", F.col("type"), F.col("shown"), F.col("cap"))
+
+
+def _spanned(rows: DataFrame, way: Column) -> DataFrame:
+    return rows.select("doc_id", "line_number", "offset", "start", "start_col", "end_col", "text", "line", "before", "after", "type", "shown", "cap", way.cast("int").alias("way"))
+
+
+def _jwt(t: Column) -> Column:
+    """Three parts, the first of which decodes to a header with an algorithm."""
+    head = F.translate(F.substring_index(t, ".", 1), "-_", "+/")
+    decoded = F.try_to_binary(F.rpad(head, (F.ceil(F.char_length(head) / 4) * 4).cast("int"), "="), F.lit("base64")).cast("string")
+    return t.rlike(r"^.{10,}\..{10,}\..{5,}$") & F.coalesce(decoded.contains('"alg"'), F.lit(False))
+
+
+def _plausible(v: Column) -> Column:
+    """Whether an unquoted value can be a secret: no short word, no number, no universal identifier."""
+    word = v.rlike("^[a-z]+$") & (F.char_length(v) < 16)
+    return ~word & ~v.rlike("^[0-9-]+$") & ~v.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+
+
+def _aws_secrets(lines: DataFrame) -> DataFrame:
+    """Secret access keys: 40 characters of mixed case beside their name, or an access key's id on the line or next to it."""
+    line = F.col("line")
+    named, paired = line.rlike(AWS_NAME), F.concat_ws(" ", "above", "below").rlike(AWS_ID)
+    only = (F.char_length(line) >= 40) & (named | line.rlike(AWS_ID) | paired) & ~has_word(["test", "example", "sample", "fake", "mock", "placeholder", "dummy"])
+    rows = candidates(lines, "(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?==*(?:$|[^A-Za-z0-9/+=]))", only, sure=named & paired)
+    t = F.col("text")
+    rows = rows.where(~t.rlike("^(?:AKIA|ASIA)") & t.rlike("[a-z]") & t.rlike("[A-Z]") & (checksums.entropy(t) > 4.5))
+    score = F.when(F.upper(t).contains("EXAMPLE"), 65.0).when(F.col("sure"), 95.0).otherwise(90.0)
+    return rows.withColumns({"type": F.lit("AWS_SECRET_ACCESS_KEY"), "shown": score, "cap": F.lit(None).cast("double")})
 
 
 # ---- cloud resources ----------------------------------------------------------------------------------------------
@@ -429,15 +684,20 @@ CLOUD = [
 ]
 
 
-def cloud_resources(lines: DataFrame) -> DataFrame:
+def cloud_resources(lines: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """Names of cloud resources; more: patterns of other kinds of names, as CLOUD_RESOURCE_ID, by a name for each.
+
+    Names inside longer ones go, as do those of public resources.
+    """
     size = F.char_length("text")
-    test = has_word(F.col("lower"), ["test", "example", "sample", "dummy", "mock", "fake", "placeholder"])
+    shapes = [*CLOUD, *((p, "CLOUD_RESOURCE_ID", 65.0, False) for p in (more or {}).values())]
     kind, base = F, F
-    for pattern, name, score, account in CLOUD:
+    for pattern, name, score, account in shapes:
         whole = F.col("text").rlike(f"^(?:{pattern})$")
         kind, base = kind.when(whole, name), base.when(whole, score + 10.0 * account)
-    rows = candidates(lines, "(?:" + "|".join(p for p, _, _, _ in CLOUD) + ")")
-    score = base - F.when(size < 20, 10.0).otherwise(0.0) - F.when(size > 500, 15.0).otherwise(0.0) - F.when(test, 20.0).otherwise(0.0)
+    test = has_word(["test", "example", "sample", "dummy", "mock", "fake", "placeholder"])
+    rows = candidates(lines, "(?:" + "|".join(p for p, _, _, _ in shapes) + ")", test=test)
+    score = base - F.when(size < 20, 10.0).otherwise(0.0) - F.when(size > 500, 15.0).otherwise(0.0) - F.when(F.col("test"), 20.0).otherwise(0.0)
     return _found(rows, "cloud_resources", kind, clamp(score, 0, 100), least=45.0)
 
 
@@ -455,22 +715,32 @@ DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 # ---- key and certificate blocks -----------------------------------------------------------------------------------
-# Kinds of blocks with their types.
-BLOCKS = {"(?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY": "SSH_PRIVATE_KEY", "CERTIFICATE": "CERTIFICATE", "PGP PRIVATE KEY BLOCK": "PGP_PRIVATE_KEY"}
+# Kinds of blocks with their types and scores.
+BLOCKS = {
+    "(?:RSA |DSA |EC |OPENSSH )?PRIVATE KEY": ("SSH_PRIVATE_KEY", 95.0), "ENCRYPTED PRIVATE KEY": ("CERTIFICATE", 90.0), "CERTIFICATE": ("CERTIFICATE", 90.0),
+    "PGP PRIVATE KEY BLOCK": ("PGP_PRIVATE_KEY", 96.0),
+}
 
 
-def key_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def key_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
     """FINDINGS of the lines of PEM and PGP blocks, one for each line, so that redaction removes all of them."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01\x02", "  ")
-    whole = docs.select(F.col(id_col).alias("doc_id"), text.alias("line"))
+    known = about(text_col, name_col)
+    whole = docs.where(F.col(text_col).contains("-----BEGIN ")).select(F.col(id_col).alias("doc_id"), F.lit(1).alias("line_number"), F.lit(0).alias("offset"), text.alias("line"), known.alias("about"))
     pattern = "|".join(f"-----BEGIN {k}-----[\\s\\S]*?-----END {k}-----" for k in BLOCKS)
-    rows = candidates(whole, f"(?:{pattern})", F.col("line").contains("-----BEGIN "))
-    kind = F
-    for k, name in BLOCKS.items():
-        kind = kind.when(F.col("text").rlike(f"^-----BEGIN {k}-----"), name)
-    rows = rows.select("doc_id", F.substring(F.col("line"), F.lit(1), start()).alias("lead"), kind.alias("type"), "text")
-    rows = rows.select("doc_id", "type", F.regexp_count("lead", F.lit("\n")).alias("above"), F.substring_index("lead", "\n", -1).alias("left"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    # line breaks are matches too: a block's line is one more than the breaks above it, and begins after the last of them
+    each = whole.select("doc_id", "about", spans(f"(?:{pattern})|\\n").alias("found")).where(F.exists("found", lambda x: x["text"] != "\n"))
+    broken = "array_max(transform(filter(found, y -> y.text = chr(10) AND y.start < x.start), y -> y.end_col))"
+    place = f"named_struct('no', get(above, i), 'at', x.start, 'col', x.start_col - coalesce({broken}, 1) + 1, 'lead', x.before, 'block', x.text)"
+    numbered = let_sql(running_sql("transform(found, x -> regexp_count(x.text, '\\n'))"), "above", f"transform(found, (x, i) -> IF(x.text = chr(10), NULL, {place}))")
+    rows = each.select("doc_id", "about", F.expr(f"inline_outer(array_compact({numbered}))"))
+    kind, base = F, F
+    for k, (name, score) in BLOCKS.items():
+        kind, base = kind.when(F.col("block").rlike(f"^-----BEGIN {k}-----"), name), base.when(F.col("block").rlike(f"^-----BEGIN {k}-----"), score)
+    rows = rows.select("doc_id", "about", "no", "at", "col", F.substring_index("lead", "\n", -1).alias("left"), kind.alias("type"), base.alias("base"), F.expr(let_sql(running_sql("transform(split(block, '\\n', -1), x -> char_length(x) + 1)"), "offsets", "transform(split(block, '\\n', -1), (x, i) -> named_struct('pos', i, 'text', x, 'by', get(offsets, i)))")).alias("parts"))
+    rows = rows.select("doc_id", "about", "no", "at", "col", "left", "type", "base", F.inline_outer("parts"))
     left = F.when(F.col("pos") == 0, F.col("left")).otherwise("")
-    out = rows.where("text != ''").select("doc_id", "type", "text", (F.col("above") + F.col("pos") + 1).alias("line_number"), F.concat(left, "text").alias("line"), (F.octet_length(left) + 1).alias("start_col"))
-    more = {"end_col": F.col("start_col") + F.octet_length("text"), "validator": F.lit("secrets"), "confidence": F.lit(95.0), "ceiling": F.lit(None).cast("double")}
-    return out.withColumns(more).select(*FINDINGS)
+    score = clamp(F.col("base") + _surroundings(F.lit(False), block=True), 0, 100)
+    out = rows.where("text != ''").withColumns({"line_number": (F.col("no") + F.col("pos") + 1).cast("int"), "line": F.concat(left, "text"), "start_col": F.when(F.col("pos") == 0, F.col("col")).otherwise(1), "start": F.col("at") + F.col("by")})
+    more = {"end_col": F.col("start_col") + F.octet_length("text"), "validator": F.lit("secrets"), "confidence": score, "ceiling": F.lit(None).cast("double"), "before": left, "after": F.lit(""), "length": F.char_length("text")}
+    return out.withColumns(more).select(*FINDINGS).where("confidence > 0")

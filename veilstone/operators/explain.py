@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstone.functions.text import band, has_word
+from veilstone.functions.text import band, word_pattern
 
 #: Words that tell of a test.
 TEST_WORDS = ["test", "tests", "testing", "example", "sample", "dummy", "mock", "fake", "fixture", "placeholder", "demo"]
@@ -18,7 +18,7 @@ def verdict(confidence: Column, test: Column) -> Column:
 
 def explained(findings: DataFrame, name: Column | None = None) -> DataFrame:
     """Findings with band, verdict, rationale and a draft reason for suppressing them."""
-    test = has_word(F.lower("line"), TEST_WORDS)
+    test = F.lower("line").rlike(word_pattern(TEST_WORDS))
     if name is not None:
         test |= F.lower(name).rlike(r"(?:^|[/_.-])(?:tests?|testdata|fixtures?|examples?|mocks?)(?:[/_.-]|$)")
     c = F.col("confidence")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstone.functions.text import let
 from veilstone.operators.overlap import outermost
 
 #: Which types share a label.
@@ -58,31 +59,39 @@ def replacement(strategy: str, text: Column, kind: Column, seed: int = 0) -> Col
     raise ValueError(f"unknown strategy {strategy!r}: simple, format_preserving or synthetic")
 
 
+#: Characters of a piece of a text; a span is cut from the few pieces it lies in.
+PIECE = 1024
+
+
+def _cut(pieces: Column, at: Column, size: Column) -> Column:
+    """``size`` characters from ``at`` (from 0) of a text in pieces."""
+    first = F.floor(at / PIECE).cast("int")
+    last = F.floor((at + size - 1) / PIECE).cast("int")
+    return F.when(size <= 0, F.lit("")).otherwise(F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), at % PIECE + 1, size))
+
+
 def redact(docs: DataFrame, findings: DataFrame, strategy: str = "simple", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with redacted (the text) and n_redacted.
 
     Findings of every confidence are redacted; of spans inside wider ones the widest.  Spans that cross
-    are replaced in order, a later one from where the earlier ends.  Lines are rebuilt from their own
-    spans, so the text travels once, joined by document.
+    are replaced in order, a later one from where the earlier ends.  The text travels once, joined by
+    document with its spans, and is put together from what lies between them in one pass.
     """
     spans = outermost(findings).dropDuplicates(["doc_id", "line_number", "start_col", "end_col"])
-    spans = spans.withColumn("to", replacement(strategy, F.col("text"), F.col("type")))
-    first = F.char_length(F.substring(F.col("line").cast("binary"), F.lit(1), F.col("start_col") - 1).cast("string"))
-    spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("line_number").alias("no"), first.alias("at"), F.char_length("text").alias("size"), "to")
-    by_doc = spans.groupBy("span_doc").agg(F.array_sort(F.collect_list(F.struct("no", "at", "size", "to"))).alias("spans"))
-    kept = docs.withColumn("line_list", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).join(by_doc, F.col(id_col) == F.col("span_doc"), "left")
-
-    def line(text: Column, i: Column) -> Column:
-        own = F.filter("spans", lambda s: s["no"] == i + 1)
-        begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("pos"))
-        step = lambda a, s: F.struct(
-            F.concat(a["done"], F.substring(text, a["pos"] + 1, F.greatest(s["at"] - a["pos"], F.lit(0))), s["to"]).alias("done"), F.greatest(a["pos"], s["at"] + s["size"]).alias("pos")
-        )
-        end = F.aggregate(own, begin, step)
-        return F.concat(end["done"], F.substring(text, end["pos"] + 1, F.char_length(text)))
-
-    text = F.when(F.col("spans").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform("line_list", line), "\n"))
-    return kept.withColumns({"redacted": text, "n_redacted": F.coalesce(F.size("spans"), F.lit(0))}).drop("line_list", "spans", "span_doc")
+    spans = spans.withColumns({"to": replacement(strategy, F.col("text"), F.col("type")), "end": F.col("start") + F.col("length")})
+    earlier = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    by_doc = spans.groupBy(F.col("doc_id").alias("span_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "from", "to"))).alias("spans"))
+    kept = docs.join(by_doc, F.col(id_col) == F.col("span_doc"), "left")
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+
+    def rebuilt(pieces: Column) -> Column:
+        parts = F.transform("spans", lambda s: F.concat(_cut(pieces, s["from"], s["start"] - s["from"]), s["to"]))
+        end = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), let(end, lambda e: _cut(pieces, e, F.char_length(whole) - e)))
+
+    text = F.when(F.col("spans").isNull(), whole).otherwise(let(F.split(whole, f"(?s)(?<=\\G.{{{PIECE}}})", -1), rebuilt))
+    return kept.withColumns({"redacted": text, "n_redacted": F.coalesce(F.size("spans"), F.lit(0))}).drop("spans", "span_doc")
 
 
 def audit(findings: DataFrame) -> DataFrame:

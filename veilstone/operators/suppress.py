@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstone.functions.text import BESIDE
+
 RULES = "id STRING, hash STRING, reason STRING, enabled BOOLEAN, created_at TIMESTAMP, expires_at TIMESTAMP"
 
 
@@ -12,18 +14,20 @@ def _sha(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
-def around(size: int = 50) -> list[Column]:
-    """Up to ``size`` bytes before and after a finding, within its line."""
-    raw = F.col("line").cast("binary")
-    low = F.greatest(F.lit(1), F.col("start_col") - size)
-    before = F.substring(raw, low, F.col("start_col") - low).cast("string")
-    return [before, F.substring(raw, F.col("end_col"), F.lit(size)).cast("string")]
+#: Detectors whose older rules knew no context; for the others such a rule would hide a new value on a changed line.
+CONTEXTLESS = ["secrets", "PERSON_NAME", "cloud_resources"]
+
+
+def _bytes(text: Column, size: int, end: bool) -> Column:
+    """The first or last ``size`` bytes of a text."""
+    raw = text.cast("binary")
+    return F.substring(raw, F.greatest(F.lit(1), F.octet_length(raw) - size + 1) if end else F.lit(1), F.lit(size)).cast("string")
 
 
 def finding_hash(name: Column | None = None, with_confidence: bool = False, with_context: bool = True) -> Column:
-    """Identity of a finding: type, (confidence,) line, file, line number, hashes of context and value."""
+    """Identity of a finding: type, (confidence,) line (its first bytes), file, line number, hashes of context and value."""
     line = F.trim("line") if with_context else F.lit("")
-    context = F.concat(*around()) if with_context else F.lit("")
+    context = F.concat(_bytes(F.col("before"), BESIDE, True), _bytes(F.col("after"), BESIDE, False)) if with_context else F.lit("")
     file = F.substring_index(name, "/", -1) if name is not None else F.lit("")
     parts = [F.col("type"), *([F.format_string("%.2f", F.col("confidence"))] if with_confidence else []), line, file, F.col("line_number").cast("string"), _sha(context), _sha(F.col("text"))]
     return _sha(F.concat_ws("|", *parts))
@@ -31,7 +35,10 @@ def finding_hash(name: Column | None = None, with_confidence: bool = False, with
 
 def hashed(findings: DataFrame, name: Column | None = None) -> DataFrame:
     """Findings with the hashes that a rule may have: today's first, then the older forms."""
-    return findings.withColumn("hashes", F.array(*[finding_hash(name, c, x) for x in (True, False) for c in (False, True)])).withColumn("finding_hash", F.col("hashes")[0])
+    known = [finding_hash(name), finding_hash(name, True)]
+    older = [finding_hash(name, c, False) for c in (False, True)]
+    forms = F.when(F.col("validator").isin(CONTEXTLESS), F.array(*known, *older)).otherwise(F.array(*known))
+    return findings.withColumn("hashes", forms).withColumn("finding_hash", F.col("hashes")[0])
 
 
 def active(rules: DataFrame, as_of: Column) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.functions.text import band, lines
+from veilstone.functions.lines import lines
+from veilstone.functions.text import band
 from veilstone.operators import context, explain, redact, report, suppress
 from veilstone.operators import detectors as d
 from veilstone.operators.labelled import PHONE_AGAINST, PHONE_WORDS
@@ -270,32 +271,33 @@ def email_ctes(source: str) -> str:
     providers = " ".join(f"WHEN domain IN {_in(v)} THEN {_q(k)}" for k, v in d.EMAIL_PROVIDERS.items())
     return f"""{_found(source, f"\\b{d.EMAIL}\\b", 0, "true", ", lower(text) AS t")},
         a AS (SELECT *, split_part(t, '@', 1) AS usr, split_part(t, '@', 2) AS domain, string_split(t, '.')[-1] AS top FROM c),
-        o AS (SELECT *, 100.0 - CASE WHEN regexp_matches(t, '^[.]|[.]@|\\.\\.') THEN 30 ELSE 0 END - CASE WHEN regexp_matches(domain, '^[.-]') THEN 100 ELSE 0 END
-              - CASE WHEN domain IN {_in(d.EMAIL_TEST_DOMAINS)} THEN 25 ELSE 0 END - CASE WHEN length(top) = 2 OR top IN {_in(d.TOP_LEVELS)} THEN 0 ELSE 10 END
-              - CASE WHEN usr IN {_in(d.EMAIL_TEST_USERS)} THEN 20 ELSE 0 END + CASE WHEN contains(usr, '.') AND usr NOT LIKE '.%' AND usr NOT LIKE '%.' THEN 5 ELSE 0 END
+        o AS (SELECT *, 100.0 - CASE WHEN length(t) > 254 OR length(usr) > 64 OR length(domain) > 253 THEN 30 ELSE 0 END - CASE WHEN regexp_matches(domain, '^[.-]') THEN 100 ELSE 0 END
+              - CASE WHEN domain IN {_in(d.EMAIL_TEST_DOMAINS)} OR regexp_matches(domain, '\\.(local|localhost|test|invalid|example)$') THEN 25 ELSE 0 END - CASE WHEN length(top) = 2 OR top IN {_in(d.TOP_LEVELS)} THEN 0 ELSE 10 END
+              - CASE WHEN usr IN {_in(d.EMAIL_TEST_USERS)} THEN 20 ELSE 0 END + CASE WHEN regexp_matches(t, '(first(name)?|f)\\.?last(name)?@|last(name)?\\.first(name)?@|l\\.?firstname@') THEN 5 ELSE 0 END
               - CASE WHEN length(t) > 254 OR length(t) < 6 THEN 10 ELSE 0 END - CASE WHEN contains(t, '..') THEN 10 ELSE 0 END - CASE WHEN {_or("t", d.EMAIL_TEST_PARTS, "contains")} THEN 15 ELSE 0 END AS own FROM a),
         x AS (SELECT *, CASE WHEN regexp_matches(after, '^(@|[:/\\\\][^ \\t\\r])') THEN -100.0 ELSE greatest(-60, least(30, {_sum(d.EMAIL_WORDS, 8.0)} + {_sum(d.EMAIL_AGAINST, -20.0)})) END
               + CASE WHEN {_table(d.EMAIL_NAME_VALUE)} THEN 15.0 ELSE 0.0 END AS context FROM o),
         f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, text, CASE {providers} WHEN {_or("domain", d.EMAIL_SCHOOLS, "suffix")} THEN 'EDUCATIONAL' WHEN {_or("domain", d.EMAIL_STATE, "suffix")} THEN 'GOVERNMENT'
-              WHEN {_or("domain", d.EMAIL_COMPANY_PARTS, "contains")} OR {_or("domain", d.EMAIL_COMPANY_ENDS, "suffix")} OR length(split_part(domain, '.', 1)) > 3 THEN 'BUSINESS' ELSE 'EMAIL' END AS type,
-              greatest(0, least(100, greatest(own, 0) + context))::DOUBLE AS confidence FROM x WHERE greatest(own, 0) + context > 0)"""
+              WHEN domain IN {_in(d.EMAIL_DISPOSABLE)} THEN 'DISPOSABLE' WHEN {_or("domain", d.EMAIL_COMPANY_PARTS, "contains")} OR {_or("domain", d.EMAIL_COMPANY_ENDS, "suffix")} OR length(split_part(domain, '.', 1)) > 3 THEN 'BUSINESS' ELSE 'EMAIL' END AS type,
+              greatest(0, least(100, CASE WHEN regexp_matches(usr, {_q(d.EMAIL_MACHINES)}) THEN least(85, greatest(own, 0) + context) ELSE greatest(own, 0) + context END))::DOUBLE AS confidence FROM x WHERE greatest(own, 0) + context > 0)"""
 
 
 SELECT = "SELECT doc_id, line_number, start_col, type, text, confidence FROM f"
 
 
 def ssn_sql(source: str) -> str:
+    """For lines without tables: a few words and one number."""
     fields = " + ".join(f"CASE WHEN {_has(words)} THEN {boost} ELSE 0.0 END" for boost, words in d.SSN_FIELDS)
-    triples = "|".join(str(i) * 3 for i in range(10))
+    runs = lambda n: "|".join(str(i) * n for i in range(10))
     return f"""{_found(source, r"\b([0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}\s[0-9]{2}\s[0-9]{4}|[0-9]{9})\b", 1, "true", ", regexp_replace(text, '[^0-9]', '', 'g') AS number")},
-        o AS (SELECT *, substr(number, 1, 3) AS area, substr(number, 4, 2) AS grp, substr(number, 6, 4) AS serial, contains(text, '-') AS dashes, {_sum(d.SSN_WORDS, 25.0)} AS positive FROM c),
-        p AS (SELECT *, 85.0 + CASE WHEN dashes THEN 10 ELSE 0 END - CASE WHEN text = number THEN 15 ELSE 0 END
-              - CASE WHEN contains('{d.UP}', number) OR contains('{d.DOWN}', number) THEN 15 ELSE 0 END
-              - CASE WHEN regexp_matches(number, '{triples}') OR area = grp || substr(grp, 1, 1) OR area = substr(serial, 1, 3) THEN 15 ELSE 0 END
-              + greatest(-50, least(50, positive + {_sum(d.SSN_AGAINST, -15.0)} + {fields} + CASE WHEN {_table(r"[A-Z][a-z]+\s+[A-Z][a-z]+\s+[0-9]{3}-?[0-9]{2}-?[0-9]{4}")} THEN 15.0 ELSE 0.0 END)) AS total
+        o AS (SELECT *, substr(number, 1, 3) AS area, substr(number, 4, 2) AS grp, substr(number, 6, 4) AS serial, contains(text, '-') AS dashes, {_sum(d.SSN_WORDS, 25.0)} AS positive, {_sum(d.SSN_AGAINST, 15.0)} AS negative,
+              (contains('{d.UP}', number) OR contains('{d.DOWN}', number)) AS runs FROM c),
+        p AS (SELECT *, 85.0 + CASE WHEN dashes THEN 10 WHEN text = number THEN -15 ELSE 0 END - CASE WHEN runs THEN 15 ELSE 0 END
+              - CASE WHEN regexp_matches(number, '{runs(3)}') OR area = grp || substr(grp, 1, 1) OR area = substr(serial, 1, 3) THEN 15 ELSE 0 END
+              + greatest(-50, least(50, positive - negative + {fields} - CASE WHEN runs OR regexp_matches(number, '{runs(4)}') OR {_has(d.SSN_MARKS)} THEN 40.0 ELSE 0.0 END)) AS total
               FROM o WHERE area NOT IN ('000', '666') AND area < '900' AND grp <> '00' AND serial <> '0000' AND number NOT IN {_in(d.SSN_TESTS)}),
         f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'SSN' AS type, text,
-              least(greatest(0, least(100, total)), CASE WHEN positive > 0 THEN 100 WHEN dashes THEN 60 ELSE 50 END)::DOUBLE AS confidence FROM p)
+              greatest(0, least(100, CASE WHEN positive > 0 THEN total WHEN negative > 0 THEN total - 25 WHEN dashes THEN least(60, total) ELSE least(50, total) END))::DOUBLE AS confidence FROM p)
         {SELECT} WHERE confidence > 0"""
 
 
@@ -309,10 +311,11 @@ def ip_sql(source: str) -> str:
         nets.append(f"(n >> {32 - int(bits)}) = {x >> (32 - int(bits))}")
     return f"""{_found(source, d.IPV4, 0, "true")},
         o AS (SELECT *, (split_part(text, '.', 1)::BIGINT * 16777216 + split_part(text, '.', 2)::BIGINT * 65536 + split_part(text, '.', 3)::BIGINT * 256 + split_part(text, '.', 4)::BIGINT) AS n, left(after, 1) AS a, left(after, 2) AS a2 FROM c),
-        p AS (SELECT *, greatest(0, least(100, 110.0 + greatest(-80, least(40, {_sum(d.IP_WORDS, 12.0)} + {_sum(d.IP_AGAINST, -30.0)})))) AS total, {_has(d.IP_WORDS)} AS positive FROM o
-              WHERE (b = '' OR NOT regexp_matches(b, '[0-9A-Za-z_.:]')) AND NOT regexp_matches(a, '[0-9A-Za-z_:]') AND NOT regexp_matches(a2, '^\\.([0-9A-Za-z_ ]|$)')
-              AND NOT ({" OR ".join(nets)}) AND text NOT IN {_in(d.IP_RESOLVERS)} AND NOT regexp_matches(text, '(^|\\.)0[0-9]')),
-        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'IP_ADDRESS' AS type, text, (CASE WHEN NOT positive AND total >= 90 THEN 75.0 ELSE total END)::DOUBLE AS confidence FROM p WHERE total > 0)
+        p AS (SELECT *, greatest(0, 110.0 + greatest(-80, least(40, {_sum(d.IP_WORDS, 12.0)} + {_sum(d.IP_AGAINST, -30.0)}))) AS total, {_has(d.IP_WORDS)} AS positive FROM o
+              WHERE (b = '' OR NOT regexp_matches(b, '[0-9A-Za-z.:]')) AND NOT regexp_matches(a, '[0-9A-Za-z.]')
+              AND NOT ({" OR ".join(nets)}) AND text NOT IN {_in(d.IP_RESOLVERS + d.IP_SAMPLES)} AND NOT regexp_matches(text, '(^|\\.)0[0-9]')),
+        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'IP_ADDRESS' AS type, text, (CASE WHEN NOT positive AND NOT regexp_matches(after, '^(:[0-9]{{1,5}}|/[0-9]{{1,2}})\\b') AND total >= 90 THEN 75.0 ELSE least(100, total) END)::DOUBLE AS confidence
+              FROM p WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, line_number, text ORDER BY start_col) = 1)
         {SELECT}"""
 
 
@@ -337,7 +340,7 @@ def aba_sql(source: str) -> str:
     return f"""{_found(source, r"\b[0-9]{9}\b", 0, "true")},
         p AS (SELECT *, {_has(d.BANK_WORDS)} AS banking, {_bank_context()} AS context FROM c
               WHERE (3 * ({s(1)} + {s(4)} + {s(7)}) + 7 * ({s(2)} + {s(5)} + {s(8)}) + {s(3)} + {s(6)} + {s(9)}) % 10 = 0
-              AND (text[1:2]::INT BETWEEN 0 AND 12 OR text[1:2]::INT BETWEEN 21 AND 32 OR text[1:2]::INT BETWEEN 61 AND 72 OR text[1:2] = '80') AND text NOT IN {_in(d.ABA_TESTS)}),
+              AND (text[1:2]::INT BETWEEN 1 AND 32 OR text[1:2]::INT BETWEEN 61 AND 72 OR text[1:2] = '80') AND text NOT IN {_in(d.ABA_TESTS)}),
         f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'ABA_ROUTING' AS type, text, greatest(0, least(100, CASE WHEN banking THEN 70.0 ELSE 40.0 END + context))::DOUBLE AS confidence, banking FROM p)
         {SELECT} WHERE confidence > 0 AND (banking OR confidence >= 50)"""
 
@@ -350,10 +353,12 @@ def iban_sql(source: str) -> str:
         {SELECT}"""
 
 
-def medical_sql(source: str, pattern: str, check: str, kind: str, base: float, without: float) -> str:
+def medical_sql(source: str, pattern: str, check: str, kind: str, words: list[str], base: float, without: float) -> str:
+    strong = _sum(d.MEDICAL_STRONG_AGAINST, 25.0)
+    context = f"greatest(-60, least(40, {_sum(d.MEDICAL_WORDS, 10.0)} - {strong} + {_sum(d.MEDICAL_AGAINST, -15.0)}))"
     return f"""{_found(source, pattern, 0, check)},
-        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, '{kind}' AS type, text, greatest(15, greatest(0, least(100, CASE WHEN {_has(d.MEDICAL_WORDS)} THEN {base} ELSE {base - without} END
-              + greatest(-60, least(40, {_sum(d.MEDICAL_WORDS, 10.0)} + {_sum(d.MEDICAL_AGAINST, -15.0)})))))::DOUBLE AS confidence FROM c)
+        o AS (SELECT *, CASE WHEN {strong} > 0 THEN least(-25, {context}) ELSE {context} END AS context, CASE WHEN {_has(words)} THEN {base} ELSE {base - without} END AS own FROM c),
+        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, '{kind}' AS type, text, (CASE WHEN own + context <= 0 THEN 15.0 ELSE least(100, own + context) END)::DOUBLE AS confidence FROM o)
         {SELECT}"""
 
 
@@ -365,7 +370,7 @@ def cloud_sql(source: str) -> str:
 
 
 def _kinds_sql() -> str:
-    parts = ", ".join(f"{{'share': len(list_filter(cut, lambda x: regexp_matches(x, {_q(p)})))::DOUBLE / len(cut), 'kind': {_q(k)}}}" for k, p in context.KINDS.items())
+    parts = ", ".join(f"{{'share': len(list_filter(cut, lambda x: regexp_matches(x, {_q(p)})))::DOUBLE / len(cut), 'kind': {_q(k)}}}" for k, (p, _) in context.KINDS.items())
     test = " + ".join(f"contains(low, {_q(w)})::INT" for w in context.PHRASES["TestData"])
     prod = " + ".join(f"contains(low, {_q(w)})::INT" for w in context.PHRASES["Production"])
     return f"""b AS (SELECT doc_id, string_split(substr(coalesce(text, ''), 1, {context.SAMPLE}), chr(10)) AS cut, lower(coalesce(text, '')) AS low FROM documents),
@@ -423,10 +428,10 @@ ORACLE_SQL: dict[str, str] = {
     "detect_vin_customers": vin_sql(_people_sql(VIN_TEXT)),
     "detect_aba_customers": aba_sql(_people_sql(ABA_TEXT)),
     "detect_iban_customers": iban_sql(_people_sql(IBAN_TEXT)),
-    "detect_npi_customers": medical_sql(_people_sql(NPI_TEXT), r"\b[12][0-9]{9}\b", _luhn("('80840' || text)"), "NPI", 80.0, 40.0),
+    "detect_npi_customers": medical_sql(_people_sql(NPI_TEXT), r"\b[12][0-9]{9}\b", _luhn("('80840' || text)"), "NPI", d.MEDICAL_CONTEXTS["provider"], 80.0, 40.0),
     "detect_dea_customers": medical_sql(
         _people_sql(DEA_TEXT), r"\b[ABCDFGMabcdfgm][A-Za-z][0-9]{7}\b",
-        "(text[3]::INT + text[5]::INT + text[7]::INT + 2 * (text[4]::INT + text[6]::INT + text[8]::INT)) % 10 = text[9]::INT", "DEA_NUMBER", 85.0, 30.0,
+        "(text[3]::INT + text[5]::INT + text[7]::INT + 2 * (text[4]::INT + text[6]::INT + text[8]::INT)) % 10 = text[9]::INT", "DEA_NUMBER", d.MEDICAL_CONTEXTS["dea"], 85.0, 30.0,
     ),
     "detect_cloud_customers": cloud_sql(_people_sql(ARN_TEXT)),
     "document_context": f"WITH {_kinds_sql()} SELECT doc_id, doc_kind, test_score, production_score, adjustment FROM adj",

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstone.functions.text import lines
+from veilstone.functions.lines import lines
+from veilstone.functions.tables import fresh_path
 from veilstone.operators.context import adjusted, document_context
 from veilstone.operators.detectors import DETECTORS as CHECKED
 from veilstone.operators.detectors import key_blocks
 from veilstone.operators.labelled import LABELLED
+from veilstone.operators.metadata import metadata
 from veilstone.operators.redact import redact
 
 DETECTORS = CHECKED | LABELLED
-#: A line that any detector can use holds a digit or one of these; all other lines are left out at once.
-ANY = r"[0-9@=:/™®©\"']|eyJ|(?i:copyright|trademark|confidential|secret|proprietary|internal|restricted|classified|\(c\)|\(tm\)|\(r\)|route|box)|[A-ZÀ-Þ][a-zß-ÿ]+\s+(?:[A-Z]\.\s+)?[A-ZÀ-Þ][a-zß-ÿ]+|[A-Za-z2-7]{16}|[A-Z]{6}"
+#: What a line has to have for a detector: cheap tests that let through every line in which it can find something.
+USES = {
+    "CREDIT_CARD": r"\d{4}", "EMAIL": "@", "SSN": r"\d{3}", "IP_ADDRESS": r"\d\.\d|:[0-9A-Fa-f]*:", "VIN": "[A-HJ-NPR-Za-hj-npr-z0-9]{17}",
+    "BANK_ACCOUNT": r"\d{8}|[A-Z]{6}|[A-Za-z]{2}\d{2}", "MEDICAL_ID": r"\d{2}", "SECRETS": r"[\"'=:]|eyJ|AKIA|gh[pousr]_|AIza|[sp]k_(?:live|test)_|glpat-|dckr_pat_|xox[bp]-|[A-Za-z0-9/+]{40}",
+    "CLOUD_RESOURCES": r"arn:aws|/subscriptions/|/providers/|projects/|folders/|organizations/|ocid1\.|crn:v1:|acs:", "PHONE": r"\d{3}", "DATE_OF_BIRTH": r"\d", "DRIVERS_LICENSE": r"\d[\d -]",
+    "OTP": r"otpauth://|[A-Z2-7]{16}|[a-z2-7]{16}|[A-Za-z0-9]{4}-[A-Za-z0-9]{4}", "PASSPORT": r"\d{6}|[A-Z]{2}[A-Z0-9]{7}|<", "PHYSICAL_ADDRESS": r"\d",
+    "INTELLECTUAL_PROPERTY": r"(?i)copyright|\(c\)|©|\d{3}[,.]?\d{2}|trademark|\((?:tm|r)\)|[™®]|confidential|secret|proprietary|internal|restricted|classified",
+    "PERSON_NAME": "[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ.,'-]*\\s+[A-ZÀ-ÖØ-Þ]", "SOCIAL_MEDIA": "(?!)",
+}
+#: Which detectors read what is around a line.
+READS = {
+    "table": ["SSN", "MEDICAL_ID", "DRIVERS_LICENSE", "OTP", "PASSPORT"], "about": ["SECRETS"], "above2": ["PHYSICAL_ADDRESS"], "below2": ["PHYSICAL_ADDRESS"],
+    "above": ["MEDICAL_ID", "DRIVERS_LICENSE", "PASSPORT", "PHYSICAL_ADDRESS", "SECRETS"], "below": ["PHYSICAL_ADDRESS", "SECRETS"],
+}
 
 
 def checks_of(checks: list[str] | None) -> list[str]:
@@ -28,28 +43,70 @@ def checks_of(checks: list[str] | None) -> list[str]:
     return [c for c in DETECTORS if c in wanted]
 
 
-def detect(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", reuse: bool = True) -> DataFrame:
+def uses(name: str) -> Column:
+    return F.col("line").contains("@") if USES[name] == "@" else F.col("line").rlike(USES[name])
+
+
+def routed(rows: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """Lines dealt to the detectors that can use them, written once, a folder for each detector.
+
+    So the texts are read once, and each detector reads only its lines.
+    """
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "routed-lines")
+    dealt = rows.drop("lower").withColumn("detector", F.explode(F.array_compact(F.array(*[F.when(uses(n), F.lit(n)) for n in names]))))
+    dealt = dealt.withColumns({c: F.when(F.col("detector").isin(readers), F.col(c)) for c, readers in READS.items()})
+    dealt.write.partitionBy("detector").parquet(path)
+    back = spark.read.schema(dealt.schema).parquet(path).withColumns({"lower": F.lower("line"), **{c: F.coalesce(c, F.lit("")) for c in ("above", "above2", "below", "below2")}})
+    return {n: back.where(F.col("detector") == n).drop("detector") for n in names}
+
+
+def detect(
+    docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, reuse: bool = True,
+    last_year: int | None = None, limit: int = 0,
+) -> DataFrame:
     """What the detectors find line by line, before the documents' context.
 
-    Texts are read and cut into lines once: the lines that any detector can use are kept (in memory or
-    on disk) for all of them.  reuse=False keeps nothing, as a stream needs it.
+    Several detectors share one pass over the texts (``routed``); reuse=False reads them for each, as a
+    stream needs it.  last_year: the last plausible year of a birth (by default this one).  limit: most
+    findings of a detector in a document, in the order of their places (0: all).
     """
-    rows, out = lines(docs, id_col, text_col).where(F.col("line").rlike(ANY)), None
+    rows, out = lines(docs, id_col, text_col, name_col), None
     names = checks_of(checks)
-    if reuse and len(names) > 1:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    of = routed(rows, names) if reuse and len(names) > 1 else dict.fromkeys(names, rows)
     for name in names:
-        part = DETECTORS[name](rows)
+        find = partial(DETECTORS[name], last_year=last_year) if name == "DATE_OF_BIRTH" else DETECTORS[name]
+        part = find(of[name])
+        if name == "SECRETS":
+            part = part.unionByName(key_blocks(docs, id_col, text_col, name_col))
         out = part if out is None else out.unionByName(part)
-    return out.unionByName(key_blocks(docs, id_col, text_col)) if "SECRETS" in names else out
+    return first_of(out, limit) if limit else out
 
 
-def scan(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
+def first_of(findings: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` findings of each detector in a document: the first by place."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("doc_id", "validator").orderBy("start", "end_col", "type"))
+    return findings.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
+
+
+def scan(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, **options) -> DataFrame:
     """Findings of ``docs`` with their final confidence.  Null and empty texts have none."""
-    found = adjusted(detect(docs, checks, id_col, text_col), document_context(docs, id_col, text_col, name_col))
+    found = adjusted(detect(docs, checks, id_col, text_col, name_col, **options), document_context(docs, id_col, text_col, name_col))
     return found.where(F.col("confidence") > 0)
 
 
-def scan_and_redact(docs: DataFrame, checks: list[str] | None = None, strategy: str = "simple", id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
+def scan_units(units: DataFrame, checks: list[str] | None = None, **options) -> DataFrame:
+    """Findings of extracted files: units of (path, part, name, text), metadata being known by its part.
+
+    Bodies go to all detectors; a metadata unit goes to them as well, and its fields to the fields' table.
+    """
+    unit = units.withColumn("doc_id", F.concat_ws("#", "path", "part"))
+    found = scan(unit, checks, name_col="name", **options)
+    fields = metadata(unit.where(F.col("part") == "metadata")).withColumn("doc_kind", F.lit("Unknown"))
+    return found.unionByName(fields)
+
+
+def scan_and_redact(docs: DataFrame, checks: list[str] | None = None, strategy: str = "simple", id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, **options) -> DataFrame:
     """``docs`` with the redacted text and the number of replaced spans."""
-    return redact(docs, scan(docs, checks, id_col, text_col, name_col), strategy, id_col, text_col)
+    return redact(docs, scan(docs, checks, id_col, text_col, name_col, **options), strategy, id_col, text_col)
