@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilstone.functions.documents import DOMAIN_SAMPLE, DOMAINS, ENVIRONMENTS
 from veilstone.functions.lines import lines
 from veilstone.functions.text import band
 from veilstone.operators import context, explain, redact, report, suppress
@@ -381,16 +382,33 @@ def _kinds_sql() -> str:
         adj AS (SELECT *, (CASE WHEN doc_kind IN ('CSV', 'TSV', 'FixedWidth') THEN 20.0 ELSE 0.0 END - CASE WHEN test_score > 0.5 THEN 30.0 ELSE 0.0 END)::DOUBLE AS adjustment FROM ctx)"""
 
 
+def _about_sql() -> str:
+    """A document's environment and domain, over the CTEs of ``_kinds_sql``."""
+    held = lambda low, words: " + ".join(f"contains({low}, {_q(w)})::INT" for w in words)
+    env = ", ".join(f"({held('low', w)}) AS n_{k}" for k, w in ENVIRONMENTS.items())
+    fields = ", ".join(f"{{'n': {held('cut', w)}, 'name': {_q(k)}}}" for k, w in DOMAINS.items())
+    return f"""e0 AS (SELECT doc_id, lower(coalesce(text, '')) AS low, lower(substr(coalesce(text, ''), 1, {DOMAIN_SAMPLE})) AS cut FROM documents),
+        e1 AS (SELECT doc_id, {env}, [{fields}] AS fields FROM e0),
+        e2 AS (SELECT *, list_max(list_transform(fields, lambda x: x.n)) AS most, list_sum(list_transform(fields, lambda x: x.n)) AS every FROM e1),
+        about AS (SELECT doc_id, CASE WHEN n_test > n_development AND n_test > n_production THEN 'test' WHEN n_development > n_production THEN 'development' WHEN n_production > 0 THEN 'production' ELSE 'unknown' END AS env,
+              CASE WHEN most > 0 AND most >= 0.3 * every THEN list_filter(fields, lambda x: x.n = most)[1].name ELSE 'Unknown' END AS dom FROM e2)"""
+
+
 def secret_ctes(source: str) -> str:
+    """Quoted values that a name assigns, the only shape that the documents hold."""
     names = "|".join(d.SECRET_NAMES)
     share = "(len(list_filter(string_split(text, ''), lambda x: x = ch))::DOUBLE / length(text))"
     specific = " OR ".join(f"regexp_matches(text, {_q(p)})" for p, _, _ in d.TOKENS)
-    test = _has(["test", "example", "sample", "dummy", "mock", "fake"])
-    return f"""{_found(source, f"(?i)(?:{names})[\"']?\\s*[=:]\\s*[\"']([^\"']{{8,}})[\"']", 1, "true")},
+    amounts = lambda column, found: "CASE " + " ".join(f"WHEN {column} = {_q(k)} THEN {v}" for k, v in found.items()) + " ELSE 0.0 END"
+    part = lambda words, n: "(" + " OR ".join(f"(contains(lower(text), {_q(w)}) AND length(text) <= {len(w) * n})" for w in words) + ")"
+    return f"""{_found(source, f"(?i)(?:{names})[\"']?\\s*[=:]\\s*[\"']([^\"']{{8,}})[\"']", 1, "true")}, {_kinds_sql()}, {_about_sql()},
         e AS (SELECT *, -list_sum(list_transform(list_distinct(string_split(text, '')), lambda ch: {share} * log2({share}))) AS bits FROM c WHERE NOT ({specific})),
-        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, text, 'API_KEY_OR_SECRET' AS type, (85.0 - CASE WHEN length(text) < 12 THEN 30 ELSE 0 END - CASE WHEN length(text) > 200 THEN 10 ELSE 0 END
-              - CASE WHEN {_or("lower(text)", d.SECRET_COMMON, "contains")} THEN 20 ELSE 0 END - CASE WHEN bits > CASE WHEN regexp_matches(text, '^[0-9a-fA-F]+$') THEN 3.0 ELSE 3.2 END THEN 0 ELSE 25 END
-              - CASE WHEN {test} THEN 30 ELSE 0 END - CASE WHEN regexp_matches(text, '\\s') THEN 15 ELSE 0 END)::DOUBLE AS confidence FROM e)"""
+        f0 AS (SELECT e.*, greatest(0, least(100, greatest(0, 85.0 - CASE WHEN strlen(e.text) > 100 THEN 10 ELSE 0 END - CASE WHEN {part(d.SECRET_COMMON, 2)} THEN 20 ELSE 0 END - CASE WHEN {part(d.SECRET_TESTS, 3)} THEN 30 ELSE 0 END
+              - CASE WHEN bits < 3 THEN 25 ELSE 0 END - CASE WHEN regexp_matches(e.text, '[ \\t]') THEN 15 ELSE 0 END)
+              + adjustment + least(30, {amounts("env", d.BY_ENVIRONMENT)} + {amounts("dom", {"Financial": 12.0, "Healthcare": -5.0})} + {amounts("doc_kind", d.BY_KIND)}))) AS score
+              FROM e JOIN adj USING (doc_id) JOIN about USING (doc_id)),
+        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, text, 'API_KEY_OR_SECRET' AS type, score::DOUBLE AS confidence
+              FROM f0 WHERE score > CASE WHEN regexp_matches(text, '^[0-9A-Fa-f]{{16,}}$') AND bits > 3 THEN 50 ELSE 60 END)"""
 
 
 def phone_sql(source: str) -> str:
@@ -413,14 +431,14 @@ _BOTH = f"bth AS (SELECT * FROM ({card_ctes(DOCS)} SELECT * FROM f) UNION ALL SE
 ORACLE_SQL: dict[str, str] = {
     "scan_documents": f"""WITH {_kinds_sql()}, {_BOTH},
         every AS (SELECT * FROM bth UNION ALL SELECT * FROM ({ip_sql(DOCS).rpartition("SELECT doc_id, line_number")[0]} SELECT doc_id, line_number, start_col, text, type, confidence FROM f)
-                  UNION ALL SELECT * FROM ({secret_ctes(DOCS)} SELECT doc_id, line_number, start_col, text, type, confidence FROM f WHERE confidence >= 50)),
+                  UNION ALL SELECT * FROM ({secret_ctes(DOCS)} SELECT doc_id, line_number, start_col, text, type, confidence FROM f)),
         fin AS (SELECT doc_id, line_number, start_col, type, text, greatest(0, least(100, confidence + adjustment))::DOUBLE AS confidence FROM every JOIN adj USING (doc_id))
         SELECT *, {_BAND} AS band FROM fin WHERE confidence > 0""",
     "document_lines": "SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, (strlen(coalesce(text, '')) - (len(string_split(coalesce(text, ''), chr(10))) - 1))::BIGINT AS n_bytes FROM documents",
     "detect_credit_card": f"{card_ctes(DOCS)} {SELECT}",
     "detect_email": f"{email_ctes(DOCS)} {SELECT}",
     "detect_ip_address": ip_sql(DOCS),
-    "detect_secrets": f"{secret_ctes(DOCS)} {SELECT} WHERE confidence >= 50",
+    "detect_secrets": f"{secret_ctes(DOCS)} {SELECT}",
     "detect_phone": phone_sql(DOCS),
     "detect_credit_card_customers": f"{CARDS} {SELECT}",
     "detect_ssn_customers": ssn_sql(_people_sql(SSN_TEXT)),
@@ -437,7 +455,7 @@ ORACLE_SQL: dict[str, str] = {
     "document_context": f"WITH {_kinds_sql()} SELECT doc_id, doc_kind, test_score, production_score, adjustment FROM adj",
     "email_context": f"{email_ctes(DOCS)}, {_kinds_sql()} SELECT doc_id, line_number, start_col, type, f.text, greatest(0, least(100, confidence + adjustment))::DOUBLE AS confidence FROM f JOIN adj USING (doc_id)",
     "outermost_spans": f"""WITH {_BOTH}, every AS (SELECT *, start_col + strlen(text) AS end_col FROM (SELECT doc_id, line_number, start_col, text, type FROM bth
-                  UNION ALL SELECT * FROM ({secret_ctes(DOCS)} SELECT doc_id, line_number, start_col, text, type FROM f WHERE confidence >= 50)))
+                  UNION ALL SELECT * FROM ({secret_ctes(DOCS)} SELECT doc_id, line_number, start_col, text, type FROM f)))
         SELECT doc_id, line_number, type, text FROM every a WHERE NOT EXISTS (SELECT 1 FROM every b WHERE a.doc_id = b.doc_id AND a.line_number = b.line_number
             AND b.start_col <= a.start_col AND a.end_col <= b.end_col AND b.end_col - b.start_col > a.end_col - a.start_col)""",
     "redact_simple_customers": f"""WITH s AS ({ssn_sql(_people_sql(SSN_TEXT))}), p AS ({_people_sql(SSN_TEXT)})
