@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from veilstone.llm.store import columns, small_batches, with_fields
+from veilstone.llm.store import columns, mapped, small_batches, with_fields
 
 #: Fixed value: the pattern that splits text before the merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -245,4 +245,4 @@ def encode_texts(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
                 new.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "ids", *["decoded"] * decoded])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from veilstone.llm.store import batches as arrow_batches
-from veilstone.llm.store import columns, free_name, global_rank, small_batches, with_fields, written
+from veilstone.llm.store import columns, free_name, global_rank, mapped, small_batches, with_fields, written
 
 #: Words and runs of other marks; two white-space-separated words alike are one n-gram of their own.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -131,7 +131,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, name: str, id_col: str, text_col:
                 w.append(sum(parts))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(w, pa.float64())], [*(f.name for f in kept), name])
 
-    return docs.mapInArrow(run, with_fields(kept, **{name: DoubleType()}))
+    return mapped(docs, run, with_fields(kept, **{name: DoubleType()}))
 
 
 @dataclass

@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType
 from veilstone.llm.components import components
 
 from veilstone.llm.store import batches as arrow_batches
-from veilstone.llm.store import columns, free_name, partitions, quoted, small_batches, with_fields, written
+from veilstone.llm.store import columns, free_name, mapped, partitions, quoted, small_batches, with_fields, written
 
 #: Words in a shingle, seed of its hash, and bits in which linked fingerprints may differ.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -62,7 +62,7 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", keep_te
             h = np.array([fingerprint(t) for t in b.column(text_col).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(h)], [*(f.name for f in kept), name])
 
-    return docs.mapInArrow(run, with_fields(kept, **{name: LongType()}))
+    return mapped(docs, run, with_fields(kept, **{name: LongType()}))
 
 
 def steps(radius: int = RADIUS, lanes: int = 8) -> list[int]:

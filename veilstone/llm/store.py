@@ -1,53 +1,23 @@
-"""Where intermediate tables live, and the helpers that the operators share.
+"""Helpers that the operators share: numbering of rows, batches, names and schemas.
 
-Everything that has to outlast an executor is written as Parquet below the folder that the
-session names in ``spark.checkpoint.dir``.  Only a local session that names none (unit tests) gets
-a temporary folder of its process, which is deleted when the process ends; on a cluster that is an
-error, as executors wouldn't see each other's files.
+Everything that has to outlast an executor is written below the session's shared folder
+(``veilstone.functions.tables``).
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-_own: dict[str, str] = {}
+from veilstone.functions.tables import fresh_path, shared_dir, written
+from veilstone.functions.text import quoted
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found and "://" in found:
-        return found.rstrip("/")
-    if found:  # no scheme: a path of the cluster's default file system
-        path = spark._jvm.org.apache.hadoop.fs.Path(found)
-        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-        return full.replace("file:/", "file:///", 1).rstrip("/") if full.startswith("file:/") and "://" not in full else full.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="veilstone-")
-        atexit.register(shutil.rmtree, _own["dir"], True)
-    return f"file://{_own['dir']}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: evaluated once, and safe from lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["batches", "columns", "free_name", "fresh_path", "global_rank", "mapped", "partitions", "quoted", "shared_dir", "small_batches", "with_fields", "written"]
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
@@ -89,11 +59,6 @@ def batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
-def quoted(name: str) -> str:
-    """A column's name as SQL and ``F.col`` read it, whatever marks it has."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def columns(df: DataFrame, names: list[str] | None = None) -> list[Column]:
     """The columns of ``df`` (or those named) by their quoted names."""
     return [F.col(quoted(c)) for c in (df.columns if names is None else names)]
@@ -104,6 +69,18 @@ def with_fields(fields: list[StructField], **new: DataType) -> StructType:
     return StructType([*fields, *(StructField(k, v) for k, v in new.items())])
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name: it takes none with backticks, so columns travel by number."""
+    names, given = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    out = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(b.rename_columns(names) for b in batches):
+            yield b.rename_columns(out.names)
+
+    return df.toDF(*given).mapInArrow(inner, out).toDF(*schema.names)
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str, group: str | None = None, name: str = "ranked") -> DataFrame:
     """``df`` with the 1-based position of each row within its ``group`` in the order of ``order``.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from veilstone.llm.store import columns, quoted, small_batches, with_fields, written
+from veilstone.llm.store import columns, mapped, quoted, small_batches, with_fields, written
 
 WORD = re.compile(r"\w+")
 #: Hash buckets and size of the vectors; words in a window; lengths of the n-grams.
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
             s = [scorer.score(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(s, pa.float64())], [*(f.name for f in kept), name])
 
-    return docs.mapInArrow(run, with_fields(kept, **{name: DoubleType()}))
+    return mapped(docs, run, with_fields(kept, **{name: DoubleType()}))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
