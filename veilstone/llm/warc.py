@@ -60,11 +60,11 @@ def record(page: str | None, url: str | None, payload: bytes, digest: str, refer
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
     """A dictionary built from records; few or short ones are cut into smaller and smaller pieces.
 
-    None only if that fails for the smallest pieces too, as with records of less than about a hundred
-    bytes in all; an archive of one WARC record is longer.
+    Where nothing can be trained from any pieces (records that are hardly different, say), the end of the
+    records themselves is the dictionary's content, which the format allows too.
     """
     size = min(DICTIONARY, max(256, sum(map(len, records)) // 10))
     for n in (0, *PIECES):
@@ -73,7 +73,7 @@ def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | No
             return zstandard.train_dictionary(size, parts)
         except zstandard.ZstdError:
             continue
-    return None
+    return zstandard.ZstdCompressionDict(b"".join(records)[-DICTIONARY:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class ArchiveWriter:
@@ -90,9 +90,8 @@ class ArchiveWriter:
 
     def _begin(self) -> None:
         built = build_dictionary(self.waiting)
-        if built:
-            inner = zstandard.ZstdCompressor(level=19).compress(built.as_bytes())
-            self._put(struct.pack("<II", DICTIONARY_FRAME, len(inner)) + inner)
+        inner = zstandard.ZstdCompressor(level=19).compress(built.as_bytes())
+        self._put(struct.pack("<II", DICTIONARY_FRAME, len(inner)) + inner)
         self.compress = zstandard.ZstdCompressor(level=self.level, dict_data=built, write_checksum=True).compress
         for r in self.waiting:
             self._put(self.compress(r))
