@@ -75,11 +75,18 @@ def gitlab_rows(findings: DataFrame, name: Column) -> DataFrame:
     return findings.select("doc_id", ident.alias("id"), level.alias("severity"), F.to_json(F.struct(ident.alias("id"), level.alias("severity"), F.col("type").alias("name"), place.alias("location"))).alias("value"))
 
 
+def xml_text(value: Column) -> Column:
+    """A value as text or an attribute of XML."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        value = F.replace(value, F.lit(mark), F.lit(name))
+    return value
+
+
 def junit_cases(findings: DataFrame, name: Column) -> DataFrame:
     """A test case for each document with findings; its failure is their type, or SECURITY_FINDINGS of several."""
     by = findings.groupBy("doc_id", name.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("low"), F.max("type").alias("high"), F.max("confidence").alias("most"))
     kind = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("SECURITY_FINDINGS")
-    return by.select("doc_id", "name", "n", kind.alias("failure"), F.concat(F.lit('<testcase name="'), F.col("name"), F.lit('"><failure type="'), kind, F.lit('" message="'), F.col("n").cast("string"), F.lit(' findings"/></testcase>')).alias("value"))
+    return by.select("doc_id", "name", "n", kind.alias("failure"), F.concat(F.lit('<testcase name="'), xml_text(F.col("name")), F.lit('"><failure type="'), xml_text(kind), F.lit('" message="'), F.col("n").cast("string"), F.lit(' findings"/></testcase>')).alias("value"))
 
 
 def rules(findings: DataFrame) -> DataFrame:
@@ -92,9 +99,9 @@ def stats(findings: DataFrame) -> DataFrame:
     return findings.withColumn("band", band(F.col("confidence"))).cube("type", "band").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("most"))
 
 
-def exit_code(findings: DataFrame, incomplete: DataFrame | None = None) -> int:
-    """1 if there are findings of MEDIUM or more, else 3 if some input wasn't read whole, else 0."""
-    if findings.where(F.col("confidence") >= 60).limit(1).count():
+def exit_code(findings: DataFrame, incomplete: DataFrame | None = None, least: float = 90.0) -> int:
+    """1 if there are findings of ``least`` or more (HIGH by default), else 3 if some input wasn't read whole, else 0."""
+    if findings.where(F.col("confidence") >= least).limit(1).count():
         return 1
     return 3 if incomplete is not None and incomplete.limit(1).count() else 0
 

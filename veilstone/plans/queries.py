@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.functions.documents import DOMAIN_SAMPLE, DOMAINS, ENVIRONMENTS
+from veilstone.functions.documents import DOMAIN_SAMPLE, DOMAINS, ENVIRONMENTS, SIGNALS
 from veilstone.functions.lines import lines
 from veilstone.functions.text import band
 from veilstone.operators import context, explain, redact, report, suppress
@@ -77,6 +77,10 @@ def document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.document_context(_docs(spark, sf_dir))
 
 
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.document_facts(_docs(spark, sf_dir))
+
+
 def email_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return _result(context.adjusted(detect(docs, ["EMAIL"]), context.document_context(docs)))
@@ -162,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_dea_customers": _on_people("MEDICAL_ID", DEA_TEXT),
     "detect_cloud_customers": _on_people("CLOUD_RESOURCES", ARN_TEXT),
     "document_context": document_context,
+    "document_facts": document_facts,
     "email_context": email_context,
     "outermost_spans": outermost_spans,
     "redact_simple_customers": _redacted("simple"),
@@ -423,6 +428,15 @@ def phone_sql(source: str) -> str:
         {SELECT} WHERE confidence > 0"""
 
 
+def facts_sql() -> str:
+    scores = ", ".join("(" + " + ".join(f"contains(lower(t), {_q(w)})::INT" for w in words) + f")::DOUBLE / {len(words)} AS {m[0].lower()}{m[1:]}" for m, words in context.PHRASES.items())
+    flags = ", ".join(f"regexp_matches(t, {_q(p)}) AS {s[0].lower()}{s[1:]}" for s, p in SIGNALS.items())
+    counts = ", ".join(f"(length(t) - length(replace(t, {c}, '')))::BIGINT AS n_{k}" for k, c in (("commas", "','"), ("tabs", "chr(9)"), ("pipes", "'|'"), ("semicolons", "';'")))
+    shares = ", ".join(f"CASE WHEN strlen(t) > 0 THEN len(regexp_extract_all(t, '{p}'))::DOUBLE / strlen(t) ELSE 0.0 END AS {k}_share" for k, p in (("digit", "[0-9]"), ("letter", "[A-Za-z]"), ("space", "[ \\t]")))
+    return f"""WITH {_about_sql()}, d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, dom AS domain, {scores}, {flags}, strlen(t)::BIGINT AS n_bytes, (length(t) - length(replace(t, chr(10), '')) + 1)::BIGINT AS n_lines, {counts}, {shares} FROM d JOIN about USING (doc_id)"""
+
+
 CARDS = card_ctes(_people_sql(CARD_TEXT))
 _BAND = "CASE WHEN confidence >= 90 THEN 'HIGH' WHEN confidence >= 60 THEN 'MEDIUM' ELSE 'LOW' END"
 _NAME = "'customer/' || doc_id::VARCHAR"
@@ -452,6 +466,7 @@ ORACLE_SQL: dict[str, str] = {
         "(text[3]::INT + text[5]::INT + text[7]::INT + 2 * (text[4]::INT + text[6]::INT + text[8]::INT)) % 10 = text[9]::INT", "DEA_NUMBER", d.MEDICAL_CONTEXTS["dea"], 85.0, 30.0,
     ),
     "detect_cloud_customers": cloud_sql(_people_sql(ARN_TEXT)),
+    "document_facts": facts_sql(),
     "document_context": f"WITH {_kinds_sql()} SELECT doc_id, doc_kind, test_score, production_score, adjustment FROM adj",
     "email_context": f"{email_ctes(DOCS)}, {_kinds_sql()} SELECT doc_id, line_number, start_col, type, f.text, greatest(0, least(100, confidence + adjustment))::DOUBLE AS confidence FROM f JOIN adj USING (doc_id)",
     "outermost_spans": f"""WITH {_BOTH}, every AS (SELECT *, start_col + strlen(text) AS end_col FROM (SELECT doc_id, line_number, start_col, text, type FROM bth
