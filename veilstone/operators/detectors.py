@@ -172,7 +172,6 @@ EMAIL_DISPOSABLE = [
     "wegwerfmail.net", "wegwerfmail.org", "yopmail.com",
 ]
 EMAIL_TEST_ENDS = [".local", ".localhost", ".test", ".invalid", ".example"]
-EMAIL_SAMPLES = ["firstname.lastname@", "first.last@", "f.lastname@", "flastname@", "lastname.firstname@", "last.first@", "l.firstname@", "lfirstname@"]
 #: Mailboxes of machines (a number or sign may follow), and what their confidence stops at.
 EMAIL_MACHINES = (
     r"^(?:(?:noreply|no-reply|no_reply|donotreply|do-not-reply|mailer-daemon|postmaster|bounce|bounces|alerts|alert|notifications|notification|notify|automated|auto-confirm|auto-reply|autoreply|"
@@ -205,7 +204,7 @@ def email(lines: DataFrame, top_levels: list[str] | None = None) -> DataFrame:
         - F.when(domain.isin(EMAIL_TEST_DOMAINS) | any_of(domain, EMAIL_TEST_ENDS, "endswith"), 25.0).otherwise(0.0)
         - F.when((F.char_length(top) == 2) | top.isin(top_levels or TOP_LEVELS), 0.0).otherwise(10.0)
         - F.when(user.isin(EMAIL_TEST_USERS), 20.0).otherwise(0.0)
-        + F.when(any_of(t, EMAIL_SAMPLES, "contains"), 5.0).otherwise(0.0)
+        + F.when(user.rlike(r"^[^.].*\.(?:.*[^.])$"), 5.0).otherwise(0.0)
         - F.when((size > 254) | (size < 6), 10.0).otherwise(0.0)
         - F.when(t.contains(".."), 10.0).otherwise(0.0)
         - F.when(any_of(t, EMAIL_TEST_PARTS, "contains"), 15.0).otherwise(0.0)
