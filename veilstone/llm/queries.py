@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilstone.llm import bpe, exact_dedup, hnsw, line_dedup, mixing, quality, simhash, token_counts, toxicity, warc
+from veilstone.llm import bpe, exact_dedup, filter_audit, hnsw, line_dedup, mixing, prefix_trie, quality, sharding, simhash, token_counts, toxicity, warc
 
 
 #: Batches that the line runs take the documents in: the last ones meet a merged run and a new one.
@@ -77,6 +77,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, labels).select("doc_id", "log_weight", "key", "kept")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.filter_audit(docs, labels)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -88,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_sharding": op11_sharding,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: A line's key in DuckDB; A-Z alone are lower-cased.
@@ -128,4 +145,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest,
                CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d""",
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+        m AS (SELECT part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask,
+                     coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+                     coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic FROM w),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, mask),
+        f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (SELECT f1.letter || f2.letter || f3.letter || f4.letter || f5.letter AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits
+              FROM f f1, f f2, f f3, f f4, f f5 WHERE len(list_distinct([f1.bit, f2.bit, f3.bit, f4.bit, f5.bit])) = 5),
+        s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+        a AS (SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (earlier | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & bit > 0 AND mask & earlier = 0) AS removed,
+                     sum(n) FILTER (WHERE mask & bit > 0 AND mask & earlier > 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+                     sum(good) FILTER (WHERE mask & bit > 0 AND mask & earlier = 0) AS good_lost, sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & earlier = 0) AS toxic_lost
+              FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM a""",
+    "op13_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+        g AS (SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, substr(text, 1, 32), sha256(strlen(role) || ':' || role || text)) AS own FROM t GROUP BY c),
+        h AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                     lambda crc, op: CASE WHEN op >= 0 THEN xor(crc, op) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, 4294967295), 4294967295) % 6 AS h FROM g),
+        r AS (SELECT h.c, coalesce(b.own[1:h.h], []) || h.own[h.h + 1:] AS turns FROM h LEFT JOIN g b ON b.c = h.c - h.c % 100),
+        p AS (SELECT c, d, turns[1:d] AS prefix, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+        n AS (SELECT prefix, d AS depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ends FROM p GROUP BY prefix, d),
+        k AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(prefix[depth].text) ELSE 0 END AS saved FROM n LEFT JOIN k USING (prefix)),
+        u AS (SELECT prefix[1:a] AS prefix, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM v) GROUP BY 1)
+        SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM v JOIN u USING (prefix) LEFT JOIN n q ON v.depth > 0 AND q.depth = v.depth - 1 AND q.prefix = v.prefix[1:v.depth - 1]""",
 }
