@@ -80,4 +80,7 @@ def test_quotas_leave_no_shard_overfull(wants, free):
     for s in range(4):
         came, went = sum(n for (a, b), n in may.items() if b == s), sum(n for (a, b), n in may.items() if a == s)
         assert came - went <= free[s]
-    assert all(min(n, asked[b, a]) <= may[a, b] <= n for (a, b), n in asked.items())
+    assert all(0 <= may[a, b] <= n for (a, b), n in asked.items())
+    # nobody is left who could still exchange, and no seat is free that someone wants
+    assert all(min(n - may[a, b], asked[b, a] - may[b, a]) == 0 for (a, b), n in asked.items())
+    assert not any(n > may[a, b] and free[b] + sum(may[b, c] - may[c, b] for c in range(4) if c != b) > sum(may[b, c] for c in range(4) if c != b) for (a, b), n in asked.items())

@@ -21,18 +21,49 @@ def seats(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
+def _cycle(rest: dict[tuple[int, int], int], shards: int) -> list[tuple[int, int]]:
+    """A closed way along moves that are still wanted, or none."""
+    done: set[int] = set()
+    for start in range(shards):
+        way, at = [], start
+        while at not in done:
+            if at in way:
+                way = [*way[way.index(at) :], at]
+                return list(zip(way, way[1:], strict=False))
+            way.append(at)
+            following = [b for b in range(shards) if rest.get((at, b), 0) > 0 and b not in done]
+            if following:
+                at = following[0]
+                continue
+            # a dead end: no cycle goes through it
+            done.add(way.pop())
+            at = way.pop() if way else at
+    return []
+
+
 def quotas(wants: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
-    """How many may move from one shard to another: swaps first, then the free seats of the target in proportion."""
-    shards = range(len(free))
-    swaps = {(a, b): min(wants.get((a, b), 0), wants.get((b, a), 0)) for a in shards for b in shards if a != b}
-    out = dict(swaps)
-    for b in shards:
-        rest = {a: wants.get((a, b), 0) - swaps[a, b] for a in shards if a != b}
-        left, total = free[b], sum(rest.values())
-        for a, n in rest.items():
-            share = min(n, left if total <= free[b] else n * free[b] // total)
-            out[a, b] += share
-            left -= share
+    """How many may move from one shard to another.
+
+    First exchanges that leave all numbers as they are: moves along closed ways, as many as all of a way's moves are
+    wanted (each way uses up one of them, so there are at most shards x shards ways).  Then moves to free
+    seats, which the sources share in proportion.
+    """
+    shards, rest = len(free), dict(wants)
+    out = dict.fromkeys(((a, b) for a in range(shards) for b in range(shards) if a != b), 0)
+    while way := _cycle(rest, shards):
+        n = min(rest[x] for x in way)
+        for x in way:
+            rest[x] -= n
+            out[x] += n
+    for b in range(shards):
+        asked = {a: rest.get((a, b), 0) for a in range(shards) if a != b}
+        total, left = sum(asked.values()), free[b]
+        shares = {a: n * min(left, total) // max(total, 1) for a, n in asked.items()}
+        left = min(left, total) - sum(shares.values())
+        for a, n in asked.items():
+            more = min(left, n - shares[a])
+            out[a, b] += shares[a] + more
+            left -= more
     return out
 
 
@@ -40,21 +71,22 @@ def _array(values: list[int], kind: str = "BIGINT") -> Column:
     return F.expr(f"CAST(array({', '.join(map(str, values))}) AS ARRAY<{kind}>)")
 
 
-def _wishes(linked: DataFrame, closed: list[bool], shards: int) -> DataFrame:
+def _wishes(linked: DataFrame, closed: list[bool], shards: int, turn: int) -> DataFrame:
     """(node, link, shard, to, gain) for each linked document: where it wants to be, itself included in the counts.
 
-    Of equal counts the shard with the larger hash of (link, shard) counts, the same for all members, so that
-    pairs don't swap for ever.  A full shard takes no newcomers.  Counts by (link, shard) are combined in
-    each task before they are shuffled, and a link key has at most one entry a shard; the join back
-    to a key's documents can be split where the key is common.
+    Of equal counts the shard with the larger hash of (link, shard, round) counts, the same for all members, so that
+    pairs don't swap for ever.  A full shard is wanted only where no other is better than one's own.
+    Counts by (link, shard) are combined in each task before they are shuffled, and a link key has
+    at most one entry a shard; the join back to a key's documents can be split where the key is common.
     """
     held = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-    entry = F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")
+    entry = F.struct("n", F.xxhash64("link", "shard", F.lit(turn)).alias("tie"), "shard")
     by_link = held.groupBy("link").agg(F.collect_list(entry).alias("held"))
     own = F.get(F.filter("held", lambda x: x["shard"] == F.col("shard")), F.lit(0))
     shut = _array([int(c) for c in closed], "INT")
     best = F.array_max(F.filter("held", lambda x: (x["shard"] == F.col("shard")) | (F.get(shut, x["shard"]) == 0)))
     both = linked.join(by_link, "link").withColumns({"own": own, "best": best})
+    both = both.withColumn("best", F.when(F.col("best.shard") == F.col("shard"), F.array_max("held")).otherwise(F.col("best")))
     return both.select("node", "link", "shard", F.col("best.shard").alias("to"), (F.col("best.n") - F.col("own.n")).alias("gain"))
 
 
@@ -77,15 +109,15 @@ def placed(docs: DataFrame, shards: int = 16, rounds: int = 16, id_col: str = "d
     linked = linked.select("node", "link", F.pmod(F.col("nth") - 1, F.lit(shards)).cast("int").alias("shard"))
     total, n_linked = base.count(), base.where("linked").count()
     free, closed = [a - b for a, b in zip(seats(total, shards), seats(n_linked, shards), strict=True)], [False] * shards
-    for _ in range(rounds if n_linked else 0):
-        wishes = written(_wishes(linked, closed, shards), "shard-wishes")
+    for turn in range(rounds if n_linked else 0):
+        wishes = written(_wishes(linked, closed, shards, turn), "shard-wishes")
         # at most shards x shards numbers
         wants = {(r["shard"], r["to"]): r["count"] for r in wishes.where("shard != to").groupBy("shard", "to").count().collect()}
         may = quotas(wants, free)
         for (a, b), n in may.items():
             free[a], free[b] = free[a] + n, free[b] - n
         # a full shard that more wanted is closed to newcomers: they look for their next best
-        was, closed = closed, [not free[b] and sum(n - may[a, c] for (a, c), n in wants.items() if c == b) > 0 for b in range(shards)]
+        was, closed = closed, [not free[b] and (closed[b] or sum(n - may[a, c] for (a, c), n in wants.items() if c == b) > 0) for b in range(shards)]
         if not sum(may.values()):
             if closed == was:
                 break
