@@ -79,6 +79,28 @@ def test_scan_and_redaction(spark):
         redact.replacement("unknown", None, None)
 
 
+def test_rows_are_told_apart_by_more_than_their_ids(spark):
+    """Null ids, ids of two texts, and rows that repeat both: each row has its own findings and is redacted by them."""
+    rows = [(None, "contact ann.lee@gmail.com"), (None, "ssn 536-22-8726 of ann"), (1, "xx yy zz write bob@acmecorp.com here"), (1, "contact ann.lee@gmail.com"), (2, "to cat@acmecorp.com"), (2, "to cat@acmecorp.com")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id LONG, text STRING, doc_key INT")
+    for checks in (["EMAIL", "SSN"], ["EMAIL", "SSN", "SECRETS", "IP_ADDRESS", "PHONE", "INTELLECTUAL_PROPERTY"]):
+        found = scan(docs, checks).where("type != 'PHONE'").collect()
+        assert sorted((r.doc_id or 0, r.text) for r in found) == [(0, "536-22-8726"), (0, "ann.lee@gmail.com"), (1, "ann.lee@gmail.com"), (1, "bob@acmecorp.com"), (2, "cat@acmecorp.com"), (2, "cat@acmecorp.com")]
+    mail, number = "[EMAIL-REDACTED]", "[SSN-REDACTED]"
+    out = scan_and_redact(docs, ["EMAIL", "SSN"]).select("doc_id", "redacted", "n_redacted", "doc_key").collect()
+    assert sorted((r.doc_id or 0, r.redacted) for r in out) == sorted([(0, f"contact {mail}"), (0, f"ssn {number} of ann"), (1, f"xx yy zz write {mail} here"), (1, f"contact {mail}"), (2, f"to {mail}"), (2, f"to {mail}")])
+    assert all(r.n_redacted == 1 and r.doc_key == 7 for r in out)
+
+
+def test_blocks_side_by_side(spark):
+    begin, end = "-----" + "BEGIN CERTIFICATE-----", "-----" + "END CERTIFICATE-----"
+    one = f"{begin}MIIabc{end}"
+    docs = spark.createDataFrame([(1, f"top\n{one} {one} {begin}\nx\n{end} {one}\nlast {one}")], SCHEMA)
+    got = sorted((r.line_number, r.start_col, r.text) for r in scan(docs, ["SECRETS"]).collect())
+    n = len(one)
+    assert got == [(2, 1, one), (2, n + 2, one), (2, 2 * n + 3, begin), (3, 1, "x"), (4, 1, end), (4, len(end) + 2, one), (5, 6, one)]
+
+
 def test_overlap_drops_contained_spans_only(spark):
     rows = [(1, 1, 1, 10, "a"), (1, 1, 2, 5, "b"), (1, 1, 1, 10, "c"), (1, 1, 8, 12, "d"), (1, 2, 2, 5, "e"), (1, 1, 1, 4, "f")]
     found = spark.createDataFrame(rows, "doc_id LONG, line_number INT, start_col INT, end_col INT, text STRING")

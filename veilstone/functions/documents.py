@@ -25,13 +25,13 @@ KINDS = {
     "TSV": (r"^[^\t]*\t[^\t]*\t.*$", r"(?dm)^[^\t\n]*\t[^\t\n]*\t"),
     "XML": (r"<\?xml|<[a-zA-Z][^>]*>", r"(?dm)^.*(?:<\?xml|<[a-zA-Z][^>\n]*>)"),
 }
-#: Phrases by meaning, and words by domain, in the order of the names (the first of equals counts).
+#: Phrases by meaning; words by domain, in the order of the names (the first of equals counts).
 PHRASES = {
+    "PersonalData": ["personal information", "personally identifiable", "pii", "private data", "confidential", "sensitive information"],
     "FinancialData": ["financial information", "bank details", "account information", "payment data", "credit information", "financial records"],
     "MedicalData": ["medical information", "health records", "patient data", "medical history", "health information", "clinical data"],
-    "PersonalData": ["personal information", "personally identifiable", "pii", "private data", "confidential", "sensitive information"],
-    "Production": ["production", "live data", "real data", "actual", "operational", "customer data", "user data"],
     "TestData": ["test data", "sample data", "example", "dummy data", "mock data", "test case", "test scenario", "placeholder"],
+    "Production": ["production", "live data", "real data", "actual", "operational", "customer data", "user data"],
 }
 DOMAINS = {
     "Education": ["student", "school", "university", "college", "education", "academic", "grade", "course", "curriculum", "teacher", "professor", "enrollment", "transcript", "ferpa", "student id"],
@@ -126,8 +126,13 @@ def environment_sql(text_col: str) -> str:
     return let_sql(f"lower({_whole(text_col)})", "low", let_sql(counts, "es", pick))
 
 
-def about(text_col: str, name_col: str | None = None) -> Column:
-    """(kind, domain, environment, shell, adjustment) of a document, for detectors that score by it."""
-    shell = let_sql(f"lower({_whole(text_col)})", "low", f"{held('low', SHELL)} >= 2")
-    fields = f"'kind', dk, 'domain', {domain_sql(text_col)}, 'environment', {environment_sql(text_col)}, 'shell', {shell}, 'adjustment', {adjustment_sql('dk', phrase_sql(text_col, 'TestData'))}"
+def known(text_col: str, name_col: str | None = None) -> Column:
+    """(doc_kind, adjustment) of a document: what every finding's score needs of it."""
+    fields = f"'doc_kind', dk, 'adjustment', {adjustment_sql('dk', phrase_sql(text_col, 'TestData'))}"
     return F.expr(let_sql(kind_sql(text_col, name_col), "dk", f"named_struct({fields})"))
+
+
+def about(text_col: str) -> Column:
+    """(domain, environment, shell) of a document, for detectors that score by it."""
+    shell = let_sql(f"lower({_whole(text_col)})", "low", f"{held('low', SHELL)} >= 2")
+    return F.expr(f"named_struct('domain', {domain_sql(text_col)}, 'environment', {environment_sql(text_col)}, 'shell', {shell})")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilstone.functions.documents import about
+from veilstone.functions.documents import about, known
 from veilstone.functions.text import CLOSE, OPEN, cells_sql, count_sql, let_sql, quoted, running_sql, sql_text
 
 # Fixed values of tables: separators by rank, least fields and letter cells, longest header cell, rows looked at, share that fits.
@@ -22,7 +22,9 @@ def table_sql(rows: str) -> str:
     outside = lambda x: f"regexp_replace({x}, {sql_text(chr(34) + '[^' + chr(34) + ']*' + chr(34))}, '')"
     odd = lambda x: f"{count_sql(x, chr(34))} % 2 = 1"
     width = f"size(split({outside('r')}, concat({sql_text(chr(92) + 'Q')}, dl, {sql_text(chr(92) + 'E')}), -1))"
-    first = f"get(filter(transform(slice({rows}, 1, 200), (r, n) -> named_struct('line', r, 'no', n + 1)), h -> NOT h.line RLIKE {blank}), 0)"
+    heads = lambda of: f"get(filter(transform({of}, (r, n) -> named_struct('line', r, 'no', n + 1)), h -> NOT h.line RLIKE {blank}), 0)"
+    # the first lines have the header nearly always; the others are looked at only if they don't
+    first = f"coalesce({heads(f'slice({rows}, 1, 20)')}, {heads(rows)})"
     delimiter = "CASE " + " ".join(f"WHEN ms[{i}] = array_max(ms) THEN {sql_text(d)}" for i, d in enumerate(DELIMITERS)) + " END"
     counts = let_sql(outside("hd.line"), "ol", "array(" + ", ".join(count_sql("ol", d) for d in DELIMITERS) + ")")
     clean = f"transform(fs, f -> lower(regexp_replace(f, {trim}, '')))"
@@ -37,16 +39,23 @@ def table_sql(rows: str) -> str:
     return let_sql(first, "hd", f"CASE WHEN hd IS NOT NULL THEN {judged} END")
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
-    """Each line of each document: doc_id, line_number from 1, line, lower, offset (characters before it), the
-    lines around it, the document's table, and what else is known about the document.
+def text_key(text_col: str) -> Column:
+    """A hash of the text: with the id it tells the rows of a table apart, where ids are null or repeat."""
+    return F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit("")))
 
-    above, above2, below, below2 are cut after 300 characters; null texts have one empty line.  Columns
-    that a plan doesn't read are never computed.
+
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, around: str | None = "true") -> DataFrame:
+    """Each line of each document: doc_id, doc_key (see ``text_key``), line_number from 1, line, lower, offset (characters
+    before it), the lines around it whole, the document's table, and what is known about the document.
+
+    A null text is one empty line.  around: SQL for the lines x whose neighbours are wanted; the others,
+    and all with None, have empty ones.
     """
     text = F.translate(F.coalesce(F.col(quoted(text_col)), F.lit("")), OPEN + CLOSE, "  ")
-    cut = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.split(text, "\n", -1).alias("rows"), about(text_col, name_col).alias("about"))
-    near = lambda i: f"coalesce(left(get(rows, {i}), 300), '')"
-    fields = f"'line_number', i + 1, 'line', x, 'offset', get(offsets, i), 'above', IF(i >= 1, {near('i - 1')}, ''), 'above2', IF(i >= 2, {near('i - 2')}, ''), 'below', {near('i + 1')}, 'below2', {near('i + 2')}"
+    cut = docs.select(
+        F.col(quoted(id_col)).alias("doc_id"), text_key(text_col).alias("doc_key"), F.split(text, "\n", -1).alias("rows"), known(text_col, name_col).alias("known"), about(text_col).alias("about")
+    )
+    near = lambda i, has: f"IF({around} AND {has}, coalesce(get(rows, {i}), ''), '')" if around else "''"
+    fields = f"'line_number', i + 1, 'line', x, 'offset', get(offsets, i), 'above', {near('i - 1', 'i >= 1')}, 'above2', {near('i - 2', 'i >= 2')}, 'below', {near('i + 1', 'true')}, 'below2', {near('i + 2', 'true')}"
     each = let_sql(running_sql("transform(rows, x -> char_length(x) + 1)"), "offsets", f"transform(rows, (x, i) -> named_struct({fields}))")
-    return cut.select("doc_id", "about", F.expr(table_sql("rows")).alias("table"), F.expr(f"inline_outer({each})")).withColumn("lower", F.lower("line"))
+    return cut.select("doc_id", "doc_key", "known.*", "about", F.expr(table_sql("rows")).alias("table"), F.expr(f"inline_outer({each})")).withColumn("lower", F.lower("line"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,8 @@ def cells_sql(line: str, delimiter: str) -> str:
 
 
 SPAN = ["start", "start_col", "end_col", "text", "before", "after", "header"]
+#: What a candidate keeps of its line: whose it is, where it lies, and what the document adds to a score.
+PLACE = ["doc_id", "doc_key", "line_number", "offset", "doc_kind", "adjustment"]
 
 
 def spans(pattern: str, line: str = "line", headers: str = "CAST(NULL AS ARRAY<STRING>)") -> Column:
@@ -97,22 +100,34 @@ def spans(pattern: str, line: str = "line", headers: str = "CAST(NULL AS ARRAY<S
     return F.expr(let_sql(pieces, "pieces", let_sql(f"transform(pieces, b -> replace(b, {close}, ''))", "bare", each)))
 
 
-def candidates(lines_df: DataFrame, pattern: str, only: Column | None = None, headers: bool = False, **features: Column) -> DataFrame:
+def candidates(lines_df: DataFrame, pattern: str | list[tuple[str, Column | None]], only: Column | None = None, headers: bool = False, **features: Column) -> DataFrame:
     """A row for each match of ``pattern`` (the value alone; borders by look-around) in the lines that ``only`` lets
-    through: doc_id, line_number, offset, the features (computed once for each line that is hit), the line's first
-    bytes as line, and what ``spans`` tells.  headers: whether a table's headers are looked up.
+    through: PLACE, the features (computed once for each line that is hit), the line's first bytes as line, line_key
+    (equal for the matches of one line of one row, and only there), and what ``spans`` tells.
+
+    pattern: or several, each with the lines that it is for; their matches, which may overlap, come one pattern after
+    the other, with its number from 0 as way.  headers: whether a table's headers are looked up.
     """
-    hit = F.col("line").rlike(pattern)
-    rows = lines_df.where(hit if only is None else only & hit)
     carried = F.when(F.octet_length("line") > CARRIED, F.substring(F.col("line").cast("binary"), 1, CARRIED).cast("string")).otherwise(F.col("line"))
-    kept = ["doc_id", "line_number", "offset"]
-    found = spans(pattern, headers=headers_of(pattern)) if headers else spans(pattern)
+    kept, one = [F.col(c) for c in PLACE], isinstance(pattern, str)
+    ways = [(pattern, only)] if isinstance(pattern, str) else pattern
+    hits = [F.col("line").rlike(p) if o is None else o & F.col("line").rlike(p) for p, o in ways]
+    every = [spans(p, headers=headers_of(p)) if headers else spans(p) for p, _ in ways]
+    rows = lines_df.where(reduce(lambda a, b: a | b, hits))
+    if one:
+        found, shown = every[0], SPAN
+    else:
+        shown = [*SPAN, "way"]
+        numbered = lambda way: lambda x: F.struct(*[x[c].alias(c) for c in SPAN], F.lit(way).alias("way"))
+        each = [F.when(h, F.transform(f, numbered(i))) for i, (h, f) in enumerate(zip(hits, every, strict=True))]
+        found = F.flatten(F.array_compact(F.array(*each)))
     # the outer form, as Spark filters by the array of the plain one first and so computes it twice; no array is empty
     if features:
         # in the generator, so that no filter above pulls them down to be computed once more
         whole, asked = found, F.struct(*[v.alias(k) for k, v in features.items()])
-        found = let(asked, lambda f: F.transform(whole, lambda x: F.struct(*[x[c].alias(c) for c in SPAN], *[f[k].alias(k) for k in features])))
-    return rows.select(*kept, carried.alias("carried"), found.alias("found")).select(*kept, F.col("carried").alias("line"), F.inline_outer("found"))
+        found = let(asked, lambda f: F.transform(whole, lambda x: F.struct(*[x[c].alias(c) for c in shown], *[f[k].alias(k) for k in features])))
+    rows = rows.select(*kept, carried.alias("carried"), F.monotonically_increasing_id().alias("line_key"), found.alias("found"))
+    return rows.select(*kept, "line_key", F.col("carried").alias("line"), F.inline_outer("found"))
 
 
 # ---- words --------------------------------------------------------------------------------------------------------

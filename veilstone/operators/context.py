@@ -31,8 +31,11 @@ def document_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).alias("doc_id"), document_domain(text_col).alias("domain"), *scores, *flags, *sizes, *shares)
 
 
-def adjusted(findings: DataFrame, context: DataFrame) -> DataFrame:
-    """Findings with the documents' adjustment, below their ceiling, between 0 and 100; those at 0 go."""
-    total = findings.join(context.select("doc_id", "doc_kind", "adjustment"), "doc_id", "left")
+def adjusted(findings: DataFrame) -> DataFrame:
+    """Findings with their documents' adjustment, below their ceiling, between 0 and 100; those at 0 go.
+
+    What a document adds travels with its lines, so nothing is joined here.
+    """
     score = F.col("confidence") + F.coalesce("adjustment", F.lit(0.0))
-    return total.withColumn("confidence", clamp(F.least(score, F.coalesce("ceiling", F.lit(100.0))), 0, 100)).drop("adjustment")
+    total = clamp(F.least(score, F.coalesce("ceiling", F.lit(100.0))), 0, 100)
+    return findings.withColumn("confidence", total).where(F.col("confidence") > 0).drop("adjustment")

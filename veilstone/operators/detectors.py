@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstone.functions import checksums
-from veilstone.functions.documents import about
-from veilstone.functions.text import LABEL_GAP, any_of, candidates, clamp, count_words, field_label, has_word, let, let_sql, running_sql, spans, tabular_line, word_pattern, words_score
+from veilstone.functions.documents import about, known
+from veilstone.functions.lines import text_key
+from veilstone.functions.text import CLOSE, LABEL_GAP, OPEN, any_of, candidates, clamp, count_words, field_label, has_word, let, let_sql, quoted, running_sql, spans, tabular_line, word_pattern, words_score
 
-FINDINGS = ["doc_id", "line_number", "start_col", "end_col", "validator", "type", "text", "confidence", "ceiling", "line", "before", "after", "start", "length"]
+FINDINGS = ["doc_id", "doc_key", "line_number", "start_col", "end_col", "validator", "type", "text", "confidence", "ceiling", "line", "before", "after", "start", "length", "doc_kind", "adjustment"]
 #: What a value that passes a check digit keeps, whatever stands beside it.
 FLOOR = 15.0
 
@@ -340,9 +341,10 @@ def ip_address(lines: DataFrame) -> DataFrame:
     total = F.lit(110.0) + F.col("context")
     signs = F.col("named") | F.col("after").rlike(r"^(?::\d{1,5}|/\d{1,2})\b")
     unclear = (four | t.rlike(rf"^{IPV6}$")) & (total >= 90) & ~signs
-    found = _found(rows, "ipaddress", F.lit("IP_ADDRESS"), F.when(unclear, 75.0).otherwise(clamp(total, 0, 100)))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "line_number", "text").orderBy("start_col"))
-    return found.withColumn("nth", nth).where("nth = 1").drop("nth")
+    # all of a line's equal addresses score alike, so the first of them can be taken before they are scored
+    nth = F.row_number().over(Window.partitionBy("line_key", "text").orderBy("start_col"))
+    rows = rows.withColumn("nth", nth).where("nth = 1")
+    return _found(rows, "ipaddress", F.lit("IP_ADDRESS"), F.when(unclear, 75.0).otherwise(clamp(total, 0, 100)))
 
 
 # ---- vehicles -----------------------------------------------------------------------------------------------------
@@ -550,6 +552,7 @@ SECRET_SAMPLES = [
     "documentation_key",
 ]
 BASE64, HEX = r"A-Za-z0-9+/=\\\-_", "0-9A-Fa-f"
+AWS_SECRET = "(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?==*(?:$|[^A-Za-z0-9/+=]))"
 AWS_NAME, AWS_ID = r"(?i)(?:aws_?)?secret_?access_?key|aws_?secret(?:_?key)?", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 #: Kinds of documents and environments, with what they add; the most they add to a secret that only its name tells.
 BY_KIND, BY_ENVIRONMENT = {"Configuration": 15.0, "Code": 8.0, "JSON": 12.0}, {"development": -15.0, "production": 10.0, "test": -25.0}
@@ -566,8 +569,8 @@ def _mapped(value: Column, amounts: dict[str, float]) -> Column:
 def _surroundings(generic: Column, block: bool = False) -> Column:
     """What the document adds to a secret: once for its table or test data, and by environment, domain and kind."""
     about = F.col("about")
-    more = _mapped(about["environment"], BY_ENVIRONMENT) + _mapped(about["domain"], {"Financial": 12.0, "Healthcare": 8.0 if block else -5.0}) + _mapped(about["kind"], BY_KIND)
-    return about["adjustment"] + F.when(generic, F.least(more, F.lit(GENERIC_BOOST))).otherwise(more)
+    more = _mapped(about["environment"], BY_ENVIRONMENT) + _mapped(about["domain"], {"Financial": 12.0, "Healthcare": 8.0 if block else -5.0}) + _mapped(F.col("doc_kind"), BY_KIND)
+    return F.col("adjustment") + F.when(generic, F.least(more, F.lit(GENERIC_BOOST))).otherwise(more)
 
 
 def _named_secret() -> Column:
@@ -604,16 +607,19 @@ def secrets(lines: DataFrame) -> DataFrame:
         (rf"(?i)(?<=(?:{stems})[\"']?\s{{0,8}}[=:]\s{{0,8}}[\"'])[^\"']{{8,}}(?=[\"'])", keyed & quote, F.lit(True), 60.0),
         (rf"(?i)(?<=(?:{assigned})\s{{0,8}}[=:]\s{{0,8}})[^\s\"';,#<{{$(\[][^\s\"';,#]{{7,}}", keyed & (line.contains("=") | line.contains(":")), _plausible(F.col("text")), 60.0),
     ]
-    rows = None
-    for order, (pattern, only, check, least) in enumerate(ways):
-        part = candidates(lines, pattern, only, **asked).where(check).withColumns({"way": F.lit(order), "least": F.lit(least)})
-        rows = part if rows is None else rows.unionByName(part)
-    t = F.col("text")
+    aws, t = len(ways), F.col("text")
+    checked, least = F.when(F.col("way") == aws, _aws_shape(t)), F
+    for order, (_, _, check, score) in enumerate(ways):
+        checked, least = checked.when(F.col("way") == order, check), least.when(F.col("way") == order, score)
+    paired = F.concat_ws(" ", "above", "below").rlike(AWS_ID)
+    near = (F.char_length(line) >= 40) & (line.rlike(AWS_NAME) | line.rlike(AWS_ID) | paired) & ~has_word(["test", "example", "sample", "fake", "mock", "placeholder", "dummy"])
+    asked["sure"] = line.rlike(AWS_NAME) & paired
+    rows = candidates(lines, [*((p, o) for p, o, _, _ in ways), (AWS_SECRET, near)], **asked).where(checked).withColumn("least", least.otherwise(0.0))
     kind, base = F, F
     for pattern, name, score in TOKENS:
         whole = t.rlike(f"^(?:{pattern})$") & (_jwt(t) if name == "JWT_TOKEN" else F.lit(True))
         kind, base = kind.when(whole, name), base.when(whole, score)
-    rows = rows.withColumn("type", kind.otherwise("API_KEY_OR_SECRET"))
+    rows = rows.withColumn("type", F.when(F.col("way") == aws, "AWS_SECRET_ACCESS_KEY").otherwise(kind.otherwise("API_KEY_OR_SECRET")))
     generic = F.col("type") == "API_KEY_OR_SECRET"
     own = F.lit(85.0) - F.when(F.octet_length(t) > 100, 10.0).otherwise(0.0) - F.when(_shares(t, SECRET_COMMON, 2), 20.0).otherwise(0.0) - F.when(_shares(t, SECRET_TESTS, 3), 30.0).otherwise(0.0)
     own = own - F.when(checksums.entropy(t, f"[{BASE64}]") < 3.0, 25.0).otherwise(0.0) - F.when(t.rlike("[ \\t]"), 15.0).otherwise(0.0)
@@ -625,21 +631,16 @@ def secrets(lines: DataFrame) -> DataFrame:
     reference = F.col("refers") & (F.col("before").rlike(r"\$\{?$") | (t.startswith("$") & F.col("before").rlike("[\"']$")))
     bare = generic & low.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") & ~F.col("labelled")
     scored = rows.withColumn("score", F.when(reference, 0.0).otherwise(clamp(score, 0, 100)))
-    scored = scored.withColumn("score", F.when(F.col("score") > F.col("least"), F.when(bare, F.least("score", F.lit(HEX_CAP))).otherwise(F.col("score"))).otherwise(0.0))
-    span = Window.partitionBy("doc_id", "line_number", "start_col", "end_col")
-    found = scored.withColumns({"cap": F.when(bare, HEX_CAP), "shown": F.col("score")})
-    aws = _aws_secrets(lines)
-    both = _spanned(found, F.col("way")).unionByName(_spanned(aws, F.lit(99)))
-    first = both.withColumn("nth", F.row_number().over(span.orderBy("way"))).where((F.col("nth") == 1) | (F.col("way") == 99))
+    kept = F.when(F.col("score") > F.col("least"), F.when(bare, F.least("score", F.lit(HEX_CAP))).otherwise(F.col("score"))).otherwise(0.0)
+    by_itself = F.when(F.upper(t).contains("EXAMPLE"), 65.0).when(F.col("sure"), 95.0).otherwise(90.0)
+    scored = scored.withColumns({"shown": F.when(F.col("way") == aws, by_itself).otherwise(kept), "cap": F.when((F.col("way") < aws) & bare, HEX_CAP)})
+    span = Window.partitionBy("line_key", "start_col", "end_col")
+    first = scored.withColumn("nth", F.row_number().over(span.orderBy("way"))).where((F.col("nth") == 1) | (F.col("way") == aws))
     ranked = span.orderBy((F.col("type") == "API_KEY_OR_SECRET") | (F.col("shown") <= 0), F.col("shown").desc())
     best = first.withColumns({"nth": F.row_number().over(ranked), "shown": F.max("shown").over(span)}).where("nth = 1")
     return _found(best, "secrets", F.col("type"), F.col("shown"), F.col("cap"))
 
 
-def _spanned(rows: DataFrame, way: Column) -> DataFrame:
-    return rows.select("doc_id", "line_number", "offset", "start", "start_col", "end_col", "text", "line", "before", "after", "type", "shown", "cap", way.cast("int").alias("way"))
-
-
 def _jwt(t: Column) -> Column:
     """Three parts, the first of which decodes to a header with an algorithm."""
     head = F.translate(F.substring_index(t, ".", 1), "-_", "+/")
@@ -653,16 +654,9 @@ def _plausible(v: Column) -> Column:
     return ~word & ~v.rlike("^[0-9-]+$") & ~v.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
 
-def _aws_secrets(lines: DataFrame) -> DataFrame:
-    """Secret access keys: 40 characters of mixed case beside their name, or an access key's id on the line or next to it."""
-    line = F.col("line")
-    named, paired = line.rlike(AWS_NAME), F.concat_ws(" ", "above", "below").rlike(AWS_ID)
-    only = (F.char_length(line) >= 40) & (named | line.rlike(AWS_ID) | paired) & ~has_word(["test", "example", "sample", "fake", "mock", "placeholder", "dummy"])
-    rows = candidates(lines, "(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?==*(?:$|[^A-Za-z0-9/+=]))", only, sure=named & paired)
-    t = F.col("text")
-    rows = rows.where(~t.rlike("^(?:AKIA|ASIA)") & t.rlike("[a-z]") & t.rlike("[A-Z]") & (checksums.entropy(t) > 4.5))
-    score = F.when(F.upper(t).contains("EXAMPLE"), 65.0).when(F.col("sure"), 95.0).otherwise(90.0)
-    return rows.withColumns({"type": F.lit("AWS_SECRET_ACCESS_KEY"), "shown": score, "cap": F.lit(None).cast("double")})
+def _aws_shape(t: Column) -> Column:
+    """Whether 40 characters can be a secret access key: mixed case, and as irregular as chance makes them."""
+    return ~t.rlike("^(?:AKIA|ASIA)") & t.rlike("[a-z]") & t.rlike("[A-Z]") & (checksums.entropy(t) > 4.5)
 
 
 # ---- cloud resources ----------------------------------------------------------------------------------------------
@@ -723,21 +717,26 @@ BLOCKS = {
 
 def key_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None) -> DataFrame:
     """FINDINGS of the lines of PEM and PGP blocks, one for each line, so that redaction removes all of them."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01\x02", "  ")
-    known = about(text_col, name_col)
-    whole = docs.where(F.col(text_col).contains("-----BEGIN ")).select(F.col(id_col).alias("doc_id"), F.lit(1).alias("line_number"), F.lit(0).alias("offset"), text.alias("line"), known.alias("about"))
+    text = F.translate(F.coalesce(F.col(quoted(text_col)), F.lit("")), OPEN + CLOSE, "  ")
+    whose = ["doc_id", "doc_key", "doc_kind", "adjustment", "about"]
+    whole = docs.where(F.col(quoted(text_col)).contains("-----BEGIN ")).select(
+        F.col(quoted(id_col)).alias("doc_id"), text_key(text_col).alias("doc_key"), text.alias("line"), known(text_col, name_col).alias("known"), about(text_col).alias("about")
+    )
+    whole = whole.select("doc_id", "doc_key", "known.*", "about", "line")
     pattern = "|".join(f"-----BEGIN {k}-----[\\s\\S]*?-----END {k}-----" for k in BLOCKS)
     # line breaks are matches too: a block's line is one more than the breaks above it, and begins after the last of them
-    each = whole.select("doc_id", "about", spans(f"(?:{pattern})|\\n").alias("found")).where(F.exists("found", lambda x: x["text"] != "\n"))
-    broken = "array_max(transform(filter(found, y -> y.text = chr(10) AND y.start < x.start), y -> y.end_col))"
-    place = f"named_struct('no', get(above, i), 'at', x.start, 'col', x.start_col - coalesce({broken}, 1) + 1, 'lead', x.before, 'block', x.text)"
+    each = whole.select(*whose, spans(f"(?:{pattern})|\\n").alias("found")).where(F.exists("found", lambda x: x["text"] != "\n"))
+    # where the match before a block has a break, the line begins after it; else (blocks side by side) further back
+    back = "array_max(transform(filter(slice(found, 1, i), y -> instr(y.text, chr(10)) > 0), y -> y.end_col - octet_length(substring_index(y.text, chr(10), -1))))"
+    broken = f"IF(i = 0, 1, IF(instr(found[i - 1].text, chr(10)) > 0, found[i - 1].end_col - octet_length(substring_index(found[i - 1].text, chr(10), -1)), coalesce({back}, 1)))"
+    place = f"named_struct('no', get(above, i), 'at', x.start, 'col', x.start_col - {broken} + 1, 'lead', x.before, 'block', x.text)"
     numbered = let_sql(running_sql("transform(found, x -> regexp_count(x.text, '\\n'))"), "above", f"transform(found, (x, i) -> IF(x.text = chr(10), NULL, {place}))")
-    rows = each.select("doc_id", "about", F.expr(f"inline_outer(array_compact({numbered}))"))
+    rows = each.select(*whose, F.expr(f"inline_outer(array_compact({numbered}))"))
     kind, base = F, F
     for k, (name, score) in BLOCKS.items():
         kind, base = kind.when(F.col("block").rlike(f"^-----BEGIN {k}-----"), name), base.when(F.col("block").rlike(f"^-----BEGIN {k}-----"), score)
-    rows = rows.select("doc_id", "about", "no", "at", "col", F.substring_index("lead", "\n", -1).alias("left"), kind.alias("type"), base.alias("base"), F.expr(let_sql(running_sql("transform(split(block, '\\n', -1), x -> char_length(x) + 1)"), "offsets", "transform(split(block, '\\n', -1), (x, i) -> named_struct('pos', i, 'text', x, 'by', get(offsets, i)))")).alias("parts"))
-    rows = rows.select("doc_id", "about", "no", "at", "col", "left", "type", "base", F.inline_outer("parts"))
+    rows = rows.select(*whose, "no", "at", "col", F.substring_index("lead", "\n", -1).alias("left"), kind.alias("type"), base.alias("base"), F.expr(let_sql(running_sql("transform(split(block, '\\n', -1), x -> char_length(x) + 1)"), "offsets", "transform(split(block, '\\n', -1), (x, i) -> named_struct('pos', i, 'text', x, 'by', get(offsets, i)))")).alias("parts"))
+    rows = rows.select(*whose, "no", "at", "col", "left", "type", "base", F.inline_outer("parts"))
     left = F.when(F.col("pos") == 0, F.col("left")).otherwise("")
     score = clamp(F.col("base") + _surroundings(F.lit(False), block=True), 0, 100)
     out = rows.where("text != ''").withColumns({"line_number": (F.col("no") + F.col("pos") + 1).cast("int"), "line": F.concat(left, "text"), "start_col": F.when(F.col("pos") == 0, F.col("col")).otherwise(1), "start": F.col("at") + F.col("by")})

@@ -476,19 +476,18 @@ def legal_marks(lines: DataFrame) -> DataFrame:
     free = low.rlike("apache|mit license|bsd|gpl|open source|creative commons")
     whole = F.when(F.octet_length(F.trim("line")) <= NOTICE_LENGTH, F.trim("line"))
     size = F.struct(F.char_length("line").alias("chars"), F.octet_length("line").alias("octets"))
-    out = None
-    for mark, pattern in MARKS.items():
-        rows = candidates(lines, pattern, low.rlike(MARK_SIGNS[mark]), context=context, free=free, whole=whole, size=size)
-        base = {
-            "copyright": F.when(t.contains("©"), 90.0).otherwise(80.0) - F.when(t.rlike(r"\d{4}"), 0.0).otherwise(20.0),
-            "patent": F.lit(80.0),
-            "trademark": F.when(t.rlike("[™®]"), 90.0).otherwise(80.0),
-            "trade_secret": F.when(t.rlike("Confidential|Trade Secret|Internal Use Only") & ~F.col("free"), 70.0).otherwise(45.0),
-        }[mark]
-        score = clamp(base - F.when(t.rlike(LEGAL_SAMPLES[mark]), 30.0).otherwise(0.0) + F.col("context"), 0, 100)
-        part = rows.withColumns({"mark": F.lit(mark), "score": score}).where("score > 0")
-        out = part if out is None else out.unionByName(part)
-    return out
+    signed = [(pattern, low.rlike(MARK_SIGNS[mark])) for mark, pattern in MARKS.items()]
+    rows = candidates(lines, signed, context=context, free=free, whole=whole, size=size)
+    base = {
+        "copyright": F.when(t.contains("©"), 90.0).otherwise(80.0) - F.when(t.rlike(r"\d{4}"), 0.0).otherwise(20.0),
+        "patent": F.lit(80.0),
+        "trademark": F.when(t.rlike("[™®]"), 90.0).otherwise(80.0),
+        "trade_secret": F.when(t.rlike("Confidential|Trade Secret|Internal Use Only") & ~F.col("free"), 70.0).otherwise(45.0),
+    }
+    kind, score = F, F
+    for i, mark in enumerate(MARKS):
+        kind, score = kind.when(F.col("way") == i, mark), score.when(F.col("way") == i, base[mark] - F.when(t.rlike(LEGAL_SAMPLES[mark]), 30.0).otherwise(0.0))
+    return rows.withColumns({"mark": kind, "score": clamp(score + F.col("context"), 0, 100)}).where("score > 0")
 
 
 def intellectual_property(lines: DataFrame, urls: list[str] | None = None) -> DataFrame:
@@ -496,7 +495,7 @@ def intellectual_property(lines: DataFrame, urls: list[str] | None = None) -> Da
 
     urls: patterns of internal addresses, which score 95.  A long line's notice shows its first mark.
     """
-    line = Window.partitionBy("doc_id", "line_number")
+    line = Window.partitionBy("line_key")
     best = line.orderBy((F.col("score") + F.char_length("text") * 0.1 + F.when(F.col("mark") == "copyright", 10.0).otherwise(0.0)).desc(), "start", "mark")
     marks = legal_marks(lines).withColumns({"n": F.count(F.lit(1)).over(line), "kinds": F.size(F.collect_set("mark").over(line)), "nth": F.row_number().over(best)}).where("nth = 1")
     several = F.col("n") > 1
@@ -597,7 +596,7 @@ def _known(rows: DataFrame, part: str, names: DataFrame | list[str]) -> DataFram
         return rows.withColumn(f"{part}_known", F.arrays_overlap(forms, F.array(*map(F.lit, names))))
     table = names.toDF("form").distinct().withColumn("listed", F.lit(True))
     each = rows.withColumn("form", F.explode(forms)).join(table, "form", "left")
-    key = ["doc_id", "line_number", "start"]
+    key = ["line_key", "start"]
     return each.groupBy(*key).agg(*[F.first(c).alias(c) for c in rows.columns if c not in key], F.coalesce(F.max("listed"), F.lit(False)).alias(f"{part}_known"))
 
 
@@ -633,10 +632,10 @@ def profile_clusters(profiles: DataFrame) -> DataFrame:
     A running flag over the sorted profiles of a user tells where a cluster begins; no pairs are made.
     """
     user = F.lower(F.regexp_extract("text", r"([A-Za-z0-9_.-]+)/?$", 1))
-    mine = Window.partitionBy("doc_id", "user").orderBy("line_number", "start")
+    mine = Window.partitionBy("doc_id", "doc_key", "user").orderBy("line_number", "start")
     rows = profiles.withColumn("user", user).withColumn("begins", (F.col("line_number") - F.lag("line_number").over(mine) > CLUSTER_LINES).cast("int"))
     rows = rows.withColumn("cluster", F.sum(F.coalesce("begins", F.lit(0))).over(mine))
-    groups = rows.groupBy("doc_id", "user", "cluster").agg(
+    groups = rows.groupBy("doc_id", "doc_key", "user", "cluster").agg(
         F.min("line_number").alias("line_number"), F.max("line_number").alias("last_line"), F.array_sort(F.collect_list(F.struct("start", "text", "type"))).alias("members"), F.array_sort(F.collect_set("type")).alias("platforms")
     )
     return groups.where(F.size("members") > 1).withColumn("confidence", clamp(F.lit(CLUSTER_LEAST) + CLUSTER_STEP * F.size("platforms"), CLUSTER_LEAST, CLUSTER_MOST))

@@ -50,7 +50,7 @@ def metadata(units: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = rows.withColumn("type", F.try_element_at(table, F.col("key"))).where("type IS NOT NULL")
     path = (F.col("key") == "template") & F.col("text").rlike(r"^(?:\\\\|/|[A-Za-z]:\\|https?://)")
     rows = rows.where((F.col("key") != "template") | path).withColumn("score", F.col("score") + F.when(path, 0.45).otherwise(0.0))
-    unit = Window.partitionBy("doc_id")
+    unit = Window.partitionBy("doc_id", "doc_key")
     longitude = F.max(F.when(F.col("key") == "gpslongitude", F.col("text"))).over(unit)
     rows = rows.withColumns({"length": F.char_length("text"), "text": F.when((F.col("key") == "gpslatitude") & longitude.isNotNull(), F.concat("text", F.lit(", "), longitude)).otherwise(F.col("text"))})
     return _found(rows, "metadata", F.col("type"), F.round(clamp(F.col("score"), 0, 1) * 100, 6))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstone.functions.text import let
-from veilstone.operators.overlap import outermost
+from veilstone.functions.lines import text_key
+from veilstone.functions.text import let, quoted
+from veilstone.operators.overlap import outermost, row_of
 
 #: Which types share a label.
 CARDS = ["CREDIT_CARD", "VISA", "MASTERCARD", "MAESTRO", "AMERICAN_EXPRESS", "JCB", "DINERS_CLUB", "DISCOVER", "UNIONPAY"]
@@ -75,14 +76,20 @@ def redact(docs: DataFrame, findings: DataFrame, strategy: str = "simple", id_co
 
     Findings of every confidence are redacted; of spans inside wider ones the widest.  Spans that cross
     are replaced in order, a later one from where the earlier ends.  The text travels once, joined by
-    document with its spans, and is put together from what lies between them in one pass.
+    row with its spans, and is put together from what lies between them in one pass.  A row is known
+    by its id and a hash of its text, so null and repeated ids are fine, and rows that repeat both are
+    redacted alike; findings without doc_key go by the id alone, which must be unique then.
     """
-    spans = outermost(findings).dropDuplicates(["doc_id", "line_number", "start_col", "end_col"])
+    row = row_of(findings)
+    spans = outermost(findings).dropDuplicates([*row, "line_number", "start_col", "end_col"])
     spans = spans.withColumns({"to": replacement(strategy, F.col("text"), F.col("type")), "end": F.col("start") + F.col("length")})
-    earlier = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0)))
-    by_doc = spans.groupBy(F.col("doc_id").alias("span_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "from", "to"))).alias("spans"))
-    kept = docs.join(by_doc, F.col(id_col) == F.col("span_doc"), "left")
+    by_doc = spans.groupBy(*[F.col(c).alias(f"span_{c}") for c in row]).agg(F.array_sort(F.collect_list(F.struct("start", "end", "from", "to"))).alias("spans"))
+    on = F.col(quoted(id_col)).eqNullSafe(F.col("span_doc_id"))
+    if "doc_key" in row:
+        on &= text_key(text_col) == F.col("span_doc_key")
+    kept = docs.join(by_doc, on, "left")
     whole = F.coalesce(F.col(text_col), F.lit(""))
 
     def rebuilt(pieces: Column) -> Column:
@@ -91,7 +98,7 @@ def redact(docs: DataFrame, findings: DataFrame, strategy: str = "simple", id_co
         return F.concat(F.array_join(parts, ""), let(end, lambda e: _cut(pieces, e, F.char_length(whole) - e)))
 
     text = F.when(F.col("spans").isNull(), whole).otherwise(let(F.split(whole, f"(?s)(?<=\\G.{{{PIECE}}})", -1), rebuilt))
-    return kept.withColumns({"redacted": text, "n_redacted": F.coalesce(F.size("spans"), F.lit(0))}).drop("spans", "span_doc")
+    return kept.withColumns({"redacted": text, "n_redacted": F.coalesce(F.size("spans"), F.lit(0))}).drop("spans", *[f"span_{c}" for c in row])
 
 
 def audit(findings: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstone.functions.text import BESIDE
+from veilstone.operators.overlap import row_of
 
 RULES = "id STRING, hash STRING, reason STRING, enabled BOOLEAN, created_at TIMESTAMP, expires_at TIMESTAMP"
 
@@ -51,7 +52,7 @@ def split(findings: DataFrame, rules: DataFrame, as_of: Column, name: Column | N
     A rule counts if it is enabled and not expired at ``as_of``.  The first form of hash that has a rule
     decides, then the smallest id.  Rules join by their hash; Spark broadcasts them only while small.
     """
-    rows = hashed(findings, name).withColumn("finding_no", F.xxhash64("doc_id", "line_number", "start_col", "end_col", "validator", "type"))
+    rows = hashed(findings, name).withColumn("finding_no", F.xxhash64(*row_of(findings), "line_number", "start_col", "end_col", "validator", "type"))
     each = rows.select("finding_no", F.posexplode("hashes").alias("form", "hash"))
     found = each.join(active(rules, as_of).select("hash", F.col("id").alias("rule_id"), "reason"), "hash")
     first = Window.partitionBy("finding_no").orderBy("form", "rule_id")

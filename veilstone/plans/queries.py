@@ -15,7 +15,7 @@ from veilstone.operators import context, explain, redact, report, suppress
 from veilstone.operators import detectors as d
 from veilstone.operators.labelled import PHONE_AGAINST, PHONE_WORDS
 from veilstone.operators.overlap import outermost
-from veilstone.plans.scan import DETECTORS, detect, scan, scan_and_redact
+from veilstone.plans.scan import detect, scan, scan_and_redact
 
 AS_OF = "2024-06-01 00:00:00"
 
@@ -51,11 +51,11 @@ def _result(findings: DataFrame) -> DataFrame:
 
 
 def _detector(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _result(DETECTORS[name](lines(_docs(spark, sf_dir))))
+    return lambda spark, sf_dir: _result(detect(_docs(spark, sf_dir), [name]))
 
 
 def _on_people(name: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _result(DETECTORS[name](lines(_people(spark, sf_dir, text))))
+    return lambda spark, sf_dir: _result(detect(_people(spark, sf_dir, text), [name]))
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +82,7 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return _result(context.adjusted(detect(docs, ["EMAIL"]), context.document_context(docs)))
+    return _result(context.adjusted(detect(_docs(spark, sf_dir), ["EMAIL"])))
 
 
 def outermost_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstone.functions.lines import lines
-from veilstone.functions.tables import fresh_path
-from veilstone.operators.context import adjusted, document_context
+from veilstone.functions.text import quoted, sql_text
+from veilstone.operators.context import adjusted
 from veilstone.operators.detectors import DETECTORS as CHECKED
 from veilstone.operators.detectors import key_blocks
 from veilstone.operators.labelled import LABELLED
@@ -47,32 +48,58 @@ def uses(name: str) -> Column:
     return F.col("line").contains("@") if USES[name] == "@" else F.col("line").rlike(USES[name])
 
 
-def routed(rows: DataFrame, names: list[str]) -> dict[str, DataFrame]:
-    """Lines dealt to the detectors that can use them, written once, a folder for each detector.
+def _any(names: list[str]) -> str:
+    return "|".join(f"(?:{USES[n]})" for n in names)
 
-    So the texts are read once, and each detector reads only its lines.
+
+def shared(rows: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """The lines that some of the detectors can use, kept once on the executors' disks, and each detector's part of them.
+
+    A line carries a bit for each detector that its gate lets through, and only those of its surroundings that
+    one of them reads.  Lost parts are computed again from the texts; nothing is written to the shared
+    folder, so no line outlives the session, or ``release``.
     """
-    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "routed-lines")
-    dealt = rows.drop("lower").withColumn("detector", F.explode(F.array_compact(F.array(*[F.when(uses(n), F.lit(n)) for n in names]))))
-    dealt = dealt.withColumns({c: F.when(F.col("detector").isin(readers), F.col(c)) for c, readers in READS.items()})
-    dealt.write.partitionBy("detector").parquet(path)
-    back = spark.read.schema(dealt.schema).parquet(path).withColumns({"lower": F.lower("line"), **{c: F.coalesce(c, F.lit("")) for c in ("above", "above2", "below", "below2")}})
-    return {n: back.where(F.col("detector") == n).drop("detector") for n in names}
+    bits = {n: 1 << i for i, n in enumerate(names)}
+    gates = sum((F.when(uses(n), b).otherwise(0) for n, b in bits.items()), F.lit(0))
+    wanted = {c: sum(bits[n] for n in readers if n in bits) for c, readers in READS.items()}
+    has = lambda mask: F.col("gates").bitwiseAND(F.lit(mask)) > 0
+    kept = rows.withColumn("gates", gates).where("gates > 0").drop("lower", *[c for c, mask in wanted.items() if not mask])
+    kept = kept.withColumns({c: F.when(has(mask), F.col(c)) for c, mask in wanted.items() if mask}).persist(StorageLevel.DISK_ONLY)
+    _held.append(kept)
+    empty = {c: F.coalesce(c, F.lit("")) if c in kept.columns else F.lit("") for c in ("above", "above2", "below", "below2")}
+    back = kept.withColumns({"lower": F.lower("line"), **empty})
+    return {n: back.where(has(b)).drop("gates") for n, b in bits.items()}
+
+
+_held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Frees the lines that scans of this session hold; results not yet read are computed from the texts again."""
+    while _held:
+        _held.pop().unpersist()
+
+
+#: From so many detectors on, one pass over the texts that keeps the lines they can use is faster than a pass for each.
+SEVERAL = 4
 
 
 def detect(
-    docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, reuse: bool = True,
+    docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, reuse: bool | None = None,
     last_year: int | None = None, limit: int = 0,
 ) -> DataFrame:
     """What the detectors find line by line, before the documents' context.
 
-    Several detectors share one pass over the texts (``routed``); reuse=False reads them for each, as a
-    stream needs it.  last_year: the last plausible year of a birth (by default this one).  limit: most
+    Rows that repeat an id, or have none, are documents of their own; each row's findings are reported.  reuse: whether
+    the detectors share one pass over the texts (``shared``), by default from SEVERAL on; a stream
+    needs False.  last_year: the last plausible year of a birth (by default this one).  limit: most
     findings of a detector in a document, in the order of their places (0: all).
     """
-    rows, out = lines(docs, id_col, text_col, name_col), None
-    names = checks_of(checks)
-    of = routed(rows, names) if reuse and len(names) > 1 else dict.fromkeys(names, rows)
+    names, out = checks_of(checks), None
+    near = [n for n in names if n in READS["above"]]
+    held = docs if len(names) >= SEVERAL else docs.where(F.col(quoted(text_col)).rlike(_any(names)))
+    rows = lines(held, id_col, text_col, name_col, f"x RLIKE {sql_text(_any(near))}" if near else None)
+    of = shared(rows, names) if (len(names) >= SEVERAL if reuse is None else reuse) else {n: rows.where(uses(n)) for n in names}
     for name in names:
         find = partial(DETECTORS[name], last_year=last_year) if name == "DATE_OF_BIRTH" else DETECTORS[name]
         part = find(of[name])
@@ -84,16 +111,13 @@ def detect(
 
 def first_of(findings: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` findings of each detector in a document: the first by place."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("doc_id", "validator").orderBy("start", "end_col", "type"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "doc_key", "validator").orderBy("start", "end_col", "type"))
     return findings.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
 
 
 def scan(docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, **options) -> DataFrame:
     """Findings of ``docs`` with their final confidence.  Null and empty texts have none."""
-    found = adjusted(detect(docs, checks, id_col, text_col, name_col, **options), document_context(docs, id_col, text_col, name_col))
-    return found.where(F.col("confidence") > 0)
+    return adjusted(detect(docs, checks, id_col, text_col, name_col, **options))
 
 
 def scan_units(units: DataFrame, checks: list[str] | None = None, **options) -> DataFrame:
@@ -103,7 +127,7 @@ def scan_units(units: DataFrame, checks: list[str] | None = None, **options) ->
     """
     unit = units.withColumn("doc_id", F.concat_ws("#", "path", "part"))
     found = scan(unit, checks, name_col="name", **options)
-    fields = metadata(unit.where(F.col("part") == "metadata")).withColumn("doc_kind", F.lit("Unknown"))
+    fields = metadata(unit.where(F.col("part") == "metadata")).withColumn("doc_kind", F.lit("Unknown")).drop("adjustment")
     return found.unionByName(fields)
 
 
