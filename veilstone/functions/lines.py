@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +46,27 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(quoted(text_col)), F.lit("")))
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, around: str | None = "true") -> DataFrame:
+def lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, only: Callable[[str], str] | None = None,
+    around: Callable[[str], str] | None = lambda x: "true",
+) -> DataFrame:
     """Each line of each document: doc_id, doc_key (see ``text_key``), line_number from 1, line, lower, offset (characters
     before it), the lines around it whole, the document's table, and what is known about the document.
 
-    A null text is one empty line.  around: SQL for the lines x whose neighbours are wanted; the others,
-    and all with None, have empty ones.
+    A null text is one empty line.  only: SQL for the texts that are wanted, given a text's SQL: other lines are left out,
+    and other documents before anything is computed of them.  around: likewise for the lines whose
+    neighbours are wanted; the others, and all with None, have empty ones.
     """
+    if only is not None:
+        docs = docs.where(only(quoted(text_col)))
     text = F.translate(F.coalesce(F.col(quoted(text_col)), F.lit("")), OPEN + CLOSE, "  ")
     cut = docs.select(
         F.col(quoted(id_col)).alias("doc_id"), text_key(text_col).alias("doc_key"), F.split(text, "\n", -1).alias("rows"), known(text_col, name_col).alias("known"), about(text_col).alias("about")
     )
-    near = lambda i, has: f"IF({around} AND {has}, coalesce(get(rows, {i}), ''), '')" if around else "''"
+    near = lambda i, has: "''" if around is None else f"IF(nb AND {has}, coalesce(get(rows, {i}), ''), '')"
     fields = f"'line_number', i + 1, 'line', x, 'offset', get(offsets, i), 'above', {near('i - 1', 'i >= 1')}, 'above2', {near('i - 2', 'i >= 2')}, 'below', {near('i + 1', 'true')}, 'below2', {near('i + 2', 'true')}"
-    each = let_sql(running_sql("transform(rows, x -> char_length(x) + 1)"), "offsets", f"transform(rows, (x, i) -> named_struct({fields}))")
-    return cut.select("doc_id", "doc_key", "known.*", "about", F.expr(table_sql("rows")).alias("table"), F.expr(f"inline_outer({each})")).withColumn("lower", F.lower("line"))
+    one = f"named_struct({fields})" if around is None else let_sql(around("x"), "nb", f"named_struct({fields})")
+    each = f"transform(rows, (x, i) -> {one})" if only is None else f"array_compact(transform(rows, (x, i) -> IF({only("x")}, {one}, NULL)))"
+    each = let_sql(running_sql("transform(rows, x -> char_length(x) + 1)"), "offsets", each)
+    made = cut.select("doc_id", "doc_key", "known.*", "about", F.expr(table_sql("rows")).alias("table"), F.expr(f"{'inline_outer' if only is None else 'inline'}({each})"))
+    return made.withColumn("lower", F.lower("line"))

@@ -38,6 +38,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it comes in fewer pieces than there are cores, as small files do; else as it is.
+
+    So a large table, which comes in many pieces, is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: evaluated once, and safe from lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -415,33 +415,31 @@ def bank_account(lines: DataFrame) -> DataFrame:
     }
     few, many = F.col("n_for") <= 1, F.col("n_against")
     refused = (few & (many >= 3)) | ((F.col("n_for") == 0) & (many >= 2)) | (few & F.col("postal"))
-    t = F.col("text")
+    banking = has_word(BANK_WORDS, gap=LABEL_GAP)
+    shapes = {
+        "IBAN": ("(?i:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)", None), "SWIFT_BIC": ("[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?", None),
+        "ABA_ROUTING": (r"\d{9}", None), "US_BANK_ACCOUNT": (r"\d{8,17}", banking),
+    }
+    rows = candidates(lines, [(_word(shape), only) for shape, only in shapes.values()], **asked)
+    t, context, named = F.col("text"), F.col("context"), F.col("banking")
+    n = F.upper(F.replace(t, F.lit(" "), F.lit("")))
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-    ib = candidates(lines, _word("(?i:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)"), **asked)
-    ib = ib.withColumn("number", F.upper(F.replace("text", F.lit(" "), F.lit(""))))
-    n = F.col("number")
-    ib = ib.where((F.char_length(n) == F.try_element_at(lengths, F.substring(n, 1, 2))) & ~F.substring(n, 3, 2).isin("00", "01", "99") & checksums.iban(n))
-    score = clamp(F.lit(85.0) + F.col("context"), 0, 100)
-    out = _found(ib, "bank_account", F.lit("IBAN"), F.when(refused | (score <= 0), FLOOR).otherwise(score))
-    sw = candidates(lines, _word("[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?"), **asked)
-    sw = sw.where(F.substring(t, 5, 2).isin(COUNTRIES) & ~refused & (F.col("banking") | t.rlike("[0-9]")))
-    score = F.when(F.col("banking"), 75.0).otherwise(50.0) + F.col("context")
-    out = out.unionByName(_found(sw.where(F.col("banking") | (score >= 40)), "bank_account", F.lit("SWIFT_BIC"), clamp(score, 0, 100)))
-    ab = candidates(lines, _word(r"\d{9}"), **asked)
+    iban = (F.char_length(n) == F.try_element_at(lengths, F.substring(n, 1, 2))) & ~F.substring(n, 3, 2).isin("00", "01", "99") & checksums.iban(n)
+    swift = F.substring(t, 5, 2).isin(COUNTRIES) & ~refused & (named | t.rlike("[0-9]")) & (named | (50 + context >= 40))
     two = F.substring(t, 1, 2).cast("int")
-    ab = ab.where(checksums.aba(t) & (two.between(1, 32) | two.between(61, 72) | (two == 80)) & ~t.isin(ABA_TESTS) & ~refused)
-    score = F.when(F.col("banking"), 70.0).otherwise(40.0) + F.col("context")
-    out = out.unionByName(_found(ab.where(F.col("banking") | (score >= 50)), "bank_account", F.lit("ABA_ROUTING"), clamp(score, 0, 100)))
-    us = candidates(lines, _word(r"\d{8,17}"), has_word(BANK_WORDS, gap=LABEL_GAP), **asked)
+    aba = checksums.aba(t) & (two.between(1, 32) | two.between(61, 72) | (two == 80)) & ~t.isin(ABA_TESTS) & ~refused & (named | (40 + context >= 50))
     size, before, after = F.char_length(t), F.col("before"), F.col("after")
     near = F.concat(F.right(before, F.lit(6)), t, F.left(after, F.lit(2)))
     phone = (size == 10) & (F.col("phones") | near.rlike(r"\(\d{3}\)\s?\d{3}[-.]?\d{4}|\d{3}[-.\s]\d{3}[-.\s]\d{4}"))
     dated = F.concat(F.right(before, F.lit(3)), t, F.left(after, F.lit(3))).rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}")
     version = F.right(before, F.lit(10)).rlike(r"(?i)\bv?\d+\.\d+\.\d+|(?<![a-z0-9])version(?![a-z0-9])|\bv\.?\d")
-    us = us.where((size != 9) & ~(size.between(13, 17) & checksums.luhn(t)) & ~phone & ~dated & ~version & ~refused)
+    account = (size != 9) & ~(size.between(13, 17) & checksums.luhn(t)) & ~phone & ~dated & ~version & ~refused
     beside = F.lower(F.concat(F.right(before, F.lit(30)), t, after)).rlike("account|acct")
-    score = F.lit(55.0) + F.col("context") + F.when(beside, 15.0).otherwise(0.0)
-    return out.unionByName(_found(us, "bank_account", F.lit("US_BANK_ACCOUNT"), clamp(score, 0, 100)))
+    by_way = lambda *values: F.when(F.col("way") == 0, values[0]).when(F.col("way") == 1, values[1]).when(F.col("way") == 2, values[2]).otherwise(values[3])
+    own = by_way(F.lit(85.0), F.when(named, 75.0).otherwise(50.0), F.when(named, 70.0).otherwise(40.0), F.lit(55.0) + F.when(beside, 15.0).otherwise(0.0))
+    score = clamp(own + context, 0, 100)
+    score = F.when((F.col("way") == 0) & (refused | (score <= 0)), FLOOR).otherwise(score)
+    return _found(rows.where(by_way(iban, swift, aba, account)), "bank_account", by_way(*map(F.lit, shapes)), score)
 
 
 # ---- medical numbers ----------------------------------------------------------------------------------------------
@@ -494,30 +492,30 @@ def medical_id(lines: DataFrame) -> DataFrame:
     score = clamp(words_score(MEDICAL_WORDS, 10.0, "seen", LABEL_GAP) - test * 25.0 + words_score(MEDICAL_AGAINST, -15.0, "seen"), -60, 40)
     asked = {"context": F.when(test > 0, F.least(score, F.lit(-25.0))).otherwise(score)}
     asked |= {k: has_word(w, "seen", LABEL_GAP) for k, w in MEDICAL_LABELS.items()} | {k: has_word(w, "seen") for k, w in MEDICAL_CONTEXTS.items()}
-    t, context = F.col("text"), F.col("context")
-
-    def part(pattern: str, check: Column, kind: str, base: Column, floor: float = 0.0, only: Column | None = None, headers: bool = False, **more: Column) -> DataFrame:
-        rows = candidates(lines, _word(pattern), only, headers, **asked, **more).where(check)
-        total = clamp(base + context, 0, 100)
-        return _found(rows, "medicalid", F.lit(kind), F.when(total <= 0, floor).otherwise(total))
-
-    pick = lambda name, yes, no: F.when(F.col(name), yes).otherwise(no)
-    out = part(r"[12]\d{9}", checksums.npi(t) & ~F.col("phones"), "NPI", pick("provider", 80.0, 40.0), FLOOR)
-    out = out.unionByName(part(r"[ABCDFGMabcdfgm][A-Za-z]\d{7}", checksums.dea(t), "DEA_NUMBER", pick("dea", 85.0, 55.0), FLOOR))
-    out = out.unionByName(part(MBI, F.lit(True), "MEDICARE_MBI", pick("medicare", 75.0, 40.0)))
-    shape = (F.char_length(t) == 9) | ((F.char_length(t) == 10) & (t.startswith("1") | (t.startswith("2") & checksums.npi(t))))
-    asked_more = {"other": has_word(NOT_RECORDS), "other_soft": has_word(NOT_RECORDS_SOFT)}
-    record = ~F.col("other") & ~(F.col("other_soft") & ~F.col("mrn")) & ~shape
+    asked |= {"other": has_word(NOT_RECORDS), "other_soft": has_word(NOT_RECORDS_SOFT), "no_member": has_word(NOT_MEMBERS), "no_member_soft": has_word(NOT_MEMBERS_SOFT)}
     medical_line = has_word(MEDICAL_LABELS["medical"], "lower", LABEL_GAP)
-    out = out.unionByName(part(r"\d{6,10}", record, "MRN", F.when(F.col("mrn"), 70.0).when(F.col("medical"), 45.0).otherwise(15.0), only=medical_line, **asked_more))
-    asked_more = {"other": has_word(NOT_MEMBERS), "other_soft": has_word(NOT_MEMBERS_SOFT)}
+    insured = has_word(MEDICAL_LABELS["insured"], "seen", LABEL_GAP) | has_word(MEDICAL_LABELS["insured"], "heads", LABEL_GAP)
+    shapes = {
+        "NPI": (r"[12]\d{9}", None), "DEA_NUMBER": (r"[ABCDFGMabcdfgm][A-Za-z]\d{7}", None), "MEDICARE_MBI": (MBI, None), "MRN": (r"\d{6,10}", medical_line),
+        "INSURANCE_MEMBER_ID": ("[A-Za-z0-9]{8,20}", insured),
+    }
+    rows = candidates(lines, [(_word(shape), only) for shape, only in shapes.values()], headers=True, **asked)
+    t, way = F.col("text"), F.col("way")
+    npi, dea = checksums.npi(t), checksums.dea(t)
+    shape = (F.char_length(t) == 9) | ((F.char_length(t) == 10) & (t.startswith("1") | (t.startswith("2") & npi)))
+    record = ~F.col("other") & ~(F.col("other_soft") & ~F.col("mrn")) & ~shape
     named = F.col("member") | has_word(MEDICAL_LABELS["insured"], "header", LABEL_GAP)
     hexed = F.lower(t).rlike("^[0-9a-f]+$") & (~named | ~t.rlike("[A-Z]"))
-    shape = hexed | F.lower(t).rlike("^0x[0-9a-f]+$") | (t.rlike("^[A-Z0-9]+$") & ~named)
-    taken = (t.rlike("^[ABCDFGMabcdfgm][A-Za-z][0-9]{7}$") & checksums.dea(t)) | t.rlike(f"^{MBI_PLAIN}$")
-    member = t.rlike("[A-Za-z]") & t.rlike("[0-9]") & ~F.col("other") & ~(F.col("other_soft") & ~named) & ~shape & ~taken
-    insured = has_word(MEDICAL_LABELS["insured"], "seen", LABEL_GAP) | has_word(MEDICAL_LABELS["insured"], "heads", LABEL_GAP)
-    return out.unionByName(part("[A-Za-z0-9]{8,20}", member, "INSURANCE_MEMBER_ID", F.when(named, 70.0).otherwise(50.0), only=insured, headers=True, **asked_more))
+    other = hexed | F.lower(t).rlike("^0x[0-9a-f]+$") | (t.rlike("^[A-Z0-9]+$") & ~named)
+    taken = (t.rlike("^[ABCDFGMabcdfgm][A-Za-z][0-9]{7}$") & dea) | t.rlike(f"^{MBI_PLAIN}$")
+    member = t.rlike("[A-Za-z]") & t.rlike("[0-9]") & ~F.col("no_member") & ~(F.col("no_member_soft") & ~named) & ~other & ~taken
+    checked = F.when(way == 0, npi & ~F.col("phones")).when(way == 1, dea).when(way == 2, True).when(way == 3, record).otherwise(member)
+    pick = lambda asked, yes, no: F.when(asked, yes).otherwise(no)
+    own = F.when(way == 0, pick(F.col("provider"), 80.0, 40.0)).when(way == 1, pick(F.col("dea"), 85.0, 55.0)).when(way == 2, pick(F.col("medicare"), 75.0, 40.0))
+    own = own.when(way == 3, F.when(F.col("mrn"), 70.0).when(F.col("medical"), 45.0).otherwise(15.0)).otherwise(pick(named, 70.0, 50.0))
+    total = clamp(own + F.col("context"), 0, 100)
+    kind = F.element_at(F.array(*map(F.lit, shapes)), way + 1)
+    return _found(rows.where(checked), "medicalid", kind, F.when((total <= 0) & (way <= 1), FLOOR).otherwise(total))
 
 
 # ---- secrets ------------------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilstone.functions.documents import DOMAIN_SAMPLE, DOMAINS, ENVIRONMENTS, SIGNALS
 from veilstone.functions.lines import lines
+from veilstone.functions.tables import spread
 from veilstone.functions.text import band
 from veilstone.operators import context, explain, redact, report, suppress
 from veilstone.operators import detectors as d
@@ -21,7 +22,7 @@ AS_OF = "2024-06-01 00:00:00"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _people(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -340,22 +341,35 @@ def _bank_context() -> str:
     return f"greatest(-50, least(40, {_sum(d.BANK_WORDS, 15.0)} + {_sum(d.BANK_AGAINST, -20.0)}))"
 
 
-def aba_sql(source: str) -> str:
+def bank_ctes(source: str) -> str:
+    """All four kinds of numbers, on lines of any text: words for and against, postal lines, and their own checks."""
+    flex = "[ \\t_-]*"
+    routing = [w for w in d.BANK_WORDS if w not in ("routing", "routing number", "transit")]
+    n = lambda words: "(" + " + ".join(f"{_has([w])}::INT" for w in words) + ")"
+    lengths = " ".join(f"WHEN '{k}' THEN {v}" for k, v in d.IBAN_LENGTHS.items())
+    digits = "list_reduce(list_transform(string_split(compact[5:] || compact[1:4], ''), lambda ch: CASE WHEN ch BETWEEN '0' AND '9' THEN ch ELSE (ascii(ch) - 55)::VARCHAR END), lambda a, b: ((a || b)::HUGEINT % 97)::VARCHAR)"
     s = lambda i: f"substr(text, {i}, 1)::INT"
-    return f"""{_found(source, r"\b[0-9]{9}\b", 0, "true")},
-        p AS (SELECT *, {_has(d.BANK_WORDS)} AS banking, {_bank_context()} AS context FROM c
-              WHERE (3 * ({s(1)} + {s(4)} + {s(7)}) + 7 * ({s(2)} + {s(5)} + {s(8)}) + {s(3)} + {s(6)} + {s(9)}) % 10 = 0
-              AND (text[1:2]::INT BETWEEN 1 AND 32 OR text[1:2]::INT BETWEEN 61 AND 72 OR text[1:2] = '80') AND text NOT IN {_in(d.ABA_TESTS)}),
-        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'ABA_ROUTING' AS type, text, greatest(0, least(100, CASE WHEN banking THEN 70.0 ELSE 40.0 END + context))::DOUBLE AS confidence, banking FROM p)
-        {SELECT} WHERE confidence > 0 AND (banking OR confidence >= 50)"""
-
-
-def iban_sql(source: str) -> str:
-    moved = "regexp_replace(regexp_replace(text[5:] || text[1:4], 'D', '13', 'g'), 'E', '14', 'g')"
-    return f"""{_found(source, r"\bDE[0-9]{20}\b", 0, "true")},
-        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'IBAN' AS type, text, greatest(15, greatest(0, least(100, 85.0 + {_bank_context()})))::DOUBLE AS confidence
-              FROM c WHERE text[3:4] NOT IN ('00', '01', '99') AND {moved}::HUGEINT % 97 = 1)
-        {SELECT}"""
+    shapes = [
+        ("IBAN", r"(?i)\b(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b"), ("SWIFT_BIC", r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"),
+        ("ABA_ROUTING", r"\b[0-9]{9}\b"), ("US_BANK_ACCOUNT", r"\b[0-9]{8,17}\b"),
+    ]
+    each = " UNION ALL ".join(f"SELECT * FROM ({_found(source, p, 0, 'true')} SELECT *, '{k}' AS type FROM c)" for k, p in shapes)
+    return f"""WITH numbers AS ({each}),
+        o AS (SELECT *, {_bank_context()} AS context, {_has(d.BANK_WORDS, flex)} AS banking, {n(d.BANK_WORDS)} AS n_for, {n(d.BANK_AGAINST)} AS n_against, {_has(["zip", "postal"])} AND NOT {_has(routing)} AS postal,
+              {_has(d.BANK_PHONES)} AS phones, upper(replace(text, ' ', '')) AS compact, right(lead, 30) AS before FROM numbers),
+        p AS (SELECT *, (n_for <= 1 AND n_against >= 3) OR (n_for = 0 AND n_against >= 2) OR (n_for <= 1 AND postal) AS refused FROM o),
+        i AS (SELECT * FROM p WHERE type = 'IBAN' AND length(compact) = CASE substr(compact, 1, 2) {lengths} END AND substr(compact, 3, 2) NOT IN ('00', '01', '99')),
+        q AS (SELECT *, CASE WHEN refused OR 85.0 + context <= 0 THEN 15.0 ELSE 85.0 + context END AS score FROM i WHERE {digits}::INT % 97 = 1
+              UNION ALL SELECT *, CASE WHEN banking THEN 75.0 ELSE 50.0 END + context FROM p WHERE type = 'SWIFT_BIC' AND substr(text, 5, 2) IN {_in(d.COUNTRIES)} AND NOT refused
+                        AND (banking OR (regexp_matches(text, '[0-9]') AND 50 + context >= 40))
+              UNION ALL SELECT *, CASE WHEN banking THEN 70.0 ELSE 40.0 END + context FROM p WHERE type = 'ABA_ROUTING' AND NOT refused AND (banking OR 40 + context >= 50) AND text NOT IN {_in(d.ABA_TESTS)}
+                        AND (3 * ({s(1)} + {s(4)} + {s(7)}) + 7 * ({s(2)} + {s(5)} + {s(8)}) + {s(3)} + {s(6)} + {s(9)}) % 10 = 0 AND (text[1:2]::INT BETWEEN 1 AND 32 OR text[1:2]::INT BETWEEN 61 AND 72 OR text[1:2] = '80')
+              UNION ALL SELECT *, 55.0 + context + CASE WHEN regexp_matches(lower(before || text || left(after, 64)), 'account|acct') THEN 15.0 ELSE 0.0 END FROM p
+                        WHERE type = 'US_BANK_ACCOUNT' AND banking AND NOT refused AND length(text) <> 9 AND NOT (length(text) BETWEEN 13 AND 17 AND {_luhn("text")})
+                        AND NOT (length(text) = 10 AND (phones OR regexp_matches(right(lead, 6) || text || left(after, 2), '\\([0-9]{{3}}\\)\\s?[0-9]{{3}}[-.]?[0-9]{{4}}|[0-9]{{3}}[-.\\s][0-9]{{3}}[-.\\s][0-9]{{4}}')))
+                        AND NOT regexp_matches(right(lead, 3) || text || left(after, 3), '[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+                        AND NOT regexp_matches(right(lead, 10), '(?i)\\bv?[0-9]+\\.[0-9]+\\.[0-9]+|(^|[^a-z0-9])version($|[^a-z0-9])|\\bv\\.?[0-9]')),
+        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, type, text, greatest(0, least(100, score))::DOUBLE AS confidence FROM q WHERE score > 0)"""
 
 
 def medical_sql(source: str, pattern: str, check: str, kind: str, words: list[str], base: float, without: float) -> str:
@@ -367,6 +381,19 @@ def medical_sql(source: str, pattern: str, check: str, kind: str, words: list[st
         {SELECT}"""
 
 
+def medical_label_sql(source: str) -> str:
+    """Record numbers beside their words (no tables, no labels above)."""
+    flex = "[ \\t_-]*"
+    strong = _sum(d.MEDICAL_STRONG_AGAINST, 25.0)
+    words = "(" + " + ".join(f"CASE WHEN {_has([w], flex)} THEN 10.0 ELSE 0.0 END" for w in d.MEDICAL_WORDS) + ")"
+    context = f"greatest(-60, least(40, {words} - {strong} + {_sum(d.MEDICAL_AGAINST, -15.0)}))"
+    shaped = f"length(text) = 9 OR (length(text) = 10 AND (text LIKE '1%' OR (text LIKE '2%' AND {_luhn("('80840' || text)")})))"
+    return f"""{_found(source, r"\b[0-9]{6,10}\b", 0, _has(d.MEDICAL_LABELS["medical"], flex))},
+        o AS (SELECT *, CASE WHEN {strong} > 0 THEN least(-25, {context}) ELSE {context} END AS context, {_has(d.MEDICAL_LABELS["mrn"], flex)} AS mrn FROM c WHERE NOT ({shaped}) AND NOT {_has(d.NOT_RECORDS)}),
+        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'MRN' AS type, text, greatest(0, least(100, CASE WHEN mrn THEN 70.0 ELSE 45.0 END + context))::DOUBLE AS confidence FROM o WHERE mrn OR NOT {_has(d.NOT_RECORDS_SOFT)})
+        {SELECT} WHERE confidence > 0"""
+
+
 def cloud_sql(source: str) -> str:
     test = _has(["test", "example", "sample", "dummy", "mock", "fake", "placeholder"])
     return f"""{_found(source, d.CLOUD[0][0], 0, "true")},
@@ -419,7 +446,8 @@ def phone_sql(source: str) -> str:
     """North American numbers with their country code, the only shape that the documents hold."""
     near = lambda words, a, b: " + ".join(f"CASE WHEN contains(line, {_q(w)}) THEN {a} WHEN contains(lower, {_q(w)}) THEN {b} ELSE 0.0 END" for w in words)
     return f"""{_found(source, r"(?:^|[\s,;|\"'<>])(\+1[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(?:[-.\s]?(?:ext\.?|extension|x)[-.\s]?[0-9]{1,6})?)\b", 1, "true", ", regexp_replace(text, '[^0-9]', '', 'g') AS digits")},
-        p AS (SELECT *, 115.0 - CASE WHEN length(digits) > 15 THEN 15 ELSE 0 END - CASE WHEN regexp_matches(text, '555-?0|000-000|111-111|123-456') THEN 20 ELSE 0 END AS own,
+        p AS (SELECT *, 115.0 - CASE WHEN length(digits) > 15 THEN 15 ELSE 0 END - CASE WHEN regexp_matches(digits, '^1?([0-9]{{3}})?55501[0-9]{{2}}$') THEN 20 ELSE 0 END - CASE WHEN regexp_matches(digits, '00000|11111|22222|33333|44444|55555|66666|77777|88888|99999') THEN 15 ELSE 0 END
+              - CASE WHEN regexp_matches(digits, '01234|12345|23456|34567|45678|56789|98765|87654|76543|65432|54321|43210') THEN 15 ELSE 0 END AS own,
               greatest(-80, least(40, {near(PHONE_WORDS, 15.0, 8.0)} - CASE WHEN {_or("lower", PHONE_WORDS, "contains")} THEN 0 ELSE 20 END + {near(PHONE_AGAINST, -35.0, -18.0)}))
               + CASE WHEN {_table("[A-Z][a-z]+\\s+[A-Z][a-z]+\\s+\\(?[0-9]{3}")} THEN 15.0 ELSE 0.0 END AS context FROM c),
         q AS (SELECT *, greatest(0, least(100, own + context)) AS total FROM p),
@@ -441,10 +469,20 @@ _BAND = "CASE WHEN confidence >= 90 THEN 'HIGH' WHEN confidence >= 60 THEN 'MEDI
 _NAME = "'customer/' || doc_id::VARCHAR"
 _BOTH = f"bth AS (SELECT * FROM ({card_ctes(DOCS)} SELECT * FROM f) UNION ALL SELECT * FROM ({email_ctes(DOCS)} SELECT doc_id, line_number, start_col, text, type, confidence FROM f))"
 
+#: The other detectors of the flagship, each whole but for what the documents lack: tables around social security and members' numbers, compressed
+#: IPv6 addresses, and secrets that no name tells.
+_NPI = (r"\b[12][0-9]{9}\b", _luhn("('80840' || text)") + f" AND NOT {_has(d.MEDICAL_CONTEXTS['phones'])}", "NPI", d.MEDICAL_CONTEXTS["provider"], 80.0, 40.0)
+_DEA = (
+    r"\b[ABCDFGMabcdfgm][A-Za-z][0-9]{7}\b", "(text[3]::INT + text[5]::INT + text[7]::INT + 2 * (text[4]::INT + text[6]::INT + text[8]::INT)) % 10 = text[9]::INT", "DEA_NUMBER", d.MEDICAL_CONTEXTS["dea"],
+    85.0, 30.0,
+)
+_OTHERS = [
+    ip_sql(DOCS), f"{secret_ctes(DOCS)} SELECT * FROM f", ssn_sql(DOCS), vin_sql(DOCS), f"{bank_ctes(DOCS)} SELECT * FROM f", medical_sql(DOCS, *_NPI), medical_sql(DOCS, *_DEA), medical_label_sql(DOCS), cloud_sql(DOCS),
+]
+
 ORACLE_SQL: dict[str, str] = {
     "scan_documents": f"""WITH {_kinds_sql()}, {_BOTH},
-        every AS (SELECT * FROM bth UNION ALL SELECT * FROM ({ip_sql(DOCS).rpartition("SELECT doc_id, line_number")[0]} SELECT doc_id, line_number, start_col, text, type, confidence FROM f)
-                  UNION ALL SELECT * FROM ({secret_ctes(DOCS)} SELECT doc_id, line_number, start_col, text, type, confidence FROM f)),
+        every AS (SELECT * FROM bth UNION ALL {" UNION ALL ".join(f"SELECT doc_id, line_number, start_col, text, type, confidence FROM ({q})" for q in _OTHERS)}),
         fin AS (SELECT doc_id, line_number, start_col, type, text, greatest(0, least(100, confidence + adjustment))::DOUBLE AS confidence FROM every JOIN adj USING (doc_id))
         SELECT *, {_BAND} AS band FROM fin WHERE confidence > 0""",
     "document_lines": "SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, (strlen(coalesce(text, '')) - (len(string_split(coalesce(text, ''), chr(10))) - 1))::BIGINT AS n_bytes FROM documents",
@@ -457,13 +495,10 @@ ORACLE_SQL: dict[str, str] = {
     "detect_ssn_customers": ssn_sql(_people_sql(SSN_TEXT)),
     "detect_ip_address_customers": ip_sql(_people_sql(IP_TEXT)),
     "detect_vin_customers": vin_sql(_people_sql(VIN_TEXT)),
-    "detect_aba_customers": aba_sql(_people_sql(ABA_TEXT)),
-    "detect_iban_customers": iban_sql(_people_sql(IBAN_TEXT)),
-    "detect_npi_customers": medical_sql(_people_sql(NPI_TEXT), r"\b[12][0-9]{9}\b", _luhn("('80840' || text)"), "NPI", d.MEDICAL_CONTEXTS["provider"], 80.0, 40.0),
-    "detect_dea_customers": medical_sql(
-        _people_sql(DEA_TEXT), r"\b[ABCDFGMabcdfgm][A-Za-z][0-9]{7}\b",
-        "(text[3]::INT + text[5]::INT + text[7]::INT + 2 * (text[4]::INT + text[6]::INT + text[8]::INT)) % 10 = text[9]::INT", "DEA_NUMBER", d.MEDICAL_CONTEXTS["dea"], 85.0, 30.0,
-    ),
+    "detect_aba_customers": f"{bank_ctes(_people_sql(ABA_TEXT))} {SELECT}",
+    "detect_iban_customers": f"{bank_ctes(_people_sql(IBAN_TEXT))} {SELECT}",
+    "detect_npi_customers": medical_sql(_people_sql(NPI_TEXT), *_NPI),
+    "detect_dea_customers": medical_sql(_people_sql(DEA_TEXT), *_DEA),
     "detect_cloud_customers": cloud_sql(_people_sql(ARN_TEXT)),
     "document_facts": facts_sql(),
     "document_context": f"WITH {_kinds_sql()} SELECT doc_id, doc_kind, test_score, production_score, adjustment FROM adj",
