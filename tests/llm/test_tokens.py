@@ -90,3 +90,30 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     b, t = bpe.Bpe(BYTE), Tokenizer.from_file(BYTE)
     for x in texts(400, 9):
         assert b.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_words_are_the_librarys_for_every_character():
+    """Each code point before and after a letter, a number, a sign and an apostrophe's ending, in one long text."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path).pre_tokenizer, bpe.load(path)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and not 0xE000 <= c <= 0xF8FF and c < 0xF0000]
+    for i in range(0, len(codes), 50_000):
+        text = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)}'s {chr(c)}" for c in codes[i : i + 50_000])
+        ends = [e for _, (_, e) in library.pre_tokenize_str(text)]
+        mine, at = [], 0
+        for w in own.split(text):
+            at += len(w)
+            mine.append(at)
+        assert mine == ends
+
+
+def test_unassigned_letters_encode_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.load(path)
+    for c in (0x558, 0x88F, 0xA7CE, 0x191A3, 0x1C89, 0xE9, 0x4E00):
+        for text in (f"{chr(c)}'s", f"x{chr(c)}y  {chr(c)} {chr(c)}1", f"don't {chr(c)}\n"):
+            assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids

@@ -25,6 +25,8 @@ from veilstone.llm.store import quoted, written
 SHARD_ROWS, LINKS, BUILD_BREADTH, SEARCH_BREADTH, SEED = 8192, 14, 64, 96, 7
 #: Most bytes of a shard's vectors in double precision; queries that travel in one row.
 SHARD_BYTES, BLOCK = 256 << 20, 256
+#: Steps of a unit vector's component: vectors with the same rounded components are one node.
+GRID = 2.0**22
 
 
 def shard_rows(rows: int, width: int) -> int:
@@ -183,13 +185,15 @@ def usable(vector: Column, vec_id: Column) -> Column:
     return vec_id.isNotNull() & vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-INDEX = "shard LONG, width INT, ids BINARY, starts BINARY, vectors BINARY, levels BINARY, near BINARY, shape BINARY, originals BINARY"
+INDEX = "shard LONG, width INT, ids BINARY, starts BINARY, spans BINARY, vectors BINARY, levels BINARY, near BINARY, shape BINARY, originals BINARY"
 
 
 def build(rows: DataFrame, shards: int) -> DataFrame:
     """(vec_id LONG, vector ARRAY<DOUBLE>) -> a row for each shard and width of vectors, as INDEX says.
 
-    Equal vectors are one node that lists its ids, so that many copies don't fill each other's links.
+    A node is a direction: vectors that point the same way but for rounding (GRID) are one node, so that many
+    copies or multiples don't fill each other's links.  A node has a span of distinct original vectors, and
+    each of those its ids.
     """
 
     def one(table: pa.Table) -> pa.Table:
@@ -201,14 +205,20 @@ def build(rows: DataFrame, shards: int) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order] + 0.0
         _, first, node = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
-        by_node = np.argsort(node, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(first)))])
         own = np.ascontiguousarray(x[first])
-        biggest = np.abs(own).max(axis=1, keepdims=True)
-        unit = own / biggest
+        unit = own / np.abs(own).max(axis=1, keepdims=True)
         unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        graph = Hnsw(unit).flat()
-        row = {"ids": ids[by_node].astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes(), **graph, "originals": own.tobytes()}
+        grid = np.ascontiguousarray(np.rint(unit * GRID).astype(np.int32))
+        _, leader, way = np.unique(grid.view(np.dtype((np.void, grid.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+        order = np.argsort(way, kind="stable")
+        spans = np.concatenate([[0], np.cumsum(np.bincount(way, minlength=len(leader)))])
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        own, node = own[order], place[node]
+        by_node = np.argsort(node, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(own)))])
+        graph = Hnsw(unit[leader]).flat()
+        row = {"ids": ids[by_node].astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes(), "spans": spans.astype(np.int64).tobytes(), **graph, "originals": own.tobytes()}
         return pa.table({"shard": pa.array([shard], pa.int64()), "width": pa.array([x.shape[1]], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in row.items()}})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("width", F.size("vector"))
@@ -221,9 +231,11 @@ def cosine(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (rows * q).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def _best(ids: np.ndarray, starts: np.ndarray, own: np.ndarray, nodes: list[int], q: np.ndarray, query_id: int, k: int) -> list[tuple[float, int]]:
+def _best(ids: np.ndarray, starts: np.ndarray, spans: np.ndarray, own: np.ndarray, nodes: list[int], q: np.ndarray, query_id: int, k: int) -> list[tuple[float, int]]:
     """The k best (score, id) of the rows of some nodes: largest score first, ties to the smaller id."""
-    at = np.array(nodes, dtype=np.int64)
+    if not nodes:
+        return []
+    at = np.concatenate([np.arange(spans[n], spans[n + 1]) for n in nodes])
     scores = cosine(own[at], q)
     if len(at) > k + 1:
         keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
@@ -274,15 +286,15 @@ def search(index: DataFrame, asked: DataFrame, shards: int, k: int, breadth: int
                 if (ids := b.column("asked")[r].as_py()) is None:
                     got = {c: b.column(c)[r].as_py() for c in graph}
                     g = Hnsw.open(got["vectors"], got["levels"], got["near"], got["shape"])
-                    key, now = at, (g, np.frombuffer(got["ids"], dtype=np.int64), np.frombuffer(got["starts"], dtype=np.int64), np.frombuffer(got["originals"]).reshape(-1, at[1]))
+                    key, now = at, (g, np.frombuffer(got["ids"], dtype=np.int64), np.frombuffer(got["starts"], dtype=np.int64), np.frombuffer(got["spans"], dtype=np.int64), np.frombuffer(got["originals"]).reshape(-1, at[1]))
                 elif at == key:
-                    g, own_ids, starts, own = now
+                    g, own_ids, starts, spans, own = now
                     vectors = np.frombuffer(b.column("asked_vectors")[r].as_py()).reshape(-1, at[1])
                     for query_id, q in zip(np.frombuffer(ids, dtype=np.int64).tolist(), vectors, strict=True):
                         unit = q / np.abs(q).max()
                         nodes = g.search((unit / np.sqrt((unit * unit).sum())).astype(np.float32), breadth)
                         which = xxhash.xxh64_intdigest(q.tobytes()) >> 1
-                        out += [(query_id, which, i, s) for s, i in _best(own_ids, starts, own, nodes, q, query_id, k)]
+                        out += [(query_id, which, i, s) for s, i in _best(own_ids, starts, spans, own, nodes, q, query_id, k)]
             parts = zip(*out, strict=True) if out else ((), (), (), ())
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, types, strict=True)], ["query_id", "query_key", "vec_id", "score"])
