@@ -101,8 +101,7 @@ def _share(part: Column, whole: Column) -> Column:
 def quality(truth: DataFrame, findings: DataFrame) -> DataFrame:
     """Counts of ``outcomes`` by validator and over all (validator null), with recall_all (found at all), recall_medium and precision_medium.
 
-    Nothing to find is a recall of 1, nothing found a precision of 1.  Without labels and findings only the
-    row over all is left, all zeros.
+    Nothing to find is a recall of 1, nothing found a precision of 1.  Without labels and findings there are no rows.
     """
     is_a = lambda name: F.count_if((F.col("outcome") == name)).cast("long").alias(name)
     counts = [F.count_if(F.col("medium") & F.col("outcome").isin("tp", "fn_band")).cast("long").alias("tp_medium"), *[is_a(c) for c in COUNTS if c != "tp_medium"]]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstone.functions.text import LABEL_GAP, any_of, candidates, clamp, count_words, either_score, field_label, has_word, parts_score, tabular_line, word_pattern, words_score
+from veilstone.operators.accept import first_numbers
 from veilstone.operators.detectors import DOWN, NOT_WORD_AFTER, NOT_WORD_BEFORE, UP, _chars, _found, _mapped, _word
 
 TESTS = ["test", "example", "sample", "placeholder", "fake", "mock", "demo"]
@@ -16,16 +17,25 @@ ASIDE = r"^[ \t\-/(<\[|,;:#>]*(?i:{})(?![0-9A-Za-z_])"
 
 
 # ---- phone numbers ------------------------------------------------------------------------------------------------
-# Number shapes from the most to the least specific, words, fictional and often printed numbers.
+# Number shapes in the order in which they are tried, words, fictional and often printed numbers.
 _LEAD = r"(?<![^\s,;|\"'<>])"
 _TOLL = "(?:800|833|844|855|866|877|888)"
 PHONES = [
-    _LEAD + r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}" + NOT_WORD_AFTER, NOT_WORD_BEFORE + r"\d{3}[-.\s]\d{3}[-.\s]\d{4}" + NOT_WORD_AFTER, _word(r"\d{10}"),
-    _LEAD + r"\+1[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}" + NOT_WORD_AFTER, _LEAD + r"\+\d{1,4}[-.\s]?\d{2,4}[-.\s]?\d{2,4}[-.\s]?\d{3,9}" + NOT_WORD_AFTER,
-    _word(r"00\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"), _word(r"0\d{2,4}[-.\s]?\d{3,8}(?:[-.\s]\d{3,4})?"), _LEAD + r"\+44[-.\s]?\d{1,4}[-.\s]?\d{3,8}" + NOT_WORD_AFTER,
+    _LEAD + r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}" + NOT_WORD_AFTER,
+    NOT_WORD_BEFORE + r"\d{3}[-.\s]\d{3}[-.\s]\d{4}" + NOT_WORD_AFTER,
+    _word(r"\d{10}"),
+    _LEAD + r"\+1[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}" + NOT_WORD_AFTER,
+    _LEAD + r"\+\d{1,4}[-.\s]?\d{2,4}[-.\s]?\d{2,4}[-.\s]?\d{3,9}" + NOT_WORD_AFTER,
+    _word(r"00\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"),
+    _word(r"0\d{2,4}[-.\s]?\d{3,8}(?:[-.\s]\d{3,4})?"),
+    _LEAD + r"\+44[-.\s]?\d{1,4}[-.\s]?\d{3,8}" + NOT_WORD_AFTER,
+    _LEAD + r"\+\d{2}[-.\s]?\d{2,4}[-.\s]?\d{2,4}[-.\s]?\d{3,4}" + NOT_WORD_AFTER,
+    _LEAD + r"\+\d{1,3}[-.\s]?\d{2,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}" + NOT_WORD_AFTER,
     _LEAD + r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}[-.\s]?(?:ext\.?|extension|x)[-.\s]?\d{1,6}" + NOT_WORD_AFTER,
     _LEAD + r"\+\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}[-.\s]?(?:ext\.?|extension|x)[-.\s]?\d{1,6}" + NOT_WORD_AFTER,
-    NOT_WORD_BEFORE + rf"(?:1[-.\s]?)?{_TOLL}(?:\d{{3}}[-.\s]?\d{{4}}|[-.\s]\d{{7}})" + NOT_WORD_AFTER, _LEAD + rf"(?:1[-.\s]?)?\({_TOLL}\)[-.\s]?\d{{3}}[-.\s]?\d{{4}}" + NOT_WORD_AFTER,
+    NOT_WORD_BEFORE + rf"(?:1[-.\s]?)?{_TOLL}[-.\s]?\d{{3}}[-.\s]?\d{{4}}" + NOT_WORD_AFTER,
+    _LEAD + rf"(?:1[-.\s]?)?\({_TOLL}\)[-.\s]?\d{{3}}[-.\s]?\d{{4}}" + NOT_WORD_AFTER,
+    _LEAD + rf"\+1[-.\s]?{_TOLL}[-.\s]?\d{{3}}[-.\s]?\d{{4}}" + NOT_WORD_AFTER,
 ]
 PHONE_WORDS = [
     "phone", "telephone", "tel", "call", "mobile", "cell", "cellular", "contact", "number", "fax", "voicemail", "extension", "ext", "dial", "ring", "caller",
@@ -78,12 +88,14 @@ def _phone_like(t: Column, before: Column, after: Column) -> Column:
 
 
 def phone(lines: DataFrame) -> DataFrame:
-    """Of shapes that match at one place the first listed is taken; they can't overlap, and a line's equal numbers
-    are one finding."""
+    """Each shape's matches in the order of the shapes; of numbers that are, hold or lie in a number that the line has
+    already given, none is a finding (``first_numbers``).  A number that scores nothing takes no one's place."""
     line = F.col("line")
     positive = any_of(F.col("lower"), PHONE_WORDS, "contains")
     context = clamp(either_score("line", "lower", dict.fromkeys(PHONE_WORDS, (15.0, 8.0))) - F.when(positive, 0.0).otherwise(20.0) + either_score("line", "lower", dict.fromkeys(PHONE_AGAINST, (-35.0, -18.0))), -80, 40)
-    rows = candidates(lines, f"(?:{'|'.join(PHONES)})", line.rlike(r"\d{3}"), context=context, table=tabular_line(r"[A-Z][a-z]+\s+[A-Z][a-z]+\s+\(?\d{3}\)?"))
+    plus, round_ = line.contains("+"), line.contains("(")
+    tried = [(p, (plus if r"\+" in p else round_ if r"\(\d" in p or r"\((?:" in p else F.lit(True)) & line.rlike(r"\d{3}")) for p in PHONES]
+    rows = candidates(lines, tried, context=context, table=tabular_line(r"[A-Z][a-z]+\s+[A-Z][a-z]+\s+\(?\d{3}\)?"))
     t, before, after = F.col("text"), F.col("before"), F.col("after")
     rows = rows.withColumn("number", F.regexp_replace(t, r"[^0-9+]", "")).where(~_inside_identifier(t, before, after))
     n = F.col("number")
@@ -115,9 +127,8 @@ def phone(lines: DataFrame) -> DataFrame:
     )
     seen = F.when(_phone_like(t, before, after), F.col("context")).otherwise(-100.0)
     total = clamp(F.greatest(own, F.lit(0.0)) + seen + F.when(F.col("table"), 15.0).otherwise(0.0), 0, 100)
-    found = _found(rows, "phone", F.lit("PHONE"), F.when(stripped.rlike(r"^1?(?:\d{3})?55501\d\d$"), F.least(total, F.lit(FICTIONAL))).otherwise(total))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "line_number", F.regexp_replace("text", r"[^0-9+]", "")).orderBy("start_col"))
-    return found.withColumn("nth", nth).where("nth = 1").drop("nth")
+    total = F.when(stripped.rlike(r"^1?(?:\d{3})?55501\d\d$"), F.least(total, F.lit(FICTIONAL))).otherwise(total)
+    return _found(first_numbers(rows.withColumn("score", total).where("score > 0")), "phone", F.lit("PHONE"), F.col("score"))
 
 
 # ---- dates of birth -----------------------------------------------------------------------------------------------

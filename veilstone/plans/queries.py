@@ -12,7 +12,7 @@ from veilstone.functions.documents import DOMAIN_SAMPLE, DOMAINS, ENVIRONMENTS,
 from veilstone.functions.lines import lines
 from veilstone.functions.tables import spread
 from veilstone.functions.text import band
-from veilstone.operators import context, explain, redact, report, suppress
+from veilstone.operators import context, evaluate, explain, redact, report, suppress
 from veilstone.operators import detectors as d
 from veilstone.operators.labelled import PHONE_AGAINST, PHONE_WORDS
 from veilstone.operators.overlap import outermost
@@ -30,11 +30,15 @@ def _people(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr(text).alias("text"))
 
 
-SSN_TEXT = (
-    "CASE c_custkey % 3 WHEN 0 THEN 'employee ssn ' WHEN 1 THEN 'value ' ELSE 'order number ' END || lpad(cast((c_custkey*7919)%665+1 as varchar(9)),3,'0') || '-' || "
-    "lpad(cast(c_custkey%99+1 as varchar(9)),2,'0') || '-' || lpad(cast((c_custkey*31)%9999+1 as varchar(9)),4,'0')"
+SSN_VALUE = (
+    "lpad(cast((c_custkey*7919)%665+1 as varchar(9)),3,'0') || '-' || lpad(cast(c_custkey%99+1 as varchar(9)),2,'0') || '-' || lpad(cast((c_custkey*31)%9999+1 as varchar(9)),4,'0')"
 )
-CARD_TEXT = "CASE c_custkey % 3 WHEN 0 THEN 'card ' WHEN 1 THEN 'value ' ELSE 'serial ' END || '4532' || lpad(cast((c_custkey*104729)%1000000000000 as varchar(12)),12,'0')"
+SSN_TEXT = f"CASE c_custkey % 3 WHEN 0 THEN 'employee ssn ' WHEN 1 THEN 'value ' ELSE 'order number ' END || {SSN_VALUE}"
+CARD_VALUE = "'4532' || lpad(cast((c_custkey*104729)%1000000000000 as varchar(12)),12,'0')"
+CARD_TEXT = f"CASE c_custkey % 3 WHEN 0 THEN 'card ' WHEN 1 THEN 'value ' ELSE 'serial ' END || {CARD_VALUE}"
+MAIL_VALUE = "'user' || cast(c_custkey as varchar(12)) || '@acme' || cast(c_custkey%7 as varchar(2)) || 'corp.com'"
+#: Several values in a text, of which some are labelled: numbers of orders aren't, nor are cards without a good check digit.
+LABELLED_TEXT = f"{SSN_TEXT} || chr(10) || {CARD_TEXT} || chr(10) || 'contact ' || {MAIL_VALUE} || CASE c_custkey % 5 WHEN 0 THEN ' example' ELSE '' END"
 VIN_TEXT = "CASE c_custkey % 3 WHEN 0 THEN 'vehicle id ' WHEN 1 THEN 'value ' ELSE 'sku ' END || '1HGCM8263A' || lpad(cast(c_custkey%10000000 as varchar(9)),7,'0')"
 IP_TEXT = (
     "CASE c_custkey % 3 WHEN 0 THEN 'server ' WHEN 1 THEN 'value ' ELSE 'version ' END || cast(20+c_custkey%80 as varchar(9)) || '.' || cast((c_custkey*7)%256 as varchar(9)) || '.' || "
@@ -129,6 +133,31 @@ def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stay.select("doc_id", F.lit("active").alias("state")).unionByName(gone.select("doc_id", F.lit("suppressed").alias("state")))
 
 
+def labelled_people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of customers, and the spans in them that are to be found, with their value."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/customer.parquet")).select(F.col("c_custkey").alias("doc_id"), F.expr(LABELLED_TEXT).alias("text"), *[F.expr(v).alias(k) for k, v in (("ssn", SSN_VALUE), ("card", CARD_VALUE), ("mail", MAIL_VALUE))])
+    span = lambda by, value, types, least, is_one: F.when(is_one, F.struct(F.lit(by).alias("validator"), F.col(value).alias("value"), F.array(*map(F.lit, types)).alias("types"), F.lit(least).alias("min_band")))
+    spans = [
+        span("ssn", "ssn", ["SSN"], "HIGH", F.col("doc_id") % 3 != 2), span("creditcard", "card", ["VISA"], "MEDIUM", F.expr("luhn_check(card)")), span("email", "mail", ["BUSINESS", "EMAIL"], "HIGH", F.lit(True)),
+    ]
+    truth = docs.select("doc_id", "text", F.inline(F.array_compact(F.array(*spans))))
+    truth = truth.select("doc_id", "validator", "value", "types", "min_band", (F.instr("text", F.col("value")) - 1).alias("start"), F.char_length("value").alias("length"))
+    return docs.select("doc_id", "text"), truth
+
+
+def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detectors find of labelled values, miss, and find besides, by detector and over all."""
+    docs, truth = labelled_people(spark, sf_dir)
+    return evaluate.quality(truth, detect(docs, ["SSN", "CREDIT_CARD", "EMAIL"]))
+
+
+def redaction_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled values that stand in the redacted texts, by detector, beside how many there are."""
+    docs, truth = labelled_people(spark, sf_dir)
+    left = evaluate.leaks(truth, scan_and_redact(docs, ["SSN", "CREDIT_CARD", "EMAIL"], "format_preserving")).groupBy("validator").agg(F.count(F.lit(1)).alias("leaked"))
+    return truth.groupBy("validator").agg(F.count(F.lit(1)).alias("labels")).join(left, "validator", "left").select("validator", "labels", F.coalesce("leaked", F.lit(0)).cast("long").alias("leaked"))
+
+
 def explained_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = explain.explained(detect(_people(spark, sf_dir, CARD_TEXT), ["CREDIT_CARD"]))
     return found.select("doc_id", "type", "band", "verdict", "rationale")
@@ -177,6 +206,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redaction_audit": redaction_audit,
     "suppressed_findings": suppressed_findings,
     "explained_findings": explained_findings,
+    "detection_quality": detection_quality,
+    "redaction_leaks": redaction_leaks,
     "report_csv": _report("csv"),
     "report_json": _report("json"),
     "report_sarif": _report("sarif"),
@@ -443,10 +474,10 @@ def secret_ctes(source: str) -> str:
 
 
 def phone_sql(source: str) -> str:
-    """North American numbers with their country code, the only shape that the documents hold."""
+    """North American numbers with their area in brackets, the first shape tried and the only one that the documents hold (a country code before it makes the longer number a later, ruled out one)."""
     near = lambda words, a, b: " + ".join(f"CASE WHEN contains(line, {_q(w)}) THEN {a} WHEN contains(lower, {_q(w)}) THEN {b} ELSE 0.0 END" for w in words)
-    return f"""{_found(source, r"(?:^|[\s,;|\"'<>])(\+1[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(?:[-.\s]?(?:ext\.?|extension|x)[-.\s]?[0-9]{1,6})?)\b", 1, "true", ", regexp_replace(text, '[^0-9]', '', 'g') AS digits")},
-        p AS (SELECT *, 115.0 - CASE WHEN length(digits) > 15 THEN 15 ELSE 0 END - CASE WHEN regexp_matches(digits, '^1?([0-9]{{3}})?55501[0-9]{{2}}$') THEN 20 ELSE 0 END - CASE WHEN regexp_matches(digits, '00000|11111|22222|33333|44444|55555|66666|77777|88888|99999') THEN 15 ELSE 0 END
+    return f"""{_found(source, r"(?:^|[\s,;|\"'<>])(\([0-9]{3}\)\s?[0-9]{3}[-.\s]?[0-9]{4})\b", 1, "true", ", regexp_replace(text, '[^0-9]', '', 'g') AS digits")},
+        p AS (SELECT *, 105.0 - CASE WHEN length(digits) > 15 THEN 15 ELSE 0 END - CASE WHEN regexp_matches(digits, '^1?([0-9]{{3}})?55501[0-9]{{2}}$') THEN 20 ELSE 0 END - CASE WHEN regexp_matches(digits, '00000|11111|22222|33333|44444|55555|66666|77777|88888|99999') THEN 15 ELSE 0 END
               - CASE WHEN regexp_matches(digits, '01234|12345|23456|34567|45678|56789|98765|87654|76543|65432|54321|43210') THEN 15 ELSE 0 END AS own,
               greatest(-80, least(40, {near(PHONE_WORDS, 15.0, 8.0)} - CASE WHEN {_or("lower", PHONE_WORDS, "contains")} THEN 0 ELSE 20 END + {near(PHONE_AGAINST, -35.0, -18.0)}))
               + CASE WHEN {_table("[A-Z][a-z]+\\s+[A-Z][a-z]+\\s+\\(?[0-9]{3}")} THEN 15.0 ELSE 0.0 END AS context FROM c),
@@ -480,7 +511,23 @@ _OTHERS = [
     ip_sql(DOCS), f"{secret_ctes(DOCS)} SELECT * FROM f", ssn_sql(DOCS), vin_sql(DOCS), f"{bank_ctes(DOCS)} SELECT * FROM f", medical_sql(DOCS, *_NPI), medical_sql(DOCS, *_DEA), medical_label_sql(DOCS), cloud_sql(DOCS),
 ]
 
+_LABELLED = f"SELECT c_custkey AS doc_id, {LABELLED_TEXT} AS text FROM customer"
+_TRUTH = f"""k AS (SELECT c_custkey AS doc_id, {SSN_VALUE} AS ssn, {CARD_VALUE} AS card, {MAIL_VALUE} AS mail FROM customer),
+        truth AS (SELECT doc_id, 'ssn' AS validator, ssn AS value, 90 AS least FROM k WHERE doc_id % 3 <> 2 UNION ALL SELECT doc_id, 'creditcard', card, 60 FROM k WHERE {_luhn("card")}
+                  UNION ALL SELECT doc_id, 'email', mail, 90 FROM k)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "detection_quality": f"""WITH {_TRUTH},
+        found AS (SELECT doc_id, 'ssn' AS validator, text, confidence FROM ({ssn_sql(_LABELLED)}) UNION ALL SELECT doc_id, 'creditcard', text, confidence FROM ({card_ctes(_LABELLED)} SELECT * FROM f)
+                  UNION ALL SELECT doc_id, 'email', text, confidence FROM ({email_ctes(_LABELLED)} SELECT * FROM f)),
+        j AS (SELECT coalesce(t.validator, f.validator) AS validator, t.value, f.confidence AS c, least FROM truth t FULL JOIN found f ON t.doc_id = f.doc_id AND t.validator = f.validator AND t.value = f.text),
+        n AS (SELECT validator, count(*) FILTER (WHERE value IS NOT NULL AND c >= least) AS tp, count(*) FILTER (WHERE value IS NOT NULL AND c >= 60) AS tp_medium,
+                     count(*) FILTER (WHERE c IS NULL) AS fn_missed, count(*) FILTER (WHERE value IS NOT NULL AND c < least) AS fn_band, count(*) FILTER (WHERE value IS NULL AND c >= 60) AS fp_medium,
+                     count(*) FILTER (WHERE value IS NULL AND c < 60) AS fp_low, 0::BIGINT AS extra FROM j GROUP BY ROLLUP (validator))
+        SELECT *, CASE WHEN tp + fn_band + fn_missed = 0 THEN 1.0 ELSE (tp + fn_band)::DOUBLE / (tp + fn_band + fn_missed) END::DOUBLE AS recall_all,
+               CASE WHEN tp + fn_band + fn_missed = 0 THEN 1.0 ELSE tp_medium::DOUBLE / (tp + fn_band + fn_missed) END::DOUBLE AS recall_medium,
+               CASE WHEN tp_medium + fp_medium = 0 THEN 1.0 ELSE tp_medium::DOUBLE / (tp_medium + fp_medium) END::DOUBLE AS precision_medium FROM n""",
+    "redaction_leaks": f"WITH {_TRUTH} SELECT validator, count(*)::BIGINT AS labels, 0::BIGINT AS leaked FROM truth GROUP BY validator",
     "scan_documents": f"""WITH {_kinds_sql()}, {_BOTH},
         every AS (SELECT * FROM bth UNION ALL {" UNION ALL ".join(f"SELECT doc_id, line_number, start_col, text, type, confidence FROM ({q})" for q in _OTHERS)}),
         fin AS (SELECT doc_id, line_number, start_col, type, text, greatest(0, least(100, confidence + adjustment))::DOUBLE AS confidence FROM every JOIN adj USING (doc_id))
