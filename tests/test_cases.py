@@ -82,3 +82,21 @@ def test_long_lines_take_time_in_proportion(spark):
 
     seconds(100)
     assert seconds(60_000) < 60 and seconds(40_000) < 6 * max(1.0, seconds(10_000))
+
+
+def scores(spark, checks, text):
+    return [(r.text, r.confidence) for r in scan(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING"), checks).orderBy("start").collect()]
+
+
+def test_words_across_the_seams_of_window_and_line(spark):
+    """What stands before a value is read on into the line's head, and the line's tail on into what stands after it."""
+    # "tax" ends what stands before, "return" begins the line: only together they are a word for the number, for 10
+    assert scores(spark, ["SSN"], "return of 526-33-8210") == [("526-33-8210", 60.0)]
+    assert scores(spark, ["SSN"], "return batch tax 526-33-8210") == [("526-33-8210", 85.0 + 10 + 10 + 25 - 15 - 25)]
+    # a window of 50 characters that begins inside "contest" gives "test": 10 less
+    far = "x" * 2 + " contest " + "y" * 44 + " a.b@acmecorp.com"
+    assert scores(spark, ["EMAIL"], far)[0][1] == 100.0 + 5 - 10
+    whole = "x" * 2 + " contest " + "y" * 60 + " a.b@acmecorp.com"
+    assert scores(spark, ["EMAIL"], whole)[0][1] == 100.0
+    # "identification vehicle" isn't a word for a VIN, but "vehicle" before it and "identification" at the line's head are
+    assert scores(spark, ["VIN"], "identification of the vehicle 1HGCM82633A004352")[0][1] == 100.0

@@ -20,6 +20,8 @@ OPEN, CLOSE = "\x01", "\x02"
 #: Characters beside a value that a detector can see; bytes of them that tell findings apart, and bytes of a line that
 #: a finding carries on.
 NEAR, BESIDE, CARRIED = 64, 50, 8192
+#: Characters of a value's window, and of a line's head and tail beside it: more than the longest word has.
+WINDOW, EDGE = 50, 64
 #: Elements of a group of a prefix sum.
 GROUP = 64
 
@@ -160,6 +162,37 @@ def count_words(words: list[str], column: str = "lower", gap: str = r"[ \t_-]+")
     return F.expr(" + ".join([found, *others]))
 
 
+def words_in(words: list[str], column: str = "lower", gap: str = r"[ \t_-]+") -> Column:
+    """Those of the words that the lower-cased text has, as an array."""
+    plain = [w for w in words if re.fullmatch("[a-z0-9]+", w)]
+    found = f"array_distinct(regexp_extract_all({column}, {sql_text(word_pattern(plain))}, 0))" if plain else "CAST(array() AS ARRAY<STRING>)"
+    others = [f"IF({column} RLIKE {sql_text(word_pattern([w], gap))}, {sql_text(w)}, NULL)" for w in words if w not in plain]
+    return F.expr(f"concat({found}, array_compact(array({', '.join(others)})))" if others else found)
+
+
+def line_ends() -> dict[str, Column]:
+    """What ``seam`` needs of a line, as features of candidates: its head and tail, with a mark where they are cut."""
+    cut = F.char_length("lower") > EDGE
+    mark = F.when(cut, "0").otherwise("")
+    return {"head": F.concat(F.left("lower", F.lit(EDGE)), mark), "tail": F.concat(mark, F.right("lower", F.lit(EDGE)))}
+
+
+def seam() -> Column:
+    """The text in which words count as beside a value: what stands before it and then the line's head, the line's
+    tail and then what stands after the value.
+
+    The window around the value may cut a word, and a word of several parts may go across where two pieces meet.
+    Pieces are short, so it costs the same in a line of any length.
+    """
+    before, after = F.lower(F.right("before", F.lit(WINDOW))), F.lower(F.left("after", F.lit(WINDOW)))
+    return F.concat(before, F.lit(" "), F.col("head"), F.lit("\x07"), F.col("tail"), F.lit(" "), after)
+
+
+def beside(words: list[str], on_line: str, column: str = "seam") -> Column:
+    """How many of the words the seam has that the line (an array of its words) hasn't."""
+    return F.size(F.array_except(words_in(words, column), F.col(on_line)))
+
+
 def words_score(words: list[str], each: float, column: str = "lower", gap: str = r"[ \t_-]+") -> Column:
     """``each`` for every one of the words that the lower-cased text has; one SQL text, as the lists are long."""
     return count_words(words, column, gap) * F.lit(each)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilstone.functions import checksums
 from veilstone.functions.documents import about, known
 from veilstone.functions.lines import text_key
-from veilstone.functions.text import CLOSE, LABEL_GAP, OPEN, any_of, candidates, clamp, count_words, field_label, has_word, let, let_sql, quoted, running_sql, spans, tabular_line, word_pattern, words_score
+from veilstone.functions.text import CLOSE, LABEL_GAP, OPEN, any_of, beside, candidates, clamp, count_words, field_label, has_word, let, let_sql, line_ends, quoted, running_sql, seam, spans, tabular_line, word_pattern, words_in, words_score
 
 FINDINGS = ["doc_id", "doc_key", "line_number", "start_col", "end_col", "validator", "type", "text", "confidence", "ceiling", "line", "before", "after", "start", "length", "doc_kind", "adjustment"]
 #: What a value that passes a check digit keeps, whatever stands beside it.
@@ -192,8 +192,10 @@ def email_provider(domain: Column) -> Column:
 
 
 def email(lines: DataFrame, top_levels: list[str] | None = None) -> DataFrame:
-    context = clamp(words_score(EMAIL_WORDS, 8.0) + words_score(EMAIL_AGAINST, -20.0), -60, 30)
-    rows = candidates(lines, NOT_WORD_BEFORE + EMAIL + NOT_WORD_AFTER, F.col("line").contains("@"), context=context, table=tabular_line(EMAIL_NAME_VALUE))
+    asked = {"on_for": words_in(EMAIL_WORDS), "on_against": words_in(EMAIL_AGAINST), "table": tabular_line(EMAIL_NAME_VALUE), **line_ends()}
+    rows = candidates(lines, NOT_WORD_BEFORE + EMAIL + NOT_WORD_AFTER, F.col("line").contains("@"), **asked).withColumn("seam", seam())
+    near = 4.0 * beside(EMAIL_WORDS, "on_for") - 10.0 * beside(EMAIL_AGAINST, "on_against")
+    rows = rows.withColumn("context", clamp(8.0 * F.size("on_for") - 20.0 * F.size("on_against") + near, -60, 30))
     t = F.lower("text")
     user, domain = F.substring_index(t, "@", 1), F.substring_index(t, "@", -1)
     top = F.substring_index(domain, ".", -1)
@@ -259,9 +261,9 @@ def _ssn_line() -> dict[str, Column]:
     records = (rich >= 3) | (tabs >= 2) | (commas >= 3) | (pipes >= 2) | (count(r"\s{3,}") >= 2)
     numbers, bare = count(r"\d+"), count(r"[0-9 ]").cast("double") / F.greatest(F.octet_length(line), F.lit(1))
     encoded = ~tabular & F.when(numbers > 15, strict + cards + phones < 2).otherwise((bare > 0.85) & (numbers > 3))
-    fields = sum((F.when(has_word(words), F.lit(boost)).otherwise(F.lit(0.0)) for boost, words in SSN_FIELDS), F.lit(0.0))
     marks = has_word(SSN_MARKS) | any_of(F.col("lower"), SSN_MARK_NUMBERS, "contains")
-    return {"for_it": count_words(SSN_WORDS), "against": count_words(SSN_AGAINST), "fields": fields, "marks": marks, "tabular": tabular, "records": records, "encoded": encoded}
+    fields = {f"field{i}": has_word(words) for i, (_, words) in enumerate(SSN_FIELDS)}
+    return {"on_for": words_in(SSN_WORDS), "on_against": words_in(SSN_AGAINST), **fields, **line_ends(), "marks": marks, "tabular": tabular, "records": records, "encoded": encoded}
 
 
 def ssn(lines: DataFrame) -> DataFrame:
@@ -271,14 +273,27 @@ def ssn(lines: DataFrame) -> DataFrame:
     n = F.col("number")
     area, group, serial = F.substring(n, 1, 3), F.substring(n, 4, 2), F.substring(n, 6, 4)
     rows = rows.where(~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000") & ~n.isin(SSN_TESTS))
-    rows = rows.withColumns({"head_for": F.when(F.col("header") == "", 0).otherwise(count_words(SSN_WORDS, "header")), "head_against": F.when(F.col("header") == "", 0).otherwise(count_words(SSN_AGAINST, "header"))})
+    # of the words beside a value only those of several parts can be no words of the line
+    parted = lambda words: [w for w in words if " " in w]
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    rows = rows.withColumn("seam", seam())
+    rows = rows.withColumns({k: F.when(F.col("header") == "", none).otherwise(words_in(w, "header")) for k, w in (("head_words", SSN_WORDS), ("head_others", SSN_AGAINST))})
+    rows = rows.withColumns(
+        {
+            "for_it": F.size("on_for"), "against": F.size("on_against"), "head_for": F.size("head_words"), "head_against": F.size("head_others"),
+            "near_for": F.size(F.array_except(F.array_union("head_words", words_in(parted(SSN_WORDS), "seam")), "on_for")),
+            "near_against": F.size(F.array_except(F.array_union("head_others", words_in(parted(SSN_AGAINST), "seam")), "on_against")),
+        }
+    )
+    named_field = lambda i, words: F.col(f"field{i}") | has_word(words, "header") | (has_word(parted(words), "seam") if parted(words) else F.lit(False))
+    rows = rows.withColumn("fields", sum((F.when(named_field(i, words), F.lit(boost)).otherwise(F.lit(0.0)) for i, (boost, words) in enumerate(SSN_FIELDS)), F.lit(0.0)))
     dashes, bare = F.col("text").contains("-"), F.col("text") == n
     repeats = n.rlike(r"(\d)\1\1") | (area == F.concat(group, F.substring(group, 1, 1))) | (area == F.substring(serial, 1, 3))
     runs = F.lit(UP).contains(n) | F.lit(DOWN).contains(n)
     own = F.lit(85.0) + F.when(dashes, 10.0).when(bare, -15.0).otherwise(0.0) - F.when(runs, 15.0).otherwise(0.0) - F.when(repeats, 15.0).otherwise(0.0)
     own = F.when(F.col("encoded"), F.when(dashes, F.greatest(own - SSN_ENCODED, F.lit(SSN_ENCODED_FLOOR))).otherwise(own - SSN_ENCODED)).otherwise(own)
     marked = F.col("marks") | n.rlike(r"(\d)\1\1\1") | runs
-    context = 25.0 * F.col("for_it") + 10.0 * F.col("head_for") - 15.0 * F.col("against") - 8.0 * F.col("head_against") + F.col("fields")
+    context = 25.0 * F.col("for_it") + 10.0 * F.col("near_for") - 15.0 * F.col("against") - 8.0 * F.col("near_against") + F.col("fields")
     context = context + F.when(F.col("records"), 25.0).when(F.col("tabular"), 15.0).otherwise(0.0) - F.when(marked, 40.0).otherwise(0.0)
     total = own + clamp(context, -50, 50)
     named, refused = F.col("for_it") + F.col("head_for") > 0, F.col("against") + F.col("head_against") > 0
@@ -368,8 +383,10 @@ VIN_TESTS = ["11111111111111111", "00000000000000000", "AAAAAAAAAAAAAAAAA", "123
 
 
 def vin(lines: DataFrame) -> DataFrame:
-    context = clamp(words_score(VIN_WORDS, 25.0) + words_score(VIN_AGAINST, -15.0), -50, 50)
-    rows = candidates(lines, _word("[A-HJ-NPR-Za-hj-npr-z0-9]{17}"), context=context).withColumn("number", F.upper("text"))
+    asked = {"on_for": words_in(VIN_WORDS), "on_against": words_in(VIN_AGAINST), **line_ends()}
+    rows = candidates(lines, _word("[A-HJ-NPR-Za-hj-npr-z0-9]{17}"), **asked).withColumns({"number": F.upper("text"), "seam": seam()})
+    near = 10.0 * beside(VIN_WORDS, "on_for") - 8.0 * beside(VIN_AGAINST, "on_against")
+    rows = rows.withColumn("context", clamp(25.0 * F.size("on_for") - 15.0 * F.size("on_against") + near, -50, 50))
     n = F.col("number")
     good, maker = checksums.vin(n), F.substring(n, 1, 3).isin(VIN_MAKERS)
     rows = rows.where(~n.isin(VIN_TESTS) & ~n.rlike(r"^(.)\1*$") & n.rlike("[A-Z]") & n.rlike("[0-9]") & (good | (maker & ~n.rlike("^[1-5]"))))
@@ -434,9 +451,9 @@ def bank_account(lines: DataFrame) -> DataFrame:
     dated = F.concat(F.right(before, F.lit(3)), t, F.left(after, F.lit(3))).rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}")
     version = F.right(before, F.lit(10)).rlike(r"(?i)\bv?\d+\.\d+\.\d+|(?<![a-z0-9])version(?![a-z0-9])|\bv\.?\d")
     account = (size != 9) & ~(size.between(13, 17) & checksums.luhn(t)) & ~phone & ~dated & ~version & ~refused
-    beside = F.lower(F.concat(F.right(before, F.lit(30)), t, after)).rlike("account|acct")
+    by_account = F.lower(F.concat(F.right(before, F.lit(30)), t, after)).rlike("account|acct")
     by_way = lambda *values: F.when(F.col("way") == 0, values[0]).when(F.col("way") == 1, values[1]).when(F.col("way") == 2, values[2]).otherwise(values[3])
-    own = by_way(F.lit(85.0), F.when(named, 75.0).otherwise(50.0), F.when(named, 70.0).otherwise(40.0), F.lit(55.0) + F.when(beside, 15.0).otherwise(0.0))
+    own = by_way(F.lit(85.0), F.when(named, 75.0).otherwise(50.0), F.when(named, 70.0).otherwise(40.0), F.lit(55.0) + F.when(by_account, 15.0).otherwise(0.0))
     score = clamp(own + context, 0, 100)
     score = F.when((F.col("way") == 0) & (refused | (score <= 0)), FLOOR).otherwise(score)
     return _found(rows.where(by_way(iban, swift, aba, account)), "bank_account", by_way(*map(F.lit, shapes)), score)

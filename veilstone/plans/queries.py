@@ -237,6 +237,18 @@ def _sum(words: list[str], each: float) -> str:
     return "(" + " + ".join(f"CASE WHEN {_has([w])} THEN {each} ELSE 0.0 END" for w in words) + ")"
 
 
+#: What stands before a value and the line's head, the line's tail and what stands after the value.
+_SEAM = (
+    "lower(right(lead, 50)) || ' ' || left(lower, 64) || CASE WHEN length(lower) > 64 THEN '0' ELSE '' END || chr(7) || CASE WHEN length(lower) > 64 THEN '0' ELSE '' END || right(lower, 64) || ' ' || lower(left(after, 50)) AS seam"
+)
+
+
+def _near(words: list[str], on: float, beside: float, parted: bool = False) -> str:
+    """An amount for each word of the line, another for each that only the seam has (parted: if it has several parts)."""
+    reach = lambda w: f"WHEN regexp_matches(seam, {_re([w])}) THEN {beside}" if not parted or " " in w else ""
+    return "(" + " + ".join(f"CASE WHEN {_has([w])} THEN {on} {reach(w)} ELSE 0.0 END" for w in words) + ")"
+
+
 def _in(values: list[str]) -> str:
     return "(" + ", ".join(map(_q, values)) + ")"
 
@@ -307,12 +319,12 @@ def _or(column: str, parts: list[str], how: str) -> str:
 def email_ctes(source: str) -> str:
     providers = " ".join(f"WHEN domain IN {_in(v)} THEN {_q(k)}" for k, v in d.EMAIL_PROVIDERS.items())
     return f"""{_found(source, f"\\b{d.EMAIL}\\b", 0, "true", ", lower(text) AS t")},
-        a AS (SELECT *, split_part(t, '@', 1) AS usr, split_part(t, '@', 2) AS domain, string_split(t, '.')[-1] AS top FROM c),
+        a AS (SELECT *, {_SEAM}, split_part(t, '@', 1) AS usr, split_part(t, '@', 2) AS domain, string_split(t, '.')[-1] AS top FROM c),
         o AS (SELECT *, 100.0 - CASE WHEN length(t) > 254 OR length(usr) > 64 OR length(domain) > 253 THEN 30 ELSE 0 END - CASE WHEN regexp_matches(domain, '^[.-]') THEN 100 ELSE 0 END
               - CASE WHEN domain IN {_in(d.EMAIL_TEST_DOMAINS)} OR regexp_matches(domain, '\\.(local|localhost|test|invalid|example)$') THEN 25 ELSE 0 END - CASE WHEN length(top) = 2 OR top IN {_in(d.TOP_LEVELS)} THEN 0 ELSE 10 END
               - CASE WHEN usr IN {_in(d.EMAIL_TEST_USERS)} THEN 20 ELSE 0 END + CASE WHEN contains(usr, '.') AND usr NOT LIKE '.%' AND usr NOT LIKE '%.' THEN 5 ELSE 0 END
               - CASE WHEN length(t) > 254 OR length(t) < 6 THEN 10 ELSE 0 END - CASE WHEN contains(t, '..') THEN 10 ELSE 0 END - CASE WHEN {_or("t", d.EMAIL_TEST_PARTS, "contains")} THEN 15 ELSE 0 END AS own FROM a),
-        x AS (SELECT *, CASE WHEN regexp_matches(after, '^(@|[:/\\\\][^ \\t\\r])') THEN -100.0 ELSE greatest(-60, least(30, {_sum(d.EMAIL_WORDS, 8.0)} + {_sum(d.EMAIL_AGAINST, -20.0)})) END
+        x AS (SELECT *, CASE WHEN regexp_matches(after, '^(@|[:/\\\\][^ \\t\\r])') THEN -100.0 ELSE greatest(-60, least(30, {_near(d.EMAIL_WORDS, 8.0, 4.0)} + {_near(d.EMAIL_AGAINST, -20.0, -10.0)})) END
               + CASE WHEN {_table(d.EMAIL_NAME_VALUE)} THEN 15.0 ELSE 0.0 END AS context FROM o),
         f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, text, CASE {providers} WHEN {_or("domain", d.EMAIL_SCHOOLS, "suffix")} THEN 'EDUCATIONAL' WHEN {_or("domain", d.EMAIL_STATE, "suffix")} THEN 'GOVERNMENT'
               WHEN domain IN {_in(d.EMAIL_DISPOSABLE)} THEN 'DISPOSABLE' WHEN {_or("domain", d.EMAIL_COMPANY_PARTS, "contains")} OR {_or("domain", d.EMAIL_COMPANY_ENDS, "suffix")} OR length(split_part(domain, '.', 1)) > 3 THEN 'BUSINESS' ELSE 'EMAIL' END AS type,
@@ -324,14 +336,14 @@ SELECT = "SELECT doc_id, line_number, start_col, type, text, confidence FROM f"
 
 def ssn_sql(source: str) -> str:
     """For lines without tables: a few words and one number."""
-    fields = " + ".join(f"CASE WHEN {_has(words)} THEN {boost} ELSE 0.0 END" for boost, words in d.SSN_FIELDS)
+    fields = " + ".join(f"CASE WHEN {_has(words)} OR regexp_matches(seam, {_re([w for w in words if ' ' in w] or ['no such word'])}) THEN {boost} ELSE 0.0 END" for boost, words in d.SSN_FIELDS)
     runs = lambda n: "|".join(str(i) * n for i in range(10))
     return f"""{_found(source, r"\b([0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}\s[0-9]{2}\s[0-9]{4}|[0-9]{9})\b", 1, "true", ", regexp_replace(text, '[^0-9]', '', 'g') AS number")},
-        o AS (SELECT *, substr(number, 1, 3) AS area, substr(number, 4, 2) AS grp, substr(number, 6, 4) AS serial, contains(text, '-') AS dashes, {_sum(d.SSN_WORDS, 25.0)} AS positive, {_sum(d.SSN_AGAINST, 15.0)} AS negative,
+        o AS (SELECT *, substr(number, 1, 3) AS area, substr(number, 4, 2) AS grp, substr(number, 6, 4) AS serial, contains(text, '-') AS dashes, {_sum(d.SSN_WORDS, 25.0)} AS positive, {_sum(d.SSN_AGAINST, 15.0)} AS negative, {_SEAM},
               (contains('{d.UP}', number) OR contains('{d.DOWN}', number)) AS runs FROM c),
         p AS (SELECT *, 85.0 + CASE WHEN dashes THEN 10 WHEN text = number THEN -15 ELSE 0 END - CASE WHEN runs THEN 15 ELSE 0 END
               - CASE WHEN regexp_matches(number, '{runs(3)}') OR area = grp || substr(grp, 1, 1) OR area = substr(serial, 1, 3) THEN 15 ELSE 0 END
-              + greatest(-50, least(50, positive - negative + {fields} - CASE WHEN runs OR regexp_matches(number, '{runs(4)}') OR {_has(d.SSN_MARKS)} THEN 40.0 ELSE 0.0 END)) AS total
+              + greatest(-50, least(50, {_near(d.SSN_WORDS, 25.0, 10.0, True)} - {_near(d.SSN_AGAINST, 15.0, 8.0, True)} + {fields} - CASE WHEN runs OR regexp_matches(number, '{runs(4)}') OR {_has(d.SSN_MARKS)} THEN 40.0 ELSE 0.0 END)) AS total
               FROM o WHERE area NOT IN ('000', '666') AND area < '900' AND grp <> '00' AND serial <> '0000' AND number NOT IN {_in(d.SSN_TESTS)}),
         f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'SSN' AS type, text,
               greatest(0, least(100, CASE WHEN positive > 0 THEN total WHEN negative > 0 THEN total - 25 WHEN dashes THEN least(60, total) ELSE least(50, total) END))::DOUBLE AS confidence FROM p)
@@ -359,11 +371,11 @@ def ip_sql(source: str) -> str:
 def vin_sql(source: str) -> str:
     value = f"CASE WHEN substr(number, i, 1) BETWEEN '0' AND '9' THEN substr(number, i, 1)::INT ELSE substr('{'12345678123457923456789'}', instr('ABCDEFGHJKLMNPRSTUVWXYZ', substr(number, i, 1)), 1)::INT END"
     return f"""{_found(source, r"\b[A-HJ-NPR-Za-hj-npr-z0-9]{17}\b", 0, "true", ", upper(text) AS number")},
-        o AS (SELECT *, list_sum(list_transform(range(1, 18), lambda i: [8,7,6,5,4,3,2,10,0,9,8,7,6,5,4,3,2][i] * ({value}))) % 11 AS rest, substr(number, 1, 3) IN {_in(d.VIN_MAKERS)} AS maker FROM c),
+        o AS (SELECT *, list_sum(list_transform(range(1, 18), lambda i: [8,7,6,5,4,3,2,10,0,9,8,7,6,5,4,3,2][i] * ({value}))) % 11 AS rest, substr(number, 1, 3) IN {_in(d.VIN_MAKERS)} AS maker, {_SEAM} FROM c),
         p AS (SELECT *, substr(number, 9, 1) = CASE WHEN rest = 10 THEN 'X' ELSE rest::INT::VARCHAR END AS good FROM o),
         f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'VIN' AS type, text,
               greatest(0, least(100, 65.0 + CASE WHEN good THEN 20 ELSE -10 END + CASE WHEN maker THEN 10 ELSE 0 END + CASE WHEN regexp_matches(substr(number, 10, 1), '[A-HJ-NPR-TV-Y1-9]') THEN 5 ELSE 0 END
-              + greatest(-50, least(50, {_sum(d.VIN_WORDS, 25.0)} + {_sum(d.VIN_AGAINST, -15.0)}))))::DOUBLE AS confidence
+              + greatest(-50, least(50, {_near(d.VIN_WORDS, 25.0, 10.0)} + {_near(d.VIN_AGAINST, -15.0, -8.0)}))))::DOUBLE AS confidence
               FROM p WHERE number NOT IN {_in(d.VIN_TESTS)} AND regexp_matches(number, '[A-Z]') AND regexp_matches(number, '[0-9]') AND (good OR (maker AND NOT regexp_matches(number, '^[1-5]'))))
         {SELECT} WHERE confidence > 0"""
 
