@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Shortest number whose places inside longer ones are kept; shorter ones are compared one by one.
 SHORTEST, LONGEST = 6, 32
@@ -63,3 +65,29 @@ def first_numbers(rows: DataFrame, number: str = "number", line: str = "line_key
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(fold, rows.schema)
+
+
+def longest_names(rows: DataFrame, line: str = "line_key") -> DataFrame:
+    """Of the rows of a line (text, score, start) the surest of each text, without texts that a longer one has as some of its words.
+
+    A line's rows come together sorted, longest texts first, and are folded as they stream by: each kept text leaves
+    its runs of words and the signs between them (some dozens, as names are short), and a text that is one of them goes.  Time and memory are in
+    proportion to the line's candidates.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, runs = None, set()
+        for b in batches:
+            keep = []
+            for key, text in zip(b.column(line).to_pylist(), b.column("text").to_pylist(), strict=True):
+                if key != at:
+                    at, runs = key, set()
+                words = tuple(re.findall(r"\w+|\W", text))
+                out = words in runs
+                keep.append(not out)
+                if not out:
+                    runs.update(words[i:j] for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    order = [line, F.char_length("text").desc(), "text", F.col("score").desc(), "start"]
+    return rows.repartition(line).sortWithinPartitions(*order).mapInArrow(fold, rows.schema)

@@ -7,8 +7,9 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstone.functions.membership import listed
 from veilstone.functions.text import LABEL_GAP, any_of, candidates, clamp, count_words, either_score, field_label, has_word, parts_score, tabular_line, word_pattern, words_score
-from veilstone.operators.accept import first_numbers
+from veilstone.operators.accept import first_numbers, longest_names
 from veilstone.operators.detectors import DOWN, NOT_WORD_AFTER, NOT_WORD_BEFORE, UP, _chars, _found, _mapped, _word
 
 TESTS = ["test", "example", "sample", "placeholder", "fake", "mock", "demo"]
@@ -522,9 +523,6 @@ def intellectual_property(lines: DataFrame, urls: list[str] | None = None) -> Da
 
 
 # ---- names of people ----------------------------------------------------------------------------------------------
-#: A short list of common names; pass the tables of your data instead.
-FIRST_NAMES = ["james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "william", "elizabeth", "david", "barbara", "richard", "susan", "joseph", "jessica", "thomas", "sarah", "charles", "karen", "maria", "anna", "paul", "peter", "jane"]
-LAST_NAMES = ["smith", "johnson", "williams", "brown", "jones", "garcia", "miller", "davis", "rodriguez", "martinez", "hernandez", "lopez", "wilson", "anderson", "taylor", "moore", "jackson", "martin", "lee", "thompson", "white", "harris", "clark", "lewis", "doe"]
 # Letters, shapes of names with what they add, words for and against, words of machines.
 _U, _L = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _N = f"[{_U}][{_L}]{{1,29}}"
@@ -561,18 +559,16 @@ NAME_LEAST, UNKNOWN_CAP = 50.0, 65.0
 def person_name(lines: DataFrame, first_names: DataFrame | list[str] | None = None, last_names: DataFrame | list[str] | None = None) -> DataFrame:
     """Names by shape whose last name is known, or that a title, suffix or degree marks.
 
-    first_names, last_names: tables of one column (lower case, accents as in the texts or without), joined to the
-    candidates; Spark broadcasts them only while they are small.  Of shapes that match at one place the longest is
-    taken, and a name inside a longer one of its line goes.
+    first_names, last_names: tables of one column, of any size (lower case, accents as in the texts or without), or short
+    lists; without them only marked names are found.  Every shape is tried by itself, so a name is found where a
+    longer shape around it comes to nothing; of equal names of a line the most certain is kept, and names whose
+    words a longer name of the line has in a row go (``longest_names``).
     """
-    shape = "|".join(p for _, p, _, _ in NAME_SHAPES)
     mails = F.when(F.col("line").rlike(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), 8.0).otherwise(0.0) + F.when(F.col("line").rlike(r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"), 5.0).otherwise(0.0)
-    rows = candidates(lines, f"(?<![{_U}{_L}])(?:{shape})(?![{_U}{_L}])", F.col("line").rlike(f"[{_U}][{_U}{_L}]"), marks=mails, size=F.char_length(F.trim("line")))
+    tried = [(f"(?<![{_U}{_L}])(?:{shape})(?![{_U}{_L}])", F.col("line").rlike(f"[{_U}][{_U}{_L}]")) for _, shape, _, _ in NAME_SHAPES]
+    rows = candidates(lines, tried, marks=mails, size=F.char_length(F.trim("line")))
     t = F.col("text")
-    kind, formal, marked = F, F.lit(False), F.lit(False)
-    for name, pattern, is_formal, is_marked in NAME_SHAPES:
-        kind = kind.when(t.rlike(f"^(?:{pattern})$"), name)
-    rows = rows.withColumn("shape", kind)
+    rows = rows.withColumn("shape", F.element_at(F.array(*[F.lit(n) for n, _, _, _ in NAME_SHAPES]), F.col("way") + 1))
     formal, marked = (F.col("shape").isin([n for n, _, a, b in NAME_SHAPES if (a, b)[i]]) for i in (0, 1))
     bare = F.regexp_replace(F.regexp_replace(t, r"^(?:(?:Mr|Ms|Mrs|Dr|Prof|Sir|Dame|Lord|Lady)\.\s+)+", ""), r",?\s+(?:Jr\.?|Sr\.?|III|IV|PhD|MD|Esq\.?|DDS|JD|EdD|PharmD|PsyD|DVM|RN|CPA|PE)$", "")
     words = F.split(F.lower(bare), r"\s+")
@@ -580,7 +576,7 @@ def person_name(lines: DataFrame, first_names: DataFrame | list[str] | None = No
     first = F.when(comma, F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
     last = F.when(comma, F.regexp_replace(F.get(words, F.lit(0)), ",$", "")).otherwise(F.element_at(words, -1))
     rows = rows.withColumns({"first": first, "last": last, "middle": F.size(words) > 2})
-    rows = _known(_known(rows, "first", first_names if first_names is not None else FIRST_NAMES), "last", last_names if last_names is not None else LAST_NAMES)
+    rows = _known(_known(rows, "first", first_names), "last", last_names)
     machine = F.col("first").isin(NAME_MACHINES) | F.col("last").isin(NAME_MACHINES)
     both = F.col("first_known") & F.col("last_known")
     own = F.when(both, F.when(machine, 65.0).otherwise(90.0 + F.when(formal, 5.0).otherwise(0.0))).otherwise(65.0 - F.when(machine, 20.0).otherwise(0.0))
@@ -596,19 +592,19 @@ def person_name(lines: DataFrame, first_names: DataFrame | list[str] | None = No
     context = F.col("marks") + F.when(against > 1, -25.0).when(against == 1, -15.0).otherwise(0.0) + F.when(F.col("size") == size, 13.0).otherwise(0.0)
     score = clamp(clamp(own + culture.otherwise(1.0), 0, 100) + clamp(context, -50, 25), 0, 100)
     score = F.when(F.col("last_known"), score).when(marked, F.least(score, F.lit(UNKNOWN_CAP))).otherwise(0.0)
-    return _found(rows, "PERSON_NAME", F.lit("PERSON_NAME"), score, least=NAME_LEAST)
+    rows = longest_names(rows.withColumn("score", score).where(F.col("score") >= NAME_LEAST))
+    return _found(rows, "PERSON_NAME", F.lit("PERSON_NAME"), F.col("score"), least=NAME_LEAST)
 
 
-def _known(rows: DataFrame, part: str, names: DataFrame | list[str]) -> DataFrame:
+def _known(rows: DataFrame, part: str, names: DataFrame | list[str] | None) -> DataFrame:
     """Rows with whether a part of the name, a half of it, or it without accents is in the table of names."""
+    if names is None:
+        return rows.withColumn(f"{part}_known", F.lit(False))
     halves = F.filter(F.split(part, "-"), lambda x: F.char_length(x) > 1)
     forms = F.array_distinct(F.flatten(F.transform(F.concat(F.array(part), halves), lambda x: F.array(x, F.translate(x, ACCENTS, PLAIN)))))
     if isinstance(names, list):
         return rows.withColumn(f"{part}_known", F.arrays_overlap(forms, F.array(*map(F.lit, names))))
-    table = names.toDF("form").distinct().withColumn("listed", F.lit(True))
-    each = rows.withColumn("form", F.explode(forms)).join(table, "form", "left")
-    key = ["line_key", "start"]
-    return each.groupBy(*key).agg(*[F.first(c).alias(c) for c in rows.columns if c not in key], F.coalesce(F.max("listed"), F.lit(False)).alias(f"{part}_known"))
+    return listed(rows.withColumn("forms", forms), ["line_key", "way", "start"], "forms", names, f"{part}_known").drop("forms")
 
 
 # ---- social profiles ----------------------------------------------------------------------------------------------

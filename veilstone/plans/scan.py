@@ -91,21 +91,22 @@ SEVERAL = 4
 
 def detect(
     docs: DataFrame, checks: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", name_col: str | None = None, reuse: bool | None = None,
-    last_year: int | None = None, limit: int = 0,
+    last_year: int | None = None, limit: int = 0, names: tuple[DataFrame | list[str], DataFrame | list[str]] | None = None,
 ) -> DataFrame:
     """What the detectors find line by line, before the documents' context.
 
     Rows that repeat an id, or have none, are documents of their own; each row's findings are reported.  reuse: whether
-    the detectors share one pass over the texts (``shared``), by default from SEVERAL on; a stream
-    needs False.  last_year: the last plausible year of a birth (by default this one).  limit: most
+    the detectors share one pass over the texts (``shared``), by default from SEVERAL on; a
+    stream needs False.  names: tables of first and last names, for PERSON_NAME.  last_year: the last plausible year of a birth (by default this one).  limit: most
     findings of a detector in a document, in the order of their places (0: all).
     """
-    names, out = checks_of(checks), None
-    near = [n for n in names if n in READS["above"]]
-    rows = lines(docs, id_col, text_col, name_col, lambda x: uses(names, x), (lambda x: uses(near, x)) if near else None)
-    of = shared(rows, names) if (len(names) >= SEVERAL if reuse is None else reuse) else {n: rows.where(uses([n])) for n in names}
-    for name in names:
-        find = partial(DETECTORS[name], last_year=last_year) if name == "DATE_OF_BIRTH" else DETECTORS[name]
+    wanted, out = checks_of(checks), None
+    near = [n for n in wanted if n in READS["above"]]
+    rows = lines(docs, id_col, text_col, name_col, lambda x: uses(wanted, x), (lambda x: uses(near, x)) if near else None)
+    of = shared(rows, wanted) if (len(wanted) >= SEVERAL if reuse is None else reuse) else {n: rows.where(uses([n])) for n in wanted}
+    options = {"DATE_OF_BIRTH": {"last_year": last_year}, "PERSON_NAME": dict(zip(("first_names", "last_names"), names or (None, None), strict=True))}
+    for name in wanted:
+        find = partial(DETECTORS[name], **options.get(name, {}))
         part = find(of[name])
         if name == "SECRETS":
             part = part.unionByName(key_blocks(docs, id_col, text_col, name_col))
