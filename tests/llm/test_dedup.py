@@ -55,6 +55,22 @@ def test_exact_second_batch_and_reopened_index(spark, tmp_path):
     assert again.rows().count() == 3
 
 
+def test_exact_index_is_never_shuffled(spark):
+    """In both joins with the index its scan is of buckets, without an exchange above it."""
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    index.add(spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id LONG, text STRING"))
+    index.add(spark.createDataFrame([(i, f"t{i}") for i in range(40, 90)], "doc_id LONG, text STRING"))
+    groups = spark.createDataFrame([(hashlib.sha256(b"t7").digest(), 7)], "digest BINARY, keep_id LONG")
+    for joined in (index.known(groups), groups.join(spark.table(index.table).hint("merge"), "digest", "left_anti")):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Bucketed: true")].splitlines()
+        scan = next(i for i in range(len(above) - 1, -1, -1) if index.table in above[i])
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        over = [line for i, line in enumerate(above[:scan]) if depth(line) < depth(above[scan]) and all(depth(x) > depth(line) for x in above[i + 1 : scan + 1])]
+        assert over and not any("Exchange" in line for line in over)
+    assert [r.held_id for r in index.known(groups).collect()] == [7]
+
+
 def test_exact_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_dedup(docs).count() == 0

@@ -1,8 +1,8 @@
 """Exact deduplication against a persistent digest index (DataFrame operations only).
 
 The index is a table bucketed and sorted by the SHA-256 of the text.  A new batch is reduced to one
-row per digest, anti-joined to the index by sort-merge (the index side needs no shuffle), and what
-is new is appended.  Texts never travel for this: only (id, digest) does.
+row per digest, anti-joined to the index by sort-merge, and what is new is appended; then what the index holds is
+looked up by sort-merge too.  Neither join shuffles the index.  Texts never travel for this: only (id, digest) does.
 """
 
 from __future__ import annotations
@@ -37,9 +37,17 @@ class DigestIndex:
         spark.sql(f"CREATE TABLE {self.table} ({self.schema}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{place}'")
 
     def rows(self) -> DataFrame:
-        """The index without its buckets, so that a join with it can be split where it is skewed."""
+        """The index as its files have it, without its buckets."""
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def known(self, groups: DataFrame) -> DataFrame:
+        """``groups`` (one row a digest) with held_id and batch of those that the index holds.
+
+        Both sides have a row a digest, so no key is common; only ``groups`` is shuffled, to the index's buckets.
+        """
+        held = self.spark.table(self.table).withColumnRenamed("keep_id", "held_id")
+        return groups.join(held.hint("merge"), "digest")
+
     def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_id: str | None = None) -> DataFrame:
         """Takes in a batch; returns a row for each of its rows.
 
@@ -59,9 +67,8 @@ class DigestIndex:
         index = self.spark.table(self.table)
         fresh = groups.join(index.hint("merge"), "digest", "left_anti").select("digest", "keep_id", F.lit(name).alias("batch"))
         fresh.repartition(self.buckets, "digest").write.insertInto(self.table)
-        held = self.rows().select("digest", F.col("keep_id").alias("held_id"), "batch")
         own = F.col("batch") == name
-        stays = groups.join(held, "digest").select("digest", "group_size", F.when(own, F.col("keep_id")).otherwise(F.col("held_id")).alias("keep_id"), F.when(own, F.col("keep_row")).alias("keep_row"))
+        stays = self.known(groups).select("digest", "group_size", F.when(own, F.col("keep_id")).otherwise(F.col("held_id")).alias("keep_id"), F.when(own, F.col("keep_row")).alias("keep_row"))
         stays = written(stays, "digest-decisions")
         return d.join(stays, "digest").select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
 
