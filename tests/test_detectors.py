@@ -119,6 +119,15 @@ def test_rules(spark):
     assert suppress.cleanup(rules, F.lit("2024-01-09 00:00:00").cast("timestamp")).count() == 0
     allowed = spark.createDataFrame([("SSN", "536-22-8701", None)], "type STRING, value STRING, expires_at TIMESTAMP")
     assert suppress.allow(found, allowed, now).count() == 4
+    rules = spark.createDataFrame(
+        [(5, "SSN", None, "b", "of b", None), (3, "SSN", "536-22-8702", "", "this one", None), (1, "SSN", None, None, "expired", "2023-01-01 00:00:00"), (2, "EMAIL", None, None, "other type", None)],
+        "no INT, type STRING, value STRING, scope STRING, reason STRING, until STRING",
+    ).withColumn("expires_at", F.col("until").cast("timestamp"))
+    label = F.when(F.col("doc_id") % 2 == 0, "b").otherwise("a")
+    got = {r.doc_id: r.rule_reason for r in suppress.ruled(found, rules, now, label).collect()}
+    assert got == {1: None, 2: "this one", 3: None, 4: "of b", 5: None}
+    assert sorted(r.doc_id for r in suppress.allow(found, rules, now, label).collect()) == [1, 3, 5]
+    assert suppress.allow(found, rules.limit(0), now).count() == 5
 
 
 def test_table_context_raises_confidence(spark):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstone.functions.text import BESIDE
-from veilstone.operators.overlap import row_of
+from veilstone.functions.tables import written
+from veilstone.functions.text import BESIDE, quoted
 
 RULES = "id STRING, hash STRING, reason STRING, enabled BOOLEAN, created_at TIMESTAMP, expires_at TIMESTAMP"
 
@@ -52,7 +52,8 @@ def split(findings: DataFrame, rules: DataFrame, as_of: Column, name: Column | N
     A rule counts if it is enabled and not expired at ``as_of``.  The first form of hash that has a rule
     decides, then the smallest id.  Rules join by their hash; Spark broadcasts them only while small.
     """
-    rows = hashed(findings, name).withColumn("finding_no", F.xxhash64(*row_of(findings), "line_number", "start_col", "end_col", "validator", "type"))
+    # written once: the rules, their hashes and both results read the findings, which cost a scan of the texts
+    rows = written(hashed(findings, name).withColumn("finding_no", F.monotonically_increasing_id()), "hashed-findings")
     each = rows.select("finding_no", F.posexplode("hashes").alias("form", "hash"))
     found = each.join(active(rules, as_of).select("hash", F.col("id").alias("rule_id"), "reason"), "hash")
     first = Window.partitionBy("finding_no").orderBy("form", "rule_id")
@@ -90,8 +91,39 @@ def cleanup(rules: DataFrame, as_of: Column) -> DataFrame:
     return rules.where(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
 
 
-def allow(findings: DataFrame, allowed: DataFrame, as_of: Column) -> DataFrame:
-    """Findings without those that a request's rules (type, value or null, expires_at or null) allow."""
-    f, a = findings.alias("f"), allowed.alias("a")
-    on = (F.col("f.type") == F.col("a.type")) & (F.col("a.value").isNull() | (F.col("a.value") == F.col("f.text"))) & (F.col("a.expires_at").isNull() | (F.col("a.expires_at") > as_of))
-    return f.join(a, on, "left_anti")
+#: Parts that the findings of one type are dealt into where they meet the rules, which are few and go to each part.
+SALTS = 16
+
+
+def _rule_key(kind: Column, value: Column, scope: Column) -> Column:
+    """What a rule and a finding have to share; null stands for any value or any document."""
+    return F.xxhash64(F.lit("rule"), kind, value.isNull(), value, scope.isNull(), scope)
+
+
+def ruled(findings: DataFrame, rules: DataFrame, as_of: Column, label: Column | None = None) -> DataFrame:
+    """``findings`` with rule_no, rule_reason and rule_expires of the first rule of a request that allows each; null where none does.
+
+    rules: type, and where the table has them no (their order), value and scope (null or empty: any), reason,
+    expires_at (null: never).  A rule counts if its type is the finding's, its value the text, its scope the
+    document's label, and it hasn't expired; of several the smallest number does.  A finding asks for the four
+    kinds of rules by key.  One type may have most findings, so each is dealt to one of SALTS parts by its row.
+    """
+    have = lambda c, kind: F.col(c) if c in rules.columns else F.lit(None).cast(kind)
+    some = lambda c: F.when(have(c, "string") != "", have(c, "string"))
+    live = rules.where(have("expires_at", "timestamp").isNull() | (have("expires_at", "timestamp") >= as_of))
+    first = F.struct(F.coalesce(have("no", "long"), F.lit(0)).cast("long").alias("no"), have("reason", "string").alias("reason"), have("expires_at", "timestamp").alias("expires"))
+    keyed = live.select(_rule_key(F.col("type"), some("value"), some("scope")).alias("rule_key"), first.alias("rule")).groupBy("rule_key").agg(F.min("rule").alias("rule"))
+    keyed = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    here, anywhere, anything = F.lit(None).cast("string") if label is None else label, F.lit(None).cast("string"), F.lit(None).cast("string")
+    keys = F.array(*[_rule_key(F.col("type"), v, s) for v in (F.col("text"), anything) for s in (here, anywhere)])
+    rows = findings.withColumns({"finding_key": F.monotonically_increasing_id(), "asked": F.array_distinct(keys)})
+    rows = written(rows.withColumn("salt", F.pmod(F.col("finding_key"), F.lit(SALTS)).cast("int")), "asked-rules")
+    hits = rows.select("finding_key", "salt", F.explode("asked").alias("rule_key")).join(keyed, ["rule_key", "salt"]).groupBy("finding_key").agg(F.min("rule").alias("rule"))
+    joined = rows.join(hits, "finding_key", "left")
+    return joined.select(*[F.col(quoted(c)) for c in findings.columns], F.col("rule.no").alias("rule_no"), F.col("rule.reason").alias("rule_reason"), F.col("rule.expires").alias("rule_expires"))
+
+
+def allow(findings: DataFrame, allowed: DataFrame, as_of: Column, label: Column | None = None) -> DataFrame:
+    """Findings without those that a request's rules allow (see ``ruled``)."""
+    numbered = allowed if "no" in allowed.columns else allowed.withColumn("no", F.lit(0))
+    return ruled(findings, numbered, as_of, label).where("rule_no IS NULL").drop("rule_no", "rule_reason", "rule_expires")

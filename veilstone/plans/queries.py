@@ -14,11 +14,12 @@ from veilstone.functions.tables import spread
 from veilstone.functions.text import band
 from veilstone.operators import context, evaluate, explain, redact, report, suppress
 from veilstone.operators import detectors as d
-from veilstone.operators.labelled import PHONE_AGAINST, PHONE_WORDS
+from veilstone.operators.labelled import LEGAL_AGAINST, LEGAL_WORDS, MARKS, PHONE_AGAINST, PHONE_WORDS
 from veilstone.operators.overlap import outermost
 from veilstone.plans.scan import detect, scan, scan_and_redact
 
-AS_OF = "2024-06-01 00:00:00"
+#: Fixed moments, so that results don't depend on the day: of rules, and the last plausible year of a birth.
+AS_OF, LAST_YEAR = "2024-06-01 00:00:00", 2025
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detector over every document."""
-    return _result(scan(_docs(spark, sf_dir)))
+    return _result(scan(_docs(spark, sf_dir), last_year=LAST_YEAR))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +118,23 @@ def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(found)
 
 
+def detect_legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copyright, patent and trademark signs and secrecy notices in raw pages, whose copyright sign is written out."""
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(F.col("page_id").alias("doc_id"), F.replace("html", F.lit("&copy;"), F.lit("©")).alias("text"))
+    return _result(detect(pages, ["INTELLECTUAL_PROPERTY"]))
+
+
+def allowed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Social security numbers of customers, beside rules by type, value and scope: which rule allows each, if one does."""
+    found = detect(_people(spark, sf_dir, SSN_TEXT), ["SSN"])
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 = 0")
+    by_value = keys.select(F.col("c_custkey").alias("no"), F.lit("SSN").alias("type"), F.expr(SSN_VALUE).alias("value"), F.lit(None).cast("string").alias("scope"), F.lit("value").alias("reason"))
+    by_scope = keys.limit(1).select(F.lit(10**9).cast("long").alias("no"), F.lit("SSN").alias("type"), F.lit(None).cast("string").alias("value"), F.lit("shard 3").alias("scope"), F.lit("scope").alias("reason"))
+    rules = by_value.unionByName(by_scope)
+    label = F.concat(F.lit("shard "), (F.col("doc_id") % 7).cast("string"))
+    return suppress.ruled(found, rules, F.lit(AS_OF).cast("timestamp"), label).select("doc_id", "rule_no", F.coalesce("rule_reason", F.lit("none")).alias("rule_reason"))
+
+
 def redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.audit(detect(_docs(spark, sf_dir), ["CREDIT_CARD", "EMAIL"])).select("doc_id", F.col("n").cast("long").alias("n"), F.size("by_type").cast("long").alias("n_types"))
 
@@ -206,6 +224,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redaction_audit": redaction_audit,
     "suppressed_findings": suppressed_findings,
     "explained_findings": explained_findings,
+    "detect_legal_pages": detect_legal_pages,
+    "allowed_findings": allowed_findings,
     "detection_quality": detection_quality,
     "redaction_leaks": redaction_leaks,
     "report_csv": _report("csv"),
@@ -498,6 +518,16 @@ def phone_sql(source: str) -> str:
         {SELECT} WHERE confidence > 0"""
 
 
+def legal_sql(source: str) -> str:
+    """Copyright signs, one in a line: the pages hold no other mark."""
+    near = lambda words, n: " + ".join(f"CASE WHEN contains(lower, {_q(w)}) THEN {n} ELSE 0.0 END" for w in words)
+    return f"""{_found(source, MARKS["copyright"], 0, "true")},
+        o AS (SELECT *, CASE WHEN contains(text, '©') THEN 90.0 ELSE 80.0 END - CASE WHEN regexp_matches(text, '[0-9]{{4}}') THEN 0 ELSE 20 END - CASE WHEN regexp_matches(text, '(Example|Sample|Test|Demo) Company') THEN 30 ELSE 0 END
+              + greatest(-50, least(25, {near(LEGAL_WORDS, 7.0)} + {near(LEGAL_AGAINST, -15.0)})) AS score FROM c),
+        f AS (SELECT doc_id, line_number, start_col::BIGINT AS start_col, 'INTELLECTUAL_PROPERTY' AS type, text, greatest(0, least(100, score))::DOUBLE AS confidence FROM o WHERE score > 0)
+        {SELECT}"""
+
+
 def facts_sql() -> str:
     scores = ", ".join("(" + " + ".join(f"contains(lower(t), {_q(w)})::INT" for w in words) + f")::DOUBLE / {len(words)} AS {m[0].lower()}{m[1:]}" for m, words in context.PHRASES.items())
     flags = ", ".join(f"regexp_matches(t, {_q(p)}) AS {s[0].lower()}{s[1:]}" for s, p in SIGNALS.items())
@@ -539,6 +569,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, CASE WHEN tp + fn_band + fn_missed = 0 THEN 1.0 ELSE (tp + fn_band)::DOUBLE / (tp + fn_band + fn_missed) END::DOUBLE AS recall_all,
                CASE WHEN tp + fn_band + fn_missed = 0 THEN 1.0 ELSE tp_medium::DOUBLE / (tp + fn_band + fn_missed) END::DOUBLE AS recall_medium,
                CASE WHEN tp_medium + fp_medium = 0 THEN 1.0 ELSE tp_medium::DOUBLE / (tp_medium + fp_medium) END::DOUBLE AS precision_medium FROM n""",
+    "detect_legal_pages": legal_sql("SELECT page_id AS doc_id, replace(html, '&copy;', '©') AS text FROM pages"),
+    "allowed_findings": f"""WITH s AS ({ssn_sql(_people_sql(SSN_TEXT))}), v AS (SELECT {SSN_VALUE} AS value, min(c_custkey) AS no FROM customer WHERE c_custkey % 10 = 0 GROUP BY 1)
+        SELECT doc_id, coalesce(v.no, CASE WHEN doc_id % 7 = 3 THEN 1000000000 END)::BIGINT AS rule_no, CASE WHEN v.no IS NOT NULL THEN 'value' WHEN doc_id % 7 = 3 THEN 'scope' ELSE 'none' END AS rule_reason
+        FROM s LEFT JOIN v ON v.value = s.text""",
     "redaction_leaks": f"WITH {_TRUTH} SELECT validator, count(*)::BIGINT AS labels, 0::BIGINT AS leaked FROM truth GROUP BY validator",
     "scan_documents": f"""WITH {_kinds_sql()}, {_BOTH},
         every AS (SELECT * FROM bth UNION ALL {" UNION ALL ".join(f"SELECT doc_id, line_number, start_col, text, type, confidence FROM ({q})" for q in _OTHERS)}),
