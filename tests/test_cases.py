@@ -2,7 +2,8 @@
 
 import pytest
 
-from veilstone.operators.labelled import person_name, profile_clusters, social_media
+from veilstone.operators.labelled import person_name, social_media
+from veilstone.operators.profiles import profile_clusters
 from veilstone.functions.lines import lines
 from veilstone.plans.scan import scan
 

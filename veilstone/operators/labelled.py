@@ -611,8 +611,6 @@ def _known(rows: DataFrame, part: str, names: DataFrame | list[str] | None) -> D
 #: Patterns by platform come from the caller, as there is no useful default; these are for tests.
 SOCIAL_EXAMPLES = {"LINKEDIN": r"(?i)linkedin\.com/in/[A-Za-z0-9_-]{3,100}", "GITHUB": r"(?i)github\.com/[A-Za-z0-9-]{1,39}"}
 SOCIAL_RESERVED = ["login", "signup", "about", "help", "settings", "home", "search", "explore", "jobs", "features", "pricing"]
-#: Lines between profiles that may belong together, and the least, the most and the step of a cluster's score.
-CLUSTER_LINES, CLUSTER_LEAST, CLUSTER_MOST, CLUSTER_STEP = 6, 30.0, 95.0, 15.0
 
 
 def social_media(lines: DataFrame, platforms: dict[str, str] | None = None) -> DataFrame:
@@ -632,22 +630,6 @@ def social_media(lines: DataFrame, platforms: dict[str, str] | None = None) -> D
     return out if out is not None else _found(candidates(lines, "(?!)"), "social_media", F.lit("SOCIAL_MEDIA"), F.lit(0.0))
 
 
-def profile_clusters(profiles: DataFrame) -> DataFrame:
-    """(doc_id, cluster, line_number, last_line, members, platforms, confidence): profiles of one user name whose lines
-    follow each other within CLUSTER_LINES, two at least.
-
-    A running flag over the sorted profiles of a user tells where a cluster begins; no pairs are made.
-    """
-    user = F.lower(F.regexp_extract("text", r"([A-Za-z0-9_.-]+)/?$", 1))
-    mine = Window.partitionBy("doc_id", "doc_key", "user").orderBy("line_number", "start")
-    rows = profiles.withColumn("user", user).withColumn("begins", (F.col("line_number") - F.lag("line_number").over(mine) > CLUSTER_LINES).cast("int"))
-    rows = rows.withColumn("cluster", F.sum(F.coalesce("begins", F.lit(0))).over(mine))
-    groups = rows.groupBy("doc_id", "doc_key", "user", "cluster").agg(
-        F.min("line_number").alias("line_number"), F.max("line_number").alias("last_line"), F.array_sort(F.collect_list(F.struct("start", "text", "type"))).alias("members"), F.array_sort(F.collect_set("type")).alias("platforms")
-    )
-    return groups.where(F.size("members") > 1).withColumn("confidence", clamp(F.lit(CLUSTER_LEAST) + CLUSTER_STEP * F.size("platforms"), CLUSTER_LEAST, CLUSTER_MOST))
-
-
 LABELLED = {
     "PHONE": phone,
     "DATE_OF_BIRTH": date_of_birth,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilstone.functions.lines import text_key
 from veilstone.functions.text import let, quoted
 from veilstone.operators.overlap import outermost, row_of
+from veilstone.operators.profiles import expanded
 
 #: Which types share a label.
 CARDS = ["CREDIT_CARD", "VISA", "MASTERCARD", "MAESTRO", "AMERICAN_EXPRESS", "JCB", "DINERS_CLUB", "DISCOVER", "UNIONPAY"]
@@ -78,8 +79,9 @@ def redact(docs: DataFrame, findings: DataFrame, strategy: str = "simple", id_co
     are replaced in order, a later one from where the earlier ends.  The text travels once, joined by
     row with its spans, and is put together from what lies between them in one pass.  A row is known
     by its id and a hash of its text, so null and repeated ids are fine, and rows that repeat both are
-    redacted alike; findings without doc_key go by the id alone, which must be unique then.
+    redacted alike; of a cluster its members are; findings without doc_key go by the id alone, which must be unique then.
     """
+    findings = expanded(findings)
     row = row_of(findings)
     spans = outermost(findings).dropDuplicates([*row, "line_number", "start_col", "end_col"])
     spans = spans.withColumns({"to": replacement(strategy, F.col("text"), F.col("type")), "end": F.col("start") + F.col("length")})

@@ -12,9 +12,9 @@ from veilstone.functions.documents import DOMAIN_SAMPLE, DOMAINS, ENVIRONMENTS,
 from veilstone.functions.lines import lines
 from veilstone.functions.tables import spread
 from veilstone.functions.text import band
-from veilstone.operators import context, evaluate, explain, redact, report, suppress
+from veilstone.operators import context, evaluate, explain, profiles, redact, report, suppress
 from veilstone.operators import detectors as d
-from veilstone.operators.labelled import LEGAL_AGAINST, LEGAL_WORDS, MARKS, PHONE_AGAINST, PHONE_WORDS
+from veilstone.operators.labelled import LEGAL_AGAINST, LEGAL_WORDS, MARKS, PHONE_AGAINST, PHONE_WORDS, social_media
 from veilstone.operators.overlap import outermost
 from veilstone.plans.scan import detect, scan, scan_and_redact
 
@@ -52,6 +52,13 @@ IBAN_TEXT = "CASE c_custkey % 2 WHEN 0 THEN 'iban ' ELSE 'value ' END || 'DE' ||
 ARN_TEXT = "'resource arn:aws:iam::' || lpad(cast(c_custkey*7919 as varchar(12)),12,'0') || ':user/u' || cast(c_custkey as varchar(9)) || CASE c_custkey % 2 WHEN 0 THEN ' example' ELSE '' END"
 
 
+_LETTERS = "translate(cast(c_custkey as varchar(9)), '0123456789', 'abcdefghij')"
+NAME_TEXT = f"'Contact: Ka' || {_LETTERS} || ' Vo' || {_LETTERS} || CASE c_custkey % 4 WHEN 0 THEN ' arrived' WHEN 1 THEN ', vendor' ELSE '.' END"
+#: Two profiles of one user at most nine lines apart, and one of another user.
+PROFILE_TEXT = "'github.com/anna' || cast(c_custkey as varchar(9)) || repeat(chr(10), c_custkey % 10) || ' linkedin.com/in/anna-' || cast(c_custkey as varchar(9)) || chr(10) || 'twitter.com/zz' || cast(c_custkey as varchar(9))"
+PLATFORMS = {"GITHUB": r"github\.com/[A-Za-z0-9-]{1,39}", "LINKEDIN": r"linkedin\.com/in/[A-Za-z0-9_-]{3,100}", "TWITTER": r"twitter\.com/[A-Za-z0-9_]{1,15}"}
+
+
 def _result(findings: DataFrame) -> DataFrame:
     return findings.select("doc_id", F.col("line_number").cast("long").alias("line_number"), "start_col", "type", "text", "confidence").withColumn("start_col", F.col("start_col").cast("long"))
 
@@ -135,6 +142,18 @@ def allowed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.ruled(found, rules, F.lit(AS_OF).cast("timestamp"), label).select("doc_id", "rule_no", F.coalesce("rule_reason", F.lit("none")).alias("rule_reason"))
 
 
+def detect_names_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers by tables of names: of first names with even keys, and of last names with keys divisible by three."""
+    table = lambda start, n: spark.read.parquet(f"{sf_dir}/customer.parquet").where(F.col("c_custkey") % n == 0).select(F.concat(F.lit(start), F.expr(_LETTERS)).alias("name"))
+    return _result(detect(_people(spark, sf_dir, NAME_TEXT), ["PERSON_NAME"], names=(table("ka", 2), table("vo", 3))))
+
+
+def profile_clusters_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = social_media(lines(_people(spark, sf_dir, PROFILE_TEXT)), PLATFORMS)
+    clusters = profiles.profile_clusters(found, list(PLATFORMS))
+    return clusters.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("line_number", "last_line")], F.size("members").cast("long").alias("n_members"), "confidence")
+
+
 def redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.audit(detect(_docs(spark, sf_dir), ["CREDIT_CARD", "EMAIL"])).select("doc_id", F.col("n").cast("long").alias("n"), F.size("by_type").cast("long").alias("n_types"))
 
@@ -225,6 +244,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suppressed_findings": suppressed_findings,
     "explained_findings": explained_findings,
     "detect_legal_pages": detect_legal_pages,
+    "detect_names_customers": detect_names_customers,
+    "profile_clusters_customers": profile_clusters_customers,
     "allowed_findings": allowed_findings,
     "detection_quality": detection_quality,
     "redaction_leaks": redaction_leaks,
@@ -569,6 +590,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, CASE WHEN tp + fn_band + fn_missed = 0 THEN 1.0 ELSE (tp + fn_band)::DOUBLE / (tp + fn_band + fn_missed) END::DOUBLE AS recall_all,
                CASE WHEN tp + fn_band + fn_missed = 0 THEN 1.0 ELSE tp_medium::DOUBLE / (tp + fn_band + fn_missed) END::DOUBLE AS recall_medium,
                CASE WHEN tp_medium + fp_medium = 0 THEN 1.0 ELSE tp_medium::DOUBLE / (tp_medium + fp_medium) END::DOUBLE AS precision_medium FROM n""",
+    "detect_names_customers": f"""WITH n AS (SELECT c_custkey AS k, {_LETTERS} AS w, 'Ka' || w || ' Vo' || w AS text FROM customer WHERE c_custkey % 3 = 0),
+        o AS (SELECT *, CASE WHEN k % 2 = 0 THEN 92.0 ELSE 67.0 END - CASE WHEN regexp_matches(lower(text), 'abc|xyz|qwerty|asdf') THEN 10 ELSE 0 END
+              - CASE WHEN regexp_matches(lower(text), 'aaa|bbb|ccc|ddd|eee|fff|ggg|hhh|iii|jjj|kkk|ooo') THEN 20 ELSE 0 END - CASE WHEN k % 4 = 1 THEN 15 ELSE 0 END AS score FROM n)
+        SELECT k AS doc_id, 1::BIGINT AS line_number, 10::BIGINT AS start_col, 'PERSON_NAME' AS type, text, least(100, score)::DOUBLE AS confidence FROM o WHERE score >= 50""",
+    "profile_clusters_customers": "SELECT c_custkey AS doc_id, 1::BIGINT AS line_number, (1 + c_custkey % 10)::BIGINT AS last_line, 2::BIGINT AS n_members, 60.0::DOUBLE AS confidence FROM customer WHERE c_custkey % 10 <= 6",
     "detect_legal_pages": legal_sql("SELECT page_id AS doc_id, replace(html, '&copy;', '©') AS text FROM pages"),
     "allowed_findings": f"""WITH s AS ({ssn_sql(_people_sql(SSN_TEXT))}), v AS (SELECT {SSN_VALUE} AS value, min(c_custkey) AS no FROM customer WHERE c_custkey % 10 = 0 GROUP BY 1)
         SELECT doc_id, coalesce(v.no, CASE WHEN doc_id % 7 = 3 THEN 1000000000 END)::BIGINT AS rule_no, CASE WHEN v.no IS NOT NULL THEN 'value' WHEN doc_id % 7 = 3 THEN 'scope' ELSE 'none' END AS rule_reason
