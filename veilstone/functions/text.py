@@ -128,7 +128,9 @@ def candidates(lines_df: DataFrame, pattern: str | list[tuple[str, Column | None
         # in the generator, so that no filter above pulls them down to be computed once more
         whole, asked = found, F.struct(*[v.alias(k) for k, v in features.items()])
         found = let(asked, lambda f: F.transform(whole, lambda x: F.struct(*[x[c].alias(c) for c in shown], *[f[k].alias(k) for k in features])))
-    rows = rows.select(*kept, carried.alias("carried"), F.monotonically_increasing_id().alias("line_key"), found.alias("found"))
+    # streams have no numbers of rows: there rows that repeat id and text share their lines' keys
+    number = F.xxhash64("doc_id", "doc_key", "line_number") if rows.isStreaming else F.monotonically_increasing_id()
+    rows = rows.select(*kept, carried.alias("carried"), number.alias("line_key"), found.alias("found"))
     return rows.select(*kept, "line_key", F.col("carried").alias("line"), F.inline_outer("found"))
 
 
