@@ -12,6 +12,9 @@ COLUMNS = {
     "op5_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op6_simhash": {"doc_id", "fingerprint", "component_id"},
     "op7_nearest": {"query_id", "rank", "vec_id", "score"}, "op8_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
     "op9_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "op10_quality": {"doc_id", "kept"},
+    "op11_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op12_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
+    "op13_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
 }
 
 
