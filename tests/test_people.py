@@ -1,7 +1,8 @@
-"""Texts made from the keys of customers: work in proportion to the table, on all cores."""
+"""Texts made from the keys of customers: work in proportion to the table, on all cores, and once."""
 
 from pyspark.sql import functions as F
 
+from veilstone.operators import suppress
 from veilstone.plans import queries
 
 
@@ -18,3 +19,16 @@ def test_one_row_group_is_dealt_over_all_cores(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_rules_and_lookup_detect_once(spark, sf_dir, monkeypatch):
+    """The plan of the result reads written findings: none of it detects anything again."""
+    seen = []
+    monkeypatch.setattr(queries.suppress, "split", lambda found, rules, as_of: seen.extend([found, rules]) or suppress_split(found, rules, as_of))
+    out = queries.suppressed_findings(spark, sf_dir)
+    for df in (*seen, out):
+        assert "customer.parquet" not in " ".join(df.inputFiles())
+    assert {r["state"]: r["n"] for r in out.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()} == {"active": 125, "suppressed": 25}
+
+
+suppress_split = suppress.split
