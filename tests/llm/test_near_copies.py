@@ -82,3 +82,25 @@ def test_large_groups_in_blocks(spark, monkeypatch, own):
     monkeypatch.setattr(near_copies, "OWN", own)
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
     assert sorted(r.doc_id for r in near_copies.near_copies(docs).collect()) == brute_kept(rows)[0]
+
+
+def test_tiles_are_bits_of_the_fingerprint():
+    """Fingerprints of similarity 0.8 share a key but for a chance of MISSED, and unrelated ones share few, at any number of texts."""
+    rng = np.random.default_rng(3)
+    for n, most in ((300, 0.2), (200_000, 0.2), (2_000_000, 0.05)):
+        samples = near_copies.bit_samples(n)
+        fp = rng.integers(0, 2**64, (5000, near_copies.WORDS), dtype=np.uint64)
+        flip = np.packbits(rng.random((5000, 64 * near_copies.WORDS)) < 0.1515, axis=1, bitorder="little").view("<u8")
+        keys, near, other = (near_copies.tile_keys(x, samples) for x in (fp, fp ^ flip, np.roll(fp, 1, axis=0)))
+        assert (~(keys == near).any(axis=1)).mean() <= 3 * near_copies.MISSED
+        assert (keys == other).any(axis=1).mean() <= most
+        assert (keys >> 32 == np.arange(len(samples))).all()
+
+
+def test_similar_texts_share_a_key_of_their_fingerprint():
+    rng, samples = np.random.default_rng(9), near_copies.bit_samples(1000)
+    for _ in range(50):
+        words = rng.choice([f"w{i}" for i in range(5000)], 300).tolist()
+        cut = words[:267]  # similarity 263 / 296
+        a, b = (near_copies.tile_keys(near_copies.fingerprint(near_copies.shingles(" ".join(w)))[None, :], samples) for w in (words, cut))
+        assert (a == b).any()

@@ -1,23 +1,26 @@
 """Near copies at a word-shingle similarity of 0.8 by long SimHash fingerprints, compared tile by tile.
 
 At that similarity 64 bits differ in about ten, which is too near to unrelated texts, so a fingerprint
-here has 256 bits, of which such pairs differ in 39 on average and in ``RADIUS`` at most (four standard
-deviations above).  Tiles are what minimum hashes put together: of ``BANDS`` keys of ``ROWS`` minimum
-hashes each, texts of similarity 0.8 share one but for a chance of 0.0007, of 0.85 but for 0.00002.  In
-a tile fingerprints meet by exclusive-or and bit counts in numpy, and what lies within the radius is
-checked by the whole sets of shingles.
+here has 512 bits.  The first 256 are compared: such pairs differ in 39 of them on average and in
+``RADIUS`` at most (four standard deviations above).  All 512 make the tiles: texts that agree in some
+sampled bits of the fingerprint share one.  ``bit_samples`` takes as many bits for a key that about
+``TILE`` texts agree in them by chance, and as many keys that texts of similarity 0.8 share none with
+a chance of ``MISSED``.  In a tile fingerprints meet by exclusive-or and bit counts in numpy, and what
+lies within the radius is checked by the whole sets of shingles.
 
 Pairs are checked in three passes: each text with its nearest one of a tile; with its nearest one in
 another component; and at last all pairs within the radius that lie in different components still.
 So a group of many copies is joined by about as many checks as it has members, and no pair that tiles
-and radius find is left out.  The last pass makes no pairs: the texts that have some are sent, as sets
-of shingles, to the first tile of each, where a text's set meets all others of the tile at once.  Tiles
-of more than ``OWN`` texts are cut into blocks; in the last pass all but a tile's largest component
-go to each of its blocks.
+and radius find is left out.  The first pass deals all texts to all their tiles and tells in which of
+them a text has another within the radius; the later ones deal these alone.  The last pass makes no
+pairs: the texts that have some are sent, as sets of shingles, to the first tile of each, where a
+text's set meets all others of the tile at once.  Tiles of more than ``OWN`` texts are cut into
+blocks; in the last pass all but a tile's largest component go to each of its blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,13 @@ from veilstone.llm.store import columns, free_name, partitions, quoted, written
 
 #: Words in a shingle, and the least similarity, as a fraction.
 SHINGLE, ALIKE = 5, (4, 5)
-#: 64-bit words of a fingerprint, and bits in which texts to check may differ; keys of a text, and hashes of a key.
-WORDS, RADIUS, BANDS, ROWS = 4, 62, 24, 6
+#: 64-bit words of a fingerprint, those of them that are compared, and bits of these in which texts to check may differ.
+WORDS, COMPARED, RADIUS = 8, 4, 62
+#: Texts that share a tile by chance, at most; the chance that texts of similarity ALIKE share none; least bits of a key.
+TILE, MISSED, LEAST = 512, 0.0007, 8
 #: Texts of a block of a tile; most elements of a block of comparisons; shingles at once.
 OWN, BLOCK, AT_ONCE = 4096, 1 << 20, 1 << 10
 FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(64)], dtype=np.uint64)
-MIXES = np.array([xxhash.xxh64_intdigest(str(i), 11) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)[:, None]
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -61,19 +65,44 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * sum(ALIKE) >= ALIKE[0] * (len(a) + len(b))
 
 
-def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of WORDS words, keys of BANDS tiles) of a set of shingles."""
-    counts, least = np.zeros(64 * WORDS, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of WORDS words of a set of shingles."""
+    counts = np.zeros(64 * WORDS, dtype=np.int64)
     for i in range(0, len(found), AT_ONCE):
         h = found[i : i + AT_ONCE]
         mixed = np.stack([(h ^ (h >> np.uint64(31))) * FACTORS[10 + j] for j in range(WORDS)], axis=1)
         mixed ^= mixed >> np.uint64(32)
         counts += np.unpackbits(np.ascontiguousarray(mixed).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        x = MIXES * h[None, :]
-        least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * FACTORS[20]).min(axis=1))
-    bits = np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")
-    keys = np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], dtype=np.uint64)
-    return bits, keys
+    return np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")
+
+
+def bit_samples(n: int) -> np.ndarray:
+    """For n texts, which bits of a fingerprint make each of its keys: an array of (keys, bits of a key).
+
+    Texts of similarity ALIKE differ in a bit with the angle of their sets over pi.  Keys have bits of their own as long
+    as there are enough; after that they share some, and the chance to meet is averaged over the bits that differ.
+    """
+    size, width = 64 * WORDS, max(LEAST, math.ceil(math.log2(max(1, n) / TILE)))
+    apart = math.acos(2 * ALIKE[0] / sum(ALIKE)) / math.pi
+    keys = math.ceil(math.log(MISSED) / math.log(1 - (1 - apart) ** width))
+    if keys * width > size:
+        bits = np.arange(size + 1)
+        chance = np.array([math.comb(size, d) * apart**d * (1 - apart) ** (size - d) for d in range(size + 1)])
+        agree = np.prod([np.maximum(size - bits - i, 0) / (size - i) for i in range(width)], axis=0)
+        while (chance * (1 - agree) ** keys).sum() > MISSED:
+            keys += 1
+    each = size // width
+    order = [np.random.default_rng(i).permutation(size)[: each * width].reshape(each, width) for i in range(-(-keys // each))]
+    return np.concatenate(order)[:keys]
+
+
+def tile_keys(fp: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """Keys of fingerprints (rows of WORDS words): the number of the sample, and the bits that it takes."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 8 * WORDS), axis=1, bitorder="little")
+    keys = np.zeros((len(fp), len(samples)), dtype=np.int64)
+    for j in range(samples.shape[1]):
+        keys = keys * 2 + bits[:, samples[:, j]]
+    return keys + (np.arange(len(samples), dtype=np.int64) << 32)
 
 
 def _row(id_col: str, text_col: str) -> list[Column]:
@@ -82,7 +111,7 @@ def _row(id_col: str, text_col: str) -> list[Column]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, id_key, text_key, node, size, fp, keys) of each row; equal sets are one node."""
+    """(id, id_key, text_key, node, size, fp) of each row; equal sets are one node."""
     id_key, text_key = _row(id_col, text_col)
     rows = docs.select(F.col(quoted(id_col)).alias("id"), id_key.alias("id_key"), text_key.alias("text_key"), F.col(quoted(text_col)).alias("text"))
 
@@ -90,26 +119,45 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
-            made = [sketch(s) for s in sets]
-            flat = np.concatenate([k for _, k in made]).view(np.int64) if made else np.zeros(0, dtype=np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            fp = pa.array([f.tobytes() for f, _ in made], pa.binary())
-            arrays = [b.column("id"), b.column("id_key"), b.column("text_key"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), fp, keys]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "id_key", "text_key", "node", "size", "fp", "keys"])
+            fp = pa.array([fingerprint(s).tobytes() for s in sets], pa.binary())
+            arrays = [b.column("id"), b.column("id_key"), b.column("text_key"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), fp]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "id_key", "text_key", "node", "size", "fp"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, id_key LONG, text_key LONG, node LONG, size INT, fp BINARY")
+
+
+def keyed(nodes: DataFrame, samples: np.ndarray) -> DataFrame:
+    """(node, size, fp, key): each node once for each of its keys, with the words that are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if len(b)):
+            keys = tile_keys(_words(b.column("fp")), samples)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(samples)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("size"), b.column("fp"), flat], ["node", "size", "fp", "keys"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, id_key LONG, text_key LONG, node LONG, size INT, fp BINARY, keys ARRAY<LONG>")
+    rows = nodes.select("node", "size", "fp").mapInArrow(run, "node LONG, size INT, fp BINARY, keys ARRAY<LONG>")
+    return rows.select("node", "size", _compared().alias("fp"), F.explode("keys").alias("key"))
+
+
+def _compared() -> Column:
+    return F.substring("fp", 1, 8 * COMPARED)
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(len(column), -1)
 
 
 class _Tile:
-    """The texts of a block: nodes, components, sizes, fingerprints, and keys of all their tiles."""
+    """The texts of a block: nodes, components, sizes, fingerprints, and, given samples, the keys of tiles before this one."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
-        self.node, self.of, self.size, self.fp, self.keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def __init__(self, parts: list[tuple[np.ndarray, ...]], earlier: np.ndarray | None = None):
+        self.node, self.of, self.size, self.fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.keys = None if earlier is None else tile_keys(self.fp, earlier)
 
     def near(self, rows: slice, other: _Tile) -> np.ndarray:
         """How many bits some rows here differ in from all of another block; over RADIUS for those that can't be linked."""
         apart = np.zeros((len(self.node[rows]), len(other.node)), dtype=np.int16)
-        for w in range(WORDS):
+        for w in range(COMPARED):
             apart += np.bitwise_count(self.fp[rows, w][:, None] ^ other.fp[None, :, w])
         a, b = self.size[rows][:, None], other.size[None, :]
         small, large = np.minimum(a, b), np.maximum(a, b)
@@ -127,41 +175,52 @@ class _Tile:
             if len(a):
                 yield self.node[i : i + step][a], self.node[best[a]]
 
-    def partners(self, other: _Tile, band: int) -> tuple[np.ndarray, np.ndarray]:
+    def partners(self, other: _Tile) -> tuple[np.ndarray, np.ndarray]:
         """Which texts here, and which of another block, have a pair within the radius that no earlier tile has."""
         mine, theirs = np.zeros(len(self.node), dtype=bool), np.zeros(len(other.node), dtype=bool)
         step = max(1, BLOCK // len(other.node))
         for i in range(0, len(self.node), step):
             a, b = np.nonzero(self.near(slice(i, i + step), other) <= RADIUS)
-            first = ~(self.keys[i + a, :band] == other.keys[b, :band]).any(axis=1)
+            first = ~(self.keys[i + a] == other.keys[b]).any(axis=1)
             mine[i + a[first]] = True
             theirs[b[first]] = True
         return mine, theirs
 
 
-def shared_tiles(nodes: DataFrame) -> DataFrame:
-    """(node, keys) -> the written table of (node, key) of keys that several nodes have."""
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    return written(keys.join(written(shared, "near-keys"), "key", "left_semi"), "near-tiles")
+def met(nodes: DataFrame, samples: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The first pass: written tables of distinct (src, dst), each text with its nearest one of a tile, and of (node, key)
+    of tiles in which the node has another within the radius, or that are cut into blocks and so don't tell."""
+    rows = keyed(nodes, samples)
+    large = written(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / OWN).cast("int").alias("n_blocks")).where("n_blocks > 1"), "near-large")
+    block = F.when(F.col("n_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(0)), F.col("n_blocks")).cast("int"))
+    rows = rows.join(large, "key", "left").select("key", block.alias("block"), F.lit(False).alias("guest"), "node", F.col("node").alias("component"), "size", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, parts, _ in _runs(batches, _sketches):
+            for a, b in _Tile(parts).nearest() if parts else ():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), at[0])), pa.array(a), pa.array(b)], ["key", "src", "dst"])
+
+    with arrow_batches(nodes.sparkSession, 1 << 14):
+        first = written(_sorted(rows).mapInArrow(run, "key LONG, src LONG, dst LONG"), "near-met")
+    pairs = written(first.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "near-pairs")
+    tiles = first.select(F.col("src").alias("node"), "key").union(keyed(nodes, samples).join(large, "key", "left_semi").select("node", "key"))
+    return pairs, written(tiles.distinct(), "near-tiles")
 
 
-def dealt(nodes: DataFrame, tiles: DataFrame, labels: DataFrame | None, last: bool, salt: int) -> DataFrame:
-    """(key, block, guest, node, component, size, fp, keys) of tiles with several components, a block's own rows first.
+def dealt(nodes: DataFrame, tiles: DataFrame, labels: DataFrame, last: bool, salt: int) -> DataFrame:
+    """(key, block, guest, node, component, size, fp) of tiles with several components, a block's own rows first.
 
-    In the last pass a row of a smaller component is a guest in the other blocks of its tile.
+    In the last pass a row of a smaller component is a guest in the other blocks of its tile, and fingerprints are whole.
     """
-    of = F.col("node") if labels is None else F.coalesce("component", "node")
-    rows = (tiles if labels is None else tiles.join(labels, "node", "left")).select("node", "key", of.alias("component"))
+    rows = tiles.join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     by = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
     plan = by.agg(F.ceil(F.sum("n") / OWN).cast("int").alias("n_blocks"), F.max_by("component", "n").alias("major"), F.count(F.lit(1)).alias("kinds"))
     rows = rows.join(written(plan.where("kinds > 1").drop("kinds"), "near-plan"), "key")
     home = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("n_blocks")).cast("int")
     to = F.when(F.col("component") == F.col("major"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("n_blocks") - 1)) if last else F.array(home)
-    keys = F.col("keys") if last else F.array().cast("array<long>").alias("keys")
-    rows = rows.join(nodes.select("node", "size", "fp", keys), "node").withColumns({"home": home, "to": to})
-    rows = rows.select("key", "node", "component", "size", "fp", "keys", "home", F.explode("to").alias("block")).withColumn("guest", F.col("block") != F.col("home"))
-    return _sorted(rows.select("key", "block", "guest", "node", "component", "size", "fp", "keys"))
+    rows = rows.join(nodes.select("node", "size", (F.col("fp") if last else _compared()).alias("fp")), "node").withColumns({"home": home, "to": to})
+    rows = rows.select("key", "node", "component", "size", "fp", "home", F.explode("to").alias("block")).withColumn("guest", F.col("block") != F.col("home"))
+    return _sorted(rows.select("key", "block", "guest", "node", "component", "size", "fp"))
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -199,12 +258,10 @@ def _runs(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[tuple, list
 def _sketches(b: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, ...]:
     part = b.slice(i, j - i)
     node, of, size = (part.column(c).to_numpy() for c in ("node", "component", "size"))
-    fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype="<u8").reshape(-1, WORDS)
-    keys = part.column("keys").flatten().to_numpy()
-    return node, of, size.astype(np.int64), fp, keys.reshape(j - i, -1)
+    return node, of, size.astype(np.int64), _words(part.column("fp"))
 
 
-def candidates(nodes: DataFrame, tiles: DataFrame, labels: DataFrame | None, salt: int) -> DataFrame:
+def candidates(nodes: DataFrame, tiles: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
     """The written table of distinct (src, dst) to check: each text with its nearest one of another component in a tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +283,12 @@ def candidates(nodes: DataFrame, tiles: DataFrame, labels: DataFrame | None, sal
         return written(dealt(nodes, tiles, labels, False, salt).mapInArrow(run, "src LONG, dst LONG").where("src != dst").distinct(), "near-pairs")
 
 
-def undecided(nodes: DataFrame, tiles: DataFrame, labels: DataFrame) -> DataFrame:
+def undecided(nodes: DataFrame, tiles: DataFrame, labels: DataFrame, samples: np.ndarray) -> DataFrame:
     """The written table of (key, block, guest, node, component): texts that have a pair within the radius in another
     component, in the first tile of such a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, which, shown = None, None, None
+        tile, which, shown, earlier = None, None, None, None
         names = ["key", "block", "guest", "node", "component"]
 
         def rows(at: tuple, guest: bool, t: _Tile, mask: np.ndarray) -> pa.RecordBatch:
@@ -241,12 +298,12 @@ def undecided(nodes: DataFrame, tiles: DataFrame, labels: DataFrame) -> DataFram
 
         for at, parts, part in _runs(batches, _sketches):
             if parts is not None:
-                tile = _Tile(parts)
-                band = tile.keys[0].tolist().index(at[0])
-                which, shown = tile.partners(tile, band)[0], np.zeros(len(tile.node), dtype=bool)
+                earlier = samples[: at[0] >> 32]
+                tile = _Tile(parts, earlier)
+                which, shown = tile.partners(tile)[0], np.zeros(len(tile.node), dtype=bool)
             else:
-                guests = _Tile([part])
-                mine, theirs = guests.partners(tile, band)
+                guests = _Tile([part], earlier)
+                mine, theirs = guests.partners(tile)
                 which = which | theirs
                 if mine.any():
                     yield rows(at, True, guests, mine)
@@ -326,11 +383,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with arrow_batches(spark):
         signed = written(signatures(docs, id_col, text_col), "near-signatures")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "id_key")).alias("least")
-    nodes = written(signed.groupBy("node").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = written(signed.groupBy("node").agg(least, F.first("size").alias("size"), F.first("fp").alias("fp")), "near-nodes")
     id_key, text_key = _row(id_col, text_col)
     rows = docs.select(id_key.alias("id_key"), text_key.alias("text_key"), F.col(quoted(text_col)).alias("text"))
 
-    tiles = shared_tiles(nodes)
+    samples = bit_samples(nodes.count())
+    with arrow_batches(spark, 1 << 10):
+        first, tiles = met(nodes, samples)
     # the texts of all that any pass may ask for, fetched once: each join with the whole table deals all its texts
     at = written(nodes.join(tiles.select("node").distinct(), "node", "left_semi").select("node", F.col("least.id_key").alias("id_key"), F.col("least.text_key").alias("text_key")), "near-need")
     texts = written(rows.join(at, ["id_key", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
@@ -344,11 +403,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sets = [np.unique((shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])
 
-    first = candidates(nodes, tiles, None, 0)
     found = links(first)
     labels = components(found)
     found = found.union(links(written(candidates(nodes, tiles, labels, 1).join(first, ["src", "dst"], "left_anti"), "near-untried")))
-    places = undecided(nodes, tiles, components(found))
+    places = undecided(nodes, tiles, components(found), samples)
     with arrow_batches(spark):
         sets = written(texts.join(places.select("node").distinct(), "node", "left_semi").mapInArrow(grams, "node LONG, grams BINARY"), "near-sets")
     labels = components(found.union(decided(places, sets)))
