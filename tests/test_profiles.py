@@ -72,3 +72,30 @@ def test_members_are_redacted(spark):
     whole = clusters.selectExpr("doc_id", "doc_key", "line_number", "0 AS start", "0 AS length", "1 AS start_col", "1 AS end_col", "'2 profiles' AS text", "'SOCIAL_MEDIA_CLUSTER' AS type", "members")
     done = {r.doc_id: (r.redacted, r.n_redacted) for r in redact(docs, whole).collect()}
     assert done == {1: ("me: [GITHUB-REDACTED]\nand [LINKEDIN-REDACTED] here\nfar\n", 2), 2: ("github.com/bob", 0), None: ("", 0)}
+
+
+def test_few_seeds_compared_as_many_looked_up(monkeypatch):
+    rng, kinds = random.Random(5), {"github", "twitter"}
+    names = ["annlee", "ann.lee", "bob", "bobby", "theannleeshop", "7", "99", "carla-m", "", "m"]
+    for _ in range(50):
+        rows, line, got = [], 0, []
+        for _ in range(40):
+            line += rng.choice([0, 0, 1, 3])
+            rows.append((line, rng.choice(names), rng.choice(["github", "twitter"]), rng.choice(["", "", "on github"]), kinds))
+        for few in (0, 3, 100):
+            monkeypatch.setattr(profiles, "FEW", few)
+            seeds, n, out = profiles.Seeds(), 0, []
+            for mine in rows:
+                out.append(seeds.of(*mine))
+                if out[-1] is None:
+                    seeds.add(n, *mine)
+                    n += 1
+            got.append(out)
+        assert got[0] == got[1] == got[2]
+
+
+def test_platforms_share_one_pass_over_the_lines(spark):
+    rows = spark.createDataFrame([(1, "github.com/anna linkedin.com/in/anna"), (2, "twitter.com/bob")], SCHEMA)
+    found = social_media(lines(rows), PLATFORMS)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1 + len(PLATFORMS)  # the text into lines, and a line for each
+    assert {(r.doc_id, r.type, r.text) for r in found.collect()} == {(1, "GITHUB", "github.com/anna"), (1, "LINKEDIN", "linkedin.com/in/anna"), (2, "TWITTER", "twitter.com/bob")}
